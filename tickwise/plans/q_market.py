@@ -79,3 +79,528 @@ FROM rows GROUP BY ticker, model
 """, "v_bars", "v_index")
 
 register("p6_naive_mape", NAIVE_MAPE_SQL)(naive_mape)
+
+
+# --------------------------------------------------------------------------
+# shared inputs
+# --------------------------------------------------------------------------
+from ..operators import align as AL  # noqa: E402
+from ..operators import forecast as FC  # noqa: E402
+from ..operators import scale as SC  # noqa: E402
+from ..operators import shaping as SH  # noqa: E402
+from ..operators import windows as WN  # noqa: E402
+from ..sources import files as IO  # noqa: E402
+
+NEWS_FEATURES = ["net_impact", "weighted_horizon", "news_count", "divergence"]
+ALL_FEATURES = BAR_FEATURES + ["idx_close"] + NEWS_FEATURES
+
+
+def aligned(spark, sf):
+    """bars + index (T2 ffill) + daily news features (T1 zero fill), volume as double."""
+    b = views.bars(spark, sf).withColumn("volume", F.col("volume").cast("double"))
+    a = AL.align_ffill(b, views.index_series(spark, sf), out="idx_close")
+    a = AL.align_zero(a, views.feats(spark, sf), NEWS_FEATURES)
+    return a.select("ticker", "date", *BAR_FEATURES, "idx_close", *NEWS_FEATURES)
+
+
+def scaled(spark, sf, cols=ALL_FEATURES):
+    a = aligned(spark, sf)
+    return SC.apply_minmax(a, SC.fit_minmax(a, cols), cols)
+
+
+def _rng_sql(c, t="s"):
+    return f"CASE WHEN {t}.{c}__max - {t}.{c}__min = 0 THEN 1.0 ELSE {t}.{c}__max - {t}.{c}__min END"
+
+
+def _stats_sql(cols, src="v_aligned", where=""):
+    parts = ", ".join(f"min({c}) AS {c}__min, max({c}) AS {c}__max" for c in cols)
+    return f"SELECT ticker, {parts} FROM {src} {where} GROUP BY ticker"
+
+
+from .sql_views import add_view  # noqa: E402
+
+add_view("v_scaled", ("v_aligned",), "SELECT a.ticker, a.date, " + ", ".join(
+    f"(a.{c} - s.{c}__min) / {_rng_sql(c)} AS {c}" for c in ALL_FEATURES)
+    + f" FROM v_aligned a JOIN ({_stats_sql(ALL_FEATURES)}) s ON a.ticker = s.ticker")
+
+
+def R6(name):
+    return F.round(F.col(name), 6).alias(name)
+
+
+def _r6_sql(cols):
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+# --------------------------------------------------------------------------
+# S: sources, sinks, shaping
+# --------------------------------------------------------------------------
+
+@register("s1_read_bars", with_views(
+    "SELECT date AS \"Date\", ticker AS \"Ticker\", adj_close AS \"Adj Close\", close AS \"Close\", high AS \"High\", "
+    "low AS \"Low\", open AS \"Open\", volume AS \"Volume\" FROM v_bars", "v_bars"))
+def q_s1(spark, sf):
+    path = IO.scratch_path(spark, "bars")
+    IO.write_table(IO.bars_to_csv_layout(views.bars(spark, sf)), path)
+    return IO.read_bars(spark, path)
+
+
+@register("s2_read_daily_features", with_views("SELECT * FROM v_feats", "v_feats"))
+def q_s2(spark, sf):
+    path = IO.scratch_path(spark, "feats")
+    IO.write_table(views.feats(spark, sf), path)
+    return IO.read_daily_features(spark, path)
+
+
+@register("s3_read_index", with_views("SELECT date AS \"Date\", close AS \"Close\" FROM v_index", "v_index"))
+def q_s3(spark, sf):
+    path = IO.scratch_path(spark, "index")
+    idx = views.index_series(spark, sf).select(
+        F.col("date"), F.lit("IDX").alias("ticker"), F.col("close").alias("adj_close"), "close",
+        F.col("close").alias("high"), F.col("close").alias("low"), F.col("close").alias("open"),
+        F.lit(0).cast("bigint").alias("volume"))
+    IO.write_table(IO.bars_to_csv_layout(idx), path)
+    return IO.read_index(spark, path)
+
+
+@register("s4_read_news", with_views(
+    "SELECT stock_id, strftime(date, '%Y-%m-%d') || ' ' || lpad(CAST(id % 24 AS VARCHAR), 2, '0') || ':00' AS date, "
+    "title, source FROM v_news", "v_news"))
+def q_s4(spark, sf):
+    path = IO.scratch_path(spark, "news")
+    n = views.news(spark, sf).select(
+        "stock_id",
+        F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(" "),
+                 F.lpad((F.col("id") % 24).cast("string"), 2, "0"), F.lit(":00")).alias("date"),
+        "title", "source")
+    IO.write_table(n, path)
+    return IO.read_news(spark, path)
+
+
+@register("s5_read_forecast", with_views("""
+    SELECT CAST(date + INTERVAL 1 DAY AS DATE) AS "Date", close AS "Predicted_Price"
+    FROM v_bars WHERE ticker = 'A'""", "v_bars"))
+def q_s5(spark, sf):
+    path = IO.scratch_path(spark, "forecast")
+    fc = views.bars(spark, sf).filter(F.col("ticker") == "A").select(
+        F.date_add("date", 1).alias("Date"), F.col("close").alias("Predicted_Price"))
+    IO.write_table(fc, path)
+    return IO.read_forecast(spark, path)
+
+
+@register("s6_wide_to_long", with_views("""
+    SELECT d.date, t.ticker, CAST(b.open AS DOUBLE) AS open, CAST(b.high AS DOUBLE) AS high, CAST(b.low AS DOUBLE) AS low,
+           CAST(b.close AS DOUBLE) AS close, CAST(b.adj_close AS DOUBLE) AS adj_close, CAST(b.volume AS DOUBLE) AS volume
+    FROM (SELECT DISTINCT date FROM v_bars) d CROSS JOIN (VALUES ('A'), ('N'), ('R')) t(ticker)
+    LEFT JOIN v_bars b ON b.date = d.date AND b.ticker = t.ticker""", "v_bars"))
+def q_s6(spark, sf):
+    return SH.wide_to_long(views.wide_bars(spark, sf), ["date"], "|")
+
+
+@register("s7_sort_bars", with_views("SELECT ticker, date, close FROM v_bars ORDER BY ticker, date", "v_bars"))
+def q_s7(spark, sf):
+    return SH.sort_bars(views.bars(spark, sf).select("ticker", "date", "close"))
+
+
+@register("s8_write_csv", with_views("SELECT ticker, date, close, volume FROM v_bars", "v_bars"))
+def q_s8(spark, sf):
+    path = IO.scratch_path(spark, "s8")
+    IO.write_table(views.bars(spark, sf).select("ticker", "date", "close", "volume"), path, fmt="csv")
+    schema = "ticker STRING, date DATE, close DOUBLE, volume BIGINT"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@register("s9_append_idempotent", with_views("SELECT ticker, date, close FROM v_bars", "v_bars"))
+def q_s9(spark, sf):
+    """Two appends of overlapping day sets: the overlap is replaced, not duplicated."""
+    path = IO.scratch_path(spark, "s9")
+    b = views.bars(spark, sf).select("ticker", "date", "close")
+    IO.append_table(b.filter(F.year("date") <= 1998), path, ["date"])
+    IO.append_table(b.filter(F.year("date") >= 1997), path, ["date"])
+    return spark.read.schema("ticker STRING, close DOUBLE, date DATE").parquet(path).select("ticker", "date", "close")
+
+
+@register("s10_write_forecast", with_views("""
+    SELECT ticker, CAST(date + INTERVAL 1 DAY AS DATE) AS "Date", close AS "Predicted_Price" FROM v_bars""", "v_bars"))
+def q_s10(spark, sf):
+    path = IO.scratch_path(spark, "s10")
+    fc = views.bars(spark, sf).select("ticker", F.date_add("date", 1).alias("Date"), F.col("close").alias("Predicted_Price"))
+    IO.write_table(fc, path, partition_by=["ticker"])
+    return spark.read.schema("Date DATE, Predicted_Price DOUBLE, ticker STRING").option("header", True).csv(path)
+
+
+@register("s11_date_spine", with_views("""
+    SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM v_index""", "v_index"))
+def q_s11(spark, sf):
+    return SH.spine_between(views.index_series(spark, sf), "date")
+
+
+@register("s12_day_slice", """
+    SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS date FROM events
+    WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""")
+def q_s12(spark, sf):
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", SH.minute_text(F.col("ts")).alias("date"))
+    return SH.day_slice(ev, SH.date_spine(spark, "2024-01-10", "2024-01-20"), "date")
+
+
+@register("s13_minute_text", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events")
+def q_s13(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", SH.minute_text(F.col("ts")).alias("minute"))
+
+
+@register("s14_cast_key", "SELECT doc_id, CAST(doc_id % 7 AS VARCHAR) AS stock_id FROM documents")
+def q_s14(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", (F.col("doc_id") % 7).alias("stock_id"))
+    return SH.cast_key(d, "stock_id")
+
+
+@register("s15_drop_cols", with_views("SELECT id, stock_id, date, title, source FROM v_news", "v_news"))
+def q_s15(spark, sf):
+    return SH.drop_cols(views.news(spark, sf), "text", "link", "url")
+
+
+@register("s16_resolve_date_col", with_views(
+    "SELECT id, CAST(date AS TIMESTAMP) + to_minutes(CAST(id % 1440 AS BIGINT)) AS ts FROM v_news", "v_news"))
+def q_s16(spark, sf):
+    n = views.news(spark, sf).select(
+        "id", F.date_format(F.col("date").cast("timestamp") + F.make_interval(mins=(F.col("id") % 1440).cast("int")),
+                            "yyyy-MM-dd HH:mm").alias("publish_date"))
+    return SH.resolve_date_col(n, "ts").select("id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@register("s17_articles_schema", with_views(
+    "SELECT title, text, CAST(NULL AS VARCHAR) AS publish_date, source, CAST(NULL AS VARCHAR) AS url FROM v_news", "v_news"))
+def q_s17(spark, sf):
+    return SH.articles_schema_select(views.news(spark, sf))
+
+
+@register("s18_load_counts", with_views(
+    "SELECT date, CAST(count(*) AS BIGINT) AS n FROM v_news GROUP BY ROLLUP (date)", "v_news"))
+def q_s18(spark, sf):
+    return SH.load_counts(views.news(spark, sf), "date")
+
+
+def _profile_sql():
+    cols = [("ticker", "string", False), ("date", "date", False), ("open", "double", True), ("high", "double", True),
+            ("low", "double", True), ("close", "double", True), ("adj_close", "double", True), ("volume", "bigint", True)]
+    parts = []
+    for c, t, num in cols:
+        mn = f"CAST(min({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"
+        mx = f"CAST(max({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"
+        parts.append(f"SELECT '{c}' AS \"column\", '{t}' AS dtype, CAST(count(*) AS BIGINT) AS n_rows, "
+                     f"CAST(count(*) - count({c}) AS BIGINT) AS n_null, round({mn}, 6) AS min_value, "
+                     f"round({mx}, 6) AS max_value FROM v_bars")
+    return with_views(" UNION ALL ".join(parts), "v_bars")
+
+
+@register("s19_profile", _profile_sql())
+def q_s19(spark, sf):
+    p = SH.profile(views.bars(spark, sf))
+    return p.select("column", "dtype", "n_rows", "n_null", R6("min_value"), R6("max_value"))
+
+
+@register("s20_preview", with_views(
+    "SELECT id, title, substring(text, 1, 200) AS text FROM v_news ORDER BY id LIMIT 3", "v_news"))
+def q_s20(spark, sf):
+    return SH.preview(views.news(spark, sf).select("id", "title", "text"), ["id"], 3, 200)
+
+
+@register("s21_project", with_views(
+    "SELECT adj_close, close, high, low, open, volume FROM v_bars", "v_bars"))
+def q_s21(spark, sf):
+    return SH.project(views.bars(spark, sf), BAR_FEATURES)
+
+
+# --------------------------------------------------------------------------
+# T: calendar alignment
+# --------------------------------------------------------------------------
+
+@register("t1_align_zero", with_views(
+    "SELECT ticker, date, close, " + _r6_sql(NEWS_FEATURES) + " FROM v_aligned", "v_aligned"))
+def q_t1(spark, sf):
+    b = views.bars(spark, sf).select("ticker", "date", "close")
+    a = AL.align_zero(b, views.feats(spark, sf), NEWS_FEATURES)
+    return a.select("ticker", "date", "close", *[R6(c) for c in NEWS_FEATURES])
+
+
+@register("t2_align_ffill", with_views("SELECT ticker, date, round(idx_close, 6) AS idx_close FROM v_aligned", "v_aligned"))
+def q_t2(spark, sf):
+    a = AL.align_ffill(views.bars(spark, sf).select("ticker", "date"), views.index_series(spark, sf), out="idx_close")
+    return a.select("ticker", "date", R6("idx_close"))
+
+
+@register("t3_align_asof", with_views("""
+    SELECT b.ticker, b.date, round(i.close, 6) AS idx_close
+    FROM v_bars b ASOF LEFT JOIN v_index i ON b.date >= i.date""", "v_bars", "v_index"))
+def q_t3(spark, sf):
+    a = AL.align_asof(views.bars(spark, sf).select("ticker", "date"), views.index_series(spark, sf), out="idx_close")
+    return a.select("ticker", "date", R6("idx_close"))
+
+
+@register("t4_align_position", with_views("""
+    SELECT b.ticker, b.date, round(i.close, 6) AS b_close
+    FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS p FROM v_bars) b
+    LEFT JOIN (SELECT close, row_number() OVER (ORDER BY date) AS p FROM v_index) i ON b.p = i.p""", "v_bars", "v_index"))
+def q_t4(spark, sf):
+    a = AL.align_position(views.bars(spark, sf).select("ticker", "date"), views.index_series(spark, sf), ["close"])
+    return a.select("ticker", "date", R6("b_close"))
+
+
+_WIN_SQL = """
+    , wr AS (SELECT ticker, pos AS start_pos, date AS start_date, lead(date, 19) OVER o AS end_date, lead(date, 22) OVER o AS tail
+             FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos FROM v_bars) b
+             WINDOW o AS (PARTITION BY ticker ORDER BY pos))
+    , wins AS (SELECT ticker, start_pos, start_date, end_date FROM wr WHERE tail IS NOT NULL)
+"""
+
+
+@register("t5_window_news", with_views(_WIN_SQL + """
+    SELECT w.ticker, w.start_pos, row_number() OVER (PARTITION BY w.ticker, w.start_pos ORDER BY f.date) AS k,
+           f.date, """ + _r6_sql(NEWS_FEATURES) + """
+    FROM wins w JOIN v_feats f ON f.date BETWEEN w.start_date AND w.end_date""", "v_bars", "v_feats"))
+def q_t5(spark, sf):
+    wn = AL.window_news(views.bars(spark, sf), views.feats(spark, sf), NEWS_FEATURES, step=20, h=3)
+    return wn.select("ticker", "start_pos", F.posexplode("news").alias("k", "n")).select(
+        "ticker", "start_pos", (F.col("k") + 1).alias("k"), F.col("n.date").alias("date"),
+        *[F.round(F.col(f"n.{c}"), 6).alias(c) for c in NEWS_FEATURES])
+
+
+@register("t6_pad_post", with_views(_WIN_SQL + """
+    , hits AS (SELECT w.ticker, w.start_pos, count(f.date) AS n_real,
+                      sum(CAST(CAST(f.net_impact AS FLOAT) AS DOUBLE) + CAST(CAST(f.weighted_horizon AS FLOAT) AS DOUBLE)
+                          + CAST(CAST(f.news_count AS FLOAT) AS DOUBLE) + CAST(CAST(f.divergence AS FLOAT) AS DOUBLE)) AS s
+               FROM wins w LEFT JOIN v_feats f ON f.date BETWEEN w.start_date AND w.end_date
+               GROUP BY w.ticker, w.start_pos)
+    SELECT ticker, start_pos, CAST(n_real AS INTEGER) AS n_real, CAST(max(n_real) OVER () AS INTEGER) AS n_padded,
+           round(coalesce(s, 0.0), 4) AS checksum
+    FROM hits""", "v_bars", "v_feats"))
+def q_t6(spark, sf):
+    wn = AL.window_news(views.bars(spark, sf), views.feats(spark, sf), NEWS_FEATURES, step=20, h=3)
+    p = AL.pad_post(wn, "news", NEWS_FEATURES)
+    flat = F.flatten("padded")
+    return p.select("ticker", "start_pos", F.size("news").alias("n_real"), F.size("padded").alias("n_padded"),
+                    F.round(F.aggregate(flat, F.lit(0.0), lambda a, v: a + v.cast("double")), 4).alias("checksum"))
+
+
+@register("t7_last_n", with_views("""
+    SELECT ticker, date, close FROM (
+      SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM v_bars) x
+    WHERE r <= 20""", "v_bars"))
+def q_t7(spark, sf):
+    return AL.last_n(views.bars(spark, sf).select("ticker", "date", "close"), 20)
+
+
+@register("t8_backtest_slice", with_views("""
+    SELECT ticker, date, close, rpos, CASE WHEN rpos BETWEEN 15 AND 34 THEN 'input' ELSE 'actual' END AS role FROM (
+      SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) - 1 AS rpos FROM v_bars) x
+    WHERE rpos BETWEEN 12 AND 34""", "v_bars"))
+def q_t8(spark, sf):
+    s = AL.backtest_slice(views.bars(spark, sf).select("ticker", "date", "close"), n=20, past=15, h=3)
+    return s.select("ticker", "date", "close", F.col("rpos").cast("bigint").alias("rpos"), "role")
+
+
+@register("t9_future_bdays", with_views("""
+    SELECT d.date, CAST(r - 1 AS INTEGER) AS day, fdate FROM (
+      SELECT date, fdate, row_number() OVER (PARTITION BY date ORDER BY fdate) AS r FROM (
+        SELECT date, CAST(date + CAST(i AS INTEGER) AS DATE) AS fdate
+        FROM (SELECT DISTINCT date FROM v_bars) b, range(0, 12) t(i)) c
+      WHERE isodow(fdate) <= 5) d
+    WHERE r BETWEEN 2 AND 4""", "v_bars"))
+def q_t9(spark, sf):
+    d = views.bars(spark, sf).select("date").distinct()
+    return d.select("date", F.posexplode(AL.future_bdays(F.col("date"), 3)).alias("k", "fdate")).select(
+        "date", (F.col("k") + 1).alias("day"), "fdate")
+
+
+# --------------------------------------------------------------------------
+# M: scaling
+# --------------------------------------------------------------------------
+
+@register("m1_fit_minmax", with_views(
+    "SELECT ticker, " + ", ".join(f"round(min({c}), 6) AS {c}__min, round(max({c}), 6) AS {c}__max" for c in ALL_FEATURES)
+    + " FROM v_aligned GROUP BY ticker", "v_aligned"))
+def q_m1(spark, sf):
+    st = SC.fit_minmax(aligned(spark, sf), ALL_FEATURES)
+    return st.select("ticker", *[R6(c) for c in st.columns if c != "ticker"])
+
+
+@register("m2_apply_minmax", with_views("SELECT ticker, date, " + _r6_sql(ALL_FEATURES) + " FROM v_scaled", "v_scaled"))
+def q_m2(spark, sf):
+    return scaled(spark, sf).select("ticker", "date", *[R6(c) for c in ALL_FEATURES])
+
+
+_TRAIN_SQL = """
+    , ap AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
+                    count(*) OVER (PARTITION BY ticker) AS n FROM v_aligned)
+    , st AS (SELECT ticker, min(close) AS close__min, max(close) AS close__max FROM ap
+             WHERE pos < floor(n * 0.7) GROUP BY ticker)
+"""
+
+
+@register("m3_fit_train_apply", with_views(_TRAIN_SQL + """
+    SELECT ap.ticker, ap.date, round((ap.close - s.close__min) / """ + _rng_sql("close") + """, 6) AS close
+    FROM ap JOIN st s ON ap.ticker = s.ticker""", "v_aligned"))
+def q_m3(spark, sf):
+    a = WN.split_rows(aligned(spark, sf).select("ticker", "date", "close"))
+    st = SC.fit_minmax(a, ["close"], where=F.col("split") == "train")
+    return SC.apply_minmax(a, st, ["close"]).select("ticker", "date", R6("close"))
+
+
+_ROUNDTRIP_SQL = with_views("SELECT ticker, date, close, true AS roundtrip_ok FROM v_aligned", "v_aligned")
+
+
+def _roundtrip(back, orig):
+    return (F.abs(back - orig) <= F.lit(1e-9) * F.abs(orig)).alias("roundtrip_ok")
+
+
+@register("m4_inverse_minmax", _ROUNDTRIP_SQL)
+def q_m4(spark, sf):
+    a = aligned(spark, sf).select("ticker", "date", "close")
+    st = SC.fit_minmax(a, ["close"])
+    s = SC.apply_minmax(a, st, ["close"], suffix="_s")
+    back = SC.inverse_minmax(s, st, "close_s", stat_col="close", out="back")
+    return back.select("ticker", "date", "close", _roundtrip(F.col("back"), F.col("close")))
+
+
+@register("m5_inverse_multi", _ROUNDTRIP_SQL)
+def q_m5(spark, sf):
+    a = aligned(spark, sf)
+    st = SC.fit_minmax(a, ALL_FEATURES)
+    s = SC.apply_minmax(a, st, ALL_FEATURES, suffix="_s").select("ticker", "date", "close", "close_s")
+    back = SC.inverse_minmax(s, st, "close_s", stat_col="close", out="back")
+    return back.select("ticker", "date", "close", _roundtrip(F.col("back"), F.col("close")))
+
+
+@register("m6_clip01", with_views(_TRAIN_SQL + """
+    SELECT ap.ticker, ap.date, round(greatest(0.0, least(1.0, (ap.close - s.close__min) / """ + _rng_sql("close") + """)), 6) AS close
+    FROM ap JOIN st s ON ap.ticker = s.ticker""", "v_aligned"))
+def q_m6(spark, sf):
+    a = WN.split_rows(aligned(spark, sf).select("ticker", "date", "close"))
+    st = SC.fit_minmax(a, ["close"], where=F.col("split") == "train")
+    s = SC.apply_minmax(a, st, ["close"])
+    return s.select("ticker", "date", F.round(SC.clip01(F.col("close")), 6).alias("close"))
+
+
+# --------------------------------------------------------------------------
+# W: window datasets
+# --------------------------------------------------------------------------
+
+def _xsum(col="x"):
+    return F.round(F.aggregate(F.flatten(col), F.lit(0.0), lambda a, v: a + v), 6)
+
+
+_SPOS = """
+    , sp AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
+                    count(*) OVER (PARTITION BY ticker) AS n FROM v_scaled)
+"""
+
+
+@register("w1_windows_univariate", with_views(_SPOS + """
+    SELECT ticker, pos, date AS end_date, CAST(20 AS INTEGER) AS n_steps, round(sum(adj_close) OVER w, 6) AS x_sum,
+           round(first_value(adj_close) OVER w, 6) AS x_first, round(lead(adj_close, 1) OVER o, 6) AS y
+    FROM sp
+    WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+           o AS (PARTITION BY ticker ORDER BY pos)
+    QUALIFY pos >= 19 AND pos <= n - 2""", "v_scaled"))
+def q_w1(spark, sf):
+    s = WN.windows(scaled(spark, sf), ["adj_close"], 20, 1, target="adj_close")
+    return s.select("ticker", "pos", "end_date", F.size("x").alias("n_steps"), _xsum().alias("x_sum"),
+                    F.round(F.col("x")[0][0], 6).alias("x_first"), F.round(F.col("y")[0], 6).alias("y"))
+
+
+_BSUM = " + ".join(BAR_FEATURES)
+
+
+@register("w2_windows_multivariate", with_views(_SPOS + f"""
+    SELECT ticker, pos, date AS end_date, CAST(20 AS INTEGER) AS n_steps, CAST(6 AS INTEGER) AS width,
+           round(sum({_BSUM}) OVER w, 6) AS x_sum,
+           round(lead(close, 1) OVER o, 6) AS y1, round(lead(close, 2) OVER o, 6) AS y2, round(lead(close, 3) OVER o, 6) AS y3
+    FROM sp
+    WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+           o AS (PARTITION BY ticker ORDER BY pos)
+    QUALIFY pos >= 19 AND pos <= n - 4""", "v_scaled"))
+def q_w2(spark, sf):
+    s = WN.windows(scaled(spark, sf), BAR_FEATURES, 20, 3, target="close")
+    return s.select("ticker", "pos", "end_date", F.size("x").alias("n_steps"), F.size(F.col("x")[0]).alias("width"),
+                    _xsum().alias("x_sum"), *[F.round(F.col("y")[i], 6).alias(f"y{i + 1}") for i in range(3)])
+
+
+@register("w3_windows_multi_input", with_views(_SPOS + f"""
+    SELECT ticker, pos, round(sum({_BSUM}) OVER w, 6) AS bars_sum, round(sum(idx_close) OVER w, 6) AS index_sum,
+           round(sum(net_impact + weighted_horizon + news_count + divergence) OVER w, 6) AS news_sum
+    FROM sp
+    WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)
+    QUALIFY pos >= 39 AND pos <= n - 4""", "v_scaled"))
+def q_w3(spark, sf):
+    groups = {"bars": BAR_FEATURES, "index": ["idx_close"], "news": NEWS_FEATURES}
+    s = WN.windows_multi(scaled(spark, sf), groups, 40, 3)
+    return s.select("ticker", "pos", _xsum("bars").alias("bars_sum"), _xsum("index").alias("index_sum"),
+                    _xsum("news").alias("news_sum"))
+
+
+@register("w4_concat_features", with_views(_SPOS + """
+    SELECT ticker, pos, CAST(40 AS INTEGER) AS n_steps, CAST(11 AS INTEGER) AS width,
+           round(sum(idx_close) OVER w, 6) AS col6_sum, round(sum(divergence) OVER w, 6) AS col10_sum
+    FROM sp
+    WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)
+    QUALIFY pos >= 39 AND pos <= n - 4""", "v_scaled"))
+def q_w4(spark, sf):
+    groups = {"bars": BAR_FEATURES, "index": ["idx_close"], "news": NEWS_FEATURES}
+    s = WN.concat_features(WN.windows_multi(scaled(spark, sf), groups, 40, 3), ["bars", "index", "news"])
+    col = lambda i: F.round(F.aggregate(F.transform("x", lambda st: st[i]), F.lit(0.0), lambda a, v: a + v), 6)
+    return s.select("ticker", "pos", F.size("x").alias("n_steps"), F.size(F.col("x")[0]).alias("width"),
+                    col(6).alias("col6_sum"), col(10).alias("col10_sum"))
+
+
+@register("w5_split_rows", with_views("""
+    SELECT ticker, split, CAST(count(*) AS BIGINT) AS n, min(date) AS first_date, max(date) AS last_date FROM (
+      SELECT ticker, date, CASE WHEN pos < floor(n * 0.7) THEN 'train' WHEN pos < floor(n * 0.85) THEN 'val' ELSE 'test' END AS split
+      FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
+                   count(*) OVER (PARTITION BY ticker) AS n FROM v_bars) x) y
+    GROUP BY ticker, split""", "v_bars"))
+def q_w5(spark, sf):
+    s = WN.split_rows(views.bars(spark, sf).select("ticker", "date"))
+    return s.groupBy("ticker", "split").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"),
+                                            F.max("date").alias("last_date"))
+
+
+_SAMPLES_SQL = """
+    , smp AS (SELECT ticker, pos FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
+                                             count(*) OVER (PARTITION BY ticker) AS n FROM v_bars) x
+              WHERE pos >= 39 AND pos <= n - 4)
+    , sn AS (SELECT ticker, pos, row_number() OVER (PARTITION BY ticker ORDER BY pos) - 1 AS spos,
+                    count(*) OVER (PARTITION BY ticker) AS n FROM smp)
+"""
+
+
+@register("w6_split_samples", with_views(_SAMPLES_SQL + """
+    SELECT ticker, split, CAST(count(*) AS BIGINT) AS n FROM (
+      SELECT ticker, CASE WHEN spos < floor(n * 0.7) - 5 THEN 'train' WHEN spos < floor(n * 0.7) THEN NULL
+                          WHEN spos < floor(n * 0.85) THEN 'val' ELSE 'test' END AS split FROM sn) y
+    GROUP BY ticker, split""", "v_bars"))
+def q_w6(spark, sf):
+    s = WN.windows(views.bars(spark, sf), ["close"], 40, 3)
+    return WN.split_samples(s, gap=5).groupBy("ticker", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("w7_tail_split", with_views(_SAMPLES_SQL + """
+    SELECT ticker, split, CAST(count(*) AS BIGINT) AS n FROM (
+      SELECT ticker, CASE WHEN spos < floor(n * 0.7) THEN 'train' ELSE 'val' END AS split FROM sn) y
+    GROUP BY ticker, split""", "v_bars"))
+def q_w7(spark, sf):
+    s = WN.windows(views.bars(spark, sf), ["close"], 40, 3)
+    return WN.tail_split(s, 0.3).groupBy("ticker", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("w8_flatten_window", with_views(_SPOS + f"""
+    SELECT ticker, pos, CAST(120 AS INTEGER) AS length, round(sum({_BSUM}) OVER w, 6) AS total
+    FROM sp
+    WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+    QUALIFY pos >= 19 AND pos <= n - 4""", "v_scaled"))
+def q_w8(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    s = WN.flatten_window(WN.windows(scaled(spark, sf), BAR_FEATURES, 20, 3), "x", "features")
+    arr = vector_to_array("features")
+    return s.select("ticker", "pos", F.size(arr).alias("length"),
+                    F.round(F.aggregate(arr, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))

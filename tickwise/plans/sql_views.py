@@ -78,3 +78,27 @@ def with_views(sql: str, *names: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order)
     return f"WITH {ctes}\n{sql}"
+
+# daily features of v_scored (F1-F4) and the same moved into the bar calendar
+add_view("v_daily", ("v_scored",), """
+    SELECT day,
+           sum(x * pow(0.5, rn - 1)) AS net_impact,
+           CASE WHEN coalesce(sum(CASE WHEN horizon IS NOT NULL THEN intensity END), 0) = 0 THEN 0.0
+                ELSE sum(horizon * intensity) / sum(CASE WHEN horizon IS NOT NULL THEN intensity END) END AS weighted_horizon,
+           CAST(count(*) AS DOUBLE) AS news_count,
+           CASE WHEN count(*) = 1 THEN 0.0 ELSE stddev_samp(sentiment) END AS divergence
+    FROM (SELECT *, sentiment * intensity * certainty AS x,
+                 row_number() OVER (PARTITION BY day ORDER BY abs(sentiment * intensity * certainty) DESC NULLS LAST, id) AS rn
+          FROM v_scored) s
+    GROUP BY day""")
+add_view("v_feats", ("v_daily",), """
+    SELECT CAST(day - INTERVAL 324 MONTH AS DATE) AS date, net_impact, weighted_horizon, news_count, divergence
+    FROM v_daily""")
+# bars + index (ffill) + news features (zero fill): the aligned table of the forecast workflow
+add_view("v_aligned", ("v_bars", "v_index", "v_feats"), """
+    SELECT b.ticker, b.date, b.adj_close, b.close, b.high, b.low, b.open, CAST(b.volume AS DOUBLE) AS volume,
+           last_value(i.close IGNORE NULLS) OVER (PARTITION BY b.ticker ORDER BY b.date
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS idx_close,
+           coalesce(f.net_impact, 0.0) AS net_impact, coalesce(f.weighted_horizon, 0.0) AS weighted_horizon,
+           coalesce(f.news_count, 0.0) AS news_count, coalesce(f.divergence, 0.0) AS divergence
+    FROM v_bars b LEFT JOIN v_index i ON b.date = i.date LEFT JOIN v_feats f ON b.date = f.date""")

@@ -152,3 +152,12 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("id", "event_id", cut.alias("_r"))
         .select("id", fenced.alias("response"))
     )
+
+
+def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V_feats: daily features of V_scored, dates moved into the bar calendar."""
+    from ..operators.features import daily_features
+
+    f = daily_features(scored(spark, sf_dir))
+    return f.select(F.add_months("day", FEATURE_SHIFT_MONTHS).alias("date"),
+                    "net_impact", "weighted_horizon", "news_count", "divergence")
