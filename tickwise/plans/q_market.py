@@ -604,3 +604,169 @@ def q_w8(spark, sf):
     arr = vector_to_array("features")
     return s.select("ticker", "pos", F.size(arr).alias("length"),
                     F.round(F.aggregate(arr, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+# --------------------------------------------------------------------------
+# P: forecasts and evaluation
+# --------------------------------------------------------------------------
+
+def _close_samples(spark, sf, n=20, h=3):
+    """Windows of the raw close: x = n closes, y = next h closes."""
+    b = views.bars(spark, sf).select("ticker", "date", "close")
+    return WN.windows(b, ["close"], n, h, target="close").withColumn("xc", F.transform("x", lambda s: s[0]))
+
+
+_CLOSE_WIN_SQL = """
+    , cw AS (SELECT ticker, pos, date AS end_date, n, close AS last_c, first_value(close) OVER w AS first_c,
+                    sum(close) OVER w / 20 AS mean_c,
+                    lead(close, 1) OVER o AS y1, lead(close, 2) OVER o AS y2, lead(close, 3) OVER o AS y3
+             FROM (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
+                          count(*) OVER (PARTITION BY ticker) AS n FROM v_bars) b
+             WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+                    o AS (PARTITION BY ticker ORDER BY pos))
+    , smp AS (SELECT * FROM cw WHERE pos >= 19 AND pos <= n - 4)
+    , hr AS (SELECT ticker, pos, end_date, d.day,
+                    last_c + (last_c - first_c) / 19 * d.day AS predicted,
+                    CASE d.day WHEN 1 THEN y1 WHEN 2 THEN y2 ELSE y3 END AS actual
+             FROM smp, (VALUES (1), (2), (3)) d(day))
+"""
+
+
+def _drift_rows(spark, sf):
+    s = FC.forecast_naive(_close_samples(spark, sf), 3, kinds=("drift",))
+    return FC.horizon_rows(s, "pred_drift", keep=["ticker", "pos", "end_date"])
+
+
+@register("p3_forecast_naive", with_views(_CLOSE_WIN_SQL + """
+    SELECT ticker, pos, day, round(predicted, 6) AS predicted, actual FROM hr""", "v_bars"))
+def q_p3(spark, sf):
+    r = _drift_rows(spark, sf)
+    return r.select("ticker", "pos", "day", R6("predicted"), "actual")
+
+
+@register("p5_mse", with_views(_CLOSE_WIN_SQL + """
+    SELECT ticker, round(avg(pow(predicted - actual, 2)), 4) AS mse FROM hr GROUP BY ticker""", "v_bars"))
+def q_p5(spark, sf):
+    m = FC.mse(_drift_rows(spark, sf), by=["ticker"])
+    return m.select("ticker", F.round("mse", 4).alias("mse"))
+
+
+@register("p6_ape_by_day", with_views(_CLOSE_WIN_SQL + """
+    SELECT ticker, day, round(avg(abs(predicted - actual) / actual), 6) AS mape FROM hr GROUP BY ticker, day""", "v_bars"))
+def q_p6(spark, sf):
+    m = FC.ape_by_day(_drift_rows(spark, sf), by=["ticker"])
+    return m.select("ticker", "day", R6("mape"))
+
+
+_LAST_SQL = """
+    , lw AS (SELECT ticker, max(date) AS last_date, arg_max(close, date) AS last_c,
+                    arg_min(close, date) AS first_c FROM (
+               SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM v_bars) x
+             WHERE r <= 20 GROUP BY ticker)
+    , fd AS (SELECT ticker, last_date, last_c, first_c, fdate,
+                    row_number() OVER (PARTITION BY ticker ORDER BY fdate) - 1 AS day FROM (
+               SELECT ticker, last_date, last_c, first_c, CAST(last_date + CAST(i AS INTEGER) AS DATE) AS fdate
+               FROM lw, range(0, 12) t(i)) c
+             WHERE isodow(fdate) <= 5)
+    , fc AS (SELECT ticker, CAST(day AS INTEGER) AS day, fdate AS date,
+                    last_c + (last_c - first_c) / 19 * day AS predicted_price FROM fd WHERE day BETWEEN 1 AND 3)
+"""
+
+
+def _final_forecast(spark, sf):
+    b = views.bars(spark, sf).select("ticker", "date", "close")
+    last = AL.last_n(b, 20).groupBy("ticker").agg(
+        F.max("date").alias("last_date"),
+        F.sort_array(F.collect_list(F.struct("date", "close"))).alias("_w"))
+    last = last.withColumn("xc", F.transform("_w", lambda s: s["close"]))
+    last = last.withColumn("pred", FC.naive_predictions(F.col("xc"), 3, "drift"))
+    return FC.assemble_forecast(last, "last_date", "pred", 3)
+
+
+@register("p8_assemble_forecast", with_views(_LAST_SQL + """
+    SELECT ticker, day, date, round(predicted_price, 6) AS predicted_price FROM fc""", "v_bars"))
+def q_p8(spark, sf):
+    f = _final_forecast(spark, sf)
+    return f.select("ticker", "day", "date", R6("predicted_price"))
+
+
+@register("p7_compare", with_views(_LAST_SQL + """
+    , act AS (SELECT ticker, date, close FROM (
+                SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM v_bars) x
+              WHERE r <= 10)
+    SELECT coalesce(a.ticker, f.ticker) AS ticker, coalesce(a.date, f.date) AS date, round(a.close, 6) AS actual,
+           round(f.predicted_price, 6) AS predicted
+    FROM act a FULL OUTER JOIN fc f ON a.ticker = f.ticker AND a.date = f.date""", "v_bars"))
+def q_p7(spark, sf):
+    f = _final_forecast(spark, sf).select("ticker", "date", F.col("predicted_price").alias("predicted"))
+    act = AL.last_n(views.bars(spark, sf).select("ticker", "date", "close"), 10)
+    c = FC.compare(act, f)
+    return c.select("ticker", "date", R6("actual"), R6("predicted"))
+
+
+@register("p10_backtest", with_views(_CLOSE_WIN_SQL + """
+    , rk AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY pos DESC) - 1 AS r FROM smp)
+    , bt AS (SELECT ticker, r + 3 AS past, d.day, last_c AS predicted,
+                    CASE d.day WHEN 1 THEN y1 WHEN 2 THEN y2 ELSE y3 END AS actual
+             FROM rk, (VALUES (1), (2), (3)) d(day) WHERE r + 3 IN (3, 6, 9, 12, 15, 18, 21, 24, 27, 30, 45, 60))
+    SELECT ticker, CAST(past AS INTEGER) AS past, round(avg(abs(predicted - actual) / actual), 6) AS mape
+    FROM bt GROUP BY ticker, past""", "v_bars"))
+def q_p10(spark, sf):
+    s = FC.forecast_naive(_close_samples(spark, sf), 3, kinds=("last",))
+    bt = FC.backtest(s, [3, 6, 9, 12, 15, 18, 21, 24, 27, 30, 45, 60], 3)
+    rows = FC.horizon_rows(bt, "pred_last", keep=["ticker", "past"])
+    return FC.mape(rows, by=["ticker", "past"]).select("ticker", F.col("past").cast("int").alias("past"), R6("mape"))
+
+
+def _direct_dataset(spark, sf, n=20, h=3):
+    groups = {"bars": BAR_FEATURES, "index": ["idx_close"], "news": NEWS_FEATURES}
+    a = aligned(spark, sf)
+    a = WN.split_rows(a)
+    cols = ALL_FEATURES
+    st = SC.fit_minmax(a, cols, where=F.col("split") == "train")
+    s = SC.apply_minmax(a.drop("pos", "split"), st, cols)
+    w = WN.concat_features(WN.windows_multi(s, groups, n, h), ["bars", "index", "news"])
+    w = WN.split_samples(w)
+    return WN.flatten_window(w, "x", "features"), st
+
+
+@register("p1_fit_direct")
+def q_p1(spark, sf):
+    """Direct 3-day forecast (one linear model per day), test-split MSE per ticker and day."""
+    d, st = _direct_dataset(spark, sf)
+    models = FC.fit_direct(d.filter(F.col("split") == "train"), 3)
+    p = FC.predict_direct(models, d.filter(F.col("split") == "test"))
+    p = p.withColumn("pred", F.transform("pred", SC.clip01))
+    rows = FC.horizon_rows(p, "pred", keep=["ticker"])
+    return FC.mse(rows, by=["ticker", "day"])
+
+
+@register("p2_forecast_recursive")
+def q_p2(spark, sf):
+    """Univariate recursive forecast: one-step linear model, 3 steps rolled forward."""
+    b = views.bars(spark, sf).select("ticker", "date", "adj_close")
+    w = WN.split_samples(WN.windows(b, ["adj_close"], 20, 3, target="adj_close"))
+    w = w.withColumn("xs", F.transform("x", lambda s: s[0]))
+    w = WN.flatten_window(w, "x", "features")
+    coef, icpt = FC.fit_one_step(w.filter(F.col("split") == "train"))
+    p = FC.forecast_recursive(w.filter(F.col("split") == "test"), coef, icpt, 3, x="xs")
+    rows = FC.horizon_rows(p, "pred", keep=["ticker"])
+    return FC.mape(rows, by=["ticker"])
+
+
+@register("p4_fit_regularized")
+def q_p4(spark, sf):
+    """L2-penalised (1e-4) direct model fitted on train, scored on validation and test."""
+    d, st = _direct_dataset(spark, sf)
+    models = FC.fit_direct(d.filter(F.col("split") == "train"), 3, reg=1e-4)
+    p = FC.predict_direct(models, d.filter(F.col("split").isin("val", "test")))
+    rows = FC.horizon_rows(p, "pred", keep=["ticker", "split"])
+    return FC.mse(rows, by=["split"])
+
+
+@register("p9_training_curve")
+def q_p9(spark, sf):
+    """Objective per iteration of the three per-day models."""
+    d, st = _direct_dataset(spark, sf)
+    models = FC.fit_direct(d.filter(F.col("split") == "train"), 3, reg=1e-4, max_iter=20, solver="l-bfgs")
+    return FC.training_curve(models, spark)
