@@ -1 +1,239 @@
 """Queries over scorer responses and scored news: N*, F*."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import features as FT
+from ..operators import scoring as NS
+from ..sources import views
+from .registry import register
+from .sql_text import py_strip, strip_fence
+from .sql_views import add_view, with_views
+
+
+def R6(name):
+    return F.round(F.col(name), 6).alias(name)
+
+
+# --------------------------------------------------------------------------
+# F: daily features
+# --------------------------------------------------------------------------
+
+def _daily(spark, sf, **kw):
+    return FT.daily_features(views.scored(spark, sf), **kw)
+
+
+@register("f1_news_count", with_views("SELECT day, news_count FROM v_daily", "v_daily"))
+def q_f1(spark, sf):
+    return _daily(spark, sf).select("day", "news_count")
+
+
+@register("f2_net_impact", with_views("SELECT day, round(net_impact, 6) AS net_impact FROM v_daily", "v_daily"))
+def q_f2(spark, sf):
+    return _daily(spark, sf).select("day", R6("net_impact"))
+
+
+@register("f3_weighted_horizon", with_views(
+    "SELECT day, round(weighted_horizon, 6) AS weighted_horizon FROM v_daily", "v_daily"))
+def q_f3(spark, sf):
+    return _daily(spark, sf).select("day", R6("weighted_horizon"))
+
+
+@register("f4_divergence", with_views("SELECT day, round(divergence, 6) AS divergence FROM v_daily", "v_daily"))
+def q_f4(spark, sf):
+    return _daily(spark, sf).select("day", R6("divergence"))
+
+
+# scored rows with holes: every 50th sentiment missing, every 7th day-row has zero intensity
+add_view("v_scored_holes", ("v_scored",), """
+    SELECT id, day, CASE WHEN id % 50 = 0 THEN NULL ELSE sentiment END AS sentiment,
+           CASE WHEN id % 7 = 0 THEN 0.0 ELSE intensity END AS intensity, certainty, horizon
+    FROM v_scored""")
+
+
+def _holes(spark, sf):
+    s = views.scored(spark, sf)
+    return s.withColumn("sentiment", F.when(F.col("id") % 50 == 0, F.lit(None).cast("double")).otherwise(F.col("sentiment"))) \
+        .withColumn("intensity", F.when(F.col("id") % 7 == 0, F.lit(0.0)).otherwise(F.col("intensity")))
+
+
+@register("f5_null_policy", with_views("""
+    SELECT day,
+           round(CASE WHEN count(*) FILTER (WHERE x IS NULL) > 0 THEN NULL ELSE sum(x * pow(0.5, rn - 1)) END, 6) AS net_impact,
+           round(sum(x * pow(0.5, rn - 1)), 6) AS net_impact_skip,
+           round(CASE WHEN count(*) = 1 THEN 0.0 ELSE stddev_samp(sentiment) END, 6) AS divergence
+    FROM (SELECT *, sentiment * intensity * certainty AS x,
+                 row_number() OVER (PARTITION BY day ORDER BY abs(sentiment * intensity * certainty) DESC NULLS LAST, id) AS rn
+          FROM v_scored_holes) s
+    GROUP BY day""", "v_scored_holes"))
+def q_f5(spark, sf):
+    h = _holes(spark, sf)
+    prop = FT.daily_features(h, null_policy="propagate").select("day", "net_impact", "divergence")
+    skip = FT.daily_features(h).select("day", F.col("net_impact").alias("net_impact_skip"))
+    return prop.join(skip, "day").select("day", R6("net_impact"), R6("net_impact_skip"), R6("divergence"))
+
+
+@register("f6_feature_anomalies", with_views("""
+    SELECT date, round(net_impact, 6) AS net_impact, round(weighted_horizon, 6) AS weighted_horizon,
+           news_count, round(divergence, 6) AS divergence,
+           NOT (weighted_horizon BETWEEN 0.0 AND 0.8) AS horizon_out_of_range,
+           divergence > sqrt(2.0) AS divergence_too_high, abs(net_impact) >= 2.0 AS net_impact_too_large
+    FROM v_feats""", "v_feats"))
+def q_f6(spark, sf):
+    a = FT.feature_anomalies(views.feats(spark, sf))
+    return a.select("date", R6("net_impact"), R6("weighted_horizon"), "news_count", R6("divergence"),
+                    "horizon_out_of_range", "divergence_too_high", "net_impact_too_large")
+
+
+@register("f_daily_features", with_views("""
+    SELECT day, round(net_impact, 6) AS net_impact, round(weighted_horizon, 6) AS weighted_horizon, news_count,
+           round(divergence, 6) AS divergence FROM v_daily""", "v_daily"))
+def q_f_all(spark, sf):
+    d = _daily(spark, sf)
+    return d.select("day", R6("net_impact"), R6("weighted_horizon"), "news_count", R6("divergence"))
+
+
+# --------------------------------------------------------------------------
+# N: scoring
+# --------------------------------------------------------------------------
+
+# news rows with missing and blank text (every 5th null, every 5th + 1 blank)
+add_view("v_news_gaps", ("v_news",), """
+    SELECT id, stock_id, date, title,
+           CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN ' ' || chr(10) || chr(12288) ELSE text END AS text, source
+    FROM v_news""")
+
+
+def _news_gaps(spark, sf):
+    n = views.news(spark, sf)
+    return n.withColumn("text", F.when(F.col("id") % 5 == 0, F.lit(None).cast("string"))
+                        .when(F.col("id") % 5 == 1, F.lit(" \n　")).otherwise(F.col("text")))
+
+
+_HAS_TEXT = f"{py_strip('coalesce(text, chr(0) || chr(0))'.replace('chr(0) || chr(0)', chr(39) * 2))} <> ''"
+
+
+@register("n1_scoring_mode", with_views(
+    f"SELECT id, CASE WHEN {_HAS_TEXT} THEN 'title+text' ELSE 'title' END AS mode FROM v_news_gaps", "v_news_gaps"))
+def q_n1(spark, sf):
+    return NS.scoring_mode(_news_gaps(spark, sf)).select("id", "mode")
+
+
+_PROMPT_SQL = (
+    "'You are an equity analyst. Assess the impact of the news below on stock ' || stock_id || '.' || chr(10) || "
+    f"CASE WHEN {_HAS_TEXT} THEN 'Title: ' || coalesce(title, '') || chr(10) || 'Text: ' || text "
+    "ELSE 'Title: ' || coalesce(title, '') || chr(10) || '(no text: infer from the title only)' END || chr(10) || "
+    "'Answer with JSON only: sentiment_score in [-1, 1], impact_intensity in [0, 1], certainty in [0, 1], "
+    "time_horizon one of 0.8 (short), 0.4 (medium), 0.1 (long), summary, evidence (' || "
+    f"CASE WHEN {_HAS_TEXT} THEN 'quote one concrete fact from the text' ELSE 'inferred from the title' END || '), reason.'"
+)
+
+
+@register("n2_build_prompt", with_views(
+    f"SELECT id, length({_PROMPT_SQL}) AS prompt_len, md5({_PROMPT_SQL}) AS prompt_md5 FROM v_news_gaps", "v_news_gaps"))
+def q_n2(spark, sf):
+    p = NS.build_prompt(_news_gaps(spark, sf), F.col("stock_id"))
+    return p.select("id", F.length("prompt").alias("prompt_len"), F.md5("prompt").alias("prompt_md5"))
+
+
+@register("n3_score")
+def q_n3(spark, sf):
+    """Every news row through the (lexicon) scorer plug-in, parsed and attached."""
+    n = views.news(spark, sf)
+    r = NS.score(n, NS.lexicon_scorer(), ["id", "title", "text"])
+    return NS.attach_scores(r.withColumn("scores", NS.parse_scores(F.col("response"))).drop("response", "text"))
+
+
+@register("n4_strip_fence", with_views(f"SELECT id, {strip_fence('response')} AS cleaned FROM v_response", "v_response"))
+def q_n4(spark, sf):
+    return views.responses(spark, sf).select("id", NS.strip_fence(F.col("response")).alias("cleaned"))
+
+
+def _parsed_sql():
+    # only text that is a valid JSON object reaches the extractor (it raises on malformed input)
+    nums = ", ".join(f"TRY_CAST(json_extract_string(j, '$.{f}') AS DOUBLE) AS {f}" for f in NS.SCORE_FIELDS)
+    txt = ", ".join(f"json_extract_string(j, '$.{f}') AS {f}" for f in NS.TEXT_FIELDS)
+    return (f"SELECT id, {nums}, {txt} FROM ("
+            f"SELECT id, CASE WHEN starts_with(c, '{{') AND json_valid(c) THEN c END AS j FROM ("
+            f"SELECT id, {strip_fence('response')} AS c FROM v_response) r) q")
+
+
+add_view("v_parsed", ("v_response",), _parsed_sql())
+
+
+def _parsed(spark, sf):
+    r = views.responses(spark, sf)
+    return r.select("id", NS.parse_scores(F.col("response")).alias("s")).select("id", "s.*")
+
+
+@register("n5_parse_scores", with_views("SELECT * FROM v_parsed", "v_parsed"))
+def q_n5(spark, sf):
+    return _parsed(spark, sf)
+
+
+@register("n6_attach_scores", with_views("""
+    SELECT e.event_id AS id, e.event_type, p.sentiment_score, p.impact_intensity, p.certainty, p.time_horizon,
+           coalesce(p.summary, 'row ' || e.event_type) AS summary, p.evidence, p.reason
+    FROM events e JOIN v_parsed p ON e.event_id = p.id""", "v_parsed"))
+def q_n6(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("event_id").alias("id"), "event_type", F.concat(F.lit("row "), F.col("event_type")).alias("summary"))
+    r = views.responses(spark, sf).select(F.col("id"), NS.parse_scores(F.col("response")).alias("scores"))
+    return NS.attach_scores(e.join(r, "id"))
+
+
+@register("n7_score_incremental", with_views("SELECT * FROM v_parsed", "v_parsed"))
+def q_n7(spark, sf):
+    """Two scoring runs into one sink: the second scores only ids the sink lacks."""
+    from ..sources.files import scratch_path
+
+    path = scratch_path(spark, "n7")
+    todo = views.responses(spark, sf)
+    first = todo.filter(F.col("id") % 2 == 0)
+    first.select("id", NS.parse_scores(F.col("response")).alias("s")).select("id", "s.*") \
+        .write.mode("append").parquet(path)
+    done = spark.read.parquet(path)
+    rest = NS.score_incremental(todo, done, "id")
+    rest.select("id", NS.parse_scores(F.col("response")).alias("s")).select("id", "s.*") \
+        .write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("n8_recent", with_views(
+    "SELECT id, day FROM v_scored WHERE day >= CAST(DATE '2024-01-30' - INTERVAL 7 DAY AS DATE)", "v_scored"))
+def q_n8(spark, sf):
+    return NS.recent(views.scored(spark, sf).select("id", "day"), 7, "2024-01-30", "day")
+
+
+_RULES_SQL = {
+    "sentiment_score": "sentiment_score BETWEEN -1.0 AND 1.0",
+    "impact_intensity": "impact_intensity BETWEEN 0.0 AND 1.0",
+    "certainty": "certainty BETWEEN 0.0 AND 1.0",
+    "time_horizon": "time_horizon IN (0.8, 0.4, 0.1)",
+}
+
+
+@register("n9_validate_scores", with_views(
+    "SELECT id, " + ", ".join(f"({r}) AS {f}_ok" for f, r in _RULES_SQL.items())
+    + ", CASE WHEN " + _RULES_SQL["sentiment_score"] + " THEN sentiment_score END AS sentiment_null"
+    + ", greatest(-1.0, least(1.0, sentiment_score)) AS sentiment_clamp FROM v_parsed", "v_parsed"))
+def q_n9(spark, sf):
+    p = _parsed(spark, sf)
+    flag = NS.validate_scores(p, "flag").select("id", *[f"{f}_ok" for f in NS.SCORE_FIELDS])
+    nul = NS.validate_scores(p, "null").select("id", F.col("sentiment_score").alias("sentiment_null"))
+    clamp = NS.validate_scores(p, "clamp").select("id", F.col("sentiment_score").alias("sentiment_clamp"))
+    return flag.join(nul, "id").join(clamp, "id")
+
+
+@register("n10_score_quality", with_views(
+    "SELECT day, CAST(n0 AS BIGINT) AS n, rule, violations, missing FROM ("
+    + " UNION ALL ".join(
+        f"SELECT CAST(e.ts AS DATE) AS day, '{f}' AS rule, CAST(count(*) FILTER (WHERE NOT ({r})) AS BIGINT) AS violations, "
+        f"CAST(count(*) FILTER (WHERE {f} IS NULL) AS BIGINT) AS missing, count(*) AS n0 "
+        f"FROM events e JOIN v_parsed p ON e.event_id = p.id GROUP BY 1"
+        for f, r in _RULES_SQL.items())
+    + ") q", "v_parsed"))
+def q_n10(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), F.col("ts").cast("date").alias("day"))
+    return NS.score_quality(e.join(_parsed(spark, sf), "id"), "day")
