@@ -1 +1,379 @@
 """Queries over pages and news: links (L*), articles (A*), dedup (D*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import dates as DT
+from ..functions import urls as UR
+from ..functions.html import page_text
+from ..operators import articles as AR
+from ..operators import links as LK
+from ..sources import views
+from . import sql_text as ST
+from .registry import register
+from .sql_views import add_view, with_views
+
+# --------------------------------------------------------------------------
+# shared: pages as result pages of four sources (page_id % 4), page = page_id / 4
+# --------------------------------------------------------------------------
+SOURCE_TAGS = ["src_a", "src_b", "src_c", "src_d"]
+DATE_FILTERED = [False, True, True, False]
+
+
+def _anchor_sql():
+    pat = ST.q(LK.ANCHOR)
+    return f"""
+      SELECT page_id, url, unnest(range(len(h))) AS pos, unnest(h) AS h, unnest(t) AS t FROM (
+        SELECT page_id, url, regexp_extract_all(html, {pat}, 1) AS h, regexp_extract_all(html, {pat}, 2) AS t
+        FROM v_pages) a"""
+
+
+def _host_sql(u):
+    return f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+
+
+def _scheme_sql(u):
+    return f"regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)"
+
+
+def _path_sql(u):
+    return f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+add_view("v_anchors", ("v_pages",), f"""
+    SELECT page_id, url, CAST(pos AS INTEGER) AS pos, {ST.decode('h')} AS href,
+           {ST.text_nodes_joined('t', "''")} AS anchor_text
+    FROM ({_anchor_sql()}) x""")
+add_view("v_links", ("v_anchors",), f"""
+    SELECT page_id, url, pos, href, anchor_text,
+           regexp_replace(CASE WHEN starts_with(href, '/') THEN {_scheme_sql('url')} || '://' || {_host_sql('url')} || href
+                               ELSE href END, '[?#].*$', '') AS link
+    FROM v_anchors""")
+add_view("v_src_links", ("v_links",), """
+    SELECT link, CAST(page_id % 4 AS INTEGER) AS source_rank, CAST(page_id // 4 AS BIGINT) AS page, pos,
+           ['src_a', 'src_b', 'src_c', 'src_d'][page_id % 4 + 1] AS source,
+           [false, true, true, false][page_id % 4 + 1] AS date_filtered
+    FROM v_links""")
+add_view("v_src_dedup", ("v_src_links",), """
+    SELECT link, source_rank, page, pos, source, date_filtered FROM (
+      SELECT *, row_number() OVER (PARTITION BY source_rank, link ORDER BY page, pos) AS r FROM v_src_links) x
+    WHERE r = 1""")
+
+
+def _links(spark, sf):
+    return LK.links_from_pages(views.pages(spark, sf))
+
+
+def _source_links(spark, sf):
+    """Per source: links with (page, pos); the four sources unioned with tag and flag."""
+    l = _links(spark, sf).withColumn("page", (F.col("page_id") / 4).cast("bigint"))
+    parts = [(l.filter(F.col("page_id") % 4 == k).select("link", "page", "pos"), SOURCE_TAGS[k], DATE_FILTERED[k])
+             for k in range(4)]
+    return LK.union_sources(parts)
+
+
+def _source_dedup(spark, sf):
+    s = _source_links(spark, sf)
+    return LK.dedup_first(s, ["source_rank", "link"], ["page", "pos"])
+
+
+_SRC_COLS = ["link", "source_rank", "page", "pos", "source", "date_filtered"]
+
+# --------------------------------------------------------------------------
+# L: links
+# --------------------------------------------------------------------------
+
+
+@register("l1_extract_links", with_views("SELECT page_id, pos, href, anchor_text FROM v_anchors", "v_anchors"))
+def q_l1(spark, sf):
+    return LK.extract_links(views.pages(spark, sf)).select("page_id", "pos", "href", "anchor_text")
+
+
+@register("l2_resolve_url", with_views("""
+    SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN """ + _scheme_sql("url") + " || '://' || " + _host_sql("url")
+    + """ || href ELSE href END AS resolved FROM v_anchors""", "v_anchors"))
+def q_l2(spark, sf):
+    a = LK.extract_links(views.pages(spark, sf))
+    return a.select("page_id", "pos", UR.resolve_url(F.col("href"), F.col("url")).alias("resolved"))
+
+
+@register("l3_canonical_url", with_views("""
+    SELECT page_id, regexp_replace(url, '[?#].*$', '') AS canonical, regexp_replace(url, '\\?.*$', '') AS query_only
+    FROM v_pages""", "v_pages"))
+def q_l3(spark, sf):
+    p = views.pages(spark, sf)
+    return p.select("page_id", UR.canonical_url(F.col("url")).alias("canonical"),
+                    UR.canonical_url(F.col("url"), "query_only").alias("query_only"))
+
+
+_RULES = {
+    "rule_host_prefix": ("host_prefix", dict(host="blog.ththan.example.net", prefix="/t")),
+    "rule_contains": ("contains", dict(a="example.com", b="/th")),
+    "rule_numeric_id": ("numeric_id", dict(domain="example.org", search_host="search.example.org")),
+    "rule_aspx": ("aspx", dict(host="www.ththen.example.com")),
+}
+
+
+@register("l4_link_filter", with_views(f"""
+    SELECT page_id, pos, link,
+      ({_host_sql('link')} = 'blog.ththan.example.net' AND starts_with({_path_sql('link')}, '/t')) AS rule_host_prefix,
+      (contains(link, 'example.com') AND contains(link, '/th')) AS rule_contains,
+      (contains({_host_sql('link')}, 'example.org') AND {_host_sql('link')} <> 'search.example.org'
+         AND regexp_matches({_path_sql('link')}, '/[0-9]{{6,}}$')) AS rule_numeric_id,
+      ({_host_sql('link')} = 'www.ththen.example.com' AND contains({_path_sql('link')}, '/news/')
+         AND ends_with({_path_sql('link')}, '.aspx')) AS rule_aspx
+    FROM v_links""", "v_links"))
+def q_l4(spark, sf):
+    l = _links(spark, sf)
+    return l.select("page_id", "pos", "link", *[LK.link_rule(k, **p).alias(n) for n, (k, p) in _RULES.items()])
+
+
+# derived: order dates spelled into result-link URLs and anchor texts
+add_view("v_order_links", (), """
+    SELECT o_orderkey,
+           'https://www.example.tw/' || CASE WHEN o_orderkey % 2 = 0 THEN 'news' ELSE 'NEWS' END || '/cat'
+             || CAST(o_orderkey % 3 AS VARCHAR) || '/' || strftime(o_orderdate, '%Y%m%d')
+             || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || '.aspx' AS href,
+           'Item ' || CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' '
+             || strftime(o_orderdate, '%Y/%m/%d') || ' ' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':'
+             || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') END AS anchor_text
+    FROM orders""")
+
+
+def _order_links(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    k = F.col("o_orderkey")
+    href = F.concat(F.lit("https://www.example.tw/"), F.when(k % 2 == 0, F.lit("news")).otherwise(F.lit("NEWS")),
+                    F.lit("/cat"), (k % 3).cast("string"), F.lit("/"), F.date_format("o_orderdate", "yyyyMMdd"),
+                    F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(".aspx"))
+    text = F.concat(F.lit("Item "), F.col("o_custkey").cast("string"),
+                    F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(
+                        F.lit(" "), F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit(" "),
+                        F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"))))
+    return o.select("o_orderkey", href.alias("href"), text.alias("anchor_text"))
+
+
+_URL_DATE = "(?i)/news/\\w+/(20[0-9]{2})([0-9]{2})([0-9]{2})[0-9]+\\.aspx"
+
+
+@register("l5_url_date", with_views(f"""
+    SELECT o_orderkey, CASE WHEN regexp_matches(href, '{_URL_DATE}')
+      THEN regexp_extract(href, '{_URL_DATE}', 1) || '-' || regexp_extract(href, '{_URL_DATE}', 2) || '-'
+           || regexp_extract(href, '{_URL_DATE}', 3) END AS url_date,
+      CASE WHEN regexp_matches(href, '{_URL_DATE[4:]}')
+      THEN regexp_extract(href, '{_URL_DATE[4:]}', 1) || '-' || regexp_extract(href, '{_URL_DATE[4:]}', 2) || '-'
+           || regexp_extract(href, '{_URL_DATE[4:]}', 3) END AS url_date_cs
+    FROM v_order_links""", "v_order_links"))
+def q_l5(spark, sf):
+    o = _order_links(spark, sf)
+    return o.select("o_orderkey", UR.url_date(F.col("href")).alias("url_date"),
+                    UR.url_date(F.col("href"), case_insensitive=False).alias("url_date_cs"))
+
+
+@register("l6_has_date_suffix", with_views(f"""
+    SELECT o_orderkey, regexp_matches(anchor_text, '[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}{ST.PY_WS}+[0-9]{{2}}:[0-9]{{2}}\\z')
+      AS has_date_suffix FROM v_order_links""", "v_order_links"))
+def q_l6(spark, sf):
+    o = _order_links(spark, sf)
+    return o.select("o_orderkey", UR.has_date_suffix(F.col("anchor_text")).alias("has_date_suffix"))
+
+
+@register("l7_labelled_block_links")
+def q_l7(spark, sf):
+    """Blocks (list items here) whose text contains the label 'the' give their first link."""
+    return LK.labelled_block_links(views.pages(spark, sf), "the")
+
+
+@register("l8_dedup_first", with_views("SELECT link, source_rank, page, pos FROM v_src_dedup", "v_src_dedup"))
+def q_l8(spark, sf):
+    return _source_dedup(spark, sf).select("link", "source_rank", "page", "pos")
+
+
+@register("l9_union_sources", with_views(
+    "SELECT link, page, pos, source, date_filtered, source_rank FROM v_src_links", "v_src_links"))
+def q_l9(spark, sf):
+    return _source_links(spark, sf).select("link", "page", "pos", "source", "date_filtered", "source_rank")
+
+
+@register("l10_dedup_across_sources", with_views("""
+    SELECT link, source, date_filtered, source_rank, page, pos FROM (
+      SELECT *, row_number() OVER (PARTITION BY link ORDER BY source_rank, page, pos) AS r FROM v_src_dedup) x
+    WHERE r = 1""", "v_src_dedup"))
+def q_l10(spark, sf):
+    d = _source_dedup(spark, sf)
+    return LK.dedup_first(d, "link", ["source_rank", "page", "pos"]).select(
+        "link", "source", "date_filtered", "source_rank", "page", "pos")
+
+
+@register("l11_until_first_empty", with_views("""
+    , pg AS (SELECT DISTINCT CAST(page_id % 4 AS INTEGER) AS source_rank, CAST(page_id // 4 AS BIGINT) AS page FROM v_pages)
+    , np AS (SELECT pg.source_rank, pg.page, count(d.link) AS n_new FROM pg
+             LEFT JOIN v_src_dedup d ON d.source_rank = pg.source_rank AND d.page = pg.page GROUP BY 1, 2)
+    , ok AS (SELECT source_rank, page FROM (
+               SELECT *, sum(CASE WHEN n_new = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_rank ORDER BY page
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e,
+                 row_number() OVER (PARTITION BY source_rank ORDER BY page) AS rk FROM np) x
+             WHERE e = 0 AND rk <= 5)
+    SELECT d.link, d.source_rank, d.page, d.pos FROM v_src_dedup d
+    JOIN ok ON d.source_rank = ok.source_rank AND d.page = ok.page""".replace("\n    , pg", "\n    , pg", 1),
+    "v_src_dedup", "v_pages"))
+def q_l11(spark, sf):
+    d = _source_dedup(spark, sf)
+    pl = views.pages(spark, sf).select((F.col("page_id") % 4).cast("int").alias("source_rank"),
+                                       (F.col("page_id") / 4).cast("bigint").alias("page"))
+    return LK.until_first_empty(d, pl, "source_rank", "page", 5).select("link", "source_rank", "page", "pos")
+
+
+add_view("v_order_dates", (), """
+    SELECT o_orderkey, CASE o_orderkey % 6
+        WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M')
+        WHEN 1 THEN CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) || '-'
+                    || CAST(day(o_orderdate) AS VARCHAR)
+        WHEN 2 THEN strftime(o_orderdate, '%Y/%m/%d')
+        WHEN 3 THEN NULL
+        WHEN 4 THEN ''
+        ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date_text
+    FROM orders""")
+
+
+def _order_dates(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    k, d = F.col("o_orderkey") % 6, F.col("o_orderdate")
+    t = (F.when(k == 0, F.date_format(d, "yyyy-MM-dd HH:mm"))
+         .when(k == 1, F.concat_ws("-", F.year(d).cast("string"), F.month(d).cast("string"), F.dayofmonth(d).cast("string")))
+         .when(k == 2, F.date_format(d, "yyyy/MM/dd"))
+         .when(k == 3, F.lit(None).cast("string"))
+         .when(k == 4, F.lit(""))
+         .otherwise(F.date_format(d, "yyyy-MM-dd")))
+    return o.select("o_orderkey", t.alias("date_text"))
+
+
+@register("l12_in_range", with_views("""
+    SELECT o_orderkey, coalesce(CAST(try_strptime(substring(date_text, 1, 10), '%Y-%m-%d') AS DATE)
+                                BETWEEN DATE '1996-03-01' AND DATE '1997-06-30', false) AS in_range
+    FROM v_order_dates""", "v_order_dates"))
+def q_l12(spark, sf):
+    o = _order_dates(spark, sf)
+    return o.select("o_orderkey", DT.in_range(F.col("date_text"), "1996-03-01", "1997-06-30").alias("in_range"))
+
+
+@register("l13_link_counts", with_views("""
+    SELECT source, page, CAST(count(*) AS BIGINT) AS n FROM v_src_dedup GROUP BY ROLLUP (source, page)""",
+    "v_src_dedup"))
+def q_l13(spark, sf):
+    return LK.link_counts(_source_dedup(spark, sf), "source", "page")
+
+
+# --------------------------------------------------------------------------
+# A: articles
+# --------------------------------------------------------------------------
+
+def _title_sql(h):
+    parts = []
+    for tag in ("h1", "h2", "title"):
+        parts.append(f"WHEN {ST.has_element(h, tag)} THEN {ST.text_nodes_joined(ST.element_inner(h, tag), chr(39) * 2)}")
+    return "CASE " + " ".join(parts) + " ELSE '' END"
+
+
+@register("a1_page_title", with_views(f"SELECT page_id, {_title_sql('html')} AS title FROM v_pages", "v_pages"))
+def q_a1(spark, sf):
+    return views.pages(spark, sf).select("page_id", AR.page_title(F.col("html")).alias("title"))
+
+
+_ARTICLE_TEXT = ST.text_nodes_joined(ST.drop_elements(ST.element_inner("html", "article"), AR.DROPPED_IN_BODY), "chr(10)")
+
+
+@register("a2_page_body", with_views(f"""
+    SELECT page_id, CASE WHEN {ST.has_element('html', 'article')} THEN {_ARTICLE_TEXT} ELSE NULL END AS body
+    FROM v_pages WHERE {ST.has_element('html', 'article')}""", "v_pages"))
+def q_a2(spark, sf):
+    p = views.pages(spark, sf).filter(F.col("html").rlike(r"(?is)<article\b[^>]*>"))
+    return p.select("page_id", AR.page_body(F.col("html")).alias("body"))
+
+
+@register("a3_publish_date")
+def q_a3(spark, sf):
+    """Publish date of every stored page (the test pages carry no date, so nulls are expected)."""
+    p = views.pages(spark, sf)
+    return p.select("page_id", AR.publish_date(F.col("html"), F.col("url")).alias("publish_date"))
+
+
+# derived: order dates spelled as relative / Chinese / numeric date text
+add_view("v_order_reltext", (), """
+    SELECT o_orderkey, CASE o_orderkey % 8
+        WHEN 0 THEN CAST(o_orderkey % 50 AS VARCHAR) || ' 分鐘前'
+        WHEN 1 THEN CAST(o_orderkey % 30 AS VARCHAR) || '小時前'
+        WHEN 2 THEN '昨天 ' || strftime(o_orderdate, '%H:%M')
+        WHEN 3 THEN CAST(o_orderkey % 9 AS VARCHAR) || ' 天前'
+        WHEN 4 THEN CAST(year(o_orderdate) AS VARCHAR) || '年' || CAST(month(o_orderdate) AS VARCHAR) || '月'
+                    || CAST(day(o_orderdate) AS VARCHAR) || '日'
+        WHEN 5 THEN CAST(year(o_orderdate) AS VARCHAR) || '/' || CAST(month(o_orderdate) AS VARCHAR) || '/'
+                    || CAST(day(o_orderdate) AS VARCHAR)
+        WHEN 6 THEN CAST(month(o_orderdate) AS VARCHAR) || '月' || CAST(day(o_orderdate) AS VARCHAR) || '日'
+        ELSE 'n/a' END AS t
+    FROM orders""")
+
+
+def _order_reltext(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    y, m, dd = F.year(d).cast("string"), F.month(d).cast("string"), F.dayofmonth(d).cast("string")
+    t = (F.when(k % 8 == 0, F.concat((k % 50).cast("string"), F.lit(" 分鐘前")))
+         .when(k % 8 == 1, F.concat((k % 30).cast("string"), F.lit("小時前")))
+         .when(k % 8 == 2, F.concat(F.lit("昨天 "), F.date_format(d, "HH:mm")))
+         .when(k % 8 == 3, F.concat((k % 9).cast("string"), F.lit(" 天前")))
+         .when(k % 8 == 4, F.concat(y, F.lit("年"), m, F.lit("月"), dd, F.lit("日")))
+         .when(k % 8 == 5, F.concat_ws("/", y, m, dd))
+         .when(k % 8 == 6, F.concat(m, F.lit("月"), dd, F.lit("日")))
+         .otherwise(F.lit("n/a")))
+    return o.select("o_orderkey", t.alias("t"))
+
+
+_REF = "TIMESTAMP '2001-12-31 12:00:00'"
+
+
+def _rel_sql():
+    ws = f"[{ST.JAVA_WS}]*"
+    rel = f"([0-9]+){ws}(分鐘|小時)前"
+    days = f"([0-9]+){ws}天前"
+    cn = "([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日"
+    num = "([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})"
+    md = "([0-9]{1,2})[月/]([0-9]{1,2})[日]?"
+
+    def g(p, i):
+        return f"regexp_extract(t, '{p}', {i})"
+
+    def pad(x):
+        return f"lpad({x}, 2, '0')"
+
+    return f"""CASE
+      WHEN regexp_matches(t, '{rel}') THEN strftime({_REF} - CASE WHEN {g(rel, 2)} = '小時'
+             THEN to_hours(CAST({g(rel, 1)} AS BIGINT)) ELSE to_minutes(CAST({g(rel, 1)} AS BIGINT)) END, '%Y-%m-%d %H:%M')
+      WHEN regexp_matches(t, '昨[天日]') THEN strftime(CAST({_REF} AS DATE) - 1, '%Y-%m-%d')
+      WHEN regexp_matches(t, '{days}') THEN strftime(CAST({_REF} AS DATE) - CAST({g(days, 1)} AS INTEGER), '%Y-%m-%d')
+      WHEN regexp_matches(t, '{cn}') THEN {g(cn, 1)} || '-' || {pad(g(cn, 2))} || '-' || {pad(g(cn, 3))}
+      WHEN regexp_matches(t, '{num}') THEN {g(num, 1)} || '-' || {pad(g(num, 2))} || '-' || {pad(g(num, 3))}
+      WHEN regexp_matches(t, '{md}') THEN '2001-' || {pad(g(md, 1))} || '-' || {pad(g(md, 2))}
+    END"""
+
+
+@register("a4_parse_relative_date", with_views(
+    f"SELECT o_orderkey, {_rel_sql()} AS parsed FROM v_order_reltext", "v_order_reltext"))
+def q_a4(spark, sf):
+    o = _order_reltext(spark, sf)
+    ref = F.lit("2001-12-31 12:00:00").cast("timestamp_ntz")
+    return o.select("o_orderkey", DT.parse_relative_date(F.col("t"), ref).alias("parsed"))
+
+
+@register("a5_min_len", with_views("SELECT id, length(text) AS n_chars FROM v_news WHERE length(coalesce(text, '')) >= 50",
+                                   "v_news"))
+def q_a5(spark, sf):
+    return AR.min_len(views.news(spark, sf)).select("id", F.length("text").alias("n_chars"))
+
+
+@register("a6_extract_articles")
+def q_a6(spark, sf):
+    """Stored pages -> (title, text, publish_date) with primary/fallback extraction."""
+    a = AR.extract_articles(views.pages(spark, sf))
+    return a.select("page_id", "url", "title", F.length("text").alias("text_len"), "publish_date")
