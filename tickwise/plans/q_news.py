@@ -377,3 +377,127 @@ def q_a6(spark, sf):
     """Stored pages -> (title, text, publish_date) with primary/fallback extraction."""
     a = AR.extract_articles(views.pages(spark, sf))
     return a.select("page_id", "url", "title", F.length("text").alias("text_len"), "publish_date")
+
+
+# news text with noise blocks/lines of the kinds the cleaner removes (fixed samples, chosen by id)
+_NOISE_SAMPLES = [
+    ("廣告 廣告\n", "\n延伸閱讀\n相關文章 A\n相關文章 B"),
+    ("", "\n\n\n\n12\n/\n首頁\n新聞專題\n"),
+    ("登入會員看更多\n說明\n解鎖全文\n", "\n尾段"),
+    ("#台積電\n（2/23 09:29 更新）\n", "\r\n分享\r\n"),
+    ("Loading...\n\n\n\n", "\n剩 3 篇\n免費試用 7 日方案"),
+    ("", ""),
+]
+
+
+def _noisy_sql():
+    cases = " ".join(f"WHEN {k} THEN {ST.q(a)} || text || {ST.q(b)}" for k, (a, b) in enumerate(_NOISE_SAMPLES))
+    return f"SELECT id, source, title, CASE id % {len(_NOISE_SAMPLES)} {cases} END AS text FROM v_news"
+
+
+add_view("v_news_noisy", ("v_news",), _noisy_sql())
+
+
+def _news_noisy(spark, sf):
+    n = views.news(spark, sf)
+    m = F.col("id") % len(_NOISE_SAMPLES)
+    expr = None
+    for k, (a, b) in enumerate(_NOISE_SAMPLES):
+        v = F.concat(F.lit(a), F.col("text"), F.lit(b))
+        expr = F.when(m == k, v) if expr is None else expr.when(m == k, v)
+    return n.select("id", "source", "title", expr.alias("text"))
+
+
+def _blocks_sql(t):
+    for p in AR.NOISE_BLOCKS:
+        t = f"regexp_replace({t}, {ST.q(ST.re2('(?s)' + p))}, '', 'g')"
+    return t
+
+
+def _lines_sql(t):
+    pat = ST.q(ST.re2(AR.noise_line_pattern().replace("(?iU)", "(?i)")))
+    return (f"array_to_string(list_filter({ST.py_lines(t)}, lambda x: {ST.py_strip('x')} = '' "
+            f"OR NOT regexp_matches({ST.py_strip('x')}, {pat})), chr(10))")
+
+
+def _collapse_sql(t):
+    return ST.py_strip(f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@register("a7_strip_blocks", with_views(f"SELECT id, {_blocks_sql('text')} AS text FROM v_news_noisy", "v_news_noisy"))
+def q_a7(spark, sf):
+    return _news_noisy(spark, sf).select("id", AR.strip_blocks(F.col("text")).alias("text"))
+
+
+@register("a8_strip_lines", with_views(f"SELECT id, {_lines_sql('text')} AS text FROM v_news_noisy", "v_news_noisy"))
+def q_a8(spark, sf):
+    return _news_noisy(spark, sf).select("id", AR.strip_lines(F.col("text")).alias("text"))
+
+
+@register("a9_collapse", with_views(f"SELECT id, {_collapse_sql('text')} AS text FROM v_news_noisy", "v_news_noisy"))
+def q_a9(spark, sf):
+    return _news_noisy(spark, sf).select("id", AR.collapse(F.col("text")).alias("text"))
+
+
+@register("a_clean_text", with_views(f"""
+    SELECT id, CASE WHEN coalesce(text, '') = '' THEN text ELSE {_collapse_sql(_lines_sql(_blocks_sql('text')))} END AS text
+    FROM v_news_noisy""", "v_news_noisy"))
+def q_a_clean(spark, sf):
+    return _news_noisy(spark, sf).select("id", AR.clean_text(F.col("text")).alias("text"))
+
+
+_KW = "Und"
+
+
+@register("a10_relevant", with_views(f"""
+    SELECT id, title FROM v_news
+    WHERE contains(coalesce(title, ''), '{_KW}') OR contains(coalesce(text, ''), '{_KW}')""", "v_news"))
+def q_a10(spark, sf):
+    return AR.relevant(views.news(spark, sf), _KW).select("id", "title")
+
+
+@register("a11_relevance_stats", with_views(f"""
+    SELECT source, CAST(count(*) FILTER (WHERE contains(coalesce(title, ''), '{_KW}') OR contains(coalesce(text, ''), '{_KW}')) AS BIGINT) AS relevant,
+           CAST(count(*) FILTER (WHERE NOT (contains(coalesce(title, ''), '{_KW}') OR contains(coalesce(text, ''), '{_KW}'))) AS BIGINT) AS irrelevant
+    FROM v_news GROUP BY source""", "v_news"))
+def q_a11(spark, sf):
+    return AR.relevance_stats(views.news(spark, sf), _KW, by=["source"])
+
+
+add_view("v_news_dated", ("v_news",), """
+    SELECT id, title, source, id % 2 = 0 AS date_filtered,
+           CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  '
+                ELSE strftime(date, '%Y-%m-%d') || ' ' || lpad(CAST(id % 24 AS VARCHAR), 2, '0') || ':00' END AS publish_date
+    FROM v_news""")
+
+
+def _news_dated(spark, sf):
+    n = views.news(spark, sf)
+    m = F.col("id") % 5
+    pd_ = (F.when(m == 0, F.lit(None).cast("string")).when(m == 1, F.lit("")).when(m == 2, F.lit("  "))
+           .otherwise(F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(" "),
+                               F.lpad((F.col("id") % 24).cast("string"), 2, "0"), F.lit(":00"))))
+    return n.select("id", "title", "source", (F.col("id") % 2 == 0).alias("date_filtered"), pd_.alias("publish_date"))
+
+
+@register("a12_fill_date", with_views("""
+    SELECT id, CASE WHEN (publish_date IS NULL OR publish_date = '') AND date_filtered THEN '1998-01-01'
+                    ELSE publish_date END AS publish_date FROM v_news_dated""", "v_news_dated"))
+def q_a12(spark, sf):
+    return AR.fill_date(_news_dated(spark, sf), "1998-01-01").select("id", "publish_date")
+
+
+@register("a13_dedup_title", with_views("""
+    SELECT title, id FROM (SELECT title, id, row_number() OVER (PARTITION BY title ORDER BY id) AS r FROM v_news) x
+    WHERE r = 1""", "v_news"))
+def q_a13(spark, sf):
+    return AR.dedup_title(views.news(spark, sf).select("title", "id"), ["id"])
+
+
+@register("a14_date_window", with_views(f"""
+    SELECT id, publish_date FROM (
+      SELECT id, publish_date, CASE WHEN publish_date IS NULL OR {ST.py_strip('publish_date')} = '' THEN ''
+                                    ELSE substring(publish_date, 1, 10) END AS d FROM v_news_dated) x
+    WHERE (d >= '1998-01-10' AND d <= '1998-01-25') OR d = ''""", "v_news_dated"))
+def q_a14(spark, sf):
+    return AR.date_window_keep_undated(_news_dated(spark, sf), "1998-01-10", "1998-01-25").select("id", "publish_date")

@@ -33,6 +33,7 @@ def q(s: str) -> str:
 
 def re2(pattern: str) -> str:
     """Java (?U) pattern -> RE2: Unicode \\s, \\S and \\d spelled out; \\z kept."""
+    pattern = pattern.replace(r"[\s\S]", "(?s:.)")
     out, i = [], 0
     while i < len(pattern):
         ch = pattern[i]
