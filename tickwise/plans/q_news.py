@@ -501,3 +501,63 @@ def q_a13(spark, sf):
     WHERE (d >= '1998-01-10' AND d <= '1998-01-25') OR d = ''""", "v_news_dated"))
 def q_a14(spark, sf):
     return AR.date_window_keep_undated(_news_dated(spark, sf), "1998-01-10", "1998-01-25").select("id", "publish_date")
+
+
+# --------------------------------------------------------------------------
+# D: fuzzy news dedup
+# --------------------------------------------------------------------------
+from ..operators import dedup as DD  # noqa: E402
+
+_NORM_SQL = ("regexp_replace(regexp_replace(coalesce(title, ''), " + ST.q(ST.re2(r"\s*-\s*\S+.*$")) + ", ''), "
+             "'[^\\p{L}\\p{N}_]', '', 'g')")
+
+
+@register("d1_normalize_title", with_views(f"SELECT id, {_NORM_SQL} AS norm FROM v_news", "v_news"))
+def q_d1(spark, sf):
+    return views.news(spark, sf).select("id", DD.normalize_title(F.col("title")).alias("norm"))
+
+
+@register("d2_order_in_day", with_views("""
+    SELECT id, strftime(date, '%Y-%m-%d') AS day,
+           CAST(row_number() OVER (PARTITION BY date ORDER BY stock_id, date, id) AS INTEGER) AS rn
+    FROM v_news""", "v_news"))
+def q_d2(spark, sf):
+    n = views.news(spark, sf).withColumn("day", DD.day_key(F.col("date")))
+    return DD.order_in_day(n, "day").select("id", "day", F.col("_rn").alias("rn"))
+
+
+@register("d3_day_key", with_views("SELECT id, substring(CAST(date AS VARCHAR), 1, 10) AS day FROM v_news", "v_news"))
+def q_d3(spark, sf):
+    return views.news(spark, sf).select("id", DD.day_key(F.col("date")).alias("day"))
+
+
+def _dedup_nodes(spark, sf):
+    n = views.news(spark, sf).withColumn("_day", DD.day_key(F.col("date"))) \
+        .withColumn("_norm", DD.normalize_title(F.col("title")))
+    n = DD.order_in_day(n, "_day")
+    first = n.groupBy("_day", "_norm").agg(F.min("_rn").alias("_node"))
+    return first.withColumn("_len", F.length("_norm"))
+
+
+@register("d4_indel_ratio")
+def q_d4(spark, sf):
+    """Indel similarity of every raw title against its normalised key."""
+    n = views.news(spark, sf)
+    return n.select("id", DD.indel_ratio(F.coalesce(F.col("title"), F.lit("")),
+                                         DD.normalize_title(F.col("title"))).alias("ratio"))
+
+
+@register("d5_fuzzy_dedup")
+def q_d5(spark, sf):
+    """Keep-first fuzzy title dedup per day (threshold 85)."""
+    return DD.fuzzy_dedup(views.news(spark, sf)).select("id", "stock_id", "date", "title")
+
+
+@register("d6_dedup_stats")
+def q_d6(spark, sf):
+    return DD.dedup_stats(DD.fuzzy_dedup(views.news(spark, sf), with_flag=True))
+
+
+@register("d7_similar_pairs")
+def q_d7(spark, sf):
+    return DD.similar_pairs(_dedup_nodes(spark, sf)).select(F.col("_day").alias("day"), "lo", "hi", "ratio")
