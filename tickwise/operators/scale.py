@@ -77,3 +77,28 @@ def inverse_minmax(df: DataFrame, stats: DataFrame, col: str, stat_col: str | No
 def clip01(c: Column) -> Column:
     """M6: clip to [0, 1] (scaled predictions before the inverse)."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
+def minmax_scale(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("ticker",),
+                 where: Column | None = None, suffix: str = "") -> DataFrame:
+    """M1+M2 (M3 with ``where``) in one pass: per-group min/max as unbounded windows.
+
+    The frames this is applied to are already hash-partitioned by the group key
+    (the alignment window ran on it), so the stats need no exchange and no join
+    back; ``<c>__min``/``<c>__max`` stay on every row for the inverse transform.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by)
+    stats = {}
+    for c in cols:
+        src = F.col(c) if where is None else F.when(where, F.col(c))
+        stats[f"{c}__min"] = F.min(src).over(w).cast("double")
+        stats[f"{c}__max"] = F.max(src).over(w).cast("double")
+    out = df.withColumns(stats)
+    return out.withColumns({c + suffix: (F.col(c) - F.col(f"{c}__min")) / _range(c) for c in cols})
+
+
+def inverse_with(c: Column, stat_col: str) -> Column:
+    """M4 using the stats columns carried on the row (see ``minmax_scale``)."""
+    return c * _range(stat_col) + F.col(f"{stat_col}__min")

@@ -124,19 +124,24 @@ def strip_fence(c: Column) -> Column:
 _RAW_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in SCORE_FIELDS + TEXT_FIELDS])
 
 
-def parse_scores(c: Column) -> Column:
-    """JSON object text -> struct of typed scores; anything else -> all-null struct.
+def parse_scores(df: DataFrame, col: str = "response", out: str = "scores") -> DataFrame:
+    """JSON object text -> struct ``out`` of typed scores; anything else -> all-null struct.
 
     Fields are read as text and ``try_cast`` to double, so "0.7" is accepted and
     "abc" becomes null.  A JSON list or malformed text yields nulls (the
-    reference aborts its whole run on a list).
+    reference aborts its whole run on a list).  The text is cleaned once and
+    parsed once per row: the steps are separate projections so that neither the
+    cleaning chain nor the parser is repeated per extracted field.
     """
-    cleaned = strip_fence(c)
-    raw = F.from_json(F.when(F.startswith(cleaned, F.lit("{")), cleaned), _RAW_SCHEMA)
-    return F.struct(
-        *[raw[f].try_cast("double").alias(f) for f in SCORE_FIELDS],
-        *[raw[f].alias(f) for f in TEXT_FIELDS],
+    cleaned = df.withColumn("_clean", strip_fence(F.col(col)))
+    parsed = cleaned.withColumn(
+        "_raw", F.from_json(F.when(F.startswith(F.col("_clean"), F.lit("{")), F.col("_clean")), _RAW_SCHEMA)
+    ).drop("_clean")
+    typed = F.struct(
+        *[F.col("_raw")[f].try_cast("double").alias(f) for f in SCORE_FIELDS],
+        *[F.col("_raw")[f].alias(f) for f in TEXT_FIELDS],
     )
+    return parsed.withColumn(out, typed).drop("_raw")
 
 
 def attach_scores(df: DataFrame, scores: str = "scores") -> DataFrame:

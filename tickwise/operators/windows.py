@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 
 def windows(df: DataFrame, feats: Sequence[str], n: int, h: int = 1, target: str = "close",
-            by: Sequence[str] = ("ticker",), order: str = "date") -> DataFrame:
+            by: Sequence[str] = ("ticker",), order: str = "date", keep: Sequence[str] = ()) -> DataFrame:
     """X = ``n`` consecutive rows of ``feats``; y = next ``h`` values of ``target``.
 
     Returns (by…, pos, end_date, x: array<array<double>>, y: array<double>),
-    N - n - h + 1 samples per key.  ``pos`` is the position of the last input row.
+    N - n - h + 1 samples per key.  ``pos`` is the position of the last input row;
+    ``keep`` columns of that row are carried along.
     """
     w = Window.partitionBy(*by).orderBy(order)
     past = w.rowsBetween(-(n - 1), 0)
@@ -31,7 +32,7 @@ def windows(df: DataFrame, feats: Sequence[str], n: int, h: int = 1, target: str
         .withColumn("_x", F.collect_list(step).over(past))
         .withColumn("_y", F.collect_list(F.struct(F.col(target).cast("double").alias("v"))).over(ahead))
         .filter((F.size("_x") == n) & (F.size("_y") == h))
-        .select(*by, "pos", F.col(order).alias("end_date"),
+        .select(*by, "pos", F.col(order).alias("end_date"), *keep,
                 F.transform("_x", lambda s: s["v"]).alias("x"),
                 F.transform("_y", lambda s: s["v"]).alias("y"))
     )

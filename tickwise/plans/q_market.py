@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.align import align_ffill
 from ..operators.forecast import forecast_naive, horizon_rows, mape
-from ..operators.scale import apply_minmax, fit_minmax
+from ..operators.scale import inverse_with, minmax_scale
 from ..operators.windows import windows
 from ..sources import views
 from .registry import register
@@ -30,22 +30,17 @@ def naive_mape(spark: SparkSession, sf_dir: str):
     idx = views.index_series(spark, sf_dir)
     a = align_ffill(b, idx, out="idx_close")
     cols = BAR_FEATURES + ["idx_close"]
-    stats = fit_minmax(a, cols)
-    s = apply_minmax(a, stats, cols)
-    smp = windows(s, cols, N_STEPS, HORIZON, target="close")
+    s = minmax_scale(a, cols)                      # same partitioning as the ffill window
+    smp = windows(s.drop(*[f"{c}__min" for c in cols if c != "close"], *[f"{c}__max" for c in cols if c != "close"]),
+                  cols, N_STEPS, HORIZON, target="close", keep=["close__min", "close__max"])
     f = forecast_naive(smp, HORIZON, close_idx=cols.index("close"))
-    rng = F.when(F.col("close__max") == F.col("close__min"), F.lit(1.0)).otherwise(
-        F.col("close__max") - F.col("close__min"))
-    out = None
-    for kind in ("last", "mean", "drift"):
-        rows = horizon_rows(f, f"pred_{kind}", keep=["ticker"]).withColumn("model", F.lit(kind))
-        out = rows if out is None else out.unionByName(rows)
-    out = out.join(stats.select("ticker", "close__min", "close__max"), "ticker")
-    out = out.select(
-        "ticker", "model", "day",
-        (F.col("predicted") * rng + F.col("close__min")).alias("predicted"),
-        (F.col("actual") * rng + F.col("close__min")).alias("actual"),
-    )
+    models = F.array(*[F.struct(F.lit(k).alias("model"), F.col(f"pred_{k}").alias("p")) for k in ("last", "mean", "drift")])
+    per_model = f.select("ticker", "y", "close__min", "close__max", F.explode(models).alias("_m")) \
+        .select("ticker", "y", "close__min", "close__max", F.col("_m.model").alias("model"), F.col("_m.p").alias("pred"))
+    rows = horizon_rows(per_model, "pred", keep=["ticker", "model", "close__min", "close__max"])
+    out = rows.select("ticker", "model", "day",
+                      inverse_with(F.col("predicted"), "close").alias("predicted"),
+                      inverse_with(F.col("actual"), "close").alias("actual"))
     m = mape(out, by=["ticker", "model"])
     return m.select("ticker", "model", r6(F.col("mape")).alias("mape"), F.col("n").cast("bigint").alias("n"))
 
@@ -104,8 +99,9 @@ def aligned(spark, sf):
 
 
 def scaled(spark, sf, cols=ALL_FEATURES):
-    a = aligned(spark, sf)
-    return SC.apply_minmax(a, SC.fit_minmax(a, cols), cols)
+    """Aligned table min-max scaled per ticker (windows on the ticker partitioning)."""
+    s = SC.minmax_scale(aligned(spark, sf), cols)
+    return s.drop(*[f"{c}__{k}" for c in cols for k in ("min", "max")])
 
 
 def _rng_sql(c, t="s"):

@@ -142,7 +142,7 @@ def q_n3(spark, sf):
     """Every news row through the (lexicon) scorer plug-in, parsed and attached."""
     n = views.news(spark, sf)
     r = NS.score(n, NS.lexicon_scorer(), ["id", "title", "text"])
-    return NS.attach_scores(r.withColumn("scores", NS.parse_scores(F.col("response"))).drop("response", "text"))
+    return NS.attach_scores(NS.parse_scores(r, "response", "scores").drop("response", "text"))
 
 
 @register("n4_strip_fence", with_views(f"SELECT id, {strip_fence('response')} AS cleaned FROM v_response", "v_response"))
@@ -164,7 +164,7 @@ add_view("v_parsed", ("v_response",), _parsed_sql())
 
 def _parsed(spark, sf):
     r = views.responses(spark, sf)
-    return r.select("id", NS.parse_scores(F.col("response")).alias("s")).select("id", "s.*")
+    return NS.parse_scores(r, "response", "s").select("id", "s.*")
 
 
 @register("n5_parse_scores", with_views("SELECT * FROM v_parsed", "v_parsed"))
@@ -179,7 +179,7 @@ def q_n5(spark, sf):
 def q_n6(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select(
         F.col("event_id").alias("id"), "event_type", F.concat(F.lit("row "), F.col("event_type")).alias("summary"))
-    r = views.responses(spark, sf).select(F.col("id"), NS.parse_scores(F.col("response")).alias("scores"))
+    r = NS.parse_scores(views.responses(spark, sf), "response", "scores").select("id", "scores")
     return NS.attach_scores(e.join(r, "id"))
 
 
@@ -191,12 +191,10 @@ def q_n7(spark, sf):
     path = scratch_path(spark, "n7")
     todo = views.responses(spark, sf)
     first = todo.filter(F.col("id") % 2 == 0)
-    first.select("id", NS.parse_scores(F.col("response")).alias("s")).select("id", "s.*") \
-        .write.mode("append").parquet(path)
+    NS.parse_scores(first, "response", "s").select("id", "s.*").write.mode("append").parquet(path)
     done = spark.read.parquet(path)
     rest = NS.score_incremental(todo, done, "id")
-    rest.select("id", NS.parse_scores(F.col("response")).alias("s")).select("id", "s.*") \
-        .write.mode("append").parquet(path)
+    NS.parse_scores(rest, "response", "s").select("id", "s.*").write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
