@@ -522,7 +522,7 @@ def q_w2(spark, sf):
 
 
 @register("w3_windows_multi_input", with_views(_SPOS + f"""
-    SELECT ticker, pos, round(sum({_BSUM}) OVER w, 6) AS bars_sum, round(sum(idx_close) OVER w, 6) AS index_sum,
+    SELECT ticker, pos, round(sum({_BSUM}) OVER w, 6) AS bars_sum, CASE WHEN count(idx_close) OVER w = 40 THEN round(sum(idx_close) OVER w, 6) END AS index_sum,
            round(sum(net_impact + weighted_horizon + news_count + divergence) OVER w, 6) AS news_sum
     FROM sp
     WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)
@@ -536,7 +536,7 @@ def q_w3(spark, sf):
 
 @register("w4_concat_features", with_views(_SPOS + """
     SELECT ticker, pos, CAST(40 AS INTEGER) AS n_steps, CAST(11 AS INTEGER) AS width,
-           round(sum(idx_close) OVER w, 6) AS col6_sum, round(sum(divergence) OVER w, 6) AS col10_sum
+           CASE WHEN count(idx_close) OVER w = 40 THEN round(sum(idx_close) OVER w, 6) END AS col6_sum, round(sum(divergence) OVER w, 6) AS col10_sum
     FROM sp
     WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)
     QUALIFY pos >= 39 AND pos <= n - 4""", "v_scaled"))
