@@ -429,7 +429,7 @@ _TRAIN_SQL = """
     , ap AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
                     count(*) OVER (PARTITION BY ticker) AS n FROM v_aligned)
     , st AS (SELECT ticker, min(close) AS close__min, max(close) AS close__max FROM ap
-             WHERE pos < floor(n * 0.7) GROUP BY ticker)
+             WHERE pos < floor(n * CAST(0.7 AS DOUBLE)) GROUP BY ticker)
 """
 
 
@@ -550,7 +550,7 @@ def q_w4(spark, sf):
 
 @register("w5_split_rows", with_views("""
     SELECT ticker, split, CAST(count(*) AS BIGINT) AS n, min(date) AS first_date, max(date) AS last_date FROM (
-      SELECT ticker, date, CASE WHEN pos < floor(n * 0.7) THEN 'train' WHEN pos < floor(n * 0.85) THEN 'val' ELSE 'test' END AS split
+      SELECT ticker, date, CASE WHEN pos < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN pos < floor(n * CAST(0.85 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split
       FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
                    count(*) OVER (PARTITION BY ticker) AS n FROM v_bars) x) y
     GROUP BY ticker, split""", "v_bars"))
@@ -571,8 +571,8 @@ _SAMPLES_SQL = """
 
 @register("w6_split_samples", with_views(_SAMPLES_SQL + """
     SELECT ticker, split, CAST(count(*) AS BIGINT) AS n FROM (
-      SELECT ticker, CASE WHEN spos < floor(n * 0.7) - 5 THEN 'train' WHEN spos < floor(n * 0.7) THEN NULL
-                          WHEN spos < floor(n * 0.85) THEN 'val' ELSE 'test' END AS split FROM sn) y
+      SELECT ticker, CASE WHEN spos < floor(n * CAST(0.7 AS DOUBLE)) - 5 THEN 'train' WHEN spos < floor(n * CAST(0.7 AS DOUBLE)) THEN NULL
+                          WHEN spos < floor(n * CAST(0.85 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM sn) y
     GROUP BY ticker, split""", "v_bars"))
 def q_w6(spark, sf):
     s = WN.windows(views.bars(spark, sf), ["close"], 40, 3)
@@ -581,7 +581,7 @@ def q_w6(spark, sf):
 
 @register("w7_tail_split", with_views(_SAMPLES_SQL + """
     SELECT ticker, split, CAST(count(*) AS BIGINT) AS n FROM (
-      SELECT ticker, CASE WHEN spos < floor(n * 0.7) THEN 'train' ELSE 'val' END AS split FROM sn) y
+      SELECT ticker, CASE WHEN spos < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' ELSE 'val' END AS split FROM sn) y
     GROUP BY ticker, split""", "v_bars"))
 def q_w7(spark, sf):
     s = WN.windows(views.bars(spark, sf), ["close"], 40, 3)
