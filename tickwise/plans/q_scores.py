@@ -235,3 +235,36 @@ def q_n9(spark, sf):
 def q_n10(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), F.col("ts").cast("date").alias("day"))
     return NS.score_quality(e.join(_parsed(spark, sf), "id"), "day")
+
+
+# --------------------------------------------------------------------------
+# incremental forms (Structured Streaming)
+# --------------------------------------------------------------------------
+
+@register("s9_stream_ingest", with_views(
+    "SELECT id, stock_id, CAST(date AS TIMESTAMP) AS ts, title, source FROM v_news", "v_news"))
+def q_s9_stream(spark, sf):
+    """News rows arrive in four files, one of them re-delivering rows; the stream keeps each id once."""
+    from ..sources.files import scratch_path
+    from ..streaming import incremental as INC
+
+    n = views.news(spark, sf).select("id", "stock_id", F.col("date").cast("timestamp").alias("ts"), "title", "source")
+    landing, sink, ckpt = scratch_path(spark, "land"), scratch_path(spark, "sink"), scratch_path(spark, "ckpt")
+    k = F.col("id") % 3
+    INC.land_files(n, landing, [k == 0, k == 1, k == 2, F.col("id") % 5 == 0])
+    INC.stream_ingest(spark, landing, n.schema, sink, ckpt, key="id", max_files=2)
+    return INC.read_sink(spark, sink)
+
+
+@register("n7_stream_scoring", with_views("SELECT * FROM v_parsed", "v_parsed"))
+def q_n7_stream(spark, sf):
+    """Responses arrive in three files (one repeats rows); each id is scored exactly once."""
+    from ..sources.files import scratch_path
+    from ..streaming import incremental as INC
+
+    r = views.responses(spark, sf)
+    landing, sink, ckpt = scratch_path(spark, "land"), scratch_path(spark, "sink"), scratch_path(spark, "ckpt")
+    INC.land_files(r, landing, [F.col("id") % 2 == 0, F.col("id") % 2 == 1, F.col("id") % 7 == 0])
+    INC.stream_score(spark, landing, r.schema, sink, ckpt, key="id",
+                     score=lambda d: NS.parse_scores(d, "response", "s").select("id", "s.*"))
+    return INC.read_sink(spark, sink)
