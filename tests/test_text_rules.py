@@ -62,7 +62,7 @@ def test_strip_and_lines(spark):
         if s is None:
             continue
         assert r.st == s.strip()
-        assert list(r.ln) == (s.splitlines() or [""])
+        assert list(r.ln) == s.splitlines()
 
 
 def test_normalize_title_matches_python(spark):

@@ -151,7 +151,9 @@ def strip_lines(c: Column, pattern: str | None = None) -> Column:
     """Drop lines whose stripped form is a noise line; blank lines stay; lines are
     split like ``str.splitlines`` and joined with '\\n'."""
     p = pattern or noise_line_pattern()
-    return F.array_join(F.filter(py_lines(c), lambda x: (py_strip(x) == "") | ~py_strip(x).rlike(p)), "\n")
+    lines = F.transform(py_lines(c), lambda x: F.struct(x.alias("l"), py_strip(x).alias("s")))
+    kept = F.filter(lines, lambda r: (r["s"] == "") | ~r["s"].rlike(p))
+    return F.array_join(F.transform(kept, lambda r: r["l"]), "\n")
 
 
 def collapse(c: Column) -> Column:

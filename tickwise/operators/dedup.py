@@ -137,6 +137,10 @@ def candidate_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return pairs.select("_day", "lo", "hi").distinct()
 
 
+def spark_parallelism(df: DataFrame) -> int:
+    return 2 * df.sparkSession.sparkContext.defaultParallelism
+
+
 def similar_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Verified pairs (day, lo, hi, ratio) with ratio >= threshold.
 
@@ -144,6 +148,10 @@ def similar_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     equal keys are collapsed before pairing.
     """
     cand = candidate_pairs(nodes, threshold)
+    # the verification is CPU-bound Python: spread it over all cores of the cluster
+    # (size-based coalescing would put a small pair table into one task)
+    parts = max(1, spark_parallelism(nodes))
+    cand = cand.repartition(parts, "_day", "lo")
     n = nodes.select("_day", "_node", "_norm")
     c = cand.join(n.withColumnRenamed("_node", "lo").withColumnRenamed("_norm", "a"), ["_day", "lo"]) \
         .join(n.withColumnRenamed("_node", "hi").withColumnRenamed("_norm", "b"), ["_day", "hi"])
@@ -156,10 +164,10 @@ def similar_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def _greedy(edges: DataFrame, spark, max_rounds: int = 10_000) -> DataFrame:
     """Resolve keep-first on the edge set; returns (_day, _node, kept) for nodes with edges."""
     ensure_checkpoint_dir(spark)
-    nodes = edges.select("_day", F.col("lo").alias("_node")).union(edges.select("_day", F.col("hi").alias("_node"))) \
+    e = edges.select("_day", "lo", "hi").checkpoint()   # materialise the verified edges once
+    nodes = e.select("_day", F.col("lo").alias("_node")).union(e.select("_day", F.col("hi").alias("_node"))) \
         .distinct().withColumn("_s", F.lit("U"))
     nodes = nodes.checkpoint()
-    e = edges.select("_day", "lo", "hi").checkpoint()
     for _ in range(max_rounds):
         if nodes.filter(F.col("_s") == "U").limit(1).count() == 0:
             break
