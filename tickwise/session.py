@@ -27,6 +27,7 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.driver.memory", os.environ.get("TICKWISE_DRIVER_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no per-call Python call-site capture
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
