@@ -88,10 +88,11 @@ def test_net_impact_hot_day_exact(spark):
     rows = [(i, dt.date(2024, 1, 1), ((i * 37) % 21 - 10) / 10.0, (i % 11) / 10.0, ((i * 7) % 11) / 10.0, 0.4)
             for i in range(n)]
     df = spark.createDataFrame(rows, "id INT, day DATE, sentiment DOUBLE, intensity DOUBLE, certainty DOUBLE, horizon DOUBLE")
-    got = FT.daily_features(df, salt_buckets=16).first().net_impact
     xs = sorted(((s * it * c, i) for i, _, s, it, c, _ in rows), key=lambda t: (-abs(t[0]), t[1]))
     exp = sum(x * 0.5 ** k for k, (x, _) in enumerate(xs))
-    assert got == pytest.approx(exp, abs=1e-12)
+    for buckets, fan_in in ((16, 64), (256, 4)):   # one level; four levels (256 -> 64 -> 16 -> 4 -> 1)
+        got = FT.daily_features(df, salt_buckets=buckets, fan_in=fan_in).first().net_impact
+        assert got == pytest.approx(exp, abs=1e-12)
 
 
 def test_wide_to_long_keeps_missing(spark):

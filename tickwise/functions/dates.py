@@ -31,12 +31,12 @@ def parse_relative_date(text: Column, ref_ts: Column) -> Column:
     rel = rf"(?U)(\d+){s}(分鐘|小時)前"
     n_rel = F.regexp_extract(t, rel, 1)
     unit = F.regexp_extract(t, rel, 2)
-    ago = F.when(unit == "小時", F.make_interval(hours=n_rel.cast("int"))).otherwise(
-        F.make_interval(mins=n_rel.cast("int")))
+    ago = F.when(unit == "小時", F.make_interval(hours=n_rel.try_cast("int"))).otherwise(
+        F.make_interval(mins=n_rel.try_cast("int")))
     r1 = F.date_format(ref_ts - ago, "yyyy-MM-dd HH:mm")
     r2 = F.date_format(F.date_sub(ref_ts.cast("date"), 1), "yyyy-MM-dd")
     days = rf"(?U)(\d+){s}天前"
-    r3 = F.date_format(F.date_sub(ref_ts.cast("date"), F.regexp_extract(t, days, 1).cast("int")), "yyyy-MM-dd")
+    r3 = F.date_format(F.date_sub(ref_ts.cast("date"), F.regexp_extract(t, days, 1).try_cast("int")), "yyyy-MM-dd")
     cn = r"(?U)(\d{4})年(\d{1,2})月(\d{1,2})日"
     r4 = F.concat_ws("-", F.regexp_extract(t, cn, 1), _pad2(F.regexp_extract(t, cn, 2)), _pad2(F.regexp_extract(t, cn, 3)))
     num = r"(?U)(\d{4})[/-](\d{1,2})[/-](\d{1,2})"

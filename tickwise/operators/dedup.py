@@ -168,9 +168,11 @@ def _greedy(edges: DataFrame, spark, max_rounds: int = 10_000) -> DataFrame:
     nodes = e.select("_day", F.col("lo").alias("_node")).union(e.select("_day", F.col("hi").alias("_node"))) \
         .distinct().withColumn("_s", F.lit("U"))
     nodes = nodes.checkpoint()
-    for _ in range(max_rounds):
+    for _ in range(max_rounds + 1):
         if nodes.filter(F.col("_s") == "U").limit(1).count() == 0:
             break
+        if _ == max_rounds:
+            raise RuntimeError(f"keep-first dedup did not converge in {max_rounds} rounds")
         pred = e.join(nodes.select("_day", F.col("_node").alias("lo"), F.col("_s").alias("_ps")), ["_day", "lo"])
         agg = pred.groupBy("_day", F.col("hi").alias("_node")).agg(
             F.max(F.when(F.col("_ps").isin("U", "K"), 1).otherwise(0)).alias("_blocked"),

@@ -14,9 +14,9 @@ std-dev are partial aggregates (map-side combine).  The rank of
 ``net_impact`` is the only order-dependent part, and it is exact to keep only
 the first 1075 ranks of a day: ``0.5**k`` is exactly 0.0 in double precision
 for k >= 1075, so lower-ranked rows add exactly nothing.  That top-k runs in
-two stages: first per (day, salt) with a hash salt, so a hot day is spread
-over ``salt_buckets`` groups, then per day over at most
-``salt_buckets * 1075`` survivors.
+levels: per (day, hash salt) over ``salt_buckets`` groups, then over groups
+``fan_in`` times coarser, down to one group per day, each level keeping at
+most 1075 rows per group (see ``net_impact``).
 """
 
 from __future__ import annotations
@@ -33,15 +33,24 @@ def impact(sentiment: Column, intensity: Column, certainty: Column) -> Column:
 
 
 def net_impact(df: DataFrame, day: str = "day", id_col: str = "id", x: str = "x",
-               salt_buckets: int = 1024) -> DataFrame:
-    """F2: (day, net_impact) = sum of 0.5**rank * x, rank by |x| desc then id."""
+               salt_buckets: int = 4096, fan_in: int = 64) -> DataFrame:
+    """F2: (day, net_impact) = sum of 0.5**rank * x, rank by |x| desc then id.
+
+    Exact multi-level top-k: rows get a hash salt in [0, salt_buckets); each
+    level keeps the first 1075 rows per (day, salt mod b) and divides b by
+    ``fan_in`` until b = 1, so no group ever holds more than
+    max(rows / salt_buckets, fan_in * 1075) rows, however hot a day is.
+    """
     rows = df.select(day, id_col, x).filter(F.col(x).isNotNull())
     order = [F.abs(F.col(x)).desc(), F.col(id_col).asc()]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt_buckets)))
-    w1 = Window.partitionBy(day, "_salt").orderBy(*order)
-    survivors = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= ZERO_WEIGHT_RANK)
+    cur = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt_buckets)))
+    b = salt_buckets
+    while b > 1:
+        w = Window.partitionBy(day, F.pmod(F.col("_salt"), F.lit(b))).orderBy(*order)
+        cur = cur.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= ZERO_WEIGHT_RANK).drop("_r")
+        b = max(1, b // fan_in)
     w2 = Window.partitionBy(day).orderBy(*order)
-    ranked = survivors.withColumn("_k", F.row_number().over(w2) - 1).filter(F.col("_k") < ZERO_WEIGHT_RANK)
+    ranked = cur.withColumn("_k", F.row_number().over(w2) - 1).filter(F.col("_k") < ZERO_WEIGHT_RANK)
     return ranked.groupBy(day).agg(
         F.sum(F.col(x) * F.pow(F.lit(0.5), F.col("_k"))).alias("net_impact")
     )
@@ -49,7 +58,8 @@ def net_impact(df: DataFrame, day: str = "day", id_col: str = "id", x: str = "x"
 
 def daily_features(scored: DataFrame, day: str = "day", id_col: str = "id", sentiment: str = "sentiment",
                    intensity: str = "intensity", certainty: str = "certainty", horizon: str = "horizon",
-                   weight: str | None = None, null_policy: str = "skip", salt_buckets: int = 1024) -> DataFrame:
+                   weight: str | None = None, null_policy: str = "skip", salt_buckets: int = 4096,
+                   fan_in: int = 64) -> DataFrame:
     """One row per calendar day with news (days without news are absent).
 
     ``weight`` is the weight column of ``weighted_horizon`` (default intensity).
@@ -71,7 +81,7 @@ def daily_features(scored: DataFrame, day: str = "day", id_col: str = "id", sent
         F.count(F.lit(1)).alias("_n"),
         F.count_if(F.col("x").isNull()).alias("_xnull"),
     )
-    net = net_impact(base, "day", "id", "x", salt_buckets)
+    net = net_impact(base, "day", "id", "x", salt_buckets, fan_in)
     out = agg.join(net, on="day", how="left")
     net_col = F.col("net_impact")
     if null_policy == "propagate":

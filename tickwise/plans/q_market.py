@@ -210,10 +210,11 @@ def q_s8(spark, sf):
 def q_s9(spark, sf):
     """Two appends of overlapping day sets: the overlap is replaced, not duplicated."""
     path = IO.scratch_path(spark, "s9")
-    b = views.bars(spark, sf).select("ticker", "date", "close")
-    IO.append_table(b.filter(F.year("date") <= 1998), path, ["date"])
-    IO.append_table(b.filter(F.year("date") >= 1997), path, ["date"])
-    return spark.read.schema("ticker STRING, close DOUBLE, date DATE").parquet(path).select("ticker", "date", "close")
+    b = views.bars(spark, sf).select("ticker", "date", "close", F.date_format("date", "yyyy-MM").alias("month"))
+    IO.append_table(b.filter(F.year("date") <= 1998), path, ["month"])
+    IO.append_table(b.filter(F.year("date") >= 1997), path, ["month"])
+    return spark.read.schema("ticker STRING, date DATE, close DOUBLE, month STRING").parquet(path) \
+        .select("ticker", "date", "close")
 
 
 @register("s10_write_forecast", with_views("""

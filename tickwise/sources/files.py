@@ -103,7 +103,8 @@ def append_table(df: DataFrame, path: str, partition_by: list[str], fmt: str = "
     With ``partitionOverwriteMode=dynamic`` a re-run of the same day rewrites
     that day instead of duplicating it (the reference appends blindly).
     """
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # one writer per partition value: no small-file explosion (tasks x partitions)
+    (df.repartition(*partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).format(fmt).save(path))
 
 

@@ -73,7 +73,7 @@ def wide_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _k(props):
-    return F.get_json_object(props, "$.k").cast("int")
+    return F.get_json_object(props, "$.k").try_cast("int")
 
 
 def horizon_of(event_type):
