@@ -67,6 +67,15 @@ def day_slice(df: DataFrame, spine: DataFrame, date_text: str = "date") -> DataF
     return df.join(keys, F.substring(F.col(date_text), 1, 10) == F.col("_day"), "left_semi")
 
 
+def day_range(df: DataFrame, ts_col: str, start: str, end: str) -> DataFrame:
+    """S12 for a literal day range: ``start <= ts < end + 1 day`` on the raw timestamp,
+    a predicate the parquet scan can push down (row groups outside are skipped)."""
+    lo = F.lit(start).cast("date")
+    hi = F.date_add(F.lit(end).cast("date"), 1)
+    c = F.col(ts_col)
+    return df.filter((c >= lo.cast(df.schema[ts_col].dataType)) & (c < hi.cast(df.schema[ts_col].dataType)))
+
+
 def cast_key(df: DataFrame, col: str = "stock_id") -> DataFrame:
     """Key to string (leading zeros are kept when it is already text)."""
     return df.withColumn(col, F.col(col).cast("string"))

@@ -174,13 +174,13 @@ def q_s4(spark, sf):
 
 
 @register("s5_read_forecast", with_views("""
-    SELECT CAST(date + INTERVAL 1 DAY AS DATE) AS "Date", close AS "Predicted_Price"
-    FROM v_bars WHERE ticker = 'A'""", "v_bars"))
+    SELECT CAST(date + INTERVAL 1 DAY AS DATE) AS "Date", close AS "Predicted_Price", ticker FROM v_bars""", "v_bars"))
 def q_s5(spark, sf):
+    """Forecast files (one folder per ticker, the reference's Date/Predicted_Price layout) read back."""
     path = IO.scratch_path(spark, "forecast")
-    fc = views.bars(spark, sf).filter(F.col("ticker") == "A").select(
-        F.date_add("date", 1).alias("Date"), F.col("close").alias("Predicted_Price"))
-    IO.write_table(fc, path)
+    fc = views.bars(spark, sf).select(
+        F.date_add("date", 1).alias("Date"), F.col("close").alias("Predicted_Price"), "ticker")
+    IO.write_table(fc, path, partition_by=["ticker"])
     return IO.read_forecast(spark, path)
 
 
@@ -236,7 +236,8 @@ def q_s11(spark, sf):
     SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS date FROM events
     WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""")
 def q_s12(spark, sf):
-    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", SH.minute_text(F.col("ts")).alias("date"))
+    ev = SH.day_range(spark.read.parquet(f"{sf}/events.parquet"), "ts", "2024-01-10", "2024-01-20")  # pushed down
+    ev = ev.select("event_id", SH.minute_text(F.col("ts")).alias("date"))
     return SH.day_slice(ev, SH.date_spine(spark, "2024-01-10", "2024-01-20"), "date")
 
 
