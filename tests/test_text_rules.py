@@ -22,6 +22,8 @@ SAMPLES = [
     "前文\n延伸閱讀\n相關 A\n相關 B",
     "  Title - Yahoo奇摩新聞 ", "A-B news", "台積電 (2330) 法說會：Q4 營收 -5% 年增_率",
     "x́y", "no hyphen here",
+    "廣告\n\n正文", "a\n廣告", "廣告", "\n廣告\n", "廣告\r\n\r\n分享\r\n正文\r\n", "12\n\n\n\n\n34\n",
+    "免費試用 7 日\n\n下一行", "  /  \n\x0c首頁\x1c正文\u2028廣告\x85尾",
 ]
 
 

@@ -135,24 +135,73 @@ NOISE_LINES = [
 ]
 
 
+_WS_NO_NL_CHARS = (r"\t\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                   r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+_WS_NO_NL = "[" + _WS_NO_NL_CHARS + "]"
+
+
+def _single_line(alt: str) -> str:
+    """An alternative with ``\\s`` limited to one line (no newline), '$' dropped."""
+    out = alt.replace("$", "")
+    out = out.replace(r"[\s", "[" + _WS_NO_NL_CHARS)
+    return out.replace(r"\s", _WS_NO_NL)
+
+
+def fold_breaks(c: Column) -> Column:
+    """Every ``str.splitlines`` boundary as a single newline."""
+    return F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")),
+                            r"[\r\x{0B}\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]", "\n")
+
+
 def noise_line_pattern(alternatives: Sequence[str] = NOISE_LINES) -> str:
     # a '$' inside an alternative and the closing '$' both mean end of the stripped line
     return "(?iU)^(" + "|".join(a.replace("$", r"\z") for a in alternatives) + r")\z"
 
 
+def _leading_literal(pattern: str) -> str:
+    out = []
+    for ch in pattern:
+        if ch in ".[]\\()*+?{}|^$":
+            break
+        out.append(ch)
+    return "".join(out)
+
+
+# whole noise lines (with their newline) in text whose breaks are folded to newlines
+NOISE_LINE_DELETE = ("(?imU)^" + _WS_NO_NL + "*(?:" + "|".join(_single_line(a) for a in NOISE_LINES) + ")"
+                     + _WS_NO_NL + "*\n")
+
+
 def strip_blocks(c: Column, patterns: Sequence[str] = NOISE_BLOCKS) -> Column:
-    """Remove multi-line noise blocks, pattern by pattern."""
+    """Remove multi-line noise blocks, pattern by pattern.
+
+    Each pattern starts with a literal; the regex only runs on texts that
+    contain it (a plain substring test skips the rest).
+    """
     for p in patterns:
-        c = F.regexp_replace(c, "(?sU)" + p, "")
+        lit = _leading_literal(p)
+        rx = F.regexp_replace(c, "(?sU)" + p, "")
+        c = F.when(F.contains(c, F.lit(lit)), rx).otherwise(c) if lit else rx
     return c
 
 
 def strip_lines(c: Column, pattern: str | None = None) -> Column:
     """Drop lines whose stripped form is a noise line; blank lines stay; lines are
-    split like ``str.splitlines`` and joined with '\\n'."""
-    p = pattern or noise_line_pattern()
+    split like ``str.splitlines`` and joined with newlines.
+
+    Default patterns: one regex pass.  Breaks are folded to newlines, every line
+    gets a terminator, whole noise lines (surrounding whitespace included) are
+    deleted with their newline, and the final newline is dropped — exactly
+    ``"\\n".join(kept lines)``.  Inside the pattern ``\\s`` cannot cross a
+    newline, so a match never spans two lines.  A custom ``pattern`` takes the
+    per-line path (split, strip, test, join).
+    """
+    if pattern is None:
+        norm = fold_breaks(c)
+        terminated = F.when(F.endswith(norm, F.lit("\n")), norm).otherwise(F.concat(norm, F.lit("\n")))
+        return F.regexp_replace(F.regexp_replace(terminated, NOISE_LINE_DELETE, ""), r"\n\z", "")
     lines = F.transform(py_lines(c), lambda x: F.struct(x.alias("l"), py_strip(x).alias("s")))
-    kept = F.filter(lines, lambda r: (r["s"] == "") | ~r["s"].rlike(p))
+    kept = F.filter(lines, lambda r: (r["s"] == "") | ~r["s"].rlike(pattern))
     return F.array_join(F.transform(kept, lambda r: r["l"]), "\n")
 
 
