@@ -105,12 +105,15 @@ def min_overlap(length: Column, threshold: int = THRESHOLD) -> Column:
 
 
 def _tokens(nodes: DataFrame) -> DataFrame:
-    """(day, node, token) for every character occurrence: token = char + '#' + k (k-th occurrence)."""
-    chars = nodes.select("_day", "_node", "_norm", F.posexplode(F.split("_norm", "")).alias("_p", "_ch")) \
+    """(day, node, len, token) for the character multiset of each key: token 'c#k' for
+    k = 1..count(c).  Counting is a hash aggregate (no sort)."""
+    chars = nodes.select("_day", "_node", "_len", F.explode(F.split("_norm", "")).alias("_ch")) \
         .filter(F.col("_ch") != "")
-    w = Window.partitionBy("_day", "_node", "_ch").orderBy("_p")
-    return chars.withColumn("_occ", F.row_number().over(w)).select(
-        "_day", "_node", F.concat(F.col("_ch"), F.lit("#"), F.col("_occ").cast("string")).alias("_tok"))
+    counts = chars.groupBy("_day", "_node", "_len", "_ch").agg(F.count(F.lit(1)).alias("_c"))
+    return counts.select("_day", "_node", "_len",
+                         F.explode(F.transform(F.sequence(F.lit(1), F.col("_c").cast("int")),
+                                               lambda k: F.concat(F.col("_ch"), F.lit("#"), k.cast("string")))
+                                   ).alias("_tok"))
 
 
 def candidate_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -119,18 +122,23 @@ def candidate_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ``nodes``: (_day, _node, _norm, _len); _node is the rank of the node in its day.
     Tokens are ordered by global frequency (rarest first), then by text; the
     frequency table has one row per distinct token (bounded by alphabet size x
-    longest title), aggregated with map-side combine.
+    longest key), aggregated with map-side combine.  Each key's prefix is the
+    head of its sorted token array (one array sort per key, no window sort).
     """
     toks = _tokens(nodes)
     freq = toks.groupBy("_tok").agg(F.count(F.lit(1)).alias("_f"))
-    ranked = toks.join(freq, "_tok")
-    w = Window.partitionBy("_day", "_node").orderBy("_f", "_tok")
-    pref = ranked.withColumn("_i", F.row_number().over(w)).join(nodes.select("_day", "_node", "_len"), ["_day", "_node"]) \
-        .filter(F.col("_i") <= F.col("_len") - min_overlap(F.col("_len"), threshold) + 1) \
-        .select("_day", "_node", "_tok", "_len")
+    per_key = toks.join(freq, "_tok").groupBy("_day", "_node", "_len").agg(
+        F.sort_array(F.collect_list(F.struct("_f", "_tok"))).alias("_arr"))
+    plen = F.col("_len") - min_overlap(F.col("_len"), threshold) + 1
+    pref = per_key.select("_day", "_node", "_len",
+                          F.explode(F.transform(F.slice("_arr", 1, F.greatest(plen, F.lit(1))), lambda t: t["_tok"]))
+                          .alias("_tok"))
+    # both sides of the self-join share this hash partitioning (no second exchange);
+    # an explicit count keeps the CPU-heavy join spread over the cluster's cores
+    pref = pref.repartition(spark_parallelism(nodes), "_day", "_tok")
     a = pref.select("_day", F.col("_node").alias("lo"), "_tok", F.col("_len").alias("lo_len"))
     b = pref.select("_day", F.col("_node").alias("hi"), "_tok", F.col("_len").alias("hi_len"))
-    # length bound: 2*min(l1,l2) >= t*(l1+l2)/100*... in integers: 200*min >= thr*(l1+l2)
+    # length bound in integers: 200 * min(l1, l2) >= threshold * (l1 + l2)
     short = F.least("lo_len", "hi_len")
     pairs = a.join(b, ["_day", "_tok"]).filter(
         (F.col("lo") < F.col("hi")) & (F.lit(200) * short >= F.lit(threshold) * (F.col("lo_len") + F.col("hi_len"))))
