@@ -35,7 +35,7 @@ def test_lcs_matches_dp():
 
 def test_prefix_filter_is_exact_on_random_titles(spark):
     rnd = random.Random(7)
-    base = ["台積電法說會營收創新高", "半導體設備出貨", "外資賣超台積電", "AI伺服器需求強勁"]
+    base = ["晶片廠法說會營收創新高", "半導體設備出貨", "外資賣超晶片廠", "AI伺服器需求強勁"]
     titles = []
     for i in range(120):
         t = list(rnd.choice(base))

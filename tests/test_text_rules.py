@@ -14,13 +14,13 @@ from tickwise.operators import scoring as NS
 
 SAMPLES = [
     None, "", "   ", "　 全形空白 　", "a\x1cb\x1dc", "line1\r\nline2\rline3\n",
-    "廣告 廣告\n正文第一段，台積電營收創新高。\n\n\n\n分享\n首頁\n/\n12\n12345\n#台積電\n結尾",
+    "廣告 廣告\n正文第一段，晶片廠營收創新高。\n\n\n\n分享\n首頁\n/\n12\n12345\n#晶片廠\n結尾",
     "登入會員看更多\n說明\n解鎖全文\n內文",
     "展開全文\n很多字\n免費試用 7 日\n之後",
     "Loading...\nLOADING...\n（2/23 09:29 更新）\n剩 3 篇\n剩篇\n不用抽 不用搶 下載\n正文",
     "中央社 一手新聞 app\n中央社某某一手新聞某某APP\n正文",
     "前文\n延伸閱讀\n相關 A\n相關 B",
-    "  Title - Yahoo奇摩新聞 ", "A-B news", "台積電 (2330) 法說會：Q4 營收 -5% 年增_率",
+    "  Title - 某新聞網 ", "A-B news", "晶片廠 (1234) 法說會：Q4 營收 -5% 年增_率",
     "x́y", "no hyphen here",
     "廣告\n\n正文", "a\n廣告", "廣告", "\n廣告\n", "廣告\r\n\r\n分享\r\n正文\r\n", "12\n\n\n\n\n34\n",
     "免費試用 7 日\n\n下一行", "  /  \n\x0c首頁\x1c正文\u2028廣告\x85尾",

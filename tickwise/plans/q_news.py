@@ -384,7 +384,7 @@ _NOISE_SAMPLES = [
     ("廣告 廣告\n", "\n延伸閱讀\n相關文章 A\n相關文章 B"),
     ("", "\n\n\n\n12\n/\n首頁\n新聞專題\n"),
     ("登入會員看更多\n說明\n解鎖全文\n", "\n尾段"),
-    ("#台積電\n（2/23 09:29 更新）\n", "\r\n分享\r\n"),
+    ("#晶片廠\n（2/23 09:29 更新）\n", "\r\n分享\r\n"),
     ("Loading...\n\n\n\n", "\n剩 3 篇\n免費試用 7 日方案"),
     ("", ""),
 ]
