@@ -292,10 +292,118 @@ def q_a2(spark, sf):
     return p.select("page_id", AR.page_body(F.col("html")).alias("body"))
 
 
-@register("a3_publish_date")
+# derived pages: each order's date written the way one of the seven publish-date rules reads it
+add_view("v_order_pages", (), """
+    SELECT o_orderkey AS page_id,
+      CASE WHEN o_orderkey % 10 IN (4, 5, 6) THEN
+             CASE o_orderkey % 10
+               WHEN 4 THEN 'https://e.example/news/afe/' || strftime(o_orderdate, '%Y%m%d')
+                           || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || '.aspx'
+               WHEN 5 THEN 'https://e.example/story/' || strftime(o_orderdate, '%Y%m%d')
+                           || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0')
+               ELSE 'https://e.example/' || CAST(year(o_orderdate) AS VARCHAR) || '/' || CAST(month(o_orderdate) AS VARCHAR)
+                    || '/' || CAST(day(o_orderdate) AS VARCHAR) || '/story' END
+           ELSE 'https://e.example/a/' || CAST(o_orderkey AS VARCHAR) END AS url,
+      '<html><head>' || CASE o_orderkey % 10
+        WHEN 0 THEN '<meta property="article:published_time" content="' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '">'
+        WHEN 1 THEN '<meta name="pubdate" content="' || strftime(o_orderdate, '%Y-%m-%d') || '">'
+        WHEN 2 THEN '<meta property="datePublished" content="soon"><meta name="DC.date.issued" content="'
+                    || strftime(o_orderdate, '%Y-%m-%d') || ' 08:00">'
+        WHEN 3 THEN '<time datetime="bad"></time>'
+        ELSE '' END || '</head><body>' || CASE o_orderkey % 10
+        WHEN 3 THEN '<time datetime="' || strftime(o_orderdate, '%Y-%m-%dT%H:%M') || '">t</time>'
+        WHEN 7 THEN '<p>&copy; ' || CAST(year(o_orderdate) AS VARCHAR) || '年' || CAST(month(o_orderdate) AS VARCHAR) || '月'
+                    || CAST(day(o_orderdate) AS VARCHAR) || '日</p>'
+        WHEN 8 THEN '<script>var d="2001/01/01 00:00";</script><p>' || strftime(o_orderdate, '%Y/%m/%d') || ' '
+                    || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':05</p>'
+        ELSE '<p>no date</p>' END || '</body></html>' AS html
+    FROM orders""")
+
+
+def _order_pages(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    m = k % 10
+    y, mo, dd = F.year(d).cast("string"), F.month(d).cast("string"), F.dayofmonth(d).cast("string")
+    num = F.lpad((k % 10000).cast("string"), 4, "0")
+    url = (F.when(m == 4, F.concat(F.lit("https://e.example/news/afe/"), F.date_format(d, "yyyyMMdd"), num, F.lit(".aspx")))
+           .when(m == 5, F.concat(F.lit("https://e.example/story/"), F.date_format(d, "yyyyMMdd"), num))
+           .when(m == 6, F.concat(F.lit("https://e.example/"), y, F.lit("/"), mo, F.lit("/"), dd, F.lit("/story")))
+           .otherwise(F.concat(F.lit("https://e.example/a/"), k.cast("string"))))
+    head = (F.when(m == 0, F.concat(F.lit('<meta property="article:published_time" content="'),
+                                    F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"), F.lit('">')))
+            .when(m == 1, F.concat(F.lit('<meta name="pubdate" content="'), F.date_format(d, "yyyy-MM-dd"), F.lit('">')))
+            .when(m == 2, F.concat(F.lit('<meta property="datePublished" content="soon"><meta name="DC.date.issued" content="'),
+                                   F.date_format(d, "yyyy-MM-dd"), F.lit(' 08:00">')))
+            .when(m == 3, F.lit('<time datetime="bad"></time>'))
+            .otherwise(F.lit("")))
+    body = (F.when(m == 3, F.concat(F.lit('<time datetime="'), F.date_format(d, "yyyy-MM-dd'T'HH:mm"), F.lit('">t</time>')))
+            .when(m == 7, F.concat(F.lit("<p>&copy; "), y, F.lit("年"), mo, F.lit("月"), dd, F.lit("日</p>")))
+            .when(m == 8, F.concat(F.lit('<script>var d="2001/01/01 00:00";</script><p>'), F.date_format(d, "yyyy/MM/dd"),
+                                   F.lit(" "), F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":05</p>")))
+            .otherwise(F.lit("<p>no date</p>")))
+    html = F.concat(F.lit("<html><head>"), head, F.lit("</head><body>"), body, F.lit("</body></html>"))
+    return o.select(k.alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+_ISO_DAY = "'^[0-9]{4}-[0-9]{2}-[0-9]{2}'"
+
+
+def _attr_date_sql(raw):
+    return (f"CASE WHEN strpos({raw}, 'T') > 0 THEN (CASE WHEN regexp_matches(split_part({raw}, 'T', 1), {_ISO_DAY}) "
+            f"THEN split_part({raw}, 'T', 1) || ' ' || substring(split_part({raw}, 'T', 2), 1, 5) END) "
+            f"ELSE (CASE WHEN regexp_matches(substring({raw}, 1, 10), {_ISO_DAY}) THEN substring({raw}, 1, 10) END) END")
+
+
+def _meta_content_sql(attr, name):
+    esc = name.replace(".", "\\.")
+    tag_pat = "(?is)<meta\\b[^>]*\\b" + attr + "\\s*=\\s*[\"']" + esc + "[\"'][^>]*>"
+    content_pat = "(?is)\\bcontent\\s*=\\s*\"([^\"]*)\"|\\bcontent\\s*=\\s*'([^']*)'"
+    return f"regexp_extract(regexp_extract(html, {ST.q(tag_pat)}, 0), {ST.q(content_pat)}, 1)"
+
+
+def _publish_date_sql():
+    from ..functions.dates import META_DATE_NAMES
+
+    metas = []
+    for nme in META_DATE_NAMES:
+        pc, nc = _meta_content_sql("property", nme), _meta_content_sql("name", nme)
+        metas.append(_attr_date_sql(f"(CASE WHEN {pc} <> '' THEN {pc} WHEN {nc} <> '' THEN {nc} END)"))
+    time_pat = ST.q("(?is)<time\\b[^>]*\\bdatetime\\s*=\\s*\"([^\"]*)\"")
+    times = (f"list_filter(list_transform(regexp_extract_all(html, {time_pat}, 1), "
+             f"lambda v: {_attr_date_sql('v')}), lambda v: v IS NOT NULL)[1]")
+
+    def ymd(src, pat, groups, pad=False):
+        parts = [f"regexp_extract({src}, {ST.q(pat)}, {g})" for g in groups]
+        if pad:
+            parts = [parts[0]] + [f"lpad({x}, 2, '0')" for x in parts[1:]]
+        return " || '-' || ".join(parts)
+
+    r3p = "/news/\\w+/(20[0-9]{2})([0-9]{2})([0-9]{2})[0-9]+\\.aspx"
+    r3 = f"CASE WHEN regexp_matches(url, {ST.q(r3p)}) THEN {ymd('url', r3p, (1, 2, 3))} END"
+    r4p = "(^|[^0-9])(20[0-9]{2})(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]"
+    r4c = ymd("url", r4p, (2, 3, 4))
+    r4 = f"CASE WHEN regexp_matches(url, {ST.q(r4p)}) AND try_strptime({r4c}, '%Y-%m-%d') IS NOT NULL THEN {r4c} END"
+    r5p = "/([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})/"
+    r5 = f"CASE WHEN regexp_matches(url, {ST.q(r5p)}) THEN {ymd('url', r5p, (1, 2, 3), pad=True)} END"
+    text = ST.decode("regexp_replace(" + ST.drop_elements("regexp_replace(html, '(?s)<!--.*?-->', '', 'g')",
+                                                         ["script", "style", "template"]) + ", '<[^>]*>', '', 'g')")
+    r6p = "(20[0-9]{2})年([0-9]{1,2})月([0-9]{1,2})日"
+    r6 = f"CASE WHEN regexp_matches(t, {ST.q(r6p)}) THEN {ymd('t', r6p, (1, 2, 3), pad=True)} END"
+    r7p = ST.re2(r"(20\d{2})/(0[1-9]|1[0-2])/(0[1-9]|[12]\d|3[01])\s+(\d{2}):(\d{2})")
+    g7 = [f"regexp_extract(t, {ST.q(r7p)}, {g})" for g in range(1, 6)]
+    r7 = (f"CASE WHEN regexp_matches(t, {ST.q(r7p)}) THEN {g7[0]} || '-' || {g7[1]} || '-' || {g7[2]} || ' ' "
+          f"|| {g7[3]} || ':' || {g7[4]} END")
+    return (f"SELECT page_id, coalesce({', '.join(metas)}, {times}, {r3}, {r4}, {r5}, {r6}, {r7}) AS publish_date "
+            f"FROM (SELECT page_id, url, html, {text} AS t FROM (SELECT page_id, url, html FROM v_order_pages "
+            f"UNION ALL SELECT page_id + 1000000000000 AS page_id, url, html FROM v_pages) u) x")
+
+
+@register("a3_publish_date", with_views(_publish_date_sql(), "v_order_pages", "v_pages"))
 def q_a3(spark, sf):
-    """Publish date of every stored page (the test pages carry no date, so nulls are expected)."""
-    p = views.pages(spark, sf)
+    """Publish date of the stored pages and of pages spelling each order's date for one of the seven rules."""
+    p = _order_pages(spark, sf).unionByName(
+        views.pages(spark, sf).select((F.col("page_id") + F.lit(1000000000000)).alias("page_id"), "url", "html"))
     return p.select("page_id", AR.publish_date(F.col("html"), F.col("url")).alias("publish_date"))
 
 
