@@ -10,6 +10,7 @@ from ..operators.forecast import forecast_naive, horizon_rows, mape
 from ..operators.scale import inverse_with, minmax_scale
 from ..operators.windows import windows
 from ..sources import views
+from ..sources.tables import table
 from .registry import register
 from .sql_views import with_views
 
@@ -236,19 +237,19 @@ def q_s11(spark, sf):
     SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS date FROM events
     WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""")
 def q_s12(spark, sf):
-    ev = SH.day_range(spark.read.parquet(f"{sf}/events.parquet"), "ts", "2024-01-10", "2024-01-20")  # pushed down
+    ev = SH.day_range(table(spark, sf, "events"), "ts", "2024-01-10", "2024-01-20")  # pushed down
     ev = ev.select("event_id", SH.minute_text(F.col("ts")).alias("date"))
     return SH.day_slice(ev, SH.date_spine(spark, "2024-01-10", "2024-01-20"), "date")
 
 
 @register("s13_minute_text", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events")
 def q_s13(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", SH.minute_text(F.col("ts")).alias("minute"))
+    return table(spark, sf, "events").select("event_id", SH.minute_text(F.col("ts")).alias("minute"))
 
 
 @register("s14_cast_key", "SELECT doc_id, CAST(doc_id % 7 AS VARCHAR) AS stock_id FROM documents")
 def q_s14(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", (F.col("doc_id") % 7).alias("stock_id"))
+    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 7).alias("stock_id"))
     return SH.cast_key(d, "stock_id")
 
 

@@ -10,6 +10,7 @@ from ..functions.html import page_text
 from ..operators import articles as AR
 from ..operators import links as LK
 from ..sources import views
+from ..sources.tables import table
 from . import sql_text as ST
 from .registry import register
 from .sql_views import add_view, with_views
@@ -142,7 +143,7 @@ add_view("v_order_links", (), """
 
 
 def _order_links(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet")
+    o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
     href = F.concat(F.lit("https://www.example.tw/"), F.when(k % 2 == 0, F.lit("news")).otherwise(F.lit("NEWS")),
                     F.lit("/cat"), (k % 3).cast("string"), F.lit("/"), F.date_format("o_orderdate", "yyyyMMdd"),
@@ -238,7 +239,7 @@ add_view("v_order_dates", (), """
 
 
 def _order_dates(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet")
+    o = table(spark, sf, "orders")
     k, d = F.col("o_orderkey") % 6, F.col("o_orderdate")
     t = (F.when(k == 0, F.date_format(d, "yyyy-MM-dd HH:mm"))
          .when(k == 1, F.concat_ws("-", F.year(d).cast("string"), F.month(d).cast("string"), F.dayofmonth(d).cast("string")))
@@ -321,7 +322,7 @@ add_view("v_order_pages", (), """
 
 
 def _order_pages(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet")
+    o = table(spark, sf, "orders")
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     m = k % 10
     y, mo, dd = F.year(d).cast("string"), F.month(d).cast("string"), F.dayofmonth(d).cast("string")
@@ -424,7 +425,7 @@ add_view("v_order_reltext", (), """
 
 
 def _order_reltext(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet")
+    o = table(spark, sf, "orders")
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     y, m, dd = F.year(d).cast("string"), F.month(d).cast("string"), F.dayofmonth(d).cast("string")
     t = (F.when(k % 8 == 0, F.concat((k % 50).cast("string"), F.lit(" 分鐘前")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as FT
 from ..operators import scoring as NS
 from ..sources import views
+from ..sources.tables import table
 from .registry import register
 from .sql_text import py_strip, strip_fence
 from .sql_views import add_view, with_views
@@ -177,7 +178,7 @@ def q_n5(spark, sf):
            coalesce(p.summary, 'row ' || e.event_type) AS summary, p.evidence, p.reason
     FROM events e JOIN v_parsed p ON e.event_id = p.id""", "v_parsed"))
 def q_n6(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").select(
+    e = table(spark, sf, "events").select(
         F.col("event_id").alias("id"), "event_type", F.concat(F.lit("row "), F.col("event_type")).alias("summary"))
     r = NS.parse_scores(views.responses(spark, sf), "response", "scores").select("id", "scores")
     return NS.attach_scores(e.join(r, "id"))
@@ -233,7 +234,7 @@ def q_n9(spark, sf):
         for f, r in _RULES_SQL.items())
     + ") q", "v_parsed"))
 def q_n10(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), F.col("ts").cast("date").alias("day"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("date").alias("day"))
     return NS.score_quality(e.join(_parsed(spark, sf), "id"), "day")
 
 

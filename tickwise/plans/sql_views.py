@@ -15,11 +15,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                  max(l_extendedprice / NULLIF(l_quantity, 0)) AS high,
                  min(l_extendedprice / NULLIF(l_quantity, 0)) AS low,
                  last(l_extendedprice / NULLIF(l_quantity, 0) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS close,
-                 avg(l_discount) AS disc,
+                 CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(l_discount) AS disc,
                  CAST(sum(l_quantity) AS BIGINT) AS volume
           FROM lineitem GROUP BY 1, 2) b"""),
     "v_index": ((), """
-        SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close
+        SELECT CAST(o_orderdate AS DATE) AS date,
+               CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS close
         FROM orders GROUP BY 1"""),
     "v_scored": ((), """
         SELECT event_id AS id, CAST(ts AS DATE) AS day,

@@ -27,6 +27,17 @@ NEWS_DAYS = 40
 NEWS_STOCKS = 7
 
 
+def _exact_mean(col: str):
+    """Mean of a 2-decimal money/rate column, independent of summation order.
+
+    A double sum depends on the order partial sums are combined in (a
+    shuffle's fetch order); summing as DECIMAL is exact, so every run — and the
+    SQL oracle — gets the same double.
+    """
+    total = F.sum(F.col(col).cast("decimal(18,2)")).cast("double")
+    return total / F.count(F.col(col))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V_bars: ticker, date, open, high, low, close, adj_close, volume."""
     li = table(spark, sf_dir, "lineitem")
@@ -40,7 +51,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(price).alias("high"),
         F.min(price).alias("low"),
         F.max_by(price, order).alias("close"),
-        F.avg("l_discount").alias("_disc"),
+        _exact_mean("l_discount").alias("_disc"),
         F.sum("l_quantity").cast("bigint").alias("volume"),
     )
     return daily.select(
@@ -54,7 +65,7 @@ def index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V_index: date, close = mean order price of the day."""
     o = table(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
-        F.avg("o_totalprice").alias("close")
+        _exact_mean("o_totalprice").alias("close")
     )
 
 
