@@ -129,19 +129,27 @@ def candidate_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     freq = toks.groupBy("_tok").agg(F.count(F.lit(1)).alias("_f"))
     per_key = toks.join(freq, "_tok").groupBy("_day", "_node", "_len").agg(
         F.sort_array(F.collect_list(F.struct("_f", "_tok"))).alias("_arr"))
-    plen = F.col("_len") - min_overlap(F.col("_len"), threshold) + 1
-    pref = per_key.select("_day", "_node", "_len",
-                          F.explode(F.transform(F.slice("_arr", 1, F.greatest(plen, F.lit(1))), lambda t: t["_tok"]))
-                          .alias("_tok"))
+    # Prefix lengths.  In a qualifying pair the shorter key y needs an overlap of
+    # at least ceil(t*|y|) (as |x| >= |y|), the longer key x at least
+    # ceil(t*|x|/(2-t)) (length bound); a prefix of |k| - alpha + 1 tokens per role
+    # keeps the prefix-filter guarantee, so short-role prefixes are joined to
+    # long-role prefixes of keys at least as long.
+    p_long = F.col("_len") - min_overlap(F.col("_len"), threshold) + 1
+    p_short = F.col("_len") - F.floor((F.col("_len") * threshold + 99) / 100).cast("int") + 1
+    pref = per_key.select("_day", "_node", "_len", p_short.alias("_ps"),
+                          F.posexplode(F.slice("_arr", 1, F.greatest(p_long, F.lit(1)))).alias("_i", "_t")) \
+        .select("_day", "_node", "_len", "_ps", (F.col("_i") + 1).alias("_i"), F.col("_t._tok").alias("_tok"))
     # both sides of the self-join share this hash partitioning (no second exchange);
     # an explicit count keeps the CPU-heavy join spread over the cluster's cores
     pref = pref.repartition(spark_parallelism(nodes), "_day", "_tok")
-    a = pref.select("_day", F.col("_node").alias("lo"), "_tok", F.col("_len").alias("lo_len"))
-    b = pref.select("_day", F.col("_node").alias("hi"), "_tok", F.col("_len").alias("hi_len"))
+    a = pref.filter(F.col("_i") <= F.col("_ps")).select(
+        "_day", F.col("_node").alias("_y"), "_tok", F.col("_len").alias("y_len"))
+    b = pref.select("_day", F.col("_node").alias("_x"), "_tok", F.col("_len").alias("x_len"))
     # length bound in integers: 200 * min(l1, l2) >= threshold * (l1 + l2)
-    short = F.least("lo_len", "hi_len")
     pairs = a.join(b, ["_day", "_tok"]).filter(
-        (F.col("lo") < F.col("hi")) & (F.lit(200) * short >= F.lit(threshold) * (F.col("lo_len") + F.col("hi_len"))))
+        (F.col("_y") != F.col("_x")) & (F.col("y_len") <= F.col("x_len"))
+        & (F.lit(200) * F.col("y_len") >= F.lit(threshold) * (F.col("y_len") + F.col("x_len")))
+    ).select("_day", F.least("_y", "_x").alias("lo"), F.greatest("_y", "_x").alias("hi"))
     return pairs.select("_day", "lo", "hi").distinct()
 
 
