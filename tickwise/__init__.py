@@ -11,3 +11,15 @@ expression builder) that runs on executors.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+# Functions that run in Python workers (the LCS pandas UDF, scorer plug-ins) are
+# shipped with the task by value, so executors need no installed copy of this
+# package (the driver may import it from a checkout that workers cannot see).
+try:  # pragma: no cover - depends on the pyspark build
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
