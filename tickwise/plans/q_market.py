@@ -262,7 +262,7 @@ def q_s15(spark, sf):
     "SELECT id, CAST(date AS TIMESTAMP) + to_minutes(CAST(id % 1440 AS BIGINT)) AS ts FROM v_news", "v_news"))
 def q_s16(spark, sf):
     n = views.news(spark, sf).select(
-        "id", F.date_format(F.col("date").cast("timestamp") + F.make_interval(mins=(F.col("id") % 1440).cast("int")),
+        "id", F.date_format(F.col("date").cast("timestamp_ntz") + F.make_interval(mins=(F.col("id") % 1440).cast("int")),
                             "yyyy-MM-dd HH:mm").alias("publish_date"))
     return SH.resolve_date_col(n, "ts").select("id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 

@@ -249,7 +249,7 @@ def q_s9_stream(spark, sf):
     from ..sources.files import scratch_path
     from ..streaming import incremental as INC
 
-    n = views.news(spark, sf).select("id", "stock_id", F.col("date").cast("timestamp").alias("ts"), "title", "source")
+    n = views.news(spark, sf).select("id", "stock_id", F.col("date").cast("timestamp_ntz").alias("ts"), "title", "source")
     landing, sink, ckpt = scratch_path(spark, "land"), scratch_path(spark, "sink"), scratch_path(spark, "ckpt")
     k = F.col("id") % 3
     INC.land_files(n, landing, [k == 0, k == 1, k == 2, F.col("id") % 5 == 0])
