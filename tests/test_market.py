@@ -119,3 +119,19 @@ def test_determinism_across_shuffle_partitions(spark, parts):
     based = sorted(tuple(r) for r in QUERIES["f_daily_features"](spark, SF_SMALL).collect())
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got == base and d == based
+
+
+def test_exact_mean_is_order_independent(spark):
+    from decimal import Decimal
+
+    from tickwise.sources.views import _exact_mean
+
+    vals = [(i % 7, round(0.01 * ((i * 37) % 1000), 2)) for i in range(5000)]
+    df = spark.createDataFrame(vals, "g INT, v DOUBLE")
+    exp = {}
+    for g, v in vals:
+        exp.setdefault(g, []).append(Decimal(str(v)))
+    for parts in (1, 13):
+        got = {r.g: r.m for r in df.repartition(parts).groupBy("g").agg(_exact_mean("v").alias("m")).collect()}
+        for g, xs in exp.items():
+            assert got[g] == float(sum(xs)) / len(xs)
