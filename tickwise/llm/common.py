@@ -38,10 +38,11 @@ def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column], chunk:
     keyed = df.withColumn("_chunk", chunk)
     totals = keyed.groupBy(*by, "_chunk").agg(F.sum(value).alias("_total"))
     over = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_chunk", F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_base"))
     keys = [*by, "_chunk"]
+    totals = totals.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)],
+                           F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    cond = [keyed[k].eqNullSafe(totals[k]) for k in keys]
-    joined = keyed.join(totals, cond, "left").select(*[keyed[c] for c in keyed.columns], totals["_base"])
+    cond = [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)]
+    joined = keyed.join(totals, cond, "left").drop(*[f"_t{i}" for i in range(len(keys))])
     return (joined.withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
             .drop("_chunk", "_base"))

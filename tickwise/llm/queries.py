@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_windows, read_back
+from ..sources.files import scratch_path
 from .common import read_table
+from .mixing import mix_report
 from .simhash import simhash_components
 from .url_templates import judge
+from .warc import describe, read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +33,12 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_windows(given.unionByName(extra)))
 
 
+@_query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each."""
+    return mix_report(read_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
@@ -40,3 +49,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return judge(read_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records to a content-addressed archive and read back."""
+    path = scratch_path(spark, "warc")
+    write_archive(read_table(spark, sf_dir, "pages"), path)
+    return describe(read_archive(spark, path))
