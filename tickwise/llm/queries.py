@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .chat import format_windows, read_back
 from ..sources.files import scratch_path
 from .common import read_table
+from .langid import predict_documents
 from .mixing import mix_report
+from .sentencepiece_nbest import encode_documents
 from .simhash import simhash_components
 from .url_templates import judge
 from .warc import describe, read_archive, write_archive
@@ -51,6 +53,19 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best encodings of all documents, decoded again."""
+    found = encode_documents(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_pieces", "score", "round_trip", "n_best")
+
+
+@_query
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return predict_documents(read_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records to a content-addressed archive and read back."""
