@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_windows, read_back
 from ..sources.files import scratch_path
 from .common import read_table
+from .html_wrapper import extract_pages
 from .langid import predict_documents
 from .mixing import mix_report
 from .sentencepiece_nbest import encode_documents
@@ -35,6 +36,12 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_windows(given.unionByName(extra)))
 
 
+@_query
+def op2_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
