@@ -13,6 +13,7 @@ from .common import read_table
 from .html_wrapper import extract_pages
 from .langid import predict_documents
 from .mixing import mix_report
+from .perm_index import nearest
 from .sentencepiece_nbest import encode_documents
 from .simhash import simhash_components
 from .url_templates import judge
@@ -60,6 +61,12 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op6_perm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every row whose id is divisible by 50, among all rows."""
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @_query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best encodings of all documents, decoded again."""
