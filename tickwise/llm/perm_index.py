@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample (``PIVOTS`` vectors per dimension, by a hash of the
-id).  A vector is represented by its ``PREFIX`` nearest pivots in order, and
+Pivots come from a bounded sample (``SAMPLE`` vectors per dimension, by a hash of
+the id), picked one after the other as the vector farthest from those picked, so
+that a large group of near copies gives one pivot, not many.  A vector is represented by its ``PREFIX`` nearest pivots in order, and
 posted under each of them, with its rank there, in the pivots' inverted files.
 The files are kept per block of about ``ROWS`` vectors (so no list grows with
 the data).  A query goes to every block: its pivots' lists give the footrule
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from .common import written
 from .vectors import clean_vectors, cosine, stack, unit
 
-PIVOTS = 256      # pivots per dimension: the sample the index is fit on
-PREFIX = 48       # nearest pivots that represent a vector
+SAMPLE = 4096     # vectors per dimension that the index is fit on
+PIVOTS = 256      # pivots per dimension
+PREFIX = 96       # nearest pivots that represent a vector
 ROWS = 8192       # different vectors of a block (about)
-RERANK = 0.12     # share of a block that is reranked
+RERANK = 0.1      # share of a block that is reranked
 LEAST = 512       # vectors of a block that are reranked at least
 QUERIES = 1024    # queries of a task
 MAX_DIMS = 64     # different dimensions; more are refused
@@ -40,14 +42,19 @@ K = 5
 
 
 def fit_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Unit pivots by dimension: the vectors with the smallest hashes of their ids."""
+    """Unit pivots by dimension, spread over a sample: the vectors with the smallest hashes of their ids."""
     counts = vectors.groupBy("dim").count().limit(MAX_DIMS + 1).collect()
     if len(counts) > MAX_DIMS:
         raise ValueError(f"more than {MAX_DIMS} dimensions")
     out = {}
-    for row in counts:  # a handful of dimensions, `pivots` vectors each
-        some = vectors.where(F.col("dim") == row["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("raw").toPandas()
-        out[row["dim"]] = unit(stack(some["raw"].tolist()))
+    for row in counts:  # a handful of dimensions, SAMPLE vectors each
+        some = vectors.where(F.col("dim") == row["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("raw").toPandas()
+        x = unit(stack(some["raw"].tolist()))
+        picked, nearest_pivot = [0], x @ x[0]
+        while len(picked) < min(pivots, len(x)):
+            picked.append(int(nearest_pivot.argmin()))
+            nearest_pivot = np.maximum(nearest_pivot, x @ x[picked[-1]])
+        out[row["dim"]] = x[picked]
     return out
 
 

@@ -13,6 +13,7 @@ from .common import read_table
 from .html_wrapper import extract_pages
 from .langid import predict_documents
 from .mixing import mix_report
+from .nn_descent import near_duplicates
 from .perm_index import nearest
 from .sentencepiece_nbest import encode_documents
 from .simhash import simhash_components
@@ -86,3 +87,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archive(read_table(spark, sf_dir, "pages"), path)
     return describe(read_archive(spark, path))
+
+
+@_query
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all vectors."""
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
