@@ -247,3 +247,16 @@ def predict_documents(docs: DataFrame) -> DataFrame:
     model = fit(rows.where(~held_out(F.col("doc_id"))))
     found = identify(rows.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose language is unknown: null texts and texts without letters.
+
+    The model is fit on the rows with text and label that are not held out.
+    """
+    labelled = docs.where(~held_out(F.col("doc_id").cast("long")))
+    names = docs.columns
+    clash = {c: f"_given_{c}" for c in names if c in ("lang_pred", "score", "lang_spans")}   # the caller's own columns
+    rows = docs.withColumn("text", F.col("text").cast("string")).withColumnsRenamed(clash)
+    found = identify(rows, fit(labelled)).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in names])

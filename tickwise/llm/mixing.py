@@ -230,18 +230,18 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed:
     _, _, uses = plan_mix(docs, block, shard, seed)
     passes = (uses.groupBy("key", "at", "epoch").agg(F.collect_list(F.struct("from", "n")).alias("spans"), F.sum("n").alias("n"),
                                                      F.first("size").alias("size"))
-              .groupBy("key").agg(F.collect_list(F.struct("spans", "n", "size")).alias("passes")))
+              .groupBy("key").agg(F.collect_list(F.struct("spans", "n", "size")).alias("_passes")))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut_words(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    names = docs.columns
+    names = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
     # exact repeats share a key: their passes come together, so one of them carries all
     rows = keyed.join(passes.withColumnRenamed("key", "_key"), "_key").dropDuplicates(["_key"])
-    rows = rows.withColumn("_pass", F.explode("passes"))
+    rows = rows.withColumn("_pass", F.explode("_passes"))
     whole, part = rows.where("_pass.n = _pass.size"), rows.where("_pass.n < _pass.size")
     part = part.withColumn("text", cut("text", "_pass.spans"))
     out = whole.select(*names).unionByName(part.select(*names))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -68,15 +68,19 @@ def text_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``, whole texts, fp as a signed long."""
+    """(doc_id, key, fp): one row per row of ``docs``, whole texts, fp as a signed long; key hashes id and text."""
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fps = [_signed(text_fingerprint(t, shingle)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _key().alias("key"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
+
+
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def _block_masks(blocks: int) -> list[int]:
@@ -176,6 +180,15 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BL
             .mapInArrow(lambda it: _links(it, max_bits), "a long, b long"))
 
 
+def _grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """(doc_id, key, fp, label): one row per row of ``docs``; label names the component."""
+    per_doc = written(fingerprints(docs, shingle), "simhash-docs")
+    fps = written(per_doc.select("fp").distinct(), "simhash-fps")
+    groups = connected_components(fingerprint_links(fps, max_bits)).withColumnRenamed("node", "fp")
+    labels = fps.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
+    return per_doc.join(labels, "fp")
+
+
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of ``docs``.
 
@@ -184,13 +197,20 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     it has none); repeated rows come back as often as they occur; an empty table
     gives an empty result; further columns are ignored.
     """
-    per_doc = written(fingerprints(docs, shingle), "simhash-docs")
-    per_fp = written(per_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-fps")
-    links = fingerprint_links(per_fp.select("fp"), max_bits)
-    groups = connected_components(links).withColumnRenamed("node", "fp")
-    label = F.coalesce("component", "fp")
-    named = written(per_fp.join(groups, "fp", "left").select("fp", "first_id", label.alias("label")), "simhash-named")
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    per_label = named.join(least, "label").select("fp", "component_id")
-    return per_doc.join(per_label, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = written(_grouped(docs, shingle, max_bits).select("doc_id", "fp", "label"), "simhash-rows")
+    least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "label").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest doc_id.
+
+    A null doc_id counts as larger than any other; of rows that share that id
+    and the text one stays, of different texts under that id the one with the
+    smaller hash.
+    """
+    rows = _grouped(docs, shingle, max_bits)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    kept = written(rows.groupBy("label").agg(first.alias("first")).select(F.col("first.key").alias("_key")), "simhash-kept")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn("_key", _key()).join(kept, "_key").dropDuplicates(["_key"]).select(*names)
