@@ -72,7 +72,7 @@ def _date_from_attr(raw: Column) -> Column:
 def _meta_content(html: Column, attr: str, name: str) -> Column:
     esc = name.replace(".", r"\.")
     tag = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\b{attr}\s*=\s*[\"']{esc}[\"'][^>]*>", 0)
-    return F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*\"([^\"]*)\"|\bcontent\s*=\s*'([^']*)'", 1)
+    return F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*(["'])(.*?)\1""", 2)
 
 
 def meta_date(html: Column) -> Column:
@@ -89,7 +89,7 @@ def meta_date(html: Column) -> Column:
 
 def time_date(html: Column) -> Column:
     """A3 rule 2: first ``<time datetime>`` whose value gives a date."""
-    vals = F.regexp_extract_all(html, F.lit(r"(?is)<time\b[^>]*\bdatetime\s*=\s*\"([^\"]*)\""), F.lit(1))
+    vals = F.regexp_extract_all(html, F.lit(r"""(?is)<time\b[^>]*\bdatetime\s*=\s*(["'])(.*?)\1"""), F.lit(2))
     return F.get(F.filter(F.transform(vals, _date_from_attr), lambda v: v.isNotNull()), 0)
 
 

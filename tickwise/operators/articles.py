@@ -18,7 +18,7 @@ from ..functions.text import py_lines, py_strip
 MIN_LEN = 50
 
 # Class / id patterns of article containers (case-insensitive search).
-BODY_CLASS_PATTERN = (r"article.?(body|content|text)|news.?content|main.?content|"
+BODY_CLASS_PATTERN = (r"article.?(?:body|content|text)|news.?content|main.?content|"
                       r"articleContent|article-content|story-body")
 BODY_ID_PATTERN = r"article|content|main"
 DROPPED_IN_BODY = ["script", "style", "nav", "footer", "aside"]

@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import decode_entities, get_text
-from ..functions.text import PY_WS
 from ..functions.urls import canonical_url, resolve_url, url_host, url_path
 
-ANCHOR = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'
+# group 1: the href's value with its quotes, if it has any; group 2: the anchor's inner html
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a\s*>"""
+
+
+def unquoted(value: Column) -> Column:
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
 def extract_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
@@ -25,7 +29,7 @@ def extract_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("
     hrefs = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(1))
     texts = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(2))
     return pages.select(*keep, F.posexplode(F.arrays_zip(hrefs.alias("h"), texts.alias("t"))).alias("pos", "_a")).select(
-        *keep, "pos", decode_entities(F.col("_a.h")).alias("href"), get_text(F.col("_a.t")).alias("anchor_text"))
+        *keep, "pos", decode_entities(unquoted(F.col("_a.h"))).alias("href"), get_text(F.col("_a.t")).alias("anchor_text"))
 
 
 def link_rule(kind: str, **p) -> Column:
@@ -76,9 +80,9 @@ def union_sources(parts: Sequence[tuple[DataFrame, str, bool]]) -> DataFrame:
 
 
 def until_first_empty(links: DataFrame, page_list: DataFrame, source: str = "source", page: str = "page",
-                      max_pages: int = 5) -> DataFrame:
+                      max_pages: int | None = None) -> DataFrame:
     """Keep links of the pages before the first page (in page order) that yields
-    no new link, and at most ``max_pages`` pages per source.
+    no new link; a crawl may also stop after ``max_pages`` pages per source.
 
     ``links`` are already first-wins deduplicated within the source (L8), so
     each row is a *new* link of its page; ``page_list`` lists every fetched page
@@ -90,7 +94,10 @@ def until_first_empty(links: DataFrame, page_list: DataFrame, source: str = "sou
     w = Window.partitionBy(source).orderBy(page).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ok = per_page.withColumn("_empties", F.sum(F.when(F.col("_new") == 0, 1).otherwise(0)).over(w)) \
         .withColumn("_rank", F.row_number().over(Window.partitionBy(source).orderBy(page))) \
-        .filter((F.col("_empties") == 0) & (F.col("_rank") <= max_pages)).select(source, page)
+        .filter(F.col("_empties") == 0)
+    if max_pages is not None:
+        ok = ok.filter(F.col("_rank") <= max_pages)
+    ok = ok.select(source, page)
     return links.join(ok, [source, page], "left_semi")
 
 
@@ -123,14 +130,10 @@ def labelled_block_links(pages: DataFrame, label: str, keep: Sequence[str] = ("p
     out = out.join(first_kind, [*keep, "kind"], "left_semi")
     out = out.filter(F.contains(get_text(F.col("block")), F.lit(label)))
     href = F.regexp_extract(F.col("block"), ANCHOR, 1)
-    return out.filter(href != "").select(*keep, "block_pos", decode_entities(href).alias("href"))
+    return out.filter(href != "").select(*keep, "block_pos", decode_entities(unquoted(href)).alias("href"))
 
 
 def links_from_pages(pages: DataFrame, mode: str = "query_fragment") -> DataFrame:
     """L1 + L2 + L3: resolved, canonical links with their ordinal on the page."""
     a = extract_links(pages)
     return a.withColumn("link", canonical_url(resolve_url(F.col("href"), F.col("url")), mode))
-
-
-def has_date_suffix_col(c: str) -> Column:
-    return F.col(c).rlike(r"\d{4}/\d{2}/\d{2}" + PY_WS + r"+\d{2}:\d{2}\z")

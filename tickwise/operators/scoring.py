@@ -135,10 +135,16 @@ def parse_scores(df: DataFrame, col: str = "response", out: str = "scores") -> D
     """
     cleaned = df.withColumn("_clean", strip_fence(F.col(col)))
     parsed = cleaned.withColumn(
-        "_raw", F.from_json(F.when(F.startswith(F.col("_clean"), F.lit("{")), F.col("_clean")), _RAW_SCHEMA)
+        "_raw", F.from_json(F.when(F.startswith(F.col("_clean"), F.lit("{")),
+                                   F.concat(F.lit('{"v":'), F.col("_clean"), F.lit(',"end":1}'))),
+                            T.StructType([T.StructField("v", _RAW_SCHEMA), T.StructField("end", T.IntegerType())]),
+                            {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"})
     ).drop("_clean")
+    # what follows the object breaks the frame around it: text behind the JSON makes all fields null
+    parsed = parsed.withColumn("_raw", F.when(F.col("_raw.end") == 1, F.col("_raw.v")))
+    number = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
     typed = F.struct(
-        *[F.col("_raw")[f].try_cast("double").alias(f) for f in SCORE_FIELDS],
+        *[F.when(F.col("_raw")[f].rlike(number), F.col("_raw")[f].try_cast("double")).alias(f) for f in SCORE_FIELDS],
         *[F.col("_raw")[f].alias(f) for f in TEXT_FIELDS],
     )
     return parsed.withColumn(out, typed).drop("_raw")

@@ -209,11 +209,11 @@ def q_s8(spark, sf):
 
 @register("s9_append_idempotent", with_views("SELECT ticker, date, close FROM v_bars", "v_bars"))
 def q_s9(spark, sf):
-    """Two appends of overlapping day sets: the overlap is replaced, not duplicated."""
+    """Two appends of overlapping day sets: the overlap is not duplicated."""
     path = IO.scratch_path(spark, "s9")
     b = views.bars(spark, sf).select("ticker", "date", "close", F.date_format("date", "yyyy-MM").alias("month"))
-    IO.append_table(b.filter(F.year("date") <= 1998), path, ["month"])
-    IO.append_table(b.filter(F.year("date") >= 1997), path, ["month"])
+    IO.append_table(b.filter(F.year("date") <= 1998), path, ["month"], ["ticker", "date"])
+    IO.append_table(b.filter(F.year("date") >= 1997), path, ["month"], ["ticker", "date"])
     return spark.read.schema("ticker STRING, date DATE, close DOUBLE, month STRING").parquet(path) \
         .select("ticker", "date", "close")
 

@@ -25,9 +25,10 @@ DATE_FILTERED = [False, True, True, False]
 def _anchor_sql():
     pat = ST.q(LK.ANCHOR)
     return f"""
+      SELECT page_id, url, pos, CASE WHEN left(h, 1) IN (chr(34), chr(39)) THEN substring(h, 2, length(h) - 2) ELSE h END AS h, t FROM (
       SELECT page_id, url, unnest(range(len(h))) AS pos, unnest(h) AS h, unnest(t) AS t FROM (
         SELECT page_id, url, regexp_extract_all(html, {pat}, 1) AS h, regexp_extract_all(html, {pat}, 2) AS t
-        FROM v_pages) a"""
+        FROM v_pages) a) b"""
 
 
 def _host_sql(u):
@@ -215,7 +216,7 @@ def q_l10(spark, sf):
                SELECT *, sum(CASE WHEN n_new = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_rank ORDER BY page
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e,
                  row_number() OVER (PARTITION BY source_rank ORDER BY page) AS rk FROM np) x
-             WHERE e = 0 AND rk <= 5)
+             WHERE e = 0)
     SELECT d.link, d.source_rank, d.page, d.pos FROM v_src_dedup d
     JOIN ok ON d.source_rank = ok.source_rank AND d.page = ok.page""".replace("\n    , pg", "\n    , pg", 1),
     "v_src_dedup", "v_pages"))
@@ -223,7 +224,7 @@ def q_l11(spark, sf):
     d = _source_dedup(spark, sf)
     pl = views.pages(spark, sf).select((F.col("page_id") % 4).cast("int").alias("source_rank"),
                                        (F.col("page_id") / 4).cast("bigint").alias("page"))
-    return LK.until_first_empty(d, pl, "source_rank", "page", 5).select("link", "source_rank", "page", "pos")
+    return LK.until_first_empty(d, pl, "source_rank", "page").select("link", "source_rank", "page", "pos")
 
 
 add_view("v_order_dates", (), """

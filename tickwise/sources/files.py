@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,15 +98,30 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
     w.format(fmt).save(path)
 
 
-def append_table(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet") -> None:
-    """Idempotent append: partitions present in ``df`` are replaced, others kept.
+def read_if_exists(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame | None:
+    """The table under ``path``, or None if nothing was written there yet; other errors rise."""
+    try:
+        return spark.read.schema(schema).format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
-    With ``partitionOverwriteMode=dynamic`` a re-run of the same day rewrites
-    that day instead of duplicating it (the reference appends blindly).
+
+def append_table(df: DataFrame, path: str, partition_by: list[str], key: list[str], fmt: str = "parquet") -> None:
+    """Idempotent append: rows whose ``key`` the touched partitions do not hold yet are added.
+
+    A re-run of a delivery adds nothing; a later delivery for the same
+    partition keeps the earlier rows.  Null keys are compared as values.
     """
-    # one writer per partition value: no small-file explosion (tasks x partitions)
-    (df.repartition(*partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partition_by).format(fmt).save(path))
+    names = list(dict.fromkeys([*partition_by, *key]))
+    new = df.dropDuplicates(names)
+    old = read_if_exists(df.sparkSession, path, df.schema, fmt)
+    if old is not None:
+        old = old.select(*[F.col(c).alias(f"_old_{c}") for c in names])
+        new = new.join(old, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in names], "left_anti")
+    # rows of a partition value come together, large values are split over several writers
+    new.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).format(fmt).save(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -10,23 +10,12 @@ TABLES = (
 ).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one table; column pruning and filters reach the parquet reader.
 
-    A scan with fewer input splits than the cluster has cores (a small table in
-    one row group) is spread round-robin over the cores, so the per-row work
-    fused into the scan stage (text rules, partial aggregation) is not
-    single-threaded.  Large tables already yield at least one split per core
-    and are left alone (no extra shuffle at scale).
+    The splits are the reader's own (``spark.sql.files.maxPartitionBytes``): the
+    plan is the same at every size.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_small(df) if spread else df
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

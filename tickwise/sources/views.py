@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import spread_small, table
+from .tables import table
 
 # Fixed values of the test views (FIXTURES.md): tie order of line items,
 # the shift that moves January 2024 into the bar calendar, the news epoch.
@@ -111,16 +111,15 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V_news: id, stock_id, date, title, text, source."""
-    # spread after the projection: consumers that only need titles do not shuffle texts
-    d = table(spark, sf_dir, "documents", spread=False)
-    return spread_small(d.select(
+    d = table(spark, sf_dir, "documents")
+    return d.select(
         F.col("doc_id").alias("id"),
         F.lpad((F.col("doc_id") % NEWS_STOCKS).cast("string"), 4, "0").alias("stock_id"),
         F.date_add(F.lit(NEWS_EPOCH).cast("date"), (F.col("doc_id") % NEWS_DAYS).cast("int")).alias("date"),
         F.substring_index(F.col("text"), "\n", 1).alias("title"),
         F.col("text"),
         F.col("source"),
-    ))
+    )
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

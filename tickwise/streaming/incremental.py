@@ -15,12 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _batch_writer(sink: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").format(fmt).save(f"{sink.rstrip('/')}/batch_id={batch_id}")
-
-    return write
+from ..sources.files import read_if_exists
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, sink: str, checkpoint: str,
@@ -45,11 +40,12 @@ def stream_score(spark: SparkSession, source_dir: str, schema: T.StructType, sin
     def run(batch: DataFrame, batch_id: int) -> None:
         spark_ = batch.sparkSession
         todo = batch.dropDuplicates([key])
-        try:
-            done = spark_.read.parquet(sink).select(key)
+        # a replayed batch must not find its own earlier output: only batches before it are done
+        known = T.StructType([batch.schema[key], T.StructField("batch_id", T.LongType())])
+        done = read_if_exists(spark_, sink, known)
+        if done is not None:
+            done = done.where(F.col("batch_id") < batch_id).select(key)
             todo = todo.join(done, on=key, how="left_anti")
-        except Exception:  # noqa: BLE001 - first batch: no sink yet
-            pass
         score(todo).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
 
     q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
