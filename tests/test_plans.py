@@ -34,6 +34,15 @@ def test_no_cross_or_nested_loop_join(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_ranks_are_cut_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in plan_of(spark, "f2_net_impact")
+
+
+@pytest.mark.parametrize("name", ["l8_dedup_first", "l9_union_sources", "l10_dedup_across_sources", "l13_link_counts"])
+def test_pages_are_scanned_once(spark, name):
+    assert len(re.findall(r"FileScan parquet", plan_of(spark, name))) == 1
+
+
 def test_flagship_plan(spark):
     plan = plan_of(spark, "p6_naive_mape")
     # bars aggregate, index aggregate, one ticker partitioning shared by every window

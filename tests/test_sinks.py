@@ -55,3 +55,38 @@ def test_quotes_and_class_bodies(spark):
     assert [r.href for r in L.extract_links(p).orderBy("pos").collect()] == ["x", "y", "z"]
     row = p.select(A.page_body(F.col("html")).alias("body"), A.publish_date(F.col("html"), F.col("url")).alias("date")).first()
     assert row.body == "Hello\nw" and row.date == "2024-01-02 03:04"
+
+
+def test_attached_keys_override_also_with_null(spark):
+    rows = [(1, '{"summary": null}', "row"), (2, '{"reason": "r"}', "row"), (3, "no json", "row"), (4, '{"summary": "s"} x', "row"),
+            (5, '{"summary": "s"}', "row")]
+    df = spark.createDataFrame(rows, "id INT, response STRING, summary STRING")
+    parsed = S.parse_scores(df, keys="found")
+    got = {r.id: r.summary for r in S.attach_scores(parsed, keys="found").collect()}
+    assert got == {1: None, 2: "row", 3: "row", 4: "row", 5: "s"}
+    assert "found" not in S.attach_scores(parsed, keys="found").columns
+
+
+def test_clamp_keeps_null(spark):
+    df = spark.createDataFrame([(None, 2.0, -1.0, 0.5)], ", ".join(f"{f} DOUBLE" for f in S.SCORE_FIELDS))
+    assert tuple(S.validate_scores(df, "clamp").first()) == (None, 1.0, 0.0, 0.4)
+
+
+def test_extracted_articles_are_cleaned_and_checked_again(spark):
+    long = "word " * 20
+    pages = spark.createDataFrame([
+        (1, "http://e/a", f"<article><p>{long}</p><p>延伸閱讀</p><p>more</p></article>"),
+        (2, "http://e/b", f"<article><p>short</p><p>延伸閱讀</p><p>{long}</p></article>"),
+        (3, "http://e/c", f"<div class='story-body'><p>{long}</p><p>廣告</p></div>"),
+    ], "page_id INT, url STRING, html STRING")
+    got = {r.page_id: r.text for r in A.extract_articles(pages).collect()}
+    assert got == {1: long.strip(), 3: long.strip()}
+
+
+def test_tagged_sources_equal_the_union(spark):
+    from tickwise.operators import links as LK
+
+    df = spark.range(10).withColumn("rank", F.col("id") % 2)
+    union = LK.union_sources([(df.filter("rank = 0"), "a", True), (df.filter("rank = 1"), "b", False)])
+    tagged = LK.tag_sources(df, F.col("rank"), ["a", "b"], [True, False])
+    assert sorted(map(tuple, tagged.select(*union.columns).collect())) == sorted(map(tuple, union.collect()))

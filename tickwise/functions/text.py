@@ -36,8 +36,3 @@ def py_lines(c: Column) -> Column:
     """
     parts = F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), _LINE_BREAK_CLASS)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-
-
-def substr_py(c: Column, n: int) -> Column:
-    """``str(s)[:n]``."""
-    return F.substring(c, 1, n)

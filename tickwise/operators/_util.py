@@ -24,11 +24,6 @@ def ordered_window(by: Sequence[str], order: Sequence[Column | str]):
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def with_pos(df: DataFrame, by: Sequence[str] = ("ticker",), order: str = "date", name: str = "pos") -> DataFrame:
-    """0-based row position per key in ``order`` (the reference's implicit iloc)."""
-    return df.withColumn(name, F.row_number().over(ordered_window(by, [order])) - 1)
-
-
 def keys_or_const(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Join keys; an empty key list becomes a constant key (a one-group stats frame
     is joined by an equi-join on it, never by a cross join)."""

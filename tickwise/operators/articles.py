@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import publish_date as publish_date_expr
@@ -34,18 +34,16 @@ def page_title(html: Column) -> Column:
     )
 
 
-def _class_attr(pattern: str) -> str:
-    return r"\bclass\s*=\s*\"[^\"]*(?:" + pattern + r")[^\"]*\""
-
-
-def _id_attr(pattern: str) -> str:
-    return r"\bid\s*=\s*\"[^\"]*(?:" + pattern + r")[^\"]*\""
+def _attr(name: str, pattern: str) -> str:
+    """An attribute whose value, in either kind of quotes or none, holds ``pattern``."""
+    return (rf"""\b{name}\s*=\s*(?:"[^"]*(?:{pattern})[^"]*"|'[^']*(?:{pattern})[^']*'"""
+            rf"""|[^\s"'>]*(?:{pattern})[^\s"'>]*)""")
 
 
 def page_body(html: Column) -> Column:
     """A2: <article>, else a div by class pattern, else a div by id pattern; script,
     style, nav, footer and aside removed; text nodes joined by newlines; else ''."""
-    cls, ids = _class_attr(BODY_CLASS_PATTERN), _id_attr(BODY_ID_PATTERN)
+    cls, ids = _attr("class", BODY_CLASS_PATTERN), _attr("id", BODY_ID_PATTERN)
     inner = (
         F.when(has_element(html, "article"), element_inner(html, "article"))
         .when(has_element(html, "div", cls), element_inner(html, "div", cls))
@@ -67,7 +65,8 @@ def min_len(df: DataFrame, col: str = "text", n: int = MIN_LEN) -> DataFrame:
 def extract_articles(pages: DataFrame, primary: Column | None = None, fallback: Column | None = None,
                      url: str = "url", html: str = "html") -> DataFrame:
     """Primary extraction if its text has >= 50 characters, otherwise the fallback;
-    a missing primary date is filled from A3.  Rows with neither are dropped.
+    a missing primary date is filled from A3.  The text is cleaned (A7-A9) and checked
+    again.  Rows whose text is too short before or after cleaning are dropped.
 
     ``primary``/``fallback`` are struct columns (title, text, publish_date); the
     defaults are the <article> extractor and the div-pattern extractor.
@@ -87,8 +86,10 @@ def extract_articles(pages: DataFrame, primary: Column | None = None, fallback:
     chosen = F.when(p_ok, F.struct(primary["title"].alias("title"), primary["text"].alias("text"),
                                    F.coalesce(primary["publish_date"], date).alias("publish_date"))) \
         .when(f_ok, fallback)
-    return pages.select("*", chosen.alias("_a")).filter(F.col("_a").isNotNull()) \
-        .select(*[c for c in pages.columns if c != html], "_a.title", "_a.text", "_a.publish_date")
+    found = pages.select("*", chosen.alias("_a")).filter(F.col("_a").isNotNull()) \
+        .select(*[c for c in pages.columns if c != html], "_a.title", clean_text(F.col("_a.text")).alias("text"),
+                "_a.publish_date")
+    return min_len(found)
 
 
 # Multi-line noise blocks removed first (dot matches newline).
@@ -251,7 +252,3 @@ def date_window_keep_undated(df: DataFrame, lo: str, hi: str, col: str = "publis
     d = F.when(F.col(col).isNull() | (py_strip(F.col(col).cast("string")) == ""), F.lit("")) \
         .otherwise(F.substring(F.col(col).cast("string"), 1, 10))
     return df.filter(((d >= lo) & (d <= hi)) | (d == ""))
-
-
-def ordinal_window(by: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*by).orderBy(*order)

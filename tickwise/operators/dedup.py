@@ -177,18 +177,15 @@ def similar_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         "_day", "lo", "hi", (F.lit(200.0) * F.col("_lcs") / tot).alias("ratio"))
 
 
-def _greedy(edges: DataFrame, spark, max_rounds: int = 10_000) -> DataFrame:
+def _greedy(edges: DataFrame, spark) -> DataFrame:
     """Resolve keep-first on the edge set; returns (_day, _node, kept) for nodes with edges."""
     ensure_checkpoint_dir(spark)
     e = edges.select("_day", "lo", "hi").checkpoint()   # materialise the verified edges once
     nodes = e.select("_day", F.col("lo").alias("_node")).union(e.select("_day", F.col("hi").alias("_node"))) \
         .distinct().withColumn("_s", F.lit("U"))
     nodes = nodes.checkpoint()
-    for _ in range(max_rounds + 1):
-        if nodes.filter(F.col("_s") == "U").limit(1).count() == 0:
-            break
-        if _ == max_rounds:
-            raise RuntimeError(f"keep-first dedup did not converge in {max_rounds} rounds")
+    # ends: the first undecided node of every day is decided in each round
+    while not nodes.filter(F.col("_s") == "U").isEmpty():
         pred = e.join(nodes.select("_day", F.col("_node").alias("lo"), F.col("_s").alias("_ps")), ["_day", "lo"])
         agg = pred.groupBy("_day", F.col("hi").alias("_node")).agg(
             F.max(F.when(F.col("_ps").isin("U", "K"), 1).otherwise(0)).alias("_blocked"),
@@ -237,18 +234,6 @@ def dedup_stats(flagged: DataFrame, date: str = "date") -> DataFrame:
     ).withColumnRenamed("_day", "day")
 
 
-def greedy_reference(titles: list[str], threshold: int = THRESHOLD) -> list[bool]:
-    """Brute-force keep-first over one ordered day (for tests on small fixtures)."""
-    keep = [True] * len(titles)
-    for i in range(len(titles)):
-        if not keep[i]:
-            continue
-        for j in range(i + 1, len(titles)):
-            if keep[j] and similar_py(titles[i], titles[j], threshold):
-                keep[j] = False
-    return keep
-
-
 def _ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 

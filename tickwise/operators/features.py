@@ -63,7 +63,8 @@ def daily_features(scored: DataFrame, day: str = "day", id_col: str = "id", sent
     """One row per calendar day with news (days without news are absent).
 
     ``weight`` is the weight column of ``weighted_horizon`` (default intensity).
-    ``null_policy='propagate'`` makes net_impact null when any x of the day is null.
+    ``null_policy='propagate'`` makes net_impact null when any x of the day is null;
+    'both' does so and adds the value of 'skip' as ``net_impact_skip``.
     """
     w = weight or intensity
     base = scored.select(
@@ -84,7 +85,8 @@ def daily_features(scored: DataFrame, day: str = "day", id_col: str = "id", sent
     net = net_impact(base, "day", "id", "x", salt_buckets, fan_in)
     out = agg.join(net, on="day", how="left")
     net_col = F.col("net_impact")
-    if null_policy == "propagate":
+    more = [net_col.alias("net_impact_skip")] if null_policy == "both" else []
+    if null_policy in ("propagate", "both"):
         net_col = F.when(F.col("_xnull") > 0, F.lit(None).cast("double")).otherwise(net_col)
     elif null_policy != "skip":
         raise ValueError(null_policy)
@@ -94,6 +96,7 @@ def daily_features(scored: DataFrame, day: str = "day", id_col: str = "id", sent
         F.when(F.coalesce(F.col("_w"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise(F.col("_hw") / F.col("_w")).alias("weighted_horizon"),
         "news_count",
         F.when(F.col("_n") == 1, F.lit(0.0)).otherwise(F.col("_sd")).alias("divergence"),
+        *more,
     )
 
 

@@ -79,6 +79,17 @@ def union_sources(parts: Sequence[tuple[DataFrame, str, bool]]) -> DataFrame:
     return out
 
 
+def tag_sources(links: DataFrame, rank: Column, tags: Sequence[str], date_filtered: Sequence[bool]) -> DataFrame:
+    """L9 over one table that holds all sources' links: ``rank`` (0-based) gives the
+    tag and the flag, so the pages are scanned and parsed once."""
+    at = (rank + 1).cast("int")
+    return links.withColumns({
+        "source": F.element_at(F.array(*map(F.lit, tags)), at),
+        "date_filtered": F.element_at(F.array(*map(F.lit, date_filtered)), at),
+        "source_rank": rank.cast("int"),
+    })
+
+
 def until_first_empty(links: DataFrame, page_list: DataFrame, source: str = "source", page: str = "page",
                       max_pages: int | None = None) -> DataFrame:
     """Keep links of the pages before the first page (in page order) that yields

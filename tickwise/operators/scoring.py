@@ -124,24 +124,28 @@ def strip_fence(c: Column) -> Column:
 _RAW_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in SCORE_FIELDS + TEXT_FIELDS])
 
 
-def parse_scores(df: DataFrame, col: str = "response", out: str = "scores") -> DataFrame:
+def parse_scores(df: DataFrame, col: str = "response", out: str = "scores", keys: str | None = None) -> DataFrame:
     """JSON object text -> struct ``out`` of typed scores; anything else -> all-null struct.
 
     Fields are read as text and ``try_cast`` to double, so "0.7" is accepted and
     "abc" becomes null.  A JSON list or malformed text yields nulls (the
     reference aborts its whole run on a list).  The text is cleaned once and
     parsed once per row: the steps are separate projections so that neither the
-    cleaning chain nor the parser is repeated per extracted field.
+    cleaning chain nor the parser is repeated per extracted field.  ``keys`` names a
+    further column for the object's keys (null where nothing was parsed), which tells
+    an explicit JSON null from a missing key.
     """
     cleaned = df.withColumn("_clean", strip_fence(F.col(col)))
     parsed = cleaned.withColumn(
         "_raw", F.from_json(F.when(F.startswith(F.col("_clean"), F.lit("{")),
                                    F.concat(F.lit('{"v":'), F.col("_clean"), F.lit(',"end":1}'))),
                             T.StructType([T.StructField("v", _RAW_SCHEMA), T.StructField("end", T.IntegerType())]),
-                            {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"})
-    ).drop("_clean")
+                            {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"}))
     # what follows the object breaks the frame around it: text behind the JSON makes all fields null
     parsed = parsed.withColumn("_raw", F.when(F.col("_raw.end") == 1, F.col("_raw.v")))
+    if keys is not None:
+        parsed = parsed.withColumn(keys, F.when(F.col("_raw").isNotNull(), F.json_object_keys(F.col("_clean"))))
+    parsed = parsed.drop("_clean")
     number = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
     typed = F.struct(
         *[F.when(F.col("_raw")[f].rlike(number), F.col("_raw")[f].try_cast("double")).alias(f) for f in SCORE_FIELDS],
@@ -150,16 +154,25 @@ def parse_scores(df: DataFrame, col: str = "response", out: str = "scores") -> D
     return parsed.withColumn(out, typed).drop("_raw")
 
 
-def attach_scores(df: DataFrame, scores: str = "scores") -> DataFrame:
-    """Flatten the score struct onto the row; a score key overrides a row column of
-    the same name when it has a value; failed parses keep the row with null scores."""
+def attach_scores(df: DataFrame, scores: str = "scores", keys: str | None = None) -> DataFrame:
+    """Flatten the score struct onto the row; failed parses keep the row with null scores.
+
+    A key of the response overrides a row column of the same name, also with an explicit
+    null, if ``keys`` names the column of keys that ``parse_scores`` adds; without it a
+    key overrides only when it has a value.
+    """
     fields = SCORE_FIELDS + TEXT_FIELDS
-    keep = [c for c in df.columns if c != scores and c not in fields]
-    merged = [
-        (F.coalesce(F.col(f"{scores}.{f}"), F.col(f)) if f in df.columns else F.col(f"{scores}.{f}")).alias(f)
-        for f in fields
-    ]
-    return df.select(*keep, *merged)
+    keep = [c for c in df.columns if c not in (scores, keys) and c not in fields]
+
+    def merged(f: str) -> Column:
+        value = F.col(f"{scores}.{f}")
+        if f not in df.columns:
+            return value
+        if keys is None:
+            return F.coalesce(value, F.col(f))
+        return F.when(F.array_contains(F.col(keys), f), value).otherwise(F.col(f))
+
+    return df.select(*keep, *[merged(f).alias(f) for f in fields])
 
 
 def recent(df: DataFrame, days: int, ref_date: str, date_col: str = "date", enabled: bool = True) -> DataFrame:
@@ -181,7 +194,7 @@ def _rules() -> dict[str, Column]:
 
 def validate_scores(df: DataFrame, mode: str = "flag") -> DataFrame:
     """Range contract.  'flag' adds ``<field>_ok`` booleans (null for null input),
-    'null' nulls out violations, 'clamp' clips to the range (horizon: nearest allowed)."""
+    'null' nulls out violations, 'clamp' clips to the range (horizon: nearest allowed; null stays null)."""
     rules = _rules()
     if mode == "flag":
         return df.withColumns({f"{f}_ok": r for f, r in rules.items()})
@@ -190,10 +203,14 @@ def validate_scores(df: DataFrame, mode: str = "flag") -> DataFrame:
     if mode == "clamp":
         h = F.col("time_horizon")
         nearest = (F.when(h >= 0.6, F.lit(0.8)).when(h >= 0.25, F.lit(0.4)).otherwise(F.lit(0.1)))
+
+        def clip(f: str, low: float, high: float) -> Column:
+            return F.when(F.col(f).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), F.col(f))))
+
         return df.withColumns({
-            "sentiment_score": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sentiment_score"))),
-            "impact_intensity": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("impact_intensity"))),
-            "certainty": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("certainty"))),
+            "sentiment_score": clip("sentiment_score", *SENTIMENT_RANGE),
+            "impact_intensity": clip("impact_intensity", *UNIT_RANGE),
+            "certainty": clip("certainty", *UNIT_RANGE),
             "time_horizon": F.when(h.isNull(), h).otherwise(nearest),
         })
     raise ValueError(mode)

@@ -68,11 +68,9 @@ def _links(spark, sf):
 
 
 def _source_links(spark, sf):
-    """Per source: links with (page, pos); the four sources unioned with tag and flag."""
+    """Links with (page, pos) and their source's tag, flag and rank (L9), in one pass over the pages."""
     l = _links(spark, sf).withColumn("page", (F.col("page_id") / 4).cast("bigint"))
-    parts = [(l.filter(F.col("page_id") % 4 == k).select("link", "page", "pos"), SOURCE_TAGS[k], DATE_FILTERED[k])
-             for k in range(4)]
-    return LK.union_sources(parts)
+    return LK.tag_sources(l, F.col("page_id") % 4, SOURCE_TAGS, DATE_FILTERED).drop("page_id", "url", "href", "anchor_text")
 
 
 def _source_dedup(spark, sf):

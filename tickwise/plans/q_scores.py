@@ -69,10 +69,8 @@ def _holes(spark, sf):
           FROM v_scored_holes) s
     GROUP BY day""", "v_scored_holes"))
 def q_f5(spark, sf):
-    h = _holes(spark, sf)
-    prop = FT.daily_features(h, null_policy="propagate").select("day", "net_impact", "divergence")
-    skip = FT.daily_features(h).select("day", F.col("net_impact").alias("net_impact_skip"))
-    return prop.join(skip, "day").select("day", R6("net_impact"), R6("net_impact_skip"), R6("divergence"))
+    both = FT.daily_features(_holes(spark, sf), null_policy="both")
+    return both.select("day", R6("net_impact"), R6("net_impact_skip"), R6("divergence"))
 
 
 @register("f6_feature_anomalies", with_views("""
@@ -151,13 +149,13 @@ def q_n4(spark, sf):
     return views.responses(spark, sf).select("id", NS.strip_fence(F.col("response")).alias("cleaned"))
 
 
-def _parsed_sql():
+def _parsed_sql(source="v_response", extra=""):
     # only text that is a valid JSON object reaches the extractor (it raises on malformed input)
     nums = ", ".join(f"TRY_CAST(json_extract_string(j, '$.{f}') AS DOUBLE) AS {f}" for f in NS.SCORE_FIELDS)
     txt = ", ".join(f"json_extract_string(j, '$.{f}') AS {f}" for f in NS.TEXT_FIELDS)
-    return (f"SELECT id, {nums}, {txt} FROM ("
+    return (f"SELECT id, {nums}, {txt}{extra} FROM ("
             f"SELECT id, CASE WHEN starts_with(c, '{{') AND json_valid(c) THEN c END AS j FROM ("
-            f"SELECT id, {strip_fence('response')} AS c FROM v_response) r) q")
+            f"SELECT id, {strip_fence('response')} AS c FROM {source}) r) q")
 
 
 add_view("v_parsed", ("v_response",), _parsed_sql())
@@ -173,15 +171,25 @@ def q_n5(spark, sf):
     return _parsed(spark, sf)
 
 
+# every fifth response sends its summary as an explicit null
+add_view("v_response_nulls", ("v_response",), """
+    SELECT id, CASE WHEN id % 5 = 0 THEN regexp_replace(response, '"summary": "[^"]*"', '"summary": null')
+                    ELSE response END AS response FROM v_response""")
+add_view("v_parsed_keys", ("v_response_nulls",), _parsed_sql("v_response_nulls", ", json_keys(j) AS keys"))
+
+
 @register("n6_attach_scores", with_views("""
     SELECT e.event_id AS id, e.event_type, p.sentiment_score, p.impact_intensity, p.certainty, p.time_horizon,
-           coalesce(p.summary, 'row ' || e.event_type) AS summary, p.evidence, p.reason
-    FROM events e JOIN v_parsed p ON e.event_id = p.id""", "v_parsed"))
+           CASE WHEN list_contains(p.keys, 'summary') THEN p.summary ELSE 'row ' || e.event_type END AS summary,
+           p.evidence, p.reason
+    FROM events e JOIN v_parsed_keys p ON e.event_id = p.id""", "v_parsed_keys"))
 def q_n6(spark, sf):
     e = table(spark, sf, "events").select(
         F.col("event_id").alias("id"), "event_type", F.concat(F.lit("row "), F.col("event_type")).alias("summary"))
-    r = NS.parse_scores(views.responses(spark, sf), "response", "scores").select("id", "scores")
-    return NS.attach_scores(e.join(r, "id"))
+    nulls = F.regexp_replace("response", '"summary": "[^"]*"', '"summary": null')
+    sent = views.responses(spark, sf).withColumn("response", F.when(F.col("id") % 5 == 0, nulls).otherwise(F.col("response")))
+    r = NS.parse_scores(sent, "response", "scores", keys="keys").select("id", "scores", "keys")
+    return NS.attach_scores(e.join(r, "id"), keys="keys")
 
 
 @register("n7_score_incremental", with_views("SELECT * FROM v_parsed", "v_parsed"))
@@ -216,13 +224,14 @@ _RULES_SQL = {
 @register("n9_validate_scores", with_views(
     "SELECT id, " + ", ".join(f"({r}) AS {f}_ok" for f, r in _RULES_SQL.items())
     + ", CASE WHEN " + _RULES_SQL["sentiment_score"] + " THEN sentiment_score END AS sentiment_null"
-    + ", greatest(-1.0, least(1.0, sentiment_score)) AS sentiment_clamp FROM v_parsed", "v_parsed"))
+    + ", CASE WHEN sentiment_score IS NOT NULL THEN greatest(-1.0, least(1.0, sentiment_score)) END AS sentiment_clamp"
+    + " FROM v_parsed", "v_parsed"))
 def q_n9(spark, sf):
-    p = _parsed(spark, sf)
-    flag = NS.validate_scores(p, "flag").select("id", *[f"{f}_ok" for f in NS.SCORE_FIELDS])
-    nul = NS.validate_scores(p, "null").select("id", F.col("sentiment_score").alias("sentiment_null"))
-    clamp = NS.validate_scores(p, "clamp").select("id", F.col("sentiment_score").alias("sentiment_clamp"))
-    return flag.join(nul, "id").join(clamp, "id")
+    sent = F.col("sentiment_score")
+    flags = [f"{f}_ok" for f in NS.SCORE_FIELDS]
+    flag = NS.validate_scores(_parsed(spark, sf), "flag").withColumn("sent", sent)
+    nul = NS.validate_scores(flag, "null").withColumns({"sentiment_null": sent, "sentiment_score": F.col("sent")})
+    return NS.validate_scores(nul, "clamp").select("id", *flags, "sentiment_null", sent.alias("sentiment_clamp"))
 
 
 @register("n10_score_quality", with_views(
