@@ -135,3 +135,25 @@ def test_exact_mean_is_order_independent(spark):
         got = {r.g: r.m for r in df.repartition(parts).groupBy("g").agg(_exact_mean("v").alias("m")).collect()}
         for g, xs in exp.items():
             assert got[g] == float(sum(xs)) / len(xs)
+
+
+def test_per_day_tables_are_checked(spark):
+    bars = spark.sql("SELECT 'A' AS ticker, DATE'2020-01-02' AS date")
+    twice = spark.sql("SELECT DATE'2020-01-02' AS date, 1.0D AS close UNION ALL SELECT DATE'2020-01-02', 2.0D")
+    for run in (lambda: AL.align_zero(bars, twice, ["close"]), lambda: AL.align_ffill(bars, twice), lambda: AL.align_asof(bars, twice),
+                lambda: AL.align_position(bars, twice, ["close"])):
+        with pytest.raises(Exception, match="more than one row of a day"):
+            run().collect()
+
+
+def test_concat_windows_equals_zipped_windows(spark):
+    df = spark.range(12).selectExpr("'A' AS ticker", "date_add(DATE'2020-01-01', cast(id AS int)) AS date", "id * 1.0D AS close", "id * 2.0D AS b",
+                                    "if(id = 5, null, id * 3.0D) AS c")
+    groups = {"p": ["close", "b"], "q": ["c"]}
+    zipped = WN.concat_features(WN.windows_multi(df, groups, 4, 2), ["p", "q"]).select("pos", "x", "y").orderBy("pos").collect()
+    assert zipped == WN.concat_windows(df, groups, 4, 2).select("pos", "x", "y").orderBy("pos").collect() and len(zipped) == 7
+
+
+def test_pad_post_of_no_rows(spark):
+    df = spark.createDataFrame([], "news array<struct<v:double>>")
+    assert AL.pad_post(df, "news", ["v"]).collect() == []

@@ -17,7 +17,7 @@ SIDE_EFFECTS = {
     "s1_read_bars", "s2_read_daily_features", "s3_read_index", "s4_read_news", "s5_read_forecast", "s8_write_csv",
     "s9_append_idempotent", "s10_write_forecast", "s9_stream_ingest", "n7_stream_scoring", "n7_score_incremental",
     "p1_fit_direct", "p2_forecast_recursive", "p4_fit_regularized", "p9_training_curve", "d5_fuzzy_dedup",
-    "d6_dedup_stats", "t6_pad_post",
+    "d6_dedup_stats",
 }
 
 

@@ -156,3 +156,21 @@ def test_in_range(spark):
     df = spark.createDataFrame([("2024-1-5",), ("2024-01-05 10:00",), ("2024-1-5 1",), ("",), (None,), ("x",)], "s STRING")
     got = [r.r for r in df.select(DT.in_range(F.col("s"), "2024-01-01", "2024-01-31").alias("r")).collect()]
     assert got == [True, True, False, False, False, False]
+
+
+def test_labelled_block_links(spark):
+    from tickwise.operators import links as LK
+
+    lis = ("<ul><li>none <a href='/news/0'>x</a></li><li>The label <a href=\"/ad/1\">ad</a> <a href=/news/1>x</a></li>"
+           "<li>label <a href='/news/1'>x</a><a href='/news/2'>y</a></li><li>label, no link</li></ul>")
+    divs = "<div class='stream'>label <a href='/z'>z</a></div><div class=\"news-item\">label <a href='/news/9'>z</a></div>"
+    pages = spark.createDataFrame([(1, lis), (2, lis + divs), (3, None), (4, "")], "page_id int, html string")
+    news = lambda h: h.startswith("/news/")
+
+    def got(**how):
+        rows = LK.labelled_block_links(pages, "label", keep=["page_id"], **how).orderBy("page_id", "block_pos").collect()
+        return [tuple(r) for r in rows]
+
+    assert got() == [(1, 1, "/ad/1"), (1, 2, "/news/1"), (2, 0, "/z"), (2, 1, "/news/9")]      # page 2 has blocks of an earlier kind
+    assert got(accept=news) == [(1, 1, "/news/1"), (1, 2, "/news/1"), (2, 1, "/news/9")]
+    assert got(accept=news, unseen=True) == [(1, 1, "/news/1"), (1, 2, "/news/2"), (2, 1, "/news/9")]

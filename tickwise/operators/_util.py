@@ -8,16 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def calendar_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast hint for tables with one row per calendar day (and per key of a
-    fixed small domain such as a feature name).
-
-    Their size is bounded by the number of days in the calendar (36,525 rows for
-    a century), not by the data volume, so the hint is safe at any scale.
-    Callers only pass frames that are the output of ``groupBy(day[, small key])``
-    or a date spine.
+def one_per_day(df: DataFrame, key: str = "date") -> DataFrame:
+    """``df`` checked to hold one row per day: a day with more raises an error when the plan runs.
+
+    A frame that was just aggregated by ``key`` keeps its partitioning, so the
+    check adds no exchange.
     """
-    return F.broadcast(df)
+    others = [c for c in df.columns if c != key]
+    days = df.groupBy(key).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in others])
+    day = F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.lit("more than one row of a day in a per-day table")))
+    return days.select(day.alias(key), *others)
+
+
+def calendar_broadcast(df: DataFrame, key: str = "date") -> DataFrame:
+    """A per-day table, checked by ``one_per_day`` and marked for broadcast: it has no
+    more rows than the calendar has days (36,525 a century), whatever the data volume."""
+    return F.broadcast(one_per_day(df, key))
 
 
 def ordered_window(by: Sequence[str], order: Sequence[Column | str]):

@@ -1,8 +1,8 @@
 """Calendar alignment.
 
 Bars are keyed by (ticker, date); side tables (daily news features, an index
-series) are keyed by date alone, so they hold one row per calendar day and are
-broadcast: the bars never shuffle for the join, and the only exchange is the
+series) are keyed by date alone; they are checked to hold one row per calendar
+day (a second one raises) and broadcast: the bars never shuffle for the join, and the only exchange is the
 ``partitionBy(ticker)`` of the following window, which every window of the
 forecast workflow then reuses.  A ticker's partition holds one row per trading
 day, so its size is bounded by the calendar, not by the data volume.
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import calendar_broadcast
+from ._util import calendar_broadcast, one_per_day
 
 
 def _side(df: DataFrame, cols: Sequence[str], key: str, prefix: str) -> DataFrame:
@@ -58,7 +58,7 @@ def align_asof(bars: DataFrame, idx: DataFrame, col: str = "close", out: str = "
     bars by an equi-join.  No inequality join.
     """
     cal = bars.select("date").distinct().withColumn("_v", F.lit(None).cast("double")).withColumn("_src", F.lit(1))
-    ix = idx.select(F.col(key).alias("date"), F.col(col).cast("double").alias("_v"), F.lit(0).alias("_src"))
+    ix = one_per_day(idx.select(F.col(key).alias("date"), F.col(col).cast("double").alias("_v"))).withColumn("_src", F.lit(0))
     # one window over a calendar-sized table (one row per day); ordered so that
     # an index value on the same day is seen before the bar date
     w = Window.orderBy("date", "_src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -68,7 +68,7 @@ def align_asof(bars: DataFrame, idx: DataFrame, col: str = "close", out: str = "
         .filter(F.col("_src") == 1)
         .select("date", out)
     )
-    return bars.join(calendar_broadcast(filled), on="date", how="left")
+    return bars.join(F.broadcast(filled), on="date", how="left")  # one row per distinct date
 
 
 def align_position(a: DataFrame, b: DataFrame, b_cols: Sequence[str], by: Sequence[str] = ("ticker",),
@@ -76,13 +76,13 @@ def align_position(a: DataFrame, b: DataFrame, b_cols: Sequence[str], by: Sequen
     """T4: i-th row of ``a`` (per ticker, by date) with i-th row of ``b`` (by date).
 
     Dates of ``b`` are ignored, as in the reference's positional concatenation.
-    ``b`` is a per-day series; its positions come from one window over the
-    calendar-sized table.
+    ``b`` is a per-day series (checked); its positions come from one window over
+    the calendar-sized table.
     """
     pa = a.withColumn("_pos", F.row_number().over(Window.partitionBy(*by).orderBy("date")))
-    pb = b.select(F.row_number().over(Window.orderBy("date")).alias("_pos"),
-                  *[F.col(c).alias(prefix + c) for c in b_cols])
-    return pa.join(calendar_broadcast(pb), on="_pos", how="left").drop("_pos")
+    days = one_per_day(b.select("date", *[F.col(c).alias(prefix + c) for c in b_cols]))
+    pb = days.select(F.row_number().over(Window.orderBy("date")).alias("_pos"), *[prefix + c for c in b_cols])
+    return pa.join(F.broadcast(pb), on="_pos", how="left").drop("_pos")
 
 
 def window_ranges(bars: DataFrame, step: int = 20, by: Sequence[str] = ("ticker",), h: int = 0) -> DataFrame:
@@ -123,14 +123,14 @@ def window_news(bars: DataFrame, feats: DataFrame, cols: Sequence[str], step: in
 def pad_post(df: DataFrame, col: str, fields: Sequence[str], out: str = "padded") -> DataFrame:
     """Post-pad ragged arrays of structs with zeros to the longest, as float32 rows.
 
-    The longest length is one scalar aggregate (a single small action).
+    The longest length is a scalar subquery of the plan; building it runs nothing.
     """
-    longest = df.agg(F.max(F.size(col)).alias("m")).first()["m"] or 0
+    longest = df.agg(F.coalesce(F.max(F.size(col)), F.lit(0)).alias("m")).scalar()
     as_rows = F.transform(F.col(col), lambda s: F.array(*[s[f].cast("float") for f in fields]))
     zero = F.array(*[F.lit(0.0).cast("float") for _ in fields])
     return df.withColumn(
-        out, F.concat(as_rows, F.array_repeat(zero, F.lit(longest) - F.size(col)))
-    ).withColumn("pad_len", F.lit(longest))
+        out, F.concat(as_rows, F.array_repeat(zero, longest - F.size(col)))
+    ).withColumn("pad_len", longest)
 
 
 def last_n(df: DataFrame, n: int, by: Sequence[str] = ("ticker",), order: str = "date") -> DataFrame:

@@ -8,7 +8,7 @@ explicit ordinal (source rank, page, position), never by row order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,29 +119,41 @@ def link_counts(df: DataFrame, source: str = "source", page: str = "page") -> Da
 
 # Block kinds tried in order when looking for labelled result blocks.
 BLOCK_KINDS = [
-    ("li", r"class\s*=\s*\"[^\"]*(?:js-stream-content|StreamMegaItem)"),
-    ("div", r"class\s*=\s*\"[^\"]*(?:NewsArticle|stream|news-item)"),
+    ("li", r"""\bclass\s*=\s*["']?[^"'>]*(?:js-stream-content|StreamMegaItem)"""),
+    ("div", r"""\bclass\s*=\s*["']?[^"'>]*(?:NewsArticle|stream|news-item)"""),
     ("li", None),
 ]
 
 
-def labelled_block_links(pages: DataFrame, label: str, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
+def labelled_block_links(pages: DataFrame, label: str, keep: Sequence[str] = ("page_id", "url"),
+                         accept: Callable[[Column], Column] | None = None, unseen: bool = False) -> DataFrame:
     """Result blocks whose text contains ``label``; each block gives its first link.
 
     Block kind fallback per page: the first kind that exists on the page is used.
+    ``accept`` is the article predicate on an href (L4; none: every link).  With
+    ``unseen`` a block gives its first link that no earlier block of the page gave;
+    links given by earlier pages are left to L8.  One projection, no exchange.
     """
-    out = None
-    for rank, (tag, attr) in enumerate(BLOCK_KINDS):
+    kinds = [f"_kind{i}" for i in range(len(BLOCK_KINDS))]
+    found = []
+    for (tag, attr), name in zip(BLOCK_KINDS, kinds, strict=True):
         open_tag = rf"<{tag}\b[^>]*{attr}[^>]*>" if attr else rf"<{tag}\b[^>]*>"
-        pat = rf"(?is){open_tag}(.*?)</{tag}\s*>"
-        blocks = F.regexp_extract_all(F.col("html"), F.lit(pat), F.lit(1))
-        b = pages.select(*keep, F.lit(rank).alias("kind"), F.posexplode(blocks).alias("block_pos", "block"))
-        out = b if out is None else out.unionByName(b)
-    first_kind = out.groupBy(*keep).agg(F.min("kind").alias("kind"))
-    out = out.join(first_kind, [*keep, "kind"], "left_semi")
-    out = out.filter(F.contains(get_text(F.col("block")), F.lit(label)))
-    href = F.regexp_extract(F.col("block"), ANCHOR, 1)
-    return out.filter(href != "").select(*keep, "block_pos", decode_entities(unquoted(href)).alias("href"))
+        found.append(F.regexp_extract_all(F.col("html"), F.lit(rf"(?is){open_tag}(.*?)</{tag}\s*>"), F.lit(1)).alias(name))
+    blocks = F.coalesce(*[F.when(F.size(k) > 0, F.col(k)) for k in kinds])
+    placed = F.transform(blocks, lambda b, i: F.struct(i.alias("block_pos"), b.alias("block")))
+    labelled = F.filter(placed, lambda x: F.contains(get_text(x["block"]), F.lit(label)))
+
+    def give(given: Column, x: Column) -> Column:
+        hrefs = F.transform(F.regexp_extract_all(x["block"], F.lit(ANCHOR), F.lit(1)), lambda h: decode_entities(unquoted(h)))
+        if accept is not None:
+            hrefs = F.filter(hrefs, accept)
+        if unseen:
+            hrefs = F.filter(hrefs, lambda h: ~F.exists(given, lambda g: g["href"] == h))
+        return F.concat(given, F.transform(F.slice(hrefs, 1, 1), lambda h: F.struct(x["block_pos"].alias("block_pos"), h.alias("href"))))
+
+    none = F.array().cast("array<struct<block_pos:int,href:string>>")
+    links = F.aggregate(labelled, none, give)
+    return pages.select(*keep, *found).select(*keep, F.explode(links).alias("_l")).select(*keep, "_l.block_pos", "_l.href")
 
 
 def links_from_pages(pages: DataFrame, mode: str = "query_fragment") -> DataFrame:

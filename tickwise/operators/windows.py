@@ -42,21 +42,15 @@ def windows_multi(df: DataFrame, groups: dict[str, Sequence[str]], n: int, h: in
                   by: Sequence[str] = ("ticker",), order: str = "date") -> DataFrame:
     """One window column per input group (e.g. bars, index, news) on the aligned table."""
     w = Window.partitionBy(*by).orderBy(order)
-    past = w.rowsBetween(-(n - 1), 0)
-    out = df.withColumn("pos", F.row_number().over(w) - 1)
-    names = []
-    for g, cols in groups.items():
-        step = F.struct(F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
-        out = out.withColumn(f"_{g}", F.collect_list(step).over(past))
-        names.append(g)
-    out = out.withColumn("_y", F.collect_list(F.struct(F.col(target).cast("double").alias("v"))).over(w.rowsBetween(1, h)))
-    cond = F.size("_y") == h
-    for g in names:
-        cond = cond & (F.size(f"_{g}") == n)
-    return out.filter(cond).select(
-        *by, "pos", F.col(order).alias("end_date"),
-        *[F.transform(f"_{g}", lambda s: s["v"]).alias(g) for g in names],
-        F.transform("_y", lambda s: s["v"]).alias("y"),
+    step = F.struct(*[F.array(*[F.col(c).cast("double") for c in cols]).alias(g) for g, cols in groups.items()])
+    return (
+        df.withColumn("pos", F.row_number().over(w) - 1)
+        .withColumn("_x", F.collect_list(step).over(w.rowsBetween(-(n - 1), 0)))
+        .withColumn("_y", F.collect_list(F.struct(F.col(target).cast("double").alias("v"))).over(w.rowsBetween(1, h)))
+        .filter((F.size("_x") == n) & (F.size("_y") == h))
+        .select(*by, "pos", F.col(order).alias("end_date"),
+                *[F.transform("_x", lambda s: s[g]).alias(g) for g in groups],
+                F.transform("_y", lambda s: s["v"]).alias("y"))
     )
 
 
@@ -69,6 +63,14 @@ def concat_features(df: DataFrame, groups: Sequence[str], out: str = "x") -> Dat
     return df.withColumn(out, acc)
 
 
+def concat_windows(df: DataFrame, groups: dict[str, Sequence[str]], n: int, h: int, target: str = "close",
+                   by: Sequence[str] = ("ticker",), order: str = "date") -> DataFrame:
+    """W4 from the aligned table: every step is collected with the groups' columns already in
+    order, so there is one window array and nothing to zip; equal to ``concat_features`` of
+    ``windows_multi``."""
+    return windows(df, [c for cols in groups.values() for c in cols], n, h, target, by, order)
+
+
 def _split_label(pos, n, train: float, val: float, gap: int = 0):
     t_end = F.floor(n * F.lit(float(train)))
     v_end = F.floor(n * F.lit(float(val)))

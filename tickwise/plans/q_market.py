@@ -545,7 +545,7 @@ def q_w3(spark, sf):
     QUALIFY pos >= 39 AND pos <= n - 4""", "v_scaled"))
 def q_w4(spark, sf):
     groups = {"bars": BAR_FEATURES, "index": ["idx_close"], "news": NEWS_FEATURES}
-    s = WN.concat_features(WN.windows_multi(scaled(spark, sf), groups, 40, 3), ["bars", "index", "news"])
+    s = WN.concat_windows(scaled(spark, sf), groups, 40, 3)
     col = lambda i: F.round(F.aggregate(F.transform("x", lambda st: st[i]), F.lit(0.0), lambda a, v: a + v), 6)
     return s.select("ticker", "pos", F.size("x").alias("n_steps"), F.size(F.col("x")[0]).alias("width"),
                     col(6).alias("col6_sum"), col(10).alias("col10_sum"))
@@ -609,9 +609,11 @@ def q_w8(spark, sf):
 # P: forecasts and evaluation
 # --------------------------------------------------------------------------
 
-def _close_samples(spark, sf, n=20, h=3):
-    """Windows of the raw close: x = n closes, y = next h closes."""
+def _close_samples(spark, sf, n=20, h=3, newest=None):
+    """Windows of the raw close: x = n closes, y = next h closes; of the ``newest`` bars, if given."""
     b = views.bars(spark, sf).select("ticker", "date", "close")
+    if newest is not None:
+        b = AL.last_n(b, newest)
     return WN.windows(b, ["close"], n, h, target="close").withColumn("xc", F.transform("x", lambda s: s[0]))
 
 
@@ -657,11 +659,12 @@ def q_p6(spark, sf):
     return m.select("ticker", "day", R6("mape"))
 
 
-_LAST_SQL = """
+def _last_sql(past=0):
+    return f"""
     , lw AS (SELECT ticker, max(date) AS last_date, arg_max(close, date) AS last_c,
                     arg_min(close, date) AS first_c FROM (
                SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM v_bars) x
-             WHERE r <= 20 GROUP BY ticker)
+             WHERE r BETWEEN {past + 1} AND {past + 20} GROUP BY ticker)
     , fd AS (SELECT ticker, last_date, last_c, first_c, fdate,
                     row_number() OVER (PARTITION BY ticker ORDER BY fdate) - 1 AS day FROM (
                SELECT ticker, last_date, last_c, first_c, CAST(last_date + CAST(i AS INTEGER) AS DATE) AS fdate
@@ -672,9 +675,10 @@ _LAST_SQL = """
 """
 
 
-def _final_forecast(spark, sf):
-    b = views.bars(spark, sf).select("ticker", "date", "close")
-    last = AL.last_n(b, 20).groupBy("ticker").agg(
+def _final_forecast(spark, sf, past=0):
+    """Drift forecast from the 20 bars that end ``past`` bars before the last one."""
+    b = AL.backtest_slice(views.bars(spark, sf).select("ticker", "date", "close"), 20, past, 0)
+    last = b.groupBy("ticker").agg(
         F.max("date").alias("last_date"),
         F.sort_array(F.collect_list(F.struct("date", "close"))).alias("_w"))
     last = last.withColumn("xc", F.transform("_w", lambda s: s["close"]))
@@ -682,25 +686,24 @@ def _final_forecast(spark, sf):
     return FC.assemble_forecast(last, "last_date", "pred", 3)
 
 
-@register("p8_assemble_forecast", with_views(_LAST_SQL + """
+@register("p8_assemble_forecast", with_views(_last_sql() + """
     SELECT ticker, day, date, round(predicted_price, 6) AS predicted_price FROM fc""", "v_bars"))
 def q_p8(spark, sf):
     f = _final_forecast(spark, sf)
     return f.select("ticker", "day", "date", R6("predicted_price"))
 
 
-@register("p7_compare", with_views(_LAST_SQL + """
-    , act AS (SELECT ticker, date, close FROM (
-                SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM v_bars) x
-              WHERE r <= 10)
-    SELECT coalesce(a.ticker, f.ticker) AS ticker, coalesce(a.date, f.date) AS date, round(a.close, 6) AS actual,
+_COMPARED = 5  # the compared forecast starts so many bars before the last one: its days have actual prices
+
+
+@register("p7_compare", with_views(_last_sql(_COMPARED) + """
+    SELECT coalesce(a.ticker, f.ticker) AS ticker, coalesce(a.date, f.date) AS date, a.close AS actual,
            round(f.predicted_price, 6) AS predicted
-    FROM act a FULL OUTER JOIN fc f ON a.ticker = f.ticker AND a.date = f.date""", "v_bars"))
+    FROM v_bars a FULL OUTER JOIN fc f ON a.ticker = f.ticker AND a.date = f.date""", "v_bars"))
 def q_p7(spark, sf):
-    f = _final_forecast(spark, sf).select("ticker", "date", F.col("predicted_price").alias("predicted"))
-    act = AL.last_n(views.bars(spark, sf).select("ticker", "date", "close"), 10)
-    c = FC.compare(act, f)
-    return c.select("ticker", "date", R6("actual"), R6("predicted"))
+    f = _final_forecast(spark, sf, _COMPARED).select("ticker", "date", F.col("predicted_price").alias("predicted"))
+    c = FC.compare(views.bars(spark, sf).select("ticker", "date", "close"), f)
+    return c.select("ticker", "date", "actual", R6("predicted"))
 
 
 @register("p10_backtest", with_views(_CLOSE_WIN_SQL + """
@@ -711,8 +714,10 @@ def q_p7(spark, sf):
     SELECT ticker, CAST(past AS INTEGER) AS past, round(avg(abs(predicted - actual) / actual), 6) AS mape
     FROM bt GROUP BY ticker, past""", "v_bars"))
 def q_p10(spark, sf):
-    s = FC.forecast_naive(_close_samples(spark, sf), 3, kinds=("last",))
-    bt = FC.backtest(s, [3, 6, 9, 12, 15, 18, 21, 24, 27, 30, 45, 60], 3)
+    pasts = [3, 6, 9, 12, 15, 18, 21, 24, 27, 30, 45, 60]
+    # the oldest origin's window ends max(pasts) bars before the last: older bars are in no sample
+    s = FC.forecast_naive(_close_samples(spark, sf, newest=max(pasts) + 20), 3, kinds=("last",))
+    bt = FC.backtest(s, pasts, 3)
     rows = FC.horizon_rows(bt, "pred_last", keep=["ticker", "past"])
     return FC.mape(rows, by=["ticker", "past"]).select("ticker", F.col("past").cast("int").alias("past"), R6("mape"))
 
@@ -724,8 +729,7 @@ def _direct_dataset(spark, sf, n=20, h=3):
     cols = ALL_FEATURES
     st = SC.fit_minmax(a, cols, where=F.col("split") == "train")
     s = SC.apply_minmax(a.drop("pos", "split"), st, cols)
-    w = WN.concat_features(WN.windows_multi(s, groups, n, h), ["bars", "index", "news"])
-    w = WN.split_samples(w)
+    w = WN.split_samples(WN.concat_windows(s, groups, n, h))
     return WN.flatten_window(w, "x", "features"), st
 
 

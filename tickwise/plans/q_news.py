@@ -179,7 +179,22 @@ def q_l6(spark, sf):
     return o.select("o_orderkey", UR.has_date_suffix(F.col("anchor_text")).alias("has_date_suffix"))
 
 
-@register("l7_labelled_block_links")
+def _labelled_sql(label):
+    kinds = [r'(?is)<li\b[^>]*class\s*=\s*"[^"]*(?:js-stream-content|StreamMegaItem)[^>]*>(.*?)</li\s*>',
+             r'(?is)<div\b[^>]*class\s*=\s*"[^"]*(?:NewsArticle|stream|news-item)[^>]*>(.*?)</div\s*>', r'(?is)<li\b[^>]*>(.*?)</li\s*>']
+    found = ", ".join(f"regexp_extract_all(html, {ST.q(k)}, 1) AS b{i}" for i, k in enumerate(kinds))
+    href = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>.*?</a\s*>"""
+    return f"""
+      SELECT page_id, url, CAST(block_pos AS INTEGER) AS block_pos, {ST.decode("CASE WHEN left(h, 1) IN (chr(34), chr(39)) "
+        "THEN substring(h, 2, length(h) - 2) ELSE h END")} AS href
+      FROM (SELECT page_id, url, block_pos, block, regexp_extract(block, {ST.q(href)}, 1) AS h FROM (
+              SELECT page_id, url, unnest(range(len(b))) AS block_pos, unnest(b) AS block FROM (
+                SELECT page_id, url, CASE WHEN len(b0) > 0 THEN b0 WHEN len(b1) > 0 THEN b1 ELSE b2 END AS b
+                FROM (SELECT page_id, url, {found} FROM v_pages) f) k) u) x
+      WHERE h <> '' AND contains({ST.text_nodes_joined('block', "''")}, '{label}')"""
+
+
+@register("l7_labelled_block_links", with_views(_labelled_sql("the"), "v_pages"))
 def q_l7(spark, sf):
     """Blocks (list items here) whose text contains the label 'the' give their first link."""
     return LK.labelled_block_links(views.pages(spark, sf), "the")
@@ -281,15 +296,34 @@ def q_a1(spark, sf):
     return views.pages(spark, sf).select("page_id", AR.page_title(F.col("html")).alias("title"))
 
 
-_ARTICLE_TEXT = ST.text_nodes_joined(ST.drop_elements(ST.element_inner("html", "article"), AR.DROPPED_IN_BODY), "chr(10)")
+def _body_sql(h):
+    text = lambda inner: ST.text_nodes_joined(ST.drop_elements(inner, AR.DROPPED_IN_BODY), "chr(10)")
+    by = {"class": "article.?(?:body|content|text)|news.?content|main.?content|story-body", "id": "article|content|main"}
+    cases = [f"WHEN {ST.has_element(h, 'article')} THEN {text(ST.element_inner(h, 'article'))}"]
+    for attr, words in by.items():
+        div = ST.q(rf"""(?is)<div\b[^>]*\b{attr}\s*=\s*["']?[^"'>]*(?:{words})[^>]*>(.*?)</div\s*>""")
+        cases.append(f"WHEN regexp_matches({h}, {div}) THEN {text(f'regexp_extract({h}, {div}, 1)')}")
+    return f"CASE {' '.join(cases)} ELSE '' END"
 
 
-@register("a2_page_body", with_views(f"""
-    SELECT page_id, CASE WHEN {ST.has_element('html', 'article')} THEN {_ARTICLE_TEXT} ELSE NULL END AS body
-    FROM v_pages WHERE {ST.has_element('html', 'article')}""", "v_pages"))
+@register("a2_page_body", with_views(f"SELECT page_id, {_body_sql('html')} AS body FROM v_pages", "v_pages"))
 def q_a2(spark, sf):
-    p = views.pages(spark, sf).filter(F.col("html").rlike(r"(?is)<article\b[^>]*>"))
-    return p.select("page_id", AR.page_body(F.col("html")).alias("body"))
+    return views.pages(spark, sf).select("page_id", AR.page_body(F.col("html")).alias("body"))
+
+
+# derived pages: every page once more per other container, in each kind of quotes
+_CONTAINERS = ['div class="page article-body"', "div class='story-body'", "div id=main-part", "section"]
+_BODY_PAGES_SQL = " UNION ALL ".join(
+    f"SELECT page_id, {k} AS container, replace(replace(html, '<article', {ST.q('<' + c)}), '</article', '</{c.split()[0]}') AS html FROM v_pages"
+    for k, c in enumerate(_CONTAINERS))
+
+
+@register("a2_page_body_containers", with_views(f"""
+    SELECT page_id, container, {_body_sql('html')} AS body FROM ({_BODY_PAGES_SQL}) p""", "v_pages"))
+def q_a2_containers(spark, sf):
+    html = [F.replace(F.replace("html", F.lit("<article"), F.lit(f"<{c}")), F.lit("</article"), F.lit(f"</{c.split()[0]}")) for c in _CONTAINERS]
+    p = views.pages(spark, sf).select("page_id", F.posexplode(F.array(*html)).alias("container", "html"))
+    return p.select("page_id", "container", AR.page_body(F.col("html")).alias("body"))
 
 
 # derived pages: each order's date written the way one of the seven publish-date rules reads it
