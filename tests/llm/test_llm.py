@@ -107,6 +107,11 @@ def test_simhash(spark):
     for _ in fps:
         comp = [min(comp[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(fps))]
     assert got.component_id.tolist() == comp
+    few = spark.createDataFrame([(k, f"v{k}") for k in range(4)], "k int, v string")
+    many = spark.createDataFrame([(i, i % 3 if i % 2 else 0) for i in range(300)] + [(None, 0), (7, 0), (7, 0)], "i int, k int")
+    for hot in (few.where("k = 0"), few.where("k > 9"), few):
+        dealt = simhash._spread_join(many, few, "k", hot, "i").select("i", "k", "v").collect()
+        assert sorted(map(str, dealt)) == sorted(map(str, many.join(few, "k").select("i", "k", "v").collect())) and len(dealt) == 303
     near = [simhash._signed(int(x)) for x in {fps[5] ^ sum(1 << int(b) for b in rng.choice(64, 3)) for _ in range(60)}]
     frame = spark.createDataFrame([(f,) for f in near], "fp long")
     whole = {frozenset(r) for r in simhash.fingerprint_links(frame).collect()}

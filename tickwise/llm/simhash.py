@@ -39,6 +39,8 @@ MAX_BITS = 3         # differing bits that still link
 BLOCKS = 6           # blocks of bits with a pivot table each
 N_PIVOTS = 16        # reference fingerprints
 CHUNK = 20_000       # fingerprints of a bucket that one task compares
+HOT = 1000           # a key with more than one in HOT of all rows is hot: there are fewer than HOT such keys
+SALTS = 64           # parts that the rows of a hot key are dealt into
 _SLICE = 1 << 16     # hashes whose bits are counted at once
 
 PIVOTS = [random.Random(2024 + i).getrandbits(64) for i in range(N_PIVOTS)]
@@ -180,13 +182,22 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BL
             .mapInArrow(lambda it: _links(it, max_bits), "a long, b long"))
 
 
-def _grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
-    """(doc_id, key, fp, label): one row per row of ``docs``; label names the component."""
-    per_doc = written(fingerprints(docs, shingle), "simhash-docs")
-    fps = written(per_doc.select("fp").distinct(), "simhash-fps")
-    groups = connected_components(fingerprint_links(fps, max_bits)).withColumnRenamed("node", "fp")
-    labels = fps.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
-    return per_doc.join(labels, "fp")
+def _labelled(per_doc: DataFrame, max_bits: int, least: Column) -> DataFrame:
+    """(fp, n, least, label): one row per fingerprint, its rows and ``least`` of them summed up before any join; label names the component."""
+    fps = written(per_doc.groupBy("fp").agg(F.count("*").alias("n"), least.alias("least")), "simhash-fps")
+    groups = connected_components(fingerprint_links(fps.select("fp"), max_bits)).withColumnRenamed("node", "fp")
+    labels = fps.join(groups, "fp", "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("label"))
+    return written(labels, "simhash-labels")
+
+
+def _spread_join(rows: DataFrame, small: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """``rows`` with the one row of ``small`` for their key; the keys in ``hot`` (at most HOT) are dealt over SALTS joins by ``by``."""
+    salted = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    many = rows.join(salted, key, "left").withColumn("_salt", salt).drop("_hot")
+    few = small.join(salted, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return many.join(few, [key, "_salt"]).drop("_salt")
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -197,9 +208,14 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     it has none); repeated rows come back as often as they occur; an empty table
     gives an empty result; further columns are ignored.
     """
-    rows = written(_grouped(docs, shingle, max_bits).select("doc_id", "fp", "label"), "simhash-rows")
-    least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "label").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    per_doc = written(fingerprints(docs, shingle), "simhash-docs")
+    labels = _labelled(per_doc, max_bits, F.min("doc_id"))
+    components = written(labels.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), "simhash-components")
+    hot = components.where(F.col("fps") * HOT > labels.count())
+    per_fp = _spread_join(labels.select("fp", "label"), components.select("label", "component_id"), "label", hot, "fp")
+    hot = labels.where(F.col("n") * HOT > per_doc.count())
+    found = _spread_join(per_doc.select("doc_id", "fp"), per_fp.select("fp", "component_id"), "fp", hot, "doc_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -209,8 +225,8 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     and the text one stays, of different texts under that id the one with the
     smaller hash.
     """
-    rows = _grouped(docs, shingle, max_bits)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
-    kept = written(rows.groupBy("label").agg(first.alias("first")).select(F.col("first.key").alias("_key")), "simhash-kept")
+    per_doc = written(fingerprints(docs, shingle), "simhash-docs")
+    labels = _labelled(per_doc, max_bits, F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")))
+    kept = written(labels.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key")), "simhash-kept")
     names = [F.col(f"`{c}`") for c in docs.columns]
     return docs.withColumn("_key", _key()).join(kept, "_key").dropDuplicates(["_key"]).select(*names)
