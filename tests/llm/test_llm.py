@@ -169,6 +169,28 @@ def test_nn_descent(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def two_linked_groups(n=40, dim=64, others=1500):
+    """Two groups, cosine about 0.99 inside and 0.955 across, and unrelated vectors."""
+    rng = np.random.default_rng(5)
+    u = np.eye(dim)[:2]
+    heads = np.stack([u[0], 0.965 * u[0] + np.sqrt(1 - 0.965 ** 2) * u[1]])
+    noise = rng.normal(size=(2 * n, dim))
+    noise[:, :2] = 0
+    near = np.repeat(heads, n, axis=0) + 0.1 * noise / np.linalg.norm(noise, axis=1)[:, None]
+    return np.concatenate([near, rng.normal(size=(others, dim))])
+
+
+def test_nn_descent_links_between_saturated_groups(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "audit", lambda nodes, *_: (1.0, nodes.selectExpr("node AS src", "node AS nbr")))   # no help from the audit
+    x = two_linked_groups()
+    got = nn_descent.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    assert (links[:80] == 79).all() and not links[80:].any()
+    got = got.toPandas().sort_values("vec_id")
+    assert got.n_links.tolist() == links.tolist() and got.component_id.tolist() == [0] * 80 + list(range(80, len(x)))
+
+
 def segmentations(v, unit):
     lattice = v.edges(unit)
 

@@ -9,10 +9,13 @@ neighbours is handled in chunks, drawn anew each round; none is left out.
 
 Edges at or above the threshold, verified in double precision on the original
 vectors, are the links; their components follow.  A neighbour list of which all
-``K`` entries are links is saturated: it is enlarged to its whole component,
-which holds every link a member can have.  Components are compared in blocks of
-at most ``CHUNK`` nodes against each other; only counts leave a task, so a large
-group costs no list of pairs.
+``K`` entries are links is saturated: further links of the node may have found no
+room in it.  It is enlarged by the whole component, without a list of pairs, and
+by a second list of the ``K`` nearest nodes outside the component, found by
+NN-descent over pairs of different components.  Where that list holds a link,
+components grow together and the lists are enlarged again, until none holds one.
+Components are compared in blocks of at most ``CHUNK`` nodes against each other;
+only counts leave a task, so a large group costs no list of pairs.
 
 Recall is audited: for a bounded sample of ``AUDIT`` nodes all links are found by
 comparison with all nodes; while less than ``RECALL`` of them are known and the
@@ -82,29 +85,29 @@ def _top(ids: np.ndarray, sims: np.ndarray, n: int, floor: np.ndarray) -> tuple
     return ids[i], ids[cols[i, j]], best[i, j].astype(np.float64)
 
 
-def start_graph(nodes: DataFrame, k: int) -> DataFrame:
-    """(src, nbr, sim): nearest neighbours inside windows of several random orders."""
+def start_graph(nodes: DataFrame, k: int, seed: int = SEED) -> DataFrame:
+    """(src, nbr, sim): nearest neighbours inside windows of several random orders; nodes of one ``side`` are not compared."""
     def coded(batches):
         planes: dict[int, np.ndarray] = {}
         for pdf in batches:
             out = []
             for dim, part in pdf.groupby("dim"):
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([SEED, int(dim)]).normal(size=(int(dim), ORDERS * BITS)).astype("f4")
+                    planes[dim] = np.random.default_rng([seed, int(dim)]).normal(size=(int(dim), ORDERS * BITS)).astype("f4")
                 dots = (_vecs(part["vec"]) @ planes[dim]).reshape(len(part), ORDERS, BITS)
                 codes = ((dots > 0) * (1 << np.arange(BITS))).sum(axis=2)
                 out.extend(part.assign(turn=t, code=codes[:, t], at=dots[:, t, 0]) for t in range(ORDERS))
             if out:
-                yield pd.concat(out)[["turn", "dim", "code", "at", "node", "vec"]]
+                yield pd.concat(out)[["turn", "dim", "code", "at", "node", "vec", "side"]]
 
     def windows(batches):
         step = WINDOW // 2
 
         def compare(pdf: pd.DataFrame):
-            ids, vecs, parts = pdf["node"].to_numpy(), _vecs(pdf["vec"]), []
+            ids, vecs, side, parts = pdf["node"].to_numpy(), _vecs(pdf["vec"]), pdf["side"].to_numpy(), []
             for a in range(0, max(len(pdf) - step, 1), step):
                 sims = vecs[a:a + WINDOW] @ vecs[a:a + WINDOW].T
-                np.fill_diagonal(sims, -2)
+                sims[side[a:a + WINDOW, None] == side[None, a:a + WINDOW]] = -2
                 if (found := _top(ids[a:a + WINDOW], sims, k, np.full(len(sims), -1.5, "f4"))) is not None:
                     parts.append(found)
             return _edges(parts)
@@ -113,7 +116,8 @@ def start_graph(nodes: DataFrame, k: int) -> DataFrame:
             for _, part in pdf.groupby(["turn", "dim"]):
                 yield compare(part)
 
-    rows = nodes.select("node", "dim", "vec").mapInPandas(coded, "turn int, dim int, code long, at float, node long, vec binary")
+    rows = nodes.select("node", "dim", "vec", "side").mapInPandas(
+        coded, "turn int, dim int, code long, at float, node long, vec binary, side long")
     order = ["turn", "dim", "code", "at"]
     return (rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(windows, "src long, nbr long, sim double"))
 
@@ -125,14 +129,21 @@ def _keep(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k).drop("n")
 
 
-def refine(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
-    """One round: neighbours of neighbours compete for every node's list."""
+def refine(graph: DataFrame, nodes: DataFrame, k: int, turn: int, inner: DataFrame | None = None) -> DataFrame:
+    """One round: neighbours of neighbours, if of another ``side``, compete for every node's list.
+
+    Edges of a settled graph ``inner`` lead to further neighbours of neighbours; only nodes marked ``full`` have lists then.
+    """
     floor = graph.groupBy("src").agg(F.min("sim").alias("least"), F.count("*").alias("n")).select(
         F.col("src").alias("node"), F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-1.5)).alias("floor"))
-    vectors = nodes.select("node", "dim", "vec").join(floor, "node", "left").select(
-        F.col("node").alias("member"), "dim", "vec", F.coalesce("floor", F.lit(-1.5)).alias("floor"))
-    both = (graph.select(F.col("src").alias("center"), F.col("nbr").alias("member"), "fresh")
-            .unionByName(graph.select(F.col("nbr").alias("center"), F.col("src").alias("member"), "fresh"))
+    none = F.lit(-1.5) if inner is None else F.when(F.col("full"), F.lit(-1.5)).otherwise(F.lit(2.0))
+    vectors = nodes.join(floor, "node", "left").select(
+        F.col("node").alias("member"), "dim", "vec", "side", F.coalesce("floor", none).alias("floor"))
+    steps = graph.select("src", "nbr", "fresh")
+    if inner is not None:
+        steps = steps.unionByName(inner.select("src", "nbr", F.lit(False).alias("fresh")))
+    both = (steps.select(F.col("src").alias("center"), F.col("nbr").alias("member"), "fresh")
+            .unionByName(steps.select(F.col("nbr").alias("center"), F.col("src").alias("member"), "fresh"))
             .groupBy("center", "member").agg(F.max("fresh").alias("fresh")))
 
     def local(batches):
@@ -141,12 +152,11 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
             if len(run) < 2 or not run["fresh"].any():
                 continue
             ids, vecs = run["member"].to_numpy(), _vecs(run["vec"])
-            fresh, low = run["fresh"].to_numpy(), run["floor"].to_numpy()
+            fresh, low, side = run["fresh"].to_numpy(), run["floor"].to_numpy(), run["side"].to_numpy()
             for a in range(0, len(run), WINDOW):
                 b = a + WINDOW
                 sims = vecs[a:b] @ vecs[a:b].T
-                sims[~(fresh[a:b, None] | fresh[None, a:b])] = -2
-                np.fill_diagonal(sims, -2)
+                sims[~(fresh[a:b, None] | fresh[None, a:b]) | (side[a:b, None] == side[None, a:b])] = -2
                 if (found := _top(ids[a:b], sims, 3, low[a:b])) is not None:
                     parts.append(found)
             if len(parts) > 2000:
@@ -155,7 +165,7 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
         yield _edges(parts)
 
     rows = both.join(vectors, "member").withColumn("draw", F.xxhash64("member", F.lit(turn)))
-    found = (rows.repartition("center").sortWithinPartitions("center", "draw").select("center", "member", "fresh", "vec", "floor")
+    found = (rows.repartition("center").sortWithinPartitions("center", "draw").select("center", "member", "fresh", "vec", "floor", "side")
              .mapInArrow(lambda it: (pa.RecordBatch.from_pandas(x, preserve_index=False, schema=pa.schema(
                  [("src", pa.int64()), ("nbr", pa.int64()), ("sim", pa.float64())])) for x in local(it)), "src long, nbr long, sim double"))
     return _keep(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k)
@@ -172,6 +182,36 @@ def verified(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(end("a"), "a").join(end("b"), "b").where(cos("raw_a", "raw_b") >= threshold).select("a", "b")
 
 
+def enlarge(graph: DataFrame, links: DataFrame, nodes: DataFrame, k: int, threshold: float, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(links, components) after the saturated lists have been enlarged, until that adds no link."""
+    full = written(graph.groupBy("src").agg(F.min("sim").alias("least"), F.count("*").alias("n"))
+                   .where((F.col("n") >= k) & (F.col("least") >= threshold - 1e-4)).select(F.col("src").alias("node"), F.lit(True).alias("full")), "nn-full")
+    n_full, outer = full.count(), None
+    while True:
+        components = written(connected_components(links), "nn-components")
+        if not n_full:
+            return links, components
+        sided = written(nodes.select("node", "dim", "raw", "vec").join(components, "node", "left").join(full, "node", "left").select(
+            "node", "dim", "raw", "vec", F.coalesce("component", "node").alias("side"), F.coalesce("full", F.lit(False)).alias("full")), "nn-sides")
+        # the start: windows over all nodes, and over a few nodes of each side, so that no large side fills a window
+        few = sided.withColumn("n", F.row_number().over(Window.partitionBy("side", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy(
+            F.xxhash64("node", F.lit(turn)), "node"))).where("n = 1").drop("n")
+        found = (start_graph(sided, k, SEED + turn).unionByName(start_graph(few, k, SEED + turn))
+                 .join(full.select(F.col("node").alias("src")), "src", "left_semi").withColumn("fresh", F.lit(True)))
+        if outer is not None:
+            end = lambda c: sided.select(F.col("node").alias(c), F.col("side").alias(f"side_{c}"))
+            found = found.unionByName(outer.join(end("src"), "src").join(end("nbr"), "nbr").where("side_src != side_nbr").select(
+                "src", "nbr", "sim", F.lit(True).alias("fresh")))
+        outer, changed = written(_keep(found, k), "nn-outer"), n_full * k
+        while changed > DELTA * n_full * k:
+            outer = written(refine(outer, sided, k, turn, graph), "nn-outer")
+            changed, turn = outer.where("fresh").count(), turn + 1
+        more = written(verified(outer.where(F.col("sim") >= threshold - 1e-4), nodes, threshold), "nn-more")
+        if more.isEmpty():
+            return links, components
+        links = written(links.unionByName(more), "nn-links")
+
+
 def count_links(nodes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
     """(node, n_links): vectors linked to each node of a component, other than its own copies."""
     members = written(nodes.select("node", "raw", "n").join(components, "node"), "nn-members")
@@ -247,20 +287,21 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, k: int = K)
     classes = usable.groupBy("dim", "raw").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     nodes = written(classes.mapInPandas(single, "dim int, raw binary, node long, n long, vec binary"), "nn-nodes")
     total = nodes.count()
-    graph = written(_keep(start_graph(nodes, k).withColumn("fresh", F.lit(True)), k), "nn-graph")
+    sided = nodes.withColumn("side", F.col("node"))
+    graph = written(_keep(start_graph(sided, k).withColumn("fresh", F.lit(True)), k), "nn-graph")
     extra, turn, changed = None, 0, total * k
     while True:
         while total and changed > DELTA * total * k:
-            graph = written(refine(graph, nodes, k, turn), "nn-graph")
+            graph = written(refine(graph, sided, k, turn), "nn-graph")
             changed, turn = graph.where("fresh").count(), turn + 1
         near = graph.where(F.col("sim") >= threshold - 1e-4).select("src", "nbr")
         links = written(verified(near if extra is None else near.unionByName(extra), nodes, threshold), "nn-links")
-        components = written(connected_components(links), "nn-components")
+        links, components = enlarge(graph, links, nodes, k, threshold, turn)
         counts = written(count_links(nodes, components, threshold), "nn-counts")
         recall, extra = audit(nodes, counts, threshold)
         if recall >= RECALL or not changed:
             break
-        before, graph = changed, written(refine(graph, nodes, k, turn), "nn-graph")
+        before, graph = changed, written(refine(graph, sided, k, turn), "nn-graph")
         changed, turn = graph.where("fresh").count(), turn + 1
         if changed >= before:
             break
