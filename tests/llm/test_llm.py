@@ -191,6 +191,27 @@ def test_nn_descent_links_between_saturated_groups(spark, monkeypatch):
     assert got.n_links.tolist() == links.tolist() and got.component_id.tolist() == [0] * 80 + list(range(80, len(x)))
 
 
+def test_nn_descent_recall_audit(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 32))
+    x[1000:1100] = x[1000] + rng.normal(scale=0.01, size=(100, 32))
+    x[1100:1110] = x[:10] + rng.normal(scale=0.01, size=(10, 32))     # ten pairs among many without links
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    real = nn_descent.start_graph                  # a start that finds nothing: only the audit sees the links
+    far = lambda *a: real(*a).where("sim < 0.5")
+    monkeypatch.setattr(nn_descent, "start_graph", far)
+    monkeypatch.setattr(nn_descent, "refine", lambda graph, *a: graph.withColumn("fresh", F.lit(False)))
+    got = nn_descent.near_duplicates(df).toPandas().sort_values("vec_id")
+    assert got.n_links.tolist() == (linked.sum(1) - 1).tolist()
+    assert got.component_id.tolist() == [int(np.flatnonzero(r)[0]) for r in linked]
+    monkeypatch.setattr(nn_descent, "verified", lambda edges, *a: edges.selectExpr("src AS a", "nbr AS b").limit(0))
+    monkeypatch.setattr(nn_descent, "TRIES", 0, raising=False)
+    with pytest.raises(RuntimeError):
+        nn_descent.near_duplicates(df)
+
+
 def segmentations(v, unit):
     lattice = v.edges(unit)
 
