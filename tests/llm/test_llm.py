@@ -66,6 +66,19 @@ def test_html_wrapper(spark):
     assert all(r.n_chars == len(r.text) for r in got.collect())
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-menu", "widget-area", "form-page"])
+def test_html_region_words_around_the_article(name):
+    inner = '<article><h1>T</h1><p>Some text</p></article><div class="related-posts"><article><p>Other</p></article></div>'
+    page = f'<body><div class="menu">Home</div><div class="{name}"><div class="sidebar-left">{inner}</div><div class="sidebar">side</div></div></body>'
+    plan = html_wrapper.plan_of(html_wrapper.wrap(html_wrapper.parse(page)))
+    assert html_wrapper.extract_text(page, plan) == html_wrapper.extract_text(page, None) == "T\n\nSome text"
+    within = f'<body><main><p>By me</p><div class="{name}">{inner}</div></main></body>'
+    assert html_wrapper.extract_text(within, None) == "T\n\nSome text"
+    # a page that has the host's element, but no article of its own
+    host = {"root": f"#/body/div.{'.'.join(re.findall('[a-z]+', name))}/div.content", "constant": []}
+    assert html_wrapper.extract_text(f'<body><div class="{name}"><div class="content">Text</div></div></body>', host) == "Text"
+
+
 def test_wrapper_alignment():
     a = html_wrapper.wrap(html_wrapper.parse("<div><h1>a</h1><p>x</p><p>y</p></div>"))
     b = html_wrapper.wrap(html_wrapper.parse("<div><h1>a</h1><ul><li>1<li>2</ul><p>z</p></div>"))

@@ -15,7 +15,10 @@ article or main element, else the container with the most text in slots) and,
 where no article element shows it, the texts that are constant over the host's
 pages, which are template.  A page's text is all text below that element, but
 for the regions that are no article by their tag, role, class or id (menus,
-headers, footers, sidebars, notices, adverts, forms, comments).  A page that
+headers, footers, sidebars, notices, adverts, forms, comments).  Words of a class
+or id do not count on an element that encloses the article: where a hidden article
+or main element holds more text than all that can be seen, or the host's element
+is inside, the elements around it open.  A page that
 does not have its host's element is read by the same rules on its own.
 """
 
@@ -68,10 +71,11 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "sig", "bad", "good", "kids")
+    __slots__ = ("tag", "sig", "bad", "good", "kids", "weak")
 
-    def __init__(self, tag: str, sig: str, bad: bool, good: bool):
+    def __init__(self, tag: str, sig: str, bad: bool, good: bool, weak: bool = False):
         self.tag, self.sig, self.bad, self.good, self.kids = tag, sig, bad, good, []
+        self.weak = weak   # bad by words of its class or id only
 
 
 def _open(tag: str, attrs: str) -> Node:
@@ -93,11 +97,56 @@ def _open(tag: str, attrs: str) -> Node:
             good |= value == "articlebody"
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             bad = True
-    if words & BAD_WORDS and tag not in ("html", "body", "article", "main"):
-        bad = True
+    weak = not bad and tag not in ("html", "body", "article", "main") and bool(words & BAD_WORDS)
+    bad |= weak
     if tag in ("article", "main") and words & {"comment", "comments", "reply", "ad", "advert", "related", "promo"}:
         bad = True
-    return Node(tag, sig, bad, good or (tag in ("div", "section", "td") and bool(words & GOOD_WORDS)))
+    return Node(tag, sig, bad, good or (tag in ("div", "section", "td") and bool(words & GOOD_WORDS)), weak)
+
+
+def _size(node: Node) -> int:
+    """Characters of text below an element, outside bad regions."""
+    return sum(len(k[0].strip()) if isinstance(k, tuple) else 0 if k.bad else _size(k) for k in node.kids)
+
+
+def _reveal(root: Node) -> None:
+    """Open, from the outside in, the regions by class words around an article that holds more text than all articles to be seen."""
+    while True:
+        hidden: list[tuple[int, Node]] = []
+
+        def walk(node: Node, outer: Node | None, inside: bool) -> int:
+            seen = 0
+            for k in node.kids:
+                if isinstance(k, tuple) or k.bad and not k.weak:
+                    continue
+                shut = k if k.bad and outer is None else outer
+                here = not k.bad and k.tag in ("article", "main")
+                if here and shut is not None:
+                    hidden.append((_size(k), shut))
+                elif here and not inside:
+                    seen += _size(k)
+                seen += walk(k, shut, inside or here)
+            return seen
+
+        seen = walk(root, None, False)
+        most = max(hidden, key=lambda x: x[0], default=(0, None))
+        if most[0] <= seen:
+            return
+        most[1].bad = False
+
+
+def _reveal_path(node: Node, path: str, goal: str) -> None:
+    """Open the regions by class words around the host's element, on a page that has it."""
+    for k in node.kids:
+        if isinstance(k, Node) and (not k.bad or k.weak) and goal.startswith(f"{path}/{k.sig}/"):
+            if not k.bad or _has(k, f"{path}/{k.sig}", goal):
+                k.bad = False
+                _reveal_path(k, f"{path}/{k.sig}", goal)
+
+
+def _has(node: Node, path: str, goal: str) -> bool:
+    return any(isinstance(k, Node) and (not k.bad or k.weak) and (
+        f"{path}/{k.sig}" == goal or goal.startswith(f"{path}/{k.sig}/") and _has(k, f"{path}/{k.sig}", goal)) for k in node.kids)
 
 
 def parse(page: str) -> Node:
@@ -159,6 +208,7 @@ def parse(page: str) -> Node:
             continue
         if len(stack) < DEPTH:
             stack.append(node)
+    _reveal(root)
     return root
 
 
@@ -324,6 +374,8 @@ def extract_text(page: str | None, plan: dict | None) -> str:
         return ""
     tree = parse(page)
     plan = plan or {"root": None, "constant": []}
+    if plan["root"]:
+        _reveal_path(tree, tree.sig, plan["root"])
     constant = frozenset(plan["constant"])
     tests = [lambda k, p: p == plan["root"], lambda k, p: k.tag == "article", lambda k, p: k.tag == "main",
              lambda k, p: k.good, lambda k, p: k.tag == "body"]
