@@ -272,6 +272,19 @@ def test_language_id(spark):
     assert langid.predict_documents(df.limit(0)).count() == 0
 
 
+def test_viterbi_two_spans_of_other_languages():
+    # neither span's language is the best one for all words
+    assert langid.viterbi(np.array([[4.0, -5, 0], [-5, 4, 0]]), 5.0) == [(0, 0), (1, 1)]
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(rng.integers(2, 6))
+        s = np.column_stack([rng.normal(0, 3, (n, 2)), np.zeros(n)])
+        want = max(sum(s[i, l] for i, l in enumerate(c)) - 5 * sum(a != b for a, b in zip(c, c[1:], strict=False)) for c in itertools.product(range(3), repeat=n))
+        spans = langid.viterbi(s, 5.0)
+        ends = [a for a, _ in spans[1:]] + [n]
+        assert abs(sum(s[a:e, l].sum() for (a, l), e in zip(spans, ends, strict=True)) - 5 * (len(spans) - 1) - want) < 1e-9
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a", "x"), (1, "http://b\r\nX-Page-Id: 9", "x"), (2, None, None), (5, "http://c", ""), (4, "http://d", "é\r\n\r\ny"), (None, "http://e", "x")]
     pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, payload string")

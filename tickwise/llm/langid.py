@@ -12,9 +12,12 @@ log-likelihood of its n-grams; a Viterbi pass over the words with a penalty for
 each change of language labels the spans.  The language with the most letters
 is the prediction, its share of the letters the score.
 
-The Viterbi pass is skipped where its result is known: if no run of words
-favours another language by more than one penalty, the constant path is the
-best one (each further span costs at least one penalty more).
+The Viterbi pass is skipped where its result is known.  A path of m spans pays
+m - 1 penalties; against the best constant path its first span gains at most P,
+the most that the words up to some word favour a language, its last at most S,
+the most that the words from some word on do, and each one between at most M, the
+most that any run of words does.  If P + S and M are at most one penalty,
+no path is better.
 """
 
 from __future__ import annotations
@@ -175,7 +178,7 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int]]
     best = int(scores.sum(axis=0).argmax())
     gain = np.cumsum(scores - scores[:, [best]], axis=0)
     floor = np.minimum.accumulate(np.vstack([np.zeros(gain.shape[1]), gain[:-1]]), axis=0)
-    if (gain - floor).max() <= switch:
+    if (gain - floor).max() <= switch and gain.max() + (gain[-1] - floor[-1]).max() <= switch:
         return [(0, best)]
     value = scores[0].tolist()
     span = [(l, 0, None) for l in range(len(value))]
