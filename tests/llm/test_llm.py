@@ -79,6 +79,32 @@ def test_html_region_words_around_the_article(name):
     assert html_wrapper.extract_text(f'<body><div class="{name}"><div class="content">Text</div></div></body>', host) == "Text"
 
 
+def host_texts(pages):
+    """Texts under the plan of the pages' host, merged in two orders."""
+    out = []
+    for order in (pages, pages[::-1]):
+        wrapper = None
+        for page in order:
+            one = html_wrapper.wrap(html_wrapper.parse(page))
+            wrapper = one if wrapper is None else html_wrapper._merge(wrapper, one)
+        plan = html_wrapper.plan_of(wrapper)
+        out.append([html_wrapper.extract_text(p, plan) for p in pages])
+    assert out[0] == out[1]
+    return out[0]
+
+
+def test_html_constant_texts():
+    copy = "<body><main><h1>T</h1><p>Text</p></main></body>"
+    assert host_texts([copy] * 6) == ["T\n\nText"] * 6
+    series = [f"<body><div class=content><h1>Series</h1><p>Part {i}</p></div></body>" for i in range(7)]
+    assert host_texts(series) == [f"Series\n\nPart {i}" for i in range(7)]
+    bare = [f"<body><div>Top</div><p>Part {i}</p></body>" for i in range(7)]
+    assert host_texts(bare) == [f"Part {i}" for i in range(7)]          # a whole page: the constant is template
+    assert host_texts(bare[:1] * 6) == ["Top\n\nPart 0"] * 6            # copies tell nothing
+    mixed = ["<body><section>One</section><p>a</p></body>"] * 6 + bare[:2]
+    assert host_texts(mixed)[:6] == ["One\n\na"] * 6
+
+
 def test_wrapper_alignment():
     a = html_wrapper.wrap(html_wrapper.parse("<div><h1>a</h1><p>x</p><p>y</p></div>"))
     b = html_wrapper.wrap(html_wrapper.parse("<div><h1>a</h1><ul><li>1<li>2</ul><p>z</p></div>"))

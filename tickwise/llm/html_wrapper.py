@@ -11,9 +11,10 @@ associative enough to fold per partition and merge the partial wrappers, so
 every page of a host takes part and a large host is never gathered in one task.
 
 From the wrapper a host's plan is read: the element that holds the article (an
-article or main element, else the container with the most text in slots) and,
-where no article element shows it, the texts that are constant over the host's
-pages, which are template.  A page's text is all text below that element, but
+article or main element, else the container with the most text in slots) and
+the texts that are constant over the host's different pages, which are template
+where a page has none of these elements; below one, no text is left out for being
+constant.  A page's text is all text below that element, but
 for the regions that are no article by their tag, role, class or id (menus,
 headers, footers, sidebars, notices, adverts, forms, comments).  Words of a class
 or id do not count on an element that encloses the article: where a hidden article
@@ -38,7 +39,8 @@ from .common import written
 from .url_templates import split_url
 
 DEPTH = 150          # deeper elements count as children of the element at this depth
-CONST_PAGES = 5      # pages from which a constant text outside an article element is template
+CONST_PAGES = 5      # different pages from which a constant text outside an article element is template
+SKETCH = 64          # different pages by which an element's share of the host's pages is told
 SALTS = 32           # partial wrappers of a host are merged in so many groups first
 WIDE = 250_000       # alignment cells from which like siblings are folded first
 
@@ -213,15 +215,18 @@ def parse(page: str) -> Node:
 
 
 # ---- wrappers ---------------------------------------------------------------------------------------
-# A wrapper element is a list [sig, optional, repeated, pages, text, chars, link_chars, good, bad, kids];
-# text: "" none, a digest for a constant, None for a slot.
-SIG, OPT, REP, PAGES, TEXT, CHARS, LINKS, GOOD, BAD, KIDS = range(10)
+# A wrapper element is a list [sig, optional, repeated, pages, text, chars, link_chars, good, bad, kids, seen];
+# text: "" none, a digest for a constant, None for a slot; seen, of constants and of the whole page only: the
+# SKETCH smallest digests of the texts of the pages that have it, so that copies of a page count once.
+SIG, OPT, REP, PAGES, TEXT, CHARS, LINKS, GOOD, BAD, KIDS, SEEN = range(11)
 
 
 def _merge(a: list, b: list) -> list:
     """Align two wrapper elements of one signature."""
-    return [a[SIG], a[OPT] or b[OPT], a[REP] or b[REP], a[PAGES] + b[PAGES], a[TEXT] if a[TEXT] == b[TEXT] else None,
-            a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], a[GOOD] or b[GOOD], a[BAD] and b[BAD], align(a[KIDS], b[KIDS])]
+    same = a[TEXT] == b[TEXT]
+    seen = sorted({*a[SEEN], *b[SEEN]})[:SKETCH] if same and a[TEXT] or a[SIG] == "#" else []
+    return [a[SIG], a[OPT] or b[OPT], a[REP] or b[REP], a[PAGES] + b[PAGES], a[TEXT] if same else None,
+            a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], a[GOOD] or b[GOOD], a[BAD] and b[BAD], align(a[KIDS], b[KIDS]), seen]
 
 
 def _within(a: list, b: list) -> list:
@@ -283,13 +288,20 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
-def wrap(node: Node) -> list:
-    """Wrapper of one page."""
+def _texts(node: Node) -> str:
+    return " ".join(k[0] if isinstance(k, tuple) else _texts(k) for k in node.kids)
+
+
+def wrap(node: Node, page: int | None = None) -> list:
+    """Wrapper of one page; ``page``: the digest of its text."""
+    if page is None:
+        page = zlib.crc32(_SPACE.sub(" ", _texts(node)).strip().encode("utf-8", "replace"))
     own = _SPACE.sub(" ", "".join(k[0] for k in node.kids if isinstance(k, tuple))).strip()
     linked = sum(len(k[0].strip()) for k in node.kids if isinstance(k, tuple) and k[1])
     digest = format(zlib.crc32(own.encode("utf-8", "replace")), "x") if own else ""
-    kids = [] if node.tag in RAW or node.tag == "head" else fold([wrap(k) for k in node.kids if isinstance(k, Node)])
-    return [node.sig, False, False, 1, digest, len(own), linked, node.good, node.bad, kids]
+    kids = [] if node.tag in RAW or node.tag == "head" else fold([wrap(k, page) for k in node.kids if isinstance(k, Node)])
+    return [node.sig, False, False, 1, digest, len(own), linked, node.good, node.bad, kids,
+            [page] if digest or node.sig == "#" else []]
 
 
 def expression(wrapper: list) -> str:
@@ -304,7 +316,7 @@ def plan_of(wrapper: list) -> dict:
     """{'root': path of the element that holds the article, 'constant': [path and digest of template texts]}."""
     found: list[tuple[int, int, str]] = []
     constant: list[str] = []
-    total = wrapper[PAGES]
+    total = set(wrapper[SEEN])
 
     def mass(e: list) -> tuple[int, int]:
         """Characters outside bad regions, and of them in links."""
@@ -321,15 +333,14 @@ def plan_of(wrapper: list) -> dict:
         rank = 3 if kind == "article" else 2 if kind == "main" else 1 if e[GOOD] else 0
         if rank and chars > 2 * links:
             found.append((rank, chars, path))
-        if e[TEXT] and e[PAGES] >= CONST_PAGES and 2 * e[PAGES] > total:
+        if e[TEXT] and len(e[SEEN]) >= CONST_PAGES and 2 * len(total.intersection(e[SEEN])) > len(total):
             constant.append(f"{path} {e[TEXT]}")
         for k in e[KIDS]:
             walk(k, f"{path}/{k[SIG]}")
 
     walk(wrapper, wrapper[SIG])
     root = max(found, key=lambda x: (x[0], x[1], x[2]))[2] if found else None
-    shown = bool(found) and max(found)[0] == 3
-    return {"root": root, "constant": [] if shown else sorted(constant)}
+    return {"root": root, "constant": sorted(constant)}
 
 
 def blocks(node: Node, path: str, constant: frozenset, headings_only: bool = False) -> list[str]:
@@ -379,9 +390,10 @@ def extract_text(page: str | None, plan: dict | None) -> str:
     constant = frozenset(plan["constant"])
     tests = [lambda k, p: p == plan["root"], lambda k, p: k.tag == "article", lambda k, p: k.tag == "main",
              lambda k, p: k.good, lambda k, p: k.tag == "body"]
-    for sure, test in zip((True, True, True, False, False), tests, strict=True):
+    for n, test in enumerate(tests):
         if roots := _find(tree, tree.sig, test):
-            lines = [x for node, path in roots for x in blocks(node, path, constant)]
+            sure, whole = n < 3, n == 4   # template is left out of whole pages only
+            lines = [x for node, path in roots for x in blocks(node, path, constant if whole else frozenset())]
             if lines or sure:
                 return "\n\n".join(lines)
     return "\n\n".join(blocks(tree, tree.sig, constant))
