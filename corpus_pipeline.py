@@ -16,7 +16,7 @@ from tickwise.llm.simhash import deduplicate
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without any letter go."""
+    """Documents with any letter, also where no language could be learned."""
     return keep_identified(docs)
 
 

@@ -311,6 +311,13 @@ def test_viterbi_two_spans_of_other_languages():
         assert abs(sum(s[a:e, l].sum() for (a, l), e in zip(spans, ends, strict=True)) - 5 * (len(spans) - 1) - want) < 1e-9
 
 
+def test_language_stage_without_labels(spark):
+    df = docs_frame(spark, [(0, "the cat", None, "a"), (1, None, None, "a"), (2, "12 !", None, "a"), (3, "кот", None, "a"), (4, "", None, "a")])
+    kept = langid.keep_identified(df)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3] and kept.columns == df.columns
+    assert {r.lang_pred for r in langid.predict_documents(df).collect()} == {"und"}
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a", "x"), (1, "http://b\r\nX-Page-Id: 9", "x"), (2, None, None), (5, "http://c", ""), (4, "http://d", "é\r\n\r\ny"), (None, "http://e", "x")]
     pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, payload string")

@@ -199,12 +199,17 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int]]
 
 
 def label_text(text: str | None, model: Model, switch: float = SWITCH) -> tuple[str, float, list]:
-    """(language, score, [(start, end, language)]); null texts and texts without letters are unknown, with no spans."""
-    if not text or not model.langs:
+    """(language, score, [(start, end, language)]); null texts and texts without letters are unknown, with no spans.
+
+    A model without languages gives texts with letters one span of unknown language.
+    """
+    if not text:
         return UNKNOWN, 0.0, []
     scores, letters, offsets = word_scores(text, model)
     if not letters.size:
         return UNKNOWN, 0.0, []
+    if not model.langs:
+        return UNKNOWN, 0.0, [(0, len(text), UNKNOWN)]
     spans = viterbi(scores, switch)
     ends = [s for s, _ in spans[1:]] + [letters.size]
     share = np.zeros(len(model.langs))
@@ -253,13 +258,14 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is unknown: null texts and texts without letters.
+    """``docs`` without null texts and texts without letters.
 
-    The model is fit on the rows with text and label that are not held out.
+    The model is fit on the rows with text and label that are not held out; texts
+    with letters stay also where there are none to learn from.
     """
     labelled = docs.where(~held_out(F.col("doc_id").cast("long")))
     names = docs.columns
     clash = {c: f"_given_{c}" for c in names if c in ("lang_pred", "score", "lang_spans")}   # the caller's own columns
     rows = docs.withColumn("text", F.col("text").cast("string")).withColumnsRenamed(clash)
-    found = identify(rows, fit(labelled)).where(F.col("lang_pred") != UNKNOWN)
+    found = identify(rows, fit(labelled)).where(F.size("lang_spans") > 0)
     return found.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in names])
