@@ -15,13 +15,14 @@ from .langid import predict_documents
 from .mixing import mix_report
 from .nn_descent import near_duplicates
 from .perm_index import nearest
+from . import quality_rules
 from .sentencepiece_nbest import encode_documents
 from .simhash import simhash_components
 from .url_templates import judge
 from .warc import describe, read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_rule_ledger": quality_rules.oracle()}
 
 
 def _query(fn):
@@ -93,3 +94,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate links and components of all vectors."""
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failed rules and the current policy's verdict for all documents, read from the ledger."""
+    path = scratch_path(spark, "ledger")
+    quality_rules.write_ledger(read_table(spark, sf_dir, "documents"), path)
+    return quality_rules.report(quality_rules.read_ledger(spark, path))
