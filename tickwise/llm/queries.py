@@ -20,6 +20,7 @@ from .sentencepiece_nbest import encode_documents
 from .simhash import simhash_components
 from .url_templates import judge
 from .warc import describe, read_archive, write_archive
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op13_rule_ledger": quality_rules.oracle()}
@@ -102,3 +103,9 @@ def op13_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ledger")
     quality_rules.write_ledger(read_table(spark, sf_dir, "documents"), path)
     return quality_rules.report(quality_rules.read_ledger(spark, path))
+
+
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, whitened along the directions of largest variance."""
+    return whiten(read_table(spark, sf_dir, "embeddings"))
