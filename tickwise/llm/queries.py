@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_windows, read_back
 from ..sources.files import scratch_path
 from .common import read_table
+from . import fp_tree
 from .html_wrapper import extract_pages
 from .langid import predict_documents
 from .mixing import mix_report
@@ -23,7 +24,7 @@ from .warc import describe, read_archive, write_archive
 from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op13_rule_ledger": quality_rules.oracle()}
+ORACLES: dict[str, str] = {"op11_fp_tree": fp_tree.ORACLE, "op13_rule_ledger": quality_rules.oracle()}
 
 
 def _query(fn):
@@ -97,6 +98,12 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+@_query
+def op11_fp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that rank highest for every benchmark item."""
+    return fp_tree.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op13_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failed rules and the current policy's verdict for all documents, read from the ledger."""
