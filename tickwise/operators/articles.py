@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import publish_date as publish_date_expr
-from ..functions.html import drop_elements, element_inner, get_text, has_element
+from ..functions.html import balanced_inner, drop_balanced, drop_elements, element_inner, get_text, has_element, let, without_raw
 from ..functions.text import py_lines, py_strip
 
 MIN_LEN = 50
@@ -21,7 +21,7 @@ MIN_LEN = 50
 BODY_CLASS_PATTERN = (r"article.?(?:body|content|text)|news.?content|main.?content|"
                       r"articleContent|article-content|story-body")
 BODY_ID_PATTERN = r"article|content|main"
-DROPPED_IN_BODY = ["script", "style", "nav", "footer", "aside"]
+DROPPED_IN_BODY = ["script", "style", "nav", "footer", "aside"]  # the first two go with all raw text
 
 
 def page_title(html: Column) -> Column:
@@ -41,15 +41,17 @@ def _attr(name: str, pattern: str) -> str:
 
 
 def page_body(html: Column) -> Column:
-    """A2: <article>, else a div by class pattern, else a div by id pattern; script,
-    style, nav, footer and aside removed; text nodes joined by newlines; else ''."""
+    """A2: <article>, else a div by class pattern, else a div by id pattern, each up to its own
+    end tag; script, style, nav, footer and aside removed; text nodes joined by newlines; else ''."""
     cls, ids = _attr("class", BODY_CLASS_PATTERN), _attr("id", BODY_ID_PATTERN)
-    inner = (
-        F.when(has_element(html, "article"), element_inner(html, "article"))
-        .when(has_element(html, "div", cls), element_inner(html, "div", cls))
-        .when(has_element(html, "div", ids), element_inner(html, "div", ids))
-    )
-    return F.coalesce(get_text(drop_elements(inner, DROPPED_IN_BODY), "\n"), F.lit(""))
+
+    def body(clean: Column) -> Column:
+        return (F.when(has_element(clean, "article"), balanced_inner(clean, "article"))
+                .when(has_element(clean, "div", cls), balanced_inner(clean, "div", cls))
+                .when(has_element(clean, "div", ids), balanced_inner(clean, "div", ids)))
+
+    inner = let(without_raw(html), body)
+    return F.coalesce(get_text(drop_balanced(inner, DROPPED_IN_BODY[2:]), "\n"), F.lit(""))
 
 
 def publish_date(html: Column, url: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.html import decode_entities, get_text
+from ..functions.html import VOID_TAGS, decode_entities, get_text, let, markup_tokens
 from ..functions.urls import canonical_url, resolve_url, url_host, url_path
 
 # group 1: the href's value with its quotes, if it has any; group 2: the anchor's inner html
@@ -134,12 +134,17 @@ def labelled_block_links(pages: DataFrame, label: str, keep: Sequence[str] = ("p
     ``unseen`` a block gives its first link that no earlier block of the page gave;
     links given by earlier pages are left to L8.  One projection, no exchange.
     """
-    kinds = [f"_kind{i}" for i in range(len(BLOCK_KINDS))]
+    links = block_links(F.col("html"), label, accept, unseen)
+    return pages.select(*keep, F.explode(links).alias("_l")).select(*keep, "_l.block_pos", "_l.href")
+
+
+def block_links(html: Column, label: str, accept: Callable[[Column], Column] | None = None, unseen: bool = False) -> Column:
+    """L7's labelled blocks of a page as an array of (block_pos, href)."""
     found = []
-    for (tag, attr), name in zip(BLOCK_KINDS, kinds, strict=True):
+    for tag, attr in BLOCK_KINDS:
         open_tag = rf"<{tag}\b[^>]*{attr}[^>]*>" if attr else rf"<{tag}\b[^>]*>"
-        found.append(F.regexp_extract_all(F.col("html"), F.lit(rf"(?is){open_tag}(.*?)</{tag}\s*>"), F.lit(1)).alias(name))
-    blocks = F.coalesce(*[F.when(F.size(k) > 0, F.col(k)) for k in kinds])
+        found.append(F.regexp_extract_all(html, F.lit(rf"(?is){open_tag}(.*?)</{tag}\s*>"), F.lit(1)))
+    blocks = F.coalesce(*[let(k, lambda x: F.when(F.size(x) > 0, x)) for k in found])
     placed = F.transform(blocks, lambda b, i: F.struct(i.alias("block_pos"), b.alias("block")))
     labelled = F.filter(placed, lambda x: F.contains(get_text(x["block"]), F.lit(label)))
 
@@ -151,9 +156,133 @@ def labelled_block_links(pages: DataFrame, label: str, keep: Sequence[str] = ("p
             hrefs = F.filter(hrefs, lambda h: ~F.exists(given, lambda g: g["href"] == h))
         return F.concat(given, F.transform(F.slice(hrefs, 1, 1), lambda h: F.struct(x["block_pos"].alias("block_pos"), h.alias("href"))))
 
-    none = F.array().cast("array<struct<block_pos:int,href:string>>")
-    links = F.aggregate(labelled, none, give)
-    return pages.select(*keep, *found).select(*keep, F.explode(links).alias("_l")).select(*keep, "_l.block_pos", "_l.href")
+    return F.aggregate(labelled, F.array().cast("array<struct<block_pos:int,href:string>>"), give)
+
+
+LEVELS = 8  # enclosing blocks that are tried for a label
+
+_TEXT, _OPEN, _CLOSE, _END = 1, 2, 3, 4
+_TOKEN = "struct<kind:int,name:string,href:string,label:boolean>"
+_STATE = ("struct<names:array<string>,nos:array<int>,first:array<string>,texted:array<boolean>,"
+          "waiting:array<struct<no:int,level:int>>,given:array<struct<no:int,href:string>>,opened:int>")
+
+
+def _token(label: str, url: Column, mode: str, accept: Callable[[Column], Column] | None):
+    """A tag or text as (kind, name, accepted link of an anchor, text holds the label); kind is null for tags that open nothing."""
+    def of(t: Column) -> Column:
+        tag = F.startswith(t, F.lit("<")) & F.endswith(t, F.lit(">"))
+        name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1))
+        kind = (F.when(~tag, _TEXT).when(name.isin("", *VOID_TAGS) | F.endswith(t, F.lit("/>")), F.lit(None))
+                .when(F.startswith(t, F.lit("</")), _CLOSE).otherwise(_OPEN))
+        raw = F.regexp_extract(t, r"""(?is)^<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+        link = F.when(raw != "", canonical_url(resolve_url(decode_entities(unquoted(raw)), url), mode))
+        if accept is not None:
+            link = let(link, lambda x: F.when(accept(x), x))
+        held = ~tag & F.contains(F.trim(F.regexp_replace(decode_entities(t), r"\s+", " ")), F.lit(label))
+        return F.struct(kind.alias("kind"), name.alias("name"), link.alias("href"), held.alias("label")).cast(_TOKEN)
+    return of
+
+
+def _walk(levels: int):
+    """One token's change of the open elements; a label waits until one of its enclosing blocks has a link.
+
+    ``first`` holds the first link inside each open element (a link lies in all
+    of them, so the entries with one come first); ``waiting`` the labels whose
+    nearest enclosing blocks have none yet, with the level of their element.
+    """
+    def state(at: Column, **new: Column) -> Column:
+        fields = ("names", "nos", "first", "texted", "waiting", "given", "opened")
+        return F.struct(*[new.get(f, at[f]).alias(f) for f in fields]).cast(_STATE)
+
+    def text(at: Column, t: Column) -> Column:
+        depth = F.size(at["names"])
+        own = F.element_at(at["nos"], -1)
+        link = F.when(depth > 1, F.try_element_at(at["first"], depth - 1))
+        now = t["label"] & (depth > 1)
+        seen = state(
+            at, texted=F.concat(F.slice(at["texted"], 1, depth - 1), F.array(F.lit(True))),
+            given=F.when(now & link.isNotNull(), F.concat(at["given"], F.array(F.struct(own.alias("no"), link.alias("href"))))).otherwise(at["given"]),
+            waiting=F.when(now & link.isNull(), F.concat(at["waiting"], F.array(F.struct(own.alias("no"), depth.alias("level"))))).otherwise(at["waiting"]))
+        # only the first text of an element counts
+        return F.when((depth == 0) | F.coalesce(F.try_element_at(at["texted"], F.greatest(depth, F.lit(1))), F.lit(True)), at).otherwise(seen)
+
+    def opening(at: Column, t: Column) -> Column:
+        link = t["href"]
+        return state(
+            at, names=F.concat(at["names"], F.array(t["name"])), nos=F.concat(at["nos"], F.array(at["opened"])),
+            first=F.concat(F.transform(at["first"], lambda f: F.coalesce(f, link)), F.array(F.lit(None).cast("string"))),
+            texted=F.concat(at["texted"], F.array(F.lit(False))), opened=at["opened"] + 1,
+            given=F.when(link.isNotNull(), F.concat(at["given"], F.transform(
+                at["waiting"], lambda w: F.struct(w["no"].alias("no"), link.alias("href"))))).otherwise(at["given"]),
+            waiting=F.when(link.isNotNull(), F.slice(at["waiting"], 1, 0)).otherwise(at["waiting"]))
+
+    def closing(at: Column, t: Column) -> Column:
+        depth = F.size(at["names"])
+        back = F.array_position(F.reverse(at["names"]), t["name"]).cast("int")
+
+        def cut(x: Column) -> Column:  # x: elements that stay open, elements that have a link
+            left, linked = x["left"], x["linked"]
+
+            def block(w: Column) -> Column:  # the innermost enclosing element with a link
+                return F.least(linked, w["level"] - 1)
+
+            def ready(w: Column) -> Column:
+                return block(w) >= F.greatest(left, w["level"] - levels, F.lit(1))
+
+            done = F.transform(F.filter(at["waiting"], ready), lambda w: F.struct(
+                w["no"].alias("no"), F.element_at(at["first"], block(w)).alias("href")))
+            kept = F.filter(at["waiting"], lambda w: ~ready(w) & (F.least(left, w["level"] - 1) >= F.greatest(w["level"] - levels, F.lit(1))))
+            return state(at, **{f: F.slice(at[f], F.lit(1), left) for f in ("names", "nos", "first", "texted")},
+                         waiting=kept, given=F.concat(at["given"], done))
+
+        left = F.when(t["kind"] == _END, 0).otherwise(depth - back)
+        closed = let(F.struct(left.alias("left"), F.size(F.filter(at["first"], lambda f: f.isNotNull())).alias("linked")), cut)
+        return F.when((t["kind"] == _END) | (back > 0), closed).otherwise(at)  # a stray end tag closes nothing
+
+    def step(at: Column, t: Column) -> Column:
+        return F.when(t["kind"] == _TEXT, text(at, t)).when(t["kind"] == _OPEN, opening(at, t)).otherwise(closing(at, t))
+    return step
+
+
+def nearest_links(html: Column, url: Column, label: str, mode: str = "query_fragment",
+                  accept: Callable[[Column], Column] | None = None, levels: int = LEVELS) -> Column:
+    """L7, first method, as an array of links: every element whose first text holds ``label`` gives the first
+    accepted link of the nearest enclosing block, up to ``levels`` blocks out; a page gives a link once, in the
+    order of the labels.  Empty for pages without the label, null ones included.
+
+    One walk over a page's tags with the open elements as state: an end tag closes
+    what is still open inside its element, end tags without one are passed over,
+    and elements never closed reach to the end.  The state is as long as the
+    nesting is deep, so a page costs its tags times its depth, in the JVM and
+    without an exchange.
+    """
+    tokens = F.filter(F.transform(markup_tokens(html), _token(label, url, mode, accept)), lambda t: t["kind"].isNotNull())
+    end = F.array(F.struct(F.lit(_END).alias("kind"), F.lit("").alias("name"), F.lit(None).cast("string").alias("href"),
+                           F.lit(False).alias("label")).cast(_TOKEN))
+    none = F.array()
+    start = F.struct(*[none.alias(f) for f in ("names", "nos", "first", "texted", "waiting", "given")], F.lit(0).alias("opened")).cast(_STATE)
+    given = F.aggregate(F.concat(tokens, end), start, _walk(levels))["given"]
+    links = F.array_distinct(F.transform(F.array_sort(given), lambda g: g["href"]))
+    held = F.contains(decode_entities(F.coalesce(html, F.lit(""))), F.lit(label.split(" ")[0]))  # others are not walked
+    return F.when(held, links).otherwise(F.array().cast("array<string>"))
+
+
+def labelled_links(pages: DataFrame, label: str, mode: str = "query_fragment", accept: Callable[[Column], Column] | None = None,
+                   keep: Sequence[str] = ("page_id", "url"), html: str = "html", url: str = "url") -> DataFrame:
+    """L7 whole: the nearest blocks' links; a page that has none gives its labelled blocks' (``block_links``).
+
+    (keep, pos, link, found_by): pos numbers the links of a page from 0.  Pages are
+    projected, not joined; links that earlier pages gave are left to L8.
+    """
+    def whole(href: Column) -> Column:
+        return canonical_url(resolve_url(href, F.col(url)), mode)
+
+    blocks = F.transform(block_links(F.col(html), label, accept and (lambda h: accept(whole(h))), unseen=True), lambda g: whole(g["href"]))
+    near = pages.select(*keep, nearest_links(F.col(html), F.col(url), label, mode, accept).alias("_near"),
+                        F.coalesce(blocks, F.array().cast("array<string>")).alias("_blocks"))
+    by_block = F.size("_near") == 0
+    links = F.when(by_block, F.array_distinct("_blocks")).otherwise(F.col("_near"))
+    return near.select(*keep, F.when(by_block, "block").otherwise("nearest").alias("found_by"), F.posexplode(links).alias("pos", "link"))
 
 
 def links_from_pages(pages: DataFrame, mode: str = "query_fragment") -> DataFrame:

@@ -200,6 +200,39 @@ def q_l7(spark, sf):
     return LK.labelled_block_links(views.pages(spark, sf), "the")
 
 
+# derived pages: each order as a label in nested blocks; the case says where its link stands.  {L}: the order's link
+_BLOCK_CASES = [
+    ("<ul><li class=r><p><span>Wire 1</span></p>{L}</li><li>{O}</li></ul>", "L"),                       # two blocks out, after the label
+    ("<div>{O}<div>{L}<div><div><i><b>Wire 2</b></i></div></div>{O}</div></div>", "L"),                # four out, before it
+    ("<div><section><p>Wire<section>{L}{O}</section></section></div>", "L"),                         # an open p around a nested section
+    ("<div>{L}" + "<div>" * 9 + "<i>Wire</i>" + "</div>" * 10, None),                                # ten blocks out: too far
+    ("<div>{L}" + "<div>" * 7 + "<i>Wire</i>" + "</div>" * 8, "L"),                                  # eight out: just near enough
+    ("<div><div><em>x</em> Wire</div><div>{O}</div></div><p>no{L}</p>", "O"),                       # the label is the block's first text
+    ("<body><div><b>x</b><p>a<i>Wire</i></p><br/></nav><!-- {L} --></div><div>{O}<u>y</u>Wire</div>", "O"),  # a comment's link; stray end tags
+    ("<ol><li>Wire{O}</li></ol><ul><li>a{L}</li></ul><script>{O}</script>", "O"),
+]
+
+
+def _block_page(case, link, other):
+    return case.replace("{L}", f'<a class=t href="{link}">t</a>').replace("{O}", f"<A HREF='{other}'>o</A>")
+
+
+_CASE = "o_orderkey % 8"
+_LINK_SQL = "'/news/' || CAST(o_orderkey AS VARCHAR)"
+
+
+@register("l7_nearest_block", f"""
+    SELECT o_orderkey, CAST(0 AS INTEGER) AS pos, 'nearest' AS found_by, 'https://w.example' || CASE {_CASE}
+      {" ".join(f"WHEN {k} THEN {_LINK_SQL}" + (" || 'o'" if w == "O" else "") for k, (_, w) in enumerate(_BLOCK_CASES) if w)} END AS link
+    FROM orders WHERE {_CASE} IN ({", ".join(str(k) for k, (_, w) in enumerate(_BLOCK_CASES) if w)})""")
+def q_l7_nearest(spark, sf):
+    """The nearest enclosing block's first link for labels in blocks of several depths (one page per order)."""
+    key = F.col("o_orderkey").cast("string")
+    html = F.element_at(F.array(*[F.lit(_block_page(c, "/news/@?a=1&amp;b#c", "/news/@o")) for c, _ in _BLOCK_CASES]), (F.expr(_CASE) + 1).cast("int"))
+    p = table(spark, sf, "orders").select("o_orderkey", F.lit("https://w.example/s?p=1").alias("url"), F.replace(html, F.lit("@"), key).alias("html"))
+    return LK.labelled_links(p, "Wire", keep=["o_orderkey"], accept=lambda u: F.contains(u, F.lit("/news/")))
+
+
 @register("l8_dedup_first", with_views("SELECT link, source_rank, page, pos FROM v_src_dedup", "v_src_dedup"))
 def q_l8(spark, sf):
     return _source_dedup(spark, sf).select("link", "source_rank", "page", "pos")
@@ -326,6 +359,27 @@ def q_a2_containers(spark, sf):
     return p.select("page_id", "container", AR.page_body(F.col("html")).alias("body"))
 
 
+# derived pages: the body is a div around one to three nested divs, with removed elements nested in their like
+_NEST = [1, 2, 3]
+
+
+def _nested(html, k):
+    """The article as a div; its heading inside ``k`` more divs, then an aside in an aside and a footer."""
+    box = F.replace(F.replace(html, F.lit("<article"), F.lit("<div id=wrap><div class='top article-body'")), F.lit("</article"), F.lit("</div></div"))
+    box = F.replace(box, F.lit("<h1>"), F.lit("<div class='d'>" * k + "<h1>"))
+    return F.replace(box, F.lit("</h1>"), F.lit("</h1>" + "</div>" * k + "<aside>a<ASIDE >b</aside>c<div>d</div></aside><!-- </div> --><footer>f</footer>"))
+
+
+@register("a2_nested_bodies", with_views(f"""
+    SELECT page_id, CAST(k AS INTEGER) AS depth, body
+    FROM (SELECT page_id, {_body_sql('html')} AS body FROM v_pages WHERE contains(html, '<article')) b, range(1, 4) r(k)""", "v_pages"))
+def q_a2_nested(spark, sf):
+    """A body ends at its own close tag: nested containers give the text of the plain article."""
+    p = views.pages(spark, sf).filter(F.contains("html", F.lit("<article")))
+    p = p.select("page_id", F.explode(F.array(*[F.struct(F.lit(k).alias("depth"), _nested(F.col("html"), k).alias("html")) for k in _NEST])).alias("d"))
+    return p.select("page_id", "d.depth", AR.page_body(F.col("d.html")).alias("body"))
+
+
 # derived pages: each order's date written the way one of the seven publish-date rules reads it
 add_view("v_order_pages", (), """
     SELECT o_orderkey AS page_id,
