@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickwise.operators import dedup as DD
+from tickwise.operators._util import distributed_rank
 from tickwise.sources import views
 
 from .conftest import SF_SMALL
@@ -41,7 +43,9 @@ def test_lcs_matches_dp():
     assert DD.indel_ratio_py("abc", "abc") == 100.0
 
 
-def test_prefix_filter_is_exact_on_random_titles(spark):
+@pytest.mark.parametrize("hot", [3, DD.HOT_ROWS])
+def test_prefix_filter_is_exact_on_random_titles(spark, monkeypatch, hot):
+    monkeypatch.setattr(DD, "HOT_ROWS", hot)  # 3: nearly every token is cut into parts
     rnd = random.Random(7)
     base = ["晶片廠法說會營收創新高", "半導體設備出貨", "外資賣超晶片廠", "AI伺服器需求強勁"]
     titles = []
@@ -59,7 +63,9 @@ def test_prefix_filter_is_exact_on_random_titles(spark):
         titles.append("".join(t))
     keys = sorted(set(titles))
     nodes = spark.createDataFrame([("d", i + 1, k, len(k)) for i, k in enumerate(keys)], "_day STRING, _node INT, _norm STRING, _len INT")
-    got = {(r.lo, r.hi) for r in DD.similar_pairs(nodes).collect()}
+    found = DD.similar_pairs(nodes).collect()
+    got = {(r.lo, r.hi) for r in found}
+    assert len(found) == len(got)
     exp = {(i + 1, j + 1) for i, j in itertools.combinations(range(len(keys)), 2) if DD.similar_py(keys[i], keys[j])}
     assert got == exp
 
@@ -90,3 +96,37 @@ def test_dedup_stats_totals(spark):
     st = DD.dedup_stats(DD.fuzzy_dedup(views.news(spark, SF_SMALL), with_flag=True)).collect()
     total = [r for r in st if r.day is None][0]
     assert total.original == 200 and total.kept + total.removed == 200
+
+
+def test_rank_of_a_hot_day_is_spread_and_exact(spark):
+    rnd = random.Random(1)
+    rows = [("hot" if i % 3 else rnd.choice(["a", "b", None]), rnd.choice([None, *range(40)]), rnd.randint(0, 9), i) for i in range(3000)]
+    rows += [("hot", 7, 7, 5000)] * 50 + [("same", None, None, None)] * 20
+    df = spark.createDataFrame(rows, "day string, k long, j long, id long").repartition(5)
+    got = distributed_rank(df, ["day"], ["k", "j", "id"])
+    ranks = {}
+    for r in got.collect():
+        ranks.setdefault(r.day, []).append((r._rn, ((r.k is not None, r.k or 0), (r.j is not None, r.j or 0), (r.id is not None, r.id or 0))))
+    assert sum(map(len, ranks.values())) == len(rows)
+    for found in ranks.values():
+        found.sort()
+        assert [n for n, _ in found] == list(range(1, len(found) + 1))
+        assert [k for _, k in found] == sorted(k for _, k in found)
+    assert distributed_rank(df.limit(0), ["day"], ["k"]).count() == 0
+
+
+def test_a_hot_day_fills_many_ranges(spark):
+    df = spark.range(200000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) AS day", "id % 7 AS k", "id")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = distributed_rank(df, ["day"], ["k", "id"])
+        assert ranked.filter("day = 'hot'").agg(F.max("_rn"), F.countDistinct("_rn")).first()[:] == (66667, 66667)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_rows_without_a_date_are_kept_and_deduplicated(spark):
+    df = spark.createDataFrame([(1, "s", None, "some long title"), (2, "s", None, "some long title!"), (3, "s", None, None), (4, "s", "2024-01-01", "")],
+                               "id long, stock_id string, date string, title string")
+    assert sorted(r.id for r in DD.fuzzy_dedup(df).collect()) == [1, 3, 4]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch_path
+
 
 def one_per_day(df: DataFrame, key: str = "date") -> DataFrame:
     """``df`` checked to hold one row per day: a day with more raises an error when the plan runs.
@@ -36,3 +38,32 @@ def keys_or_const(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str
     if by:
         return df, list(by)
     return df.withColumn("_all", F.lit(0)), ["_all"]
+
+
+def distributed_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "_rn") -> DataFrame:
+    """``row_number`` of every row inside its ``by`` group in ``order``, with no group ranked by one task.
+
+    First pass: rows are dealt into ranges of (by, order), a group of any size over
+    as many ranges as its rows fill, sorted and numbered inside their range, and
+    written to the shared folder (the ranges are then fixed).  Second pass: the
+    rows of every (range, group) are counted, running sums of those few counts
+    give each range's offset, and rank = place in the range + offset.  Rows that
+    are equal in ``order`` are told apart by a hash of the whole row, so many
+    equal keys are dealt over ranges too; their order is then the hash's.
+    Null group values are a group; column names beginning with ``_dr_`` are reserved.
+    """
+    spark = df.sparkSession
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    keys = [*[F.col(c) for c in by], *[F.col(c) for c in order], F.col("_dr_tie")]
+    ranged = df.withColumn("_dr_tie", tie).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = ranged.withColumns({"_dr_range": F.spark_partition_id(), "_dr_at": F.monotonically_increasing_id()}).drop("_dr_tie")
+    path = scratch_path(spark, "ranked")
+    ranged.write.parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path)
+    counts = rows.groupBy("_dr_range", *by).agg(F.count(F.lit(1)).alias("_dr_n"), F.min("_dr_at").alias("_dr_first"))
+    earlier = Window.partitionBy(*by).orderBy("_dr_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("_dr_range").alias("_dr_r"), *[F.col(c).alias(f"_dr_b{i}") for i, c in enumerate(by)],
+                           (F.coalesce(F.sum("_dr_n").over(earlier), F.lit(0)) - F.col("_dr_first")).alias("_dr_offset"))
+    same = [F.col("_dr_range") == F.col("_dr_r"), *[F.col(c).eqNullSafe(F.col(f"_dr_b{i}")) for i, c in enumerate(by)]]
+    found = rows.join(counts, same)
+    return found.select(*df.columns, (F.col("_dr_at") + F.col("_dr_offset") + 1).alias(out))

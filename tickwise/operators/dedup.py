@@ -14,8 +14,10 @@ Distributed form, exact at every step:
    alpha(l) = ceil(t*l/(2-t)) for the shorter side; with every title's
    characters sorted rare-first, two qualifying titles must share a token in
    their first l - alpha(l) + 1 tokens.  Pairs are an equi-join on
-   (day, token) plus the length bound — no all-pairs join inside a day;
-3. candidates are verified with a bit-parallel LCS (pandas UDF, Arrow batches);
+   (day, token) plus the length bound — no all-pairs join inside a day, and a
+   token that many titles hold is cut into parts;
+3. candidates with enough characters in common are verified with a bit-parallel
+   LCS (pandas UDF, Arrow batches);
 4. the greedy order is resolved in DataFrame rounds: a node with no undecided or
    kept predecessor is kept, an undecided node with a kept predecessor is
    removed; the first undecided node of every day is decided each round, and
@@ -24,16 +26,20 @@ Distributed form, exact at every step:
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from ..sources.files import scratch_path
+from ._util import distributed_rank
 
 THRESHOLD = 85
+HOT_ROWS = 5000  # keys of a (day, token) that one task joins
 
 
 def normalize_title(c: Column) -> Column:
@@ -50,9 +56,8 @@ def day_key(c: Column) -> Column:
 
 
 def order_in_day(df: DataFrame, day: str = "_day", order=("stock_id", "date", "id")) -> DataFrame:
-    """Rank inside the day by (stock_id, date) with the id as tiebreak."""
-    w = Window.partitionBy(day).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w))
+    """Rank inside the day by (stock_id, date) with the id as tiebreak; a day of any size is ranked by many tasks."""
+    return distributed_rank(df, [day], order)
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -72,6 +77,10 @@ def lcs_length(a: str, b: str) -> int:
     return len(b) - bin(v).count("1")
 
 
+def _ceil_div(a: int, b: int) -> int:
+    return -(-a // b)
+
+
 def indel_ratio_py(a: str, b: str) -> float:
     """Normalised indel similarity 0-100 = 200 * LCS / (len(a) + len(b)); 100 for two empty strings."""
     n = len(a) + len(b)
@@ -94,67 +103,88 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio_py(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x or "", y or "") for x, y in zip(a, b)], dtype="int32")
-
+def prefix_tokens(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(_day, _node, _len, _tok, _short): every key's rarest tokens.
 
-def min_overlap(length: Column, threshold: int = THRESHOLD) -> Column:
-    """alpha(l) = ceil(t*l / (2 - t)) with t = threshold/100, in integers: ceil(thr*l / (200 - thr))."""
-    return F.floor((length * threshold + (200 - threshold - 1)) / (200 - threshold)).cast("int")
+    A key's tokens are 'c#k' for k = 1..count(c) of each of its characters; the
+    rarest come first, by k over the character's share of all text.  That is one
+    order for all keys, which is all the prefix filter needs; the shares are a
+    table of characters, so it has fewer rows than Unicode has code points
+    (1,114,112) whatever the data, and is small enough to send to every task.
 
-
-def _tokens(nodes: DataFrame) -> DataFrame:
-    """(day, node, len, token) for the character multiset of each key: token 'c#k' for
-    k = 1..count(c).  Counting is a hash aggregate (no sort)."""
-    chars = nodes.select("_day", "_node", "_len", F.explode(F.split("_norm", "")).alias("_ch")) \
-        .filter(F.col("_ch") != "")
-    counts = chars.groupBy("_day", "_node", "_len", "_ch").agg(F.count(F.lit(1)).alias("_c"))
-    return counts.select("_day", "_node", "_len",
-                         F.explode(F.transform(F.sequence(F.lit(1), F.col("_c").cast("int")),
-                                               lambda k: F.concat(F.col("_ch"), F.lit("#"), k.cast("string")))
-                                   ).alias("_tok"))
+    In a qualifying pair the shorter key y needs an overlap of at least
+    ceil(t*|y|) (as |x| >= |y|), the longer key x at least ceil(t*|x|/(2-t))
+    (length bound); a prefix of |k| - alpha + 1 tokens per role keeps the
+    guarantee, so short-role tokens (``_short``) are joined to the tokens of keys
+    at least as long.
+    """
+    counts = nodes.select(F.explode(F.split("_norm", "")).alias("c")).groupBy("c").count()
+    seen = {r["c"]: r["count"] for r in counts.collect() if r["c"]}
+    sent = nodes.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches):
+        share = {c: 1.0 / n for c, n in sent.value.items()}
+        for batch in batches:
+            rows, toks, short = [], [], []
+            for i, key in enumerate(batch.column("_norm").to_pylist()):
+                size = len(key)
+                if not size:
+                    continue
+                longest = size + 1 - _ceil_div(size * threshold, 200 - threshold)
+                first = size + 1 - _ceil_div(size * threshold, 100)
+                rare = sorted(((k * share[c], c, k) for c, n in Counter(key).items() for k in range(1, n + 1)), reverse=True)[:max(longest, 1)]
+                rows += [i] * len(rare)
+                toks += [f"{c}#{k}" for _, c, k in rare]
+                short += [at < first for at in range(len(rare))]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("_day", "_node", "_len")] + [pa.array(toks, pa.string()),
+                                             pa.array(short, pa.bool_())], ["_day", "_node", "_len", "_tok", "_short"])
+
+    keys = nodes.select("_day", F.col("_node").cast("long").alias("_node"), F.col("_len").cast("int").alias("_len"), "_norm")
+    return keys.mapInArrow(run, "_day string, _node long, _len int, _tok string, _short boolean")
 
 
 def candidate_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """D7 candidates: (day, lo, hi) node pairs sharing a prefix token, within the length bound.
+    """D7 candidates: (_day, lo, hi) node pairs sharing a prefix token, within the length bound.
 
     ``nodes``: (_day, _node, _norm, _len); _node is the rank of the node in its day.
-    Tokens are ordered by global frequency (rarest first), then by text; the
-    frequency table has one row per distinct token (bounded by alphabet size x
-    longest key), aggregated with map-side combine.  Each key's prefix is the
-    head of its sorted token array (one array sort per key, no window sort).
+    A (day, token) that more than ``HOT_ROWS`` keys hold is cut into parts of about that
+    many: its longer keys are dealt over the parts, its shorter keys go to each.  So
+    no task gets a hot token whole, and no pair is lost.
     """
-    toks = _tokens(nodes)
-    freq = toks.groupBy("_tok").agg(F.count(F.lit(1)).alias("_f"))
-    per_key = toks.join(freq, "_tok").groupBy("_day", "_node", "_len").agg(
-        F.sort_array(F.collect_list(F.struct("_f", "_tok"))).alias("_arr"))
-    # Prefix lengths.  In a qualifying pair the shorter key y needs an overlap of
-    # at least ceil(t*|y|) (as |x| >= |y|), the longer key x at least
-    # ceil(t*|x|/(2-t)) (length bound); a prefix of |k| - alpha + 1 tokens per role
-    # keeps the prefix-filter guarantee, so short-role prefixes are joined to
-    # long-role prefixes of keys at least as long.
-    p_long = F.col("_len") - min_overlap(F.col("_len"), threshold) + 1
-    p_short = F.col("_len") - F.floor((F.col("_len") * threshold + 99) / 100).cast("int") + 1
-    pref = per_key.select("_day", "_node", "_len", p_short.alias("_ps"),
-                          F.posexplode(F.slice("_arr", 1, F.greatest(p_long, F.lit(1)))).alias("_i", "_t")) \
-        .select("_day", "_node", "_len", "_ps", (F.col("_i") + 1).alias("_i"), F.col("_t._tok").alias("_tok"))
-    # both sides of the self-join share this hash partitioning (no second exchange);
-    # an explicit count keeps the CPU-heavy join spread over the cluster's cores
-    pref = pref.repartition(spark_parallelism(nodes), "_day", "_tok")
-    a = pref.filter(F.col("_i") <= F.col("_ps")).select(
-        "_day", F.col("_node").alias("_y"), "_tok", F.col("_len").alias("y_len"))
-    b = pref.select("_day", F.col("_node").alias("_x"), "_tok", F.col("_len").alias("x_len"))
+    toks = prefix_tokens(nodes, threshold).withColumn("_part", F.lit(0))
+    toks = _written(toks, "title-tokens")
+    often = toks.groupBy("_day", "_tok").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
+    often = often.select("_day", "_tok", F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_parts"))
+    cut = toks.join(often, ["_day", "_tok"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    y = cut.filter("_short").select("_day", "_tok", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"),
+                                    F.col("_node").alias("_y"), F.col("_len").alias("y_len"))
+    x = cut.select("_day", "_tok", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int").alias("_part"),
+                   F.col("_node").alias("_x"), F.col("_len").alias("x_len"))
     # length bound in integers: 200 * min(l1, l2) >= threshold * (l1 + l2)
-    pairs = a.join(b, ["_day", "_tok"]).filter(
+    pairs = y.join(x, ["_day", "_tok", "_part"]).filter(
         (F.col("_y") != F.col("_x")) & (F.col("y_len") <= F.col("x_len"))
         & (F.lit(200) * F.col("y_len") >= F.lit(threshold) * (F.col("y_len") + F.col("x_len")))
     ).select("_day", F.least("_y", "_x").alias("lo"), F.greatest("_y", "_x").alias("hi"))
-    return pairs.select("_day", "lo", "hi").distinct()
+    return pairs.distinct()
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spark_parallelism(df: DataFrame) -> int:
-    return 2 * df.sparkSession.sparkContext.defaultParallelism
+def _verifier(threshold: int):
+    @F.pandas_udf(T.IntegerType())
+    def lcs_if_similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            need = _ceil_div(threshold * (len(x) + len(y)), 200)
+            # the characters in common bound the LCS; only pairs within the bound are aligned
+            out.append(lcs_length(x, y) if sum((Counter(x) & Counter(y)).values()) >= need else 0)
+        return pd.Series(out, dtype="int32")
+    return lcs_if_similar
 
 
 def similar_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -163,15 +193,13 @@ def similar_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Two empty keys count as equal (ratio 100); they never meet here because
     equal keys are collapsed before pairing.
     """
-    cand = candidate_pairs(nodes, threshold)
-    # the verification is CPU-bound Python: spread it over all cores of the cluster
-    # (size-based coalescing would put a small pair table into one task)
-    parts = max(1, spark_parallelism(nodes))
-    cand = cand.repartition(parts, "_day", "lo")
+    # the verification is CPU-bound: as many tasks as the session sets for a shuffle, not as few as the pairs' bytes fill
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cand = candidate_pairs(nodes, threshold).repartition(parts, "_day", "lo")
     n = nodes.select("_day", "_node", "_norm")
     c = cand.join(n.withColumnRenamed("_node", "lo").withColumnRenamed("_norm", "a"), ["_day", "lo"]) \
         .join(n.withColumnRenamed("_node", "hi").withColumnRenamed("_norm", "b"), ["_day", "hi"])
-    c = c.withColumn("_lcs", lcs_udf(F.col("a"), F.col("b")))
+    c = c.withColumn("_lcs", _verifier(threshold)(F.col("a"), F.col("b")))
     tot = F.length("a") + F.length("b")
     return c.filter(F.lit(200) * F.col("_lcs") >= F.lit(threshold) * tot).select(
         "_day", "lo", "hi", (F.lit(200.0) * F.col("_lcs") / tot).alias("ratio"))
@@ -207,7 +235,7 @@ def fuzzy_dedup(df: DataFrame, threshold: int = THRESHOLD, title: str = "title",
     Returns the kept rows (or all rows with a ``kept`` flag when ``with_flag``).
     """
     spark = df.sparkSession
-    base = df.withColumn("_day", day_key(F.col(date))).withColumn("_norm", normalize_title(F.col(title)))
+    base = df.withColumn("_day", F.coalesce(day_key(F.col(date)), F.lit(""))).withColumn("_norm", normalize_title(F.col(title)))
     base = order_in_day(base, "_day", order)
     # 1. equal keys: first row per (day, key) is the node; the node rank keeps the day order
     first = base.groupBy("_day", "_norm").agg(F.min("_rn").alias("_rep"))
@@ -232,14 +260,3 @@ def dedup_stats(flagged: DataFrame, date: str = "date") -> DataFrame:
         F.count_if(F.col("kept")).alias("kept"),
         F.count_if(~F.col("kept")).alias("removed"),
     ).withColumnRenamed("_day", "day")
-
-
-def _ceil_div(a: int, b: int) -> int:
-    return -(-a // b)
-
-
-def min_overlap_py(length: int, threshold: int = THRESHOLD) -> int:
-    return _ceil_div(length * threshold, 200 - threshold)
-
-
-assert min_overlap_py(20) == math.ceil(20 * 0.85 / 1.15)

@@ -719,7 +719,7 @@ def q_d1(spark, sf):
     FROM v_news""", "v_news"))
 def q_d2(spark, sf):
     n = views.news(spark, sf).withColumn("day", DD.day_key(F.col("date")))
-    return DD.order_in_day(n, "day").select("id", "day", F.col("_rn").alias("rn"))
+    return DD.order_in_day(n.select("id", "stock_id", "date", "day"), "day").select("id", "day", F.col("_rn").cast("int").alias("rn"))
 
 
 @register("d3_day_key", with_views("SELECT id, substring(CAST(date AS VARCHAR), 1, 10) AS day FROM v_news", "v_news"))
@@ -751,12 +751,12 @@ def q_d4(spark, sf):
 @register("d5_fuzzy_dedup")
 def q_d5(spark, sf):
     """Keep-first fuzzy title dedup per day (threshold 85)."""
-    return DD.fuzzy_dedup(views.news(spark, sf)).select("id", "stock_id", "date", "title")
+    return DD.fuzzy_dedup(views.news(spark, sf).select("id", "stock_id", "date", "title"))
 
 
 @register("d6_dedup_stats")
 def q_d6(spark, sf):
-    return DD.dedup_stats(DD.fuzzy_dedup(views.news(spark, sf), with_flag=True))
+    return DD.dedup_stats(DD.fuzzy_dedup(views.news(spark, sf).select("id", "stock_id", "date", "title"), with_flag=True))
 
 
 @register("d7_similar_pairs")
