@@ -17,7 +17,8 @@ SIDE_EFFECTS = {
     "s1_read_bars", "s2_read_daily_features", "s3_read_index", "s4_read_news", "s5_read_forecast", "s8_write_csv",
     "s9_append_idempotent", "s10_write_forecast", "s9_stream_ingest", "n7_stream_scoring", "n7_score_incremental",
     "p1_fit_direct", "p2_forecast_recursive", "p4_fit_regularized", "p9_training_curve", "d5_fuzzy_dedup",
-    "d6_dedup_stats",
+    "d6_dedup_stats", "d7_similar_pairs", "d2_order_in_day", "p1_two_lags", "p2_recursive_one_lag", "p4_two_lags_l2",
+    "p9_early_stopping", "p10_backtest_refit",
 }
 
 

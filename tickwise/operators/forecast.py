@@ -1,8 +1,7 @@
 """Forecast and evaluation.
 
-Models are fitted with ``pyspark.ml`` on flattened window vectors (one fit
-over all tickers); prediction, inverse scaling and error metrics are column
-expressions.  Per-sample predictions are arrays indexed by horizon.
+Learned models are fitted by ``operators.linear`` (one pass, all tickers and
+horizons); prediction, inverse scaling and error metrics are column expressions.  Per-sample predictions are arrays indexed by horizon.
 """
 
 from __future__ import annotations
@@ -105,62 +104,6 @@ def backtest(samples: DataFrame, pasts: Sequence[int], h: int, by: Sequence[str]
     )
 
 
-# --------------------------------------------------------------------------
-# learned models (P1, P2, P4, P9): pyspark.ml on flattened window vectors
-# --------------------------------------------------------------------------
-
-def fit_direct(train: DataFrame, h: int, features: str = "features", label: str = "y", reg: float = 0.0,
-               model: str = "linear", validation_col: str | None = None, max_iter: int = 100,
-               solver: str = "normal"):
-    """Direct multi-step forecast = one regressor per horizon day, all keys in one fit.
-
-    ``reg`` is an L2 penalty (the reference's 1e-4 kernel regulariser);
-    ``model='gbt'`` with ``validation_col`` gives early stopping on a
-    validation flag (the reference's patience-based stop).  The default
-    ``normal`` solver is one distributed pass (normal equations, up to 4096
-    features); ``l-bfgs`` keeps a per-iteration objective history (P9).
-    """
-    from pyspark import StorageLevel
-    from pyspark.ml.regression import GBTRegressor, LinearRegression
-
-    keep = [features, label] + ([validation_col] if validation_col else [])
-    # the fits iterate over the same rows: materialise the narrow projection once
-    train = train.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
-    models = []
-    for k in range(h):
-        d = train.withColumn("_label", F.col(label)[k])
-        if model == "linear":
-            est = LinearRegression(featuresCol=features, labelCol="_label", regParam=reg, elasticNetParam=0.0,
-                                   maxIter=max_iter, solver=solver, standardization=False)
-        elif model == "gbt":
-            est = GBTRegressor(featuresCol=features, labelCol="_label", maxIter=max_iter, seed=7)
-            if validation_col:
-                est = est.setValidationIndicatorCol(validation_col)
-        else:
-            raise ValueError(model)
-        models.append(est.fit(d))
-    train.unpersist()
-    return models
-
-
-def predict_direct(models, df: DataFrame, features: str = "features", out: str = "pred") -> DataFrame:
-    """Apply the per-horizon models; ``out`` is an array indexed by horizon day."""
-    cols = []
-    for k, m in enumerate(models):
-        df = m.copy().setPredictionCol(f"_p{k}").transform(df)
-        cols.append(f"_p{k}")
-    return df.withColumn(out, F.array(*[F.col(c) for c in cols])).drop(*cols)
-
-
-def fit_one_step(train: DataFrame, features: str = "features", label: str = "y", reg: float = 0.0):
-    """One-step linear model for the recursive forecast; returns (coefficients, intercept)."""
-    from pyspark.ml.regression import LinearRegression
-
-    m = LinearRegression(featuresCol=features, labelCol="_label", regParam=reg, elasticNetParam=0.0,
-                         standardization=False, solver="normal").fit(train.withColumn("_label", F.col(label)[0]))
-    return [float(c) for c in m.coefficients], float(m.intercept)
-
-
 def forecast_recursive(df: DataFrame, coef, intercept: float, h: int, x: str = "x", out: str = "pred") -> DataFrame:
     """Predict one step, drop the oldest value, append the prediction, repeat ``h`` times.
 
@@ -176,13 +119,3 @@ def forecast_recursive(df: DataFrame, coef, intercept: float, h: int, x: str = "
         preds.append(p)
         win = F.concat(F.slice(win, 2, n - 1), F.array(p))
     return df.withColumn(out, F.array(*preds))
-
-
-def training_curve(models, spark) -> DataFrame:
-    """Loss per iteration of each fitted model (train objective; GBT adds validation loss
-    through ``evaluateEachIteration`` when given data)."""
-    rows = []
-    for k, m in enumerate(models):
-        hist = getattr(getattr(m, "summary", None), "objectiveHistory", None) or []
-        rows += [(k + 1, i, float(v)) for i, v in enumerate(hist)]
-    return spark.createDataFrame(rows, "day INT, iteration INT, loss DOUBLE")

@@ -82,6 +82,7 @@ register("p6_naive_mape", NAIVE_MAPE_SQL)(naive_mape)
 # --------------------------------------------------------------------------
 from ..operators import align as AL  # noqa: E402
 from ..operators import forecast as FC  # noqa: E402
+from ..operators import linear as LN  # noqa: E402
 from ..operators import scale as SC  # noqa: E402
 from ..operators import shaping as SH  # noqa: E402
 from ..operators import windows as WN  # noqa: E402
@@ -722,6 +723,126 @@ def q_p10(spark, sf):
     return FC.mape(rows, by=["ticker", "past"]).select("ticker", F.col("past").cast("int").alias("past"), R6("mape"))
 
 
+# --- learned models, with closed forms in SQL for two lags ---
+
+def _lag_samples(spark, sf, lags=2, h=3):
+    """x = the newest ``lags`` closes (newest first), y = the next ``h`` closes, in thousands."""
+    b = views.bars(spark, sf).select("ticker", "date", (F.col("close") / 1000).alias("close"))
+    s = WN.windows(b, ["close"], lags, h, target="close")
+    return s.withColumn("x", F.reverse(F.transform("x", lambda v: v[0])))
+
+
+_LAG_SQL = """
+    , lg AS (SELECT ticker, pos, n, x0, x1, y1, y2, y3, row_number() OVER (PARTITION BY ticker ORDER BY pos DESC) - 1 AS r,
+                    row_number() OVER (PARTITION BY ticker ORDER BY pos) - 1 AS spos, count(*) OVER (PARTITION BY ticker) AS ns
+             FROM (SELECT ticker, pos, n, c AS x0, lag(c) OVER o AS x1, lead(c, 1) OVER o AS y1, lead(c, 2) OVER o AS y2, lead(c, 3) OVER o AS y3
+                   FROM (SELECT ticker, close / 1000 AS c, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
+                                count(*) OVER (PARTITION BY ticker) AS n FROM v_bars) b
+                   WINDOW o AS (PARTITION BY ticker ORDER BY pos)) l
+             WHERE x1 IS NOT NULL AND y3 IS NOT NULL)
+"""
+
+
+def _two_lag_fit(target, l2="0.0"):
+    """Cramer's rule on the covariances: the coefficients and the intercept of one target."""
+    a, b, c = f"(var_pop(x0) + {l2})", f"(var_pop(x1) + {l2})", "covar_pop(x0, x1)"
+    u, v = f"covar_pop(x0, {target})", f"covar_pop(x1, {target})"
+    det = f"({a} * {b} - {c} * {c})"
+    b0, b1 = f"(({u} * {b} - {v} * {c}) / {det})", f"(({v} * {a} - {u} * {c}) / {det})"
+    return b0, b1, f"(avg({target}) - {b0} * avg(x0) - {b1} * avg(x1))"
+
+
+def _fit_columns(l2="0.0"):
+    return ", ".join(f"{e} AS {n}{k}" for k in (1, 2, 3) for n, e in zip(("b", "d", "a"), _two_lag_fit(f"y{k}", l2)))
+
+
+_LAG_PRED = ("CASE d.day " + " ".join(f"WHEN {k} THEN a{k} + b{k} * x0 + d{k} * x1" for k in (1, 2, 3)) + " END AS predicted, "
+             "CASE d.day WHEN 1 THEN y1 WHEN 2 THEN y2 ELSE y3 END AS actual")
+
+
+@register("p1_two_lags", with_views(_LAG_SQL + f"""
+    , ft AS (SELECT {_fit_columns()} FROM lg WHERE spos < floor(ns * 0.7))
+    SELECT ticker, pos, CAST(d.day AS INTEGER) AS day, round(predicted, 6) AS predicted, actual
+    FROM (SELECT ticker, pos, d.day, {_LAG_PRED} FROM lg, ft, (VALUES (1), (2), (3)) d(day) WHERE spos >= floor(ns * 0.85)) d""", "v_bars"))
+def q_p1_lags(spark, sf):
+    """Direct 3-day forecast from two closes: one pass for all horizons' normal equations, forecasts of the test split."""
+    s = WN.split_samples(_lag_samples(spark, sf))
+    model = LN.solve(LN.collect_moments(s.filter(F.col("split") == "train"))[None], 3)
+    p = s.filter(F.col("split") == "test").withColumn("pred", model.predictions(F.col("x")))
+    rows = FC.horizon_rows(p, "pred", keep=["ticker", "pos"])
+    return rows.select("ticker", "pos", F.col("day").cast("int").alias("day"), R6("predicted"), "actual")
+
+
+@register("p2_recursive_one_lag", with_views(_LAG_SQL + """
+    , ft AS (SELECT regr_slope(y1, x0) AS b, regr_intercept(y1, x0) AS a FROM lg WHERE spos < floor(ns * 0.7))
+    , s1 AS (SELECT ticker, pos, a, b, a + b * x0 AS p1 FROM lg, ft WHERE spos >= floor(ns * 0.85))
+    , s2 AS (SELECT *, a + b * p1 AS p2 FROM s1)
+    SELECT ticker, pos, CAST(day AS INTEGER) AS day, round(CASE day WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE a + b * p2 END, 6) AS predicted
+    FROM s2, (VALUES (1), (2), (3)) d(day)""", "v_bars"))
+def q_p2_lag(spark, sf):
+    """Recursive forecast: a one-step fit on the newest close, rolled three steps ahead."""
+    s = WN.split_samples(_lag_samples(spark, sf))
+    s = s.withColumns({"x": F.slice("x", 1, 1), "y1": F.slice("y", 1, 1)})
+    fit = LN.solve(LN.collect_moments(s.filter(F.col("split") == "train"), y="y1")[None], 1)
+    p = FC.forecast_recursive(s.filter(F.col("split") == "test"), fit.coef[0], fit.intercept[0], 3)
+    rows = FC.horizon_rows(p, "pred", keep=["ticker", "pos"])
+    return rows.select("ticker", "pos", F.col("day").cast("int").alias("day"), R6("predicted"))
+
+
+_L2 = 1e-4
+
+
+@register("p4_two_lags_l2", with_views(_LAG_SQL + f"""
+    , ft AS (SELECT {_fit_columns(repr(_L2))} FROM lg WHERE spos < floor(ns * 0.7))
+    , pr AS (SELECT CASE WHEN spos < floor(ns * 0.85) THEN 'val' ELSE 'test' END AS split, d.day, {_LAG_PRED}
+             FROM lg, ft, (VALUES (1), (2), (3)) d(day) WHERE spos >= floor(ns * 0.7))
+    SELECT split, CAST(day AS INTEGER) AS day, round(avg(pow(predicted - actual, 2)), 6) AS mse FROM pr GROUP BY split, day""", "v_bars"))
+def q_p4_lags(spark, sf):
+    """L2-penalised fit of two closes; errors by split and horizon from the splits' moments alone (no second pass)."""
+    found = LN.collect_moments(WN.split_samples(_lag_samples(spark, sf)).filter(F.col("split").isNotNull()), "split")
+    model = LN.solve(found["train"], 3, _L2)
+    rows = [(k, i + 1, float(e)) for k in ("val", "test") if k in found for i, e in enumerate(LN.mse(found[k], model))]
+    return spark.createDataFrame(rows, "split STRING, day INT, mse DOUBLE").withColumn("mse", F.round("mse", 6))
+
+
+_DESCENT = {"rate": 0.05, "patience": 10, "max_iter": 60}
+
+
+@register("p9_early_stopping", with_views(_LAG_SQL + f"""
+    , sp AS (SELECT CASE WHEN spos < floor(ns * 0.7) THEN 'train' WHEN spos < floor(ns * 0.85) THEN 'val' END AS split, x0 AS x, y1 AS y FROM lg)
+    , tr AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM sp WHERE split = 'train')
+    , va AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM sp WHERE split = 'val')
+    , gd(i, b) AS (SELECT 0, CAST(0 AS DOUBLE) UNION ALL
+        SELECT i + 1, b - {_DESCENT["rate"]} / (2 * (vx + {_L2!r})) * (2 * (b * vx - c) + 2 * {_L2!r} * b) FROM gd, tr WHERE i < {_DESCENT["max_iter"]})
+    , ls AS (SELECT i, tr.vy - 2 * b * tr.c + b * b * tr.vx + {_L2!r} * b * b AS t,
+                    va.vy - 2 * b * va.c + b * b * va.vx + pow(va.my - tr.my - b * (va.mx - tr.mx), 2) + {_L2!r} * b * b AS v FROM gd, tr, va)
+    , bs AS (SELECT i, t, v, (SELECT min(z.i) FROM ls z WHERE z.i <= ls.i AND z.v = (SELECT min(w.v) FROM ls w WHERE w.i <= ls.i)) AS best FROM ls)
+    , en AS (SELECT coalesce(min(i), {_DESCENT["max_iter"]}) AS last FROM bs WHERE i - best >= {_DESCENT["patience"]})
+    SELECT CAST(i AS INTEGER) AS iteration, round(t, 6) AS train_loss, round(v, 6) AS val_loss,
+           i = (SELECT best FROM bs, en WHERE i = last) AS best FROM bs, en WHERE i <= last""", "v_bars", recursive=True))
+def q_p9_stop(spark, sf):
+    """Train and validation loss per iteration of a descent that validation stops; the best iteration is marked."""
+    s = WN.split_samples(_lag_samples(spark, sf)).withColumns({"x": F.slice("x", 1, 1), "y": F.slice("y", 1, 1)})
+    found = LN.collect_moments(s.filter(F.col("split").isin("train", "val")), "split")
+    _, curve = LN.descend(found["train"], found["val"], 1, _L2, **_DESCENT)
+    out = spark.createDataFrame(curve, "iteration INT, train_loss DOUBLE, val_loss DOUBLE, best BOOLEAN")
+    return out.select("iteration", R6("train_loss"), R6("val_loss"), "best")
+
+
+@register("p10_backtest_refit", with_views(_LAG_SQL + f"""
+    , og AS (SELECT DISTINCT r + 3 AS past FROM lg WHERE (r + 3) % 3 = 0)
+    , ft AS (SELECT past, {_fit_columns()} FROM og JOIN lg ON lg.r >= og.past GROUP BY past HAVING count(*) > 30)
+    SELECT ticker, CAST(past AS INTEGER) AS past, CAST(day AS INTEGER) AS day, round(predicted, 5) AS predicted, actual
+    FROM (SELECT ticker, past, d.day, {_LAG_PRED} FROM lg JOIN ft ON lg.r = ft.past - 3, (VALUES (1), (2), (3)) d(day)) p""", "v_bars"))
+def q_p10_refit(spark, sf):
+    """Backtest over the whole history: a refit before every third bar, on what was known then (origins that know over 30 samples)."""
+    s = _lag_samples(spark, sf)
+    longest = s.groupBy("ticker").count().agg(F.max("count")).first()[0] or 0
+    bt = LN.backtest_linear(s, range(3, longest + 3, 3), 3, least=31)
+    rows = FC.horizon_rows(bt, "pred", keep=["ticker", "past"])
+    return rows.select("ticker", "past", F.col("day").cast("int").alias("day"), F.round("predicted", 5).alias("predicted"), "actual")
+
+
 def _direct_dataset(spark, sf, n=20, h=3):
     groups = {"bars": BAR_FEATURES, "index": ["idx_close"], "news": NEWS_FEATURES}
     a = aligned(spark, sf)
@@ -730,15 +851,15 @@ def _direct_dataset(spark, sf, n=20, h=3):
     st = SC.fit_minmax(a, cols, where=F.col("split") == "train")
     s = SC.apply_minmax(a.drop("pos", "split"), st, cols)
     w = WN.split_samples(WN.concat_windows(s, groups, n, h))
-    return WN.flatten_window(w, "x", "features"), st
+    return WN.flatten_window(w, "x", "x", as_vector=False)
 
 
 @register("p1_fit_direct")
 def q_p1(spark, sf):
-    """Direct 3-day forecast (one linear model per day), test-split MSE per ticker and day."""
-    d, st = _direct_dataset(spark, sf)
-    models = FC.fit_direct(d.filter(F.col("split") == "train"), 3)
-    p = FC.predict_direct(models, d.filter(F.col("split") == "test"))
+    """Direct 3-day forecast (220 inputs, all horizons from one pass), test-split MSE per ticker and day."""
+    d = _direct_dataset(spark, sf)
+    model = LN.solve(LN.collect_moments(d.filter(F.col("split") == "train"))[None], 3)
+    p = d.filter(F.col("split") == "test").withColumn("pred", model.predictions(F.col("x")))
     p = p.withColumn("pred", F.transform("pred", SC.clip01))
     rows = FC.horizon_rows(p, "pred", keep=["ticker"])
     return FC.mse(rows, by=["ticker", "day"])
@@ -750,26 +871,25 @@ def q_p2(spark, sf):
     b = views.bars(spark, sf).select("ticker", "date", "adj_close")
     w = WN.split_samples(WN.windows(b, ["adj_close"], 20, 3, target="adj_close"))
     w = w.withColumn("xs", F.transform("x", lambda s: s[0]))
-    w = WN.flatten_window(w, "x", "features")
-    coef, icpt = FC.fit_one_step(w.filter(F.col("split") == "train"))
-    p = FC.forecast_recursive(w.filter(F.col("split") == "test"), coef, icpt, 3, x="xs")
+    w = w.withColumn("y1", F.slice("y", 1, 1))
+    fit = LN.solve(LN.collect_moments(w.filter(F.col("split") == "train"), x="xs", y="y1")[None], 1)
+    p = FC.forecast_recursive(w.filter(F.col("split") == "test"), fit.coef[0], fit.intercept[0], 3, x="xs")
     rows = FC.horizon_rows(p, "pred", keep=["ticker"])
     return FC.mape(rows, by=["ticker"])
 
 
 @register("p4_fit_regularized")
 def q_p4(spark, sf):
-    """L2-penalised (1e-4) direct model fitted on train, scored on validation and test."""
-    d, st = _direct_dataset(spark, sf)
-    models = FC.fit_direct(d.filter(F.col("split") == "train"), 3, reg=1e-4)
-    p = FC.predict_direct(models, d.filter(F.col("split").isin("val", "test")))
-    rows = FC.horizon_rows(p, "pred", keep=["ticker", "split"])
-    return FC.mse(rows, by=["split"])
+    """L2-penalised (1e-4) direct model: solved, and by a descent stopped on validation loss; errors on validation and test."""
+    found = LN.collect_moments(_direct_dataset(spark, sf).filter(F.col("split").isNotNull()), "split")
+    models = {"solved": LN.solve(found["train"], 3, 1e-4), "stopped": LN.descend(found["train"], found["val"], 3, 1e-4)[0]}
+    rows = [(name, split, float(LN.mse(found[split], m).mean())) for name, m in models.items() for split in ("val", "test")]
+    return spark.createDataFrame(rows, "model STRING, split STRING, mse DOUBLE")
 
 
 @register("p9_training_curve")
 def q_p9(spark, sf):
-    """Objective per iteration of the three per-day models."""
-    d, st = _direct_dataset(spark, sf)
-    models = FC.fit_direct(d.filter(F.col("split") == "train"), 3, reg=1e-4, max_iter=20, solver="l-bfgs")
-    return FC.training_curve(models, spark)
+    """Train and validation loss per iteration of the 220-input model (patience 10, best iteration marked)."""
+    found = LN.collect_moments(_direct_dataset(spark, sf).filter(F.col("split").isin("train", "val")), "split")
+    _, curve = LN.descend(found["train"], found["val"], 3, 1e-4)
+    return spark.createDataFrame(curve, "iteration INT, train_loss DOUBLE, val_loss DOUBLE, best BOOLEAN")

@@ -63,7 +63,7 @@ def add_view(name: str, deps: tuple[str, ...], sql: str) -> None:
     VIEWS[name] = (deps, sql)
 
 
-def with_views(sql: str, *names: str) -> str:
+def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -78,7 +78,7 @@ def with_views(sql: str, *names: str) -> str:
     if not order:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order)
-    return f"WITH {ctes}\n{sql}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{sql}"
 
 # daily features of v_scored (F1-F4) and the same moved into the bar calendar
 add_view("v_daily", ("v_scored",), """
