@@ -63,3 +63,22 @@ def test_day_range_reaches_the_scan(spark):
     plan = plan_of(spark, "s12_day_slice")
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts", plan)
     assert re.search(r"ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>", plan)
+
+
+def test_window_news_is_a_slice(spark):
+    import datetime as dt
+
+    from tickwise.operators.align import window_news
+
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    bars = spark.createDataFrame([(t, day(i)) for t in "ab" for i in range(0, 60, 3 if t == "a" else 2)], "ticker string, date date")
+    news = {9: 1.0, 10: 2.0, 11: None, 30: 4.0, 31: 5.0, 58: 6.0}
+    feats = spark.createDataFrame([(day(i), v) for i, v in sorted(news.items(), reverse=True)], "date date, v double")
+    for table, held in ((feats, news), (feats.filter("v = 4"), {30: 4.0}), (feats.limit(0), {})):
+        got = window_news(bars, table, ["v"], step=4)
+        assert got.count() == 17 + 27
+        for r in got.collect():
+            want = [(day(i), v) for i, v in sorted(held.items()) if r.start_date <= day(i) <= r.end_date]
+            assert [(x.date, x.v) for x in r.news] == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan

@@ -99,25 +99,46 @@ def window_ranges(bars: DataFrame, step: int = 20, by: Sequence[str] = ("ticker"
     )
 
 
+def calendar_slices(feats: DataFrame, cols: Sequence[str], key: str = "date"):
+    """A per-day table as (start, end) -> array of its rows with start <= date <= end, by date.
+
+    The table becomes one sorted array, with for every calendar day between its
+    first and last date the number of rows before that day: both have no more
+    entries than the calendar has days, and are one scalar subquery of the plan.
+    A range is then two look-ups and a slice.
+    """
+    side = one_per_day(feats.select(F.col(key).alias("date"), *[F.col(c).cast("double").alias(c) for c in cols]).filter(F.col("date").isNotNull()))
+    rows = side.agg(F.array_sort(F.collect_list(F.struct("date", *cols))).alias("rows"))
+    dates = F.transform("rows", lambda r: r["date"])
+    steps = F.zip_with(dates, F.concat(F.slice(dates, 1, 1), F.slice(dates, 1, F.greatest(F.size("rows") - 1, F.lit(0)))), lambda d, e: F.date_diff(d, e))
+    # the days after one date up to the next have the same number of rows before them
+    before = F.flatten(F.transform(steps, lambda n, i: F.array_repeat(i, F.when(i == 0, 1).otherwise(n))))
+    calendar = rows.select(F.struct(F.col("rows"), before.alias("before")).alias("c")).scalar()
+
+    def between(start: Column, end: Column) -> Column:
+        held, first = calendar["rows"], F.get(calendar["rows"], F.lit(0))["date"]
+        n = F.size(held)
+
+        def earlier(day: Column) -> Column:  # rows before a day
+            at = F.date_diff(day, first)
+            return F.when(at <= 0, 0).otherwise(F.coalesce(F.get(calendar["before"], at), n))
+
+        lo, hi = earlier(start), earlier(F.date_add(end, 1))
+        return F.when(n > 0, F.slice(held, lo + 1, F.greatest(hi - lo, F.lit(0)))).otherwise(held)
+
+    return between
+
+
 def window_news(bars: DataFrame, feats: DataFrame, cols: Sequence[str], step: int = 20,
                 by: Sequence[str] = ("ticker",), key: str = "date", h: int = 0) -> DataFrame:
     """T5: news rows inside each bar window by calendar range [first, last] (weekends included).
 
-    Range join planned as an equi-join: each window is exploded to its calendar
-    days (at most ``step`` trading days apart, so a bounded fan-out), joined to
-    the per-day features (broadcast) and regrouped into a date-sorted array.
+    A window is a slice of the sorted per-day features (``calendar_slices``): no
+    day is exploded, nothing is joined or regrouped.
     Returns (ticker, start_pos, start_date, end_date, news: array<struct<date, cols…>>).
     """
-    wins = window_ranges(bars, step, by, h)
-    days = wins.withColumn("date", F.explode(F.sequence("start_date", "end_date")))
-    side = calendar_broadcast(feats.select(F.col(key).alias("date"), *[F.col(c).cast("double").alias(c) for c in cols]))
-    hits = days.join(side, on="date", how="inner")
-    grouped = hits.groupBy(*by, "start_pos").agg(
-        F.array_sort(F.collect_list(F.struct("date", *cols))).alias("news")
-    )
-    return wins.join(grouped, on=[*by, "start_pos"], how="left").withColumn(
-        "news", F.coalesce(F.col("news"), F.array().cast(grouped.schema["news"].dataType))
-    )
+    between = calendar_slices(feats, cols, key)
+    return window_ranges(bars, step, by, h).withColumn("news", between(F.col("start_date"), F.col("end_date")))
 
 
 def pad_post(df: DataFrame, col: str, fields: Sequence[str], out: str = "padded") -> DataFrame:

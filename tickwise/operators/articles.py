@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import publish_date as publish_date_expr
-from ..functions.html import balanced_inner, drop_balanced, drop_elements, element_inner, get_text, has_element, let, without_raw
+from ..functions.html import balanced_inner, decode_entities, drop_balanced, element_inner, get_text, has_element, let, without_raw
 from ..functions.text import py_lines, py_strip
 
 MIN_LEN = 50
@@ -64,6 +64,53 @@ def min_len(df: DataFrame, col: str = "text", n: int = MIN_LEN) -> DataFrame:
     return df.filter(F.length(F.coalesce(F.col(col), F.lit(""))) >= n)
 
 
+# Elements that end a block of text: what lies between two of their tags is one block.
+BLOCK_TAGS = ("address|article|aside|blockquote|body|center|dd|div|dl|dt|fieldset|figure|figcaption|footer|form|h1|h2|h3|h4|h5|h6|head|"
+              "header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|title|tr|ul")
+BLOCK_COST = 40     # characters of text that a block must have to speak for article text
+LINK_COST = 4       # a linked character counts against this many others
+
+
+def dense_blocks(html: Column) -> Column:
+    """The blocks of a page in order: array of (text, score).
+
+    A block is the text between two block-level tags; its score is its length less
+    ``LINK_COST`` times the length of its links less ``BLOCK_COST``: above zero for
+    prose, below for menus, captions, notices and empty blocks.
+    """
+    def block(piece: Column) -> Column:
+        text = py_strip(decode_entities(F.regexp_replace(piece, r"<[^>]*>", "")))
+        links = F.aggregate(F.regexp_extract_all(piece, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), F.lit(0),
+                            lambda n, a: n + F.length(py_strip(decode_entities(F.regexp_replace(a, r"<[^>]*>", "")))))
+        return let(text, lambda t: F.struct(t.alias("text"), (F.length(t) - LINK_COST * links - BLOCK_COST).alias("score")))
+
+    return F.transform(F.split(without_raw(html), rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>"), block)
+
+
+def dense_text(html: Column) -> Column:
+    """The run of consecutive blocks with the largest sum of scores, non-empty blocks joined by newlines; '' if none is above zero.
+
+    One pass (the largest sum of a run, with where it starts and ends); of runs
+    with equal sums the first to end wins, at its shortest.
+    """
+    fields = ("at", "sum", "start", "best", "lo", "hi")
+    start = F.struct(*[F.lit(0).alias(f) for f in fields])
+
+    def step(s: Column, b: Column) -> Column:
+        fresh = s["sum"] <= 0
+        run = F.when(fresh, b["score"]).otherwise(s["sum"] + b["score"])
+        begin = F.when(fresh, s["at"]).otherwise(s["start"])
+        better = run > s["best"]
+        return F.struct((s["at"] + 1).alias("at"), run.alias("sum"), begin.alias("start"), F.when(better, run).otherwise(s["best"]).alias("best"),
+                        F.when(better, begin).otherwise(s["lo"]).alias("lo"), F.when(better, s["at"] + 1).otherwise(s["hi"]).alias("hi"))
+
+    def text(blocks: Column) -> Column:
+        return let(F.aggregate(blocks, start, step), lambda s: F.array_join(F.filter(F.transform(
+            F.slice(blocks, s["lo"] + 1, s["hi"] - s["lo"]), lambda b: b["text"]), lambda t: t != ""), "\n"))
+
+    return F.coalesce(let(dense_blocks(html), text), F.lit(""))
+
+
 def extract_articles(pages: DataFrame, primary: Column | None = None, fallback: Column | None = None,
                      url: str = "url", html: str = "html") -> DataFrame:
     """Primary extraction if its text has >= 50 characters, otherwise the fallback;
@@ -71,27 +118,30 @@ def extract_articles(pages: DataFrame, primary: Column | None = None, fallback:
     again.  Rows whose text is too short before or after cleaning are dropped.
 
     ``primary``/``fallback`` are struct columns (title, text, publish_date); the
-    defaults are the <article> extractor and the div-pattern extractor.
+    defaults are the densest run of blocks (``dense_text``) and the container
+    rules (``page_body``).  ``extracted_by`` says which one gave the text.  Each
+    extraction is computed once per page; the fallback only where it is needed.
     """
     h, u = F.col(html), F.col(url)
-    date = publish_date(h, u)
     if primary is None:
-        primary = F.struct(page_title(h).alias("title"),
-                           F.when(has_element(h, "article"),
-                                  get_text(drop_elements(element_inner(h, "article"), DROPPED_IN_BODY), "\n"))
-                           .alias("text"),
-                           F.lit(None).cast("string").alias("publish_date"))
+        primary = F.struct(page_title(h).alias("title"), dense_text(h).alias("text"), F.lit(None).cast("string").alias("publish_date"))
     if fallback is None:
-        fallback = F.struct(page_title(h).alias("title"), page_body(h).alias("text"), date.alias("publish_date"))
-    p_ok = F.length(F.coalesce(primary["text"], F.lit(""))) >= MIN_LEN
-    f_ok = F.length(F.coalesce(fallback["text"], F.lit(""))) >= MIN_LEN
-    chosen = F.when(p_ok, F.struct(primary["title"].alias("title"), primary["text"].alias("text"),
-                                   F.coalesce(primary["publish_date"], date).alias("publish_date"))) \
-        .when(f_ok, fallback)
-    found = pages.select("*", chosen.alias("_a")).filter(F.col("_a").isNotNull()) \
-        .select(*[c for c in pages.columns if c != html], "_a.title", clean_text(F.col("_a.text")).alias("text"),
-                "_a.publish_date")
-    return min_len(found)
+        fallback = F.struct(page_title(h).alias("title"), page_body(h).alias("text"), publish_date(h, u).alias("publish_date"))
+
+    def long_enough(a: Column) -> Column:
+        return F.length(F.coalesce(a["text"], F.lit(""))) >= MIN_LEN
+
+    def choose(p: Column) -> Column:
+        by_primary = F.struct(p["title"].alias("title"), p["text"].alias("text"),
+                              F.coalesce(p["publish_date"], publish_date(h, u)).alias("publish_date"), F.lit("primary").alias("extracted_by"))
+        other = let(fallback, lambda f: F.when(long_enough(f), F.struct(
+            f["title"].alias("title"), f["text"].alias("text"), f["publish_date"].alias("publish_date"), F.lit("fallback").alias("extracted_by"))))
+        return F.when(long_enough(p), by_primary).otherwise(other)
+
+    kept = [c for c in pages.columns if c != html]
+    chosen = pages.select(*kept, F.explode(F.array(let(primary, choose))).alias("_a")).filter(F.col("_a").isNotNull())
+    cleaned = chosen.select(*kept, "_a.title", F.explode(F.array(clean_text(F.col("_a.text")))).alias("text"), "_a.publish_date", "_a.extracted_by")
+    return min_len(cleaned)
 
 
 # Multi-line noise blocks removed first (dot matches newline).

@@ -450,7 +450,8 @@ def _meta_content_sql(attr, name):
     return f"regexp_extract(regexp_extract(html, {ST.q(tag_pat)}, 0), {ST.q(content_pat)}, 1)"
 
 
-def _publish_date_sql():
+def _publish_date_sql(pages, key="page_id"):
+    """Publish date of the (key..., url, html) rows of ``pages``, a SELECT."""
     from ..functions.dates import META_DATE_NAMES
 
     metas = []
@@ -482,12 +483,13 @@ def _publish_date_sql():
     g7 = [f"regexp_extract(t, {ST.q(r7p)}, {g})" for g in range(1, 6)]
     r7 = (f"CASE WHEN regexp_matches(t, {ST.q(r7p)}) THEN {g7[0]} || '-' || {g7[1]} || '-' || {g7[2]} || ' ' "
           f"|| {g7[3]} || ':' || {g7[4]} END")
-    return (f"SELECT page_id, coalesce({', '.join(metas)}, {times}, {r3}, {r4}, {r5}, {r6}, {r7}) AS publish_date "
-            f"FROM (SELECT page_id, url, html, {text} AS t FROM (SELECT page_id, url, html FROM v_order_pages "
-            f"UNION ALL SELECT page_id + 1000000000000 AS page_id, url, html FROM v_pages) u) x")
+    return (f"SELECT {key}, coalesce({', '.join(metas)}, {times}, {r3}, {r4}, {r5}, {r6}, {r7}) AS publish_date "
+            f"FROM (SELECT {key}, url, html, {text} AS t FROM ({pages}) u) x")
 
 
-@register("a3_publish_date", with_views(_publish_date_sql(), "v_order_pages", "v_pages"))
+@register("a3_publish_date", with_views(_publish_date_sql(
+    "SELECT page_id, url, html FROM v_order_pages UNION ALL SELECT page_id + 1000000000000 AS page_id, url, html FROM v_pages"),
+    "v_order_pages", "v_pages"))
 def q_a3(spark, sf):
     """Publish date of the stored pages and of pages spelling each order's date for one of the seven rules."""
     p = _order_pages(spark, sf).unionByName(
@@ -568,13 +570,6 @@ def q_a5(spark, sf):
     return AR.min_len(views.news(spark, sf)).select("id", F.length("text").alias("n_chars"))
 
 
-@register("a6_extract_articles")
-def q_a6(spark, sf):
-    """Stored pages -> (title, text, publish_date) with primary/fallback extraction."""
-    a = AR.extract_articles(views.pages(spark, sf))
-    return a.select("page_id", "url", "title", F.length("text").alias("text_len"), "publish_date")
-
-
 # news text with noise blocks/lines of the kinds the cleaner removes (fixed samples, chosen by id)
 _NOISE_SAMPLES = [
     ("廣告 廣告\n", "\n延伸閱讀\n相關文章 A\n相關文章 B"),
@@ -645,6 +640,68 @@ def q_a_clean(spark, sf):
 _KW = "Und"
 
 
+# derived pages: as stored; every word of the article a block of its own (too short for prose); no container
+_ARTICLE_KINDS = ["stored", "words", "bare"]
+_A_TAIL = "(?s)<article.*</article>"
+add_view("v_article_pages", ("v_pages",), f"""
+    SELECT page_id, kind, url, CASE kind WHEN 'stored' THEN html
+        WHEN 'words' THEN replace(html, regexp_extract(html, {ST.q(_A_TAIL)}, 0), replace(replace(regexp_extract(html, {ST.q(_A_TAIL)}, 0), ' ', '<p>'), '.', '.</p>'))
+        ELSE replace(replace(html, '<article', '<section'), '</article', '</section') END AS html
+    FROM v_pages, (VALUES ('stored'), ('words'), ('bare')) k(kind) WHERE contains(html, '</article>') OR kind = 'stored'""")
+
+
+def _article_pages(spark, sf):
+    h = F.col("html")
+    inner = F.regexp_extract(h, _A_TAIL, 0)
+    words = F.replace(h, inner, F.replace(F.replace(inner, F.lit(" "), F.lit("<p>")), F.lit("."), F.lit(".</p>")))
+    bare = F.replace(F.replace(h, F.lit("<article"), F.lit("<section")), F.lit("</article"), F.lit("</section"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("html")) for k, v in zip(_ARTICLE_KINDS, (h, words, bare))])
+    p = views.pages(spark, sf).withColumn("v", F.explode(kinds)).filter(F.contains("html", F.lit("</article>")) | (F.col("v.kind") == "stored"))
+    return p.select("page_id", "v.kind", "url", "v.html")
+
+
+_RAW_SQL = r"'(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>'"
+_BARE_TEXT = ST.py_strip(ST.decode("regexp_replace(x, '<[^>]*>', '', 'g')"))
+_DENSE_SQL = f"""
+    , pc AS (SELECT page_id, kind, unnest(range(len(p))) AS i, unnest(p) AS x
+             FROM (SELECT page_id, kind, regexp_split_to_array(regexp_replace(html, {_RAW_SQL}, '<!>', 'g'), {ST.q(f"(?i)</?(?:{AR.BLOCK_TAGS})" + chr(92) + "b[^>]*>")}) AS p
+                   FROM v_article_pages) q)
+    , bl AS (SELECT page_id, kind, i, {_BARE_TEXT} AS t, coalesce(list_sum(list_transform(
+                 regexp_extract_all(x, {ST.q("(?is)<a" + chr(92) + "b[^>]*>(.*?)</a" + chr(92) + "s*>")}, 1), lambda x: length({_BARE_TEXT}))), 0) AS links FROM pc)
+    , pf AS (SELECT *, sum(length(t) - {AR.LINK_COST} * links - {AR.BLOCK_COST}) OVER (PARTITION BY page_id, kind ORDER BY i) AS p FROM bl)
+    , lo AS (SELECT *, least(0, coalesce(min(p) OVER (PARTITION BY page_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS m FROM pf)
+    , hi AS (SELECT page_id, kind, min(i) AS j, arg_min(m, i) AS m FROM lo l
+             WHERE p - m > 0 AND p - m = (SELECT max(z.p - z.m) FROM lo z WHERE z.page_id = l.page_id AND z.kind = l.kind) GROUP BY page_id, kind)
+    , st AS (SELECT hi.page_id, hi.kind, j, greatest(CASE WHEN m = 0 THEN 0 ELSE -1 END, coalesce(max(pf.i) FILTER (WHERE pf.p = m AND pf.i < j) + 1, 0)) AS k
+             FROM hi JOIN pf USING (page_id, kind) GROUP BY hi.page_id, hi.kind, j, m)
+    , de AS (SELECT bl.page_id, bl.kind, string_agg(t, chr(10) ORDER BY i) AS primary_text FROM bl JOIN st USING (page_id, kind)
+             WHERE i BETWEEN k AND j AND t <> '' GROUP BY bl.page_id, bl.kind)
+"""
+
+
+@register("a6_primary_text", with_views(_DENSE_SQL + """
+    SELECT v.page_id, v.kind, coalesce(primary_text, '') AS primary_text FROM v_article_pages v LEFT JOIN de USING (page_id, kind)""",
+    "v_article_pages"))
+def q_a6_primary(spark, sf):
+    """The densest run of blocks of every page, of three kinds of pages."""
+    return _article_pages(spark, sf).select("page_id", "kind", AR.dense_text(F.col("html")).alias("primary_text"))
+
+
+@register("a6_extract_articles", with_views(_DENSE_SQL + f"""
+    , dt AS ({_publish_date_sql("SELECT page_id, kind, url, html FROM v_article_pages", "page_id, kind")})
+    , ch AS (SELECT page_id, kind, url, {_title_sql('html')} AS title, CASE WHEN length(coalesce(primary_text, '')) >= 50 THEN 'primary'
+                    WHEN length({_body_sql('html')}) >= 50 THEN 'fallback' END AS extracted_by,
+                    CASE WHEN length(coalesce(primary_text, '')) >= 50 THEN primary_text ELSE {_body_sql('html')} END AS text
+             FROM v_article_pages LEFT JOIN de USING (page_id, kind))
+    SELECT page_id, kind, url, title, extracted_by, text, publish_date
+    FROM (SELECT page_id, kind, url, title, extracted_by, {_collapse_sql(_lines_sql(_blocks_sql('text')))} AS text FROM ch WHERE extracted_by IS NOT NULL) c
+    JOIN dt USING (page_id, kind) WHERE length(text) >= 50""", "v_article_pages"))
+def q_a6(spark, sf):
+    """Pages -> (title, text, publish_date) by the primary extractor, or the fallback on pages that need it."""
+    a = AR.extract_articles(_article_pages(spark, sf))
+    return a.select("page_id", "kind", "url", "title", "extracted_by", "text", "publish_date")
+
+
 @register("a10_relevant", with_views(f"""
     SELECT id, title FROM v_news
     WHERE contains(coalesce(title, ''), '{_KW}') OR contains(coalesce(text, ''), '{_KW}')""", "v_news"))
