@@ -79,8 +79,25 @@ def test_extracted_articles_are_cleaned_and_checked_again(spark):
         (2, "http://e/b", f"<article><p>short</p><p>延伸閱讀</p><p>{long}</p></article>"),
         (3, "http://e/c", f"<div class='story-body'><p>{long}</p><p>廣告</p></div>"),
     ], "page_id INT, url STRING, html STRING")
-    got = {r.page_id: r.text for r in A.extract_articles(pages).collect()}
+    # with the container rules as primary: page 2 is cleaned down to one short line
+    rules = F.struct(A.page_title(F.col("html")).alias("title"), A.page_body(F.col("html")).alias("text"), F.lit(None).cast("string").alias("publish_date"))
+    got = {r.page_id: r.text for r in A.extract_articles(pages, primary=rules).collect()}
     assert got == {1: long.strip(), 3: long.strip()}
+    # with the densest run of blocks the long block of page 2 is the article; cleaning still applies inside a block
+    more = pages.union(spark.createDataFrame([(4, "http://e/d", f"<p>short\n延伸閱讀 {long}</p>"), (5, "http://e/e", "<p>a</p>" * 99), (6, "http://e/f", None)], pages.schema))
+    got = {r.page_id: (r.text, r.extracted_by) for r in A.extract_articles(more).collect()}
+    assert got == {i: (long.strip(), "primary") for i in (1, 2, 3)}
+
+
+def test_dense_text_leaves_menus_and_falls_back(spark):
+    prose = ["This sentence is long enough to speak for an article.", "And so is this one, with <a href=x>a link</a> and some more words."]
+    menu = "".join(f"<li><a href=/{i}>section number {i} of this site</a></li>" for i in range(30))
+    page = f"<html><head><title>T</title></head><ul>{menu}</ul><div><p>{prose[0]}<p>short<p>{prose[1]}</div><footer>about us</footer><ul>{menu}</ul>"
+    words = "<article>" + "".join(f"<p>word{i}</p>" for i in range(20)) + "</article>"
+    df = spark.createDataFrame([(1, "http://e/a", page), (2, "http://e/b", words), (3, "http://e/c", f"<ul>{menu}</ul>")], "page_id INT, url STRING, html STRING")
+    got = {r.page_id: (r.text, r.extracted_by) for r in A.extract_articles(df).collect()}
+    assert got == {1: (f"{prose[0]}\nshort\n" + prose[1].replace("<a href=x>", "").replace("</a>", ""), "primary"),
+                   2: ("\n".join(f"word{i}" for i in range(20)), "fallback")}
 
 
 def test_tagged_sources_equal_the_union(spark):
@@ -90,3 +107,44 @@ def test_tagged_sources_equal_the_union(spark):
     union = LK.union_sources([(df.filter("rank = 0"), "a", True), (df.filter("rank = 1"), "b", False)])
     tagged = LK.tag_sources(df, F.col("rank"), ["a", "b"], [True, False])
     assert sorted(map(tuple, tagged.select(*union.columns).collect())) == sorted(map(tuple, union.collect()))
+
+
+def test_csv_parts_begin_with_a_byte_order_mark(spark):
+    import glob
+
+    df = spark.createDataFrame([("台積電", 1, "x"), ("b", 2, "y")], "name string, v int, part string")
+    for kind, kwargs in (("plain", {}), ("parts", {"partition_by": ["name"]}), ("none", {"bom": False})):
+        path = IO.scratch_path(spark, f"bom-{kind}")
+        IO.write_table(df.repartition(2), path, **kwargs)
+        files = glob.glob(path.removeprefix("file:") + "/**/part-*.csv", recursive=True)
+        heads = [open(f, "rb").read(3) for f in files]
+        assert heads and all((h == b"\xef\xbb\xbf") == (kind != "none") for h in heads)
+        back = spark.read.schema("v INT, part STRING, name STRING" if kind == "parts" else df.schema).option("header", True).csv(path)
+        assert sorted(tuple(r) for r in back.select("name", "v", "part").collect()) == [("b", 2, "y"), ("台積電", 1, "x")]
+    path = IO.scratch_path(spark, "bom-news")
+    news = spark.createDataFrame([("007", "2024-01-01 00:00", 'a "b"\nc', "s")], IO.NEWS_SCHEMA)
+    IO.write_table(news, path)
+    assert [tuple(r) for r in IO.read_news(spark, path).collect()] == [tuple(r) for r in news.collect()]
+
+
+def test_append_reads_touched_partitions_only(spark):
+    path = IO.scratch_path(spark, "touched")
+    df = spark.createDataFrame([(d, k) for d in (1, 2, 3, None) for k in "ab"], "day int, k string")
+    IO.append_table(df, path, ["day"], ["k"])
+    old = IO.touched(spark.read.schema(df.schema).parquet(path), df.filter("day = 2"), ["day"])
+    assert old.count() == 2 and {f.split("/")[-2] for f in old.inputFiles()} >= {"day=2"}
+    assert "PartitionFilters: [" in old._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in old._jdf.queryExecution().executedPlan().toString()
+    IO.append_table(spark.createDataFrame([(None, "a"), (None, "c"), (3, "b")], df.schema), path, ["day"], ["k"])
+    got = sorted(((r.day or 0), r.k) for r in spark.read.schema(df.schema).parquet(path).collect())
+    assert got == sorted([(d, k) for d in (0, 1, 2, 3) for k in "ab"] + [(0, "c")])
+
+
+def test_links_until_the_first_empty_page(spark):
+    from tickwise.operators import links as LK
+
+    pages = spark.createDataFrame([(s, p) for s in "ab" for p in range(5)], "source string, page int")
+    links = spark.createDataFrame([("a", p, f"l{p}") for p in (0, 1, 3)] + [("b", p, f"m{p}") for p in range(5)], "source string, page int, link string")
+    keep = lambda **kw: sorted(r.link for r in LK.until_first_empty(links, pages, **kw).collect())
+    assert keep() == ["l0", "l1", "m0", "m1", "m2", "m3", "m4"]
+    assert keep(max_pages=2) == ["l0", "l1", "m0", "m1"] and keep(max_pages=1) == ["l0", "m0"]

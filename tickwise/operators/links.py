@@ -97,19 +97,17 @@ def until_first_empty(links: DataFrame, page_list: DataFrame, source: str = "sou
 
     ``links`` are already first-wins deduplicated within the source (L8), so
     each row is a *new* link of its page; ``page_list`` lists every fetched page
-    so that a page without links counts as empty.
+    so that a page without links counts as empty.  A source's pages meet as two
+    aggregates, its first empty and its last page.
     """
-    per_page = page_list.select(source, page).distinct().join(
-        links.groupBy(source, page).agg(F.count(F.lit(1)).alias("_new")), [source, page], "left"
-    ).withColumn("_new", F.coalesce(F.col("_new"), F.lit(0)))
-    w = Window.partitionBy(source).orderBy(page).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ok = per_page.withColumn("_empties", F.sum(F.when(F.col("_new") == 0, 1).otherwise(0)).over(w)) \
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(source).orderBy(page))) \
-        .filter(F.col("_empties") == 0)
-    if max_pages is not None:
-        ok = ok.filter(F.col("_rank") <= max_pages)
-    ok = ok.select(source, page)
-    return links.join(ok, [source, page], "left_semi")
+    pages = page_list.select(source, page).distinct()
+    if max_pages is not None:  # ranks above the limit are dropped before the shuffle
+        nth = F.row_number().over(Window.partitionBy(source).orderBy(page))
+        pages = pages.withColumn("_rank", nth).filter(F.col("_rank") <= max_pages).drop("_rank")
+    per_page = pages.join(links.groupBy(source, page).agg(F.count(F.lit(1)).alias("_new")), [source, page], "left")
+    ends = per_page.groupBy(source).agg(F.min(F.when(F.col("_new").isNull(), F.col(page))).alias("_end"), F.max(page).alias("_last"))
+    kept = links.join(ends, source).filter((F.col("_end").isNull() | (F.col(page) < F.col("_end"))) & (F.col(page) <= F.col("_last")))
+    return kept.select(*links.columns)
 
 
 def link_counts(df: DataFrame, source: str = "source", page: str = "page") -> DataFrame:

@@ -275,6 +275,6 @@ def q_n7_stream(spark, sf):
     r = views.responses(spark, sf)
     landing, sink, ckpt = scratch_path(spark, "land"), scratch_path(spark, "sink"), scratch_path(spark, "ckpt")
     INC.land_files(r, landing, [F.col("id") % 2 == 0, F.col("id") % 2 == 1, F.col("id") % 7 == 0])
-    INC.stream_score(spark, landing, r.schema, sink, ckpt, key="id",
+    INC.stream_score(spark, landing, r.schema, sink, ckpt, key="id", flush_rows=1000,
                      score=lambda d: NS.parse_scores(d, "response", "s").select("id", "s.*"))
     return INC.read_sink(spark, sink)

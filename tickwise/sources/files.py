@@ -87,9 +87,19 @@ def read_forecast(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, FORECAST_SCHEMA)
 
 
+BOM = "\ufeff"
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
-                partition_by: list[str] | None = None) -> None:
-    """Full write with header; one folder of part files (no driver-side gather)."""
+                partition_by: list[str] | None = None, bom: bool = True) -> None:
+    """Full write with header; one folder of part files (no driver-side gather).
+
+    Each CSV part begins with a byte order mark (it leads the header's first
+    name), so that spreadsheets read the text as UTF-8; ``bom=False`` writes none.
+    """
+    if fmt == "csv" and bom:
+        first = next(c for c in df.columns if c not in (partition_by or []))
+        df = df.withColumnRenamed(first, BOM + first)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -112,18 +122,32 @@ def append_table(df: DataFrame, path: str, partition_by: list[str], key: list[st
     """Idempotent append: rows whose ``key`` the touched partitions do not hold yet are added.
 
     A re-run of a delivery adds nothing; a later delivery for the same
-    partition keeps the earlier rows.  Null keys are compared as values.
+    partition keeps the earlier rows.  Null keys are compared as values.  Of the
+    old table only the keys of the partition values that the delivery holds are
+    read (a filter on the folders); the driver sees those values, never rows.
     """
     names = list(dict.fromkeys([*partition_by, *key]))
     new = df.dropDuplicates(names)
     old = read_if_exists(df.sparkSession, path, df.schema, fmt)
     if old is not None:
+        old = touched(old, df, partition_by)
         old = old.select(*[F.col(c).alias(f"_old_{c}") for c in names])
         new = new.join(old, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in names], "left_anti")
     # rows of a partition value come together, large values are split over several writers
     new.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).format(fmt).save(path)
 
 
+def touched(old: DataFrame, new: DataFrame, partition_by: list[str]) -> DataFrame:
+    """The rows of ``old`` in partitions whose values occur in ``new``, by a filter that prunes folders."""
+    sets = [F.collect_set(c).alias(f"v{i}") for i, c in enumerate(partition_by)]
+    nulls = [F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).alias(f"n{i}") for i, c in enumerate(partition_by)]
+    seen = new.agg(*sets, *nulls).first()
+    for i, c in enumerate(partition_by):
+        held = F.col(c).isin(seen[f"v{i}"]) if seen[f"v{i}"] else F.lit(False)
+        old = old.filter(held | F.col(c).isNull() if seen[f"n{i}"] else held)
+    return old
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

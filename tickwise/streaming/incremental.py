@@ -2,9 +2,14 @@
 
 The reference appends to CSV files in loops (one API call per day, a flush
 every 10 scored rows).  Here new files landing in a folder are a file-source
-stream; each micro-batch is written by ``foreachBatch`` into its own
-``batch_id=<n>`` folder with ``overwrite``, so a retried batch replaces its own
-output instead of duplicating it (exactly-once with the checkpointed offsets).
+stream.  The keys seen so far are the state of a streaming ``dropDuplicates`` in
+a RocksDB state store: a micro-batch looks up its own keys and nothing of the
+sink is read again, however much it holds.  There is no watermark, so the state
+keeps every key and a row is judged by its key alone: late repeats go, late new
+rows stay, after a restart as well.  Each micro-batch is written by
+``foreachBatch`` into its own ``batch_id=<n>`` folder; a replayed batch gets the
+same rows from the same state version and replaces its own output
+(exactly-once with the checkpointed offsets and state).
 """
 
 from __future__ import annotations
@@ -15,49 +20,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.files import read_if_exists
+
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",  # a batch uploads its changes only
+}
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, sink: str, checkpoint: str,
                   key: str, max_files: int = 1):
-    """S9 (stream form): land new files, keep each key once, append.
+    """S9 (stream form): land new files, keep the first row of each key, append.
 
-    Duplicates are removed inside the micro-batch and against the keys already
-    in the sink (an anti-join on the key column only).  No watermark-based
-    dedup: a watermark shorter than the arrival lateness would silently drop
-    late rows, and the reference keeps every row it receives.
     Runs over the files present (``availableNow``); a later call continues from
-    the checkpoint.
+    the checkpoint, with the keys of all earlier calls.
     """
-    return stream_score(spark, source_dir, schema, sink, checkpoint, key,
-                        score=lambda d: d.dropDuplicates([key]), max_files=max_files)
+    return stream_score(spark, source_dir, schema, sink, checkpoint, key, score=lambda d: d, max_files=max_files)
 
 
 def stream_score(spark: SparkSession, source_dir: str, schema: T.StructType, sink: str, checkpoint: str,
-                 key: str, score: Callable[[DataFrame], DataFrame], max_files: int = 1):
-    """N7 (stream form): each micro-batch scores only the keys the sink does not hold yet."""
+                 key: str, score: Callable[[DataFrame], DataFrame], max_files: int = 1, flush_rows: int | None = None):
+    """N7 (stream form): each micro-batch scores the rows of keys that no earlier batch held.
 
+    ``flush_rows``: about so many rows are scored and written at a time; parts
+    that are complete when a batch is replayed are not scored again, so a
+    failure costs at most one part of a slow scorer's work.  A null key is a key.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
+        out = f"{sink.rstrip('/')}/batch_id={batch_id}"
+        if flush_rows is None:
+            score(batch).write.mode("overwrite").parquet(out)
+            return
         spark_ = batch.sparkSession
-        todo = batch.dropDuplicates([key])
-        # a replayed batch must not find its own earlier output: only batches before it are done
-        known = T.StructType([batch.schema[key], T.StructField("batch_id", T.LongType())])
-        done = read_if_exists(spark_, sink, known)
-        if done is not None:
-            done = done.where(F.col("batch_id") < batch_id).select(key)
-            todo = todo.join(done, on=key, how="left_anti")
-        score(todo).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
-
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
-         .writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+        staged = f"{sink.rstrip('/')}/_staged/batch_id={batch_id}"  # names with an underscore are no part of the table
+        batch.write.mode("overwrite").parquet(staged)
+        rows = spark_.read.schema(batch.schema).parquet(staged)
+        parts = max(1, -(-rows.count() // flush_rows))
+        for part in range(parts):
+            done = f"{out}/part={part}"
+            if not _exists(spark_, f"{done}/_SUCCESS"):
+                score(rows.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)).write.mode("overwrite").parquet(done)
+
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir).dropDuplicates([key])
+             .writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return q
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_sink(spark: SparkSession, sink: str) -> DataFrame:
-    """All micro-batch folders of a sink, without the batch column."""
-    return spark.read.parquet(sink).drop("batch_id")
+    """All micro-batch folders of a sink, without the folders' columns."""
+    return spark.read.parquet(sink).drop("batch_id", "part")
 
 
 def land_files(df: DataFrame, folder: str, parts: list) -> None:
