@@ -67,8 +67,8 @@ def min_len(df: DataFrame, col: str = "text", n: int = MIN_LEN) -> DataFrame:
 # Elements that end a block of text: what lies between two of their tags is one block.
 BLOCK_TAGS = ("address|article|aside|blockquote|body|center|dd|div|dl|dt|fieldset|figure|figcaption|footer|form|h1|h2|h3|h4|h5|h6|head|"
               "header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|title|tr|ul")
-BLOCK_COST = 40     # characters of text that a block must have to speak for article text
-LINK_COST = 4       # a linked character counts against this many others
+BLOCK_COST = 20     # characters of text that a block must have to speak for article text
+LINK_COST = 3       # a linked character counts against this many others
 
 
 def dense_blocks(html: Column) -> Column:
@@ -76,13 +76,14 @@ def dense_blocks(html: Column) -> Column:
 
     A block is the text between two block-level tags; its score is its length less
     ``LINK_COST`` times the length of its links less ``BLOCK_COST``: above zero for
-    prose, below for menus, captions, notices and empty blocks.
+    prose, below for menus, captions and notices, zero where there is no text.
     """
     def block(piece: Column) -> Column:
         text = py_strip(decode_entities(F.regexp_replace(piece, r"<[^>]*>", "")))
         links = F.aggregate(F.regexp_extract_all(piece, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), F.lit(0),
                             lambda n, a: n + F.length(py_strip(decode_entities(F.regexp_replace(a, r"<[^>]*>", "")))))
-        return let(text, lambda t: F.struct(t.alias("text"), (F.length(t) - LINK_COST * links - BLOCK_COST).alias("score")))
+        return let(text, lambda t: F.struct(t.alias("text"), F.when(t == "", 0).otherwise(
+            F.length(t) - LINK_COST * links - BLOCK_COST).alias("score")))
 
     return F.transform(F.split(without_raw(html), rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>"), block)
 

@@ -668,7 +668,7 @@ _DENSE_SQL = f"""
                    FROM v_article_pages) q)
     , bl AS (SELECT page_id, kind, i, {_BARE_TEXT} AS t, coalesce(list_sum(list_transform(
                  regexp_extract_all(x, {ST.q("(?is)<a" + chr(92) + "b[^>]*>(.*?)</a" + chr(92) + "s*>")}, 1), lambda x: length({_BARE_TEXT}))), 0) AS links FROM pc)
-    , pf AS (SELECT *, sum(length(t) - {AR.LINK_COST} * links - {AR.BLOCK_COST}) OVER (PARTITION BY page_id, kind ORDER BY i) AS p FROM bl)
+    , pf AS (SELECT *, sum(CASE WHEN t = '' THEN 0 ELSE length(t) - {AR.LINK_COST} * links - {AR.BLOCK_COST} END) OVER (PARTITION BY page_id, kind ORDER BY i) AS p FROM bl)
     , lo AS (SELECT *, least(0, coalesce(min(p) OVER (PARTITION BY page_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS m FROM pf)
     , hi AS (SELECT page_id, kind, min(i) AS j, arg_min(m, i) AS m FROM lo l
              WHERE p - m > 0 AND p - m = (SELECT max(z.p - z.m) FROM lo z WHERE z.page_id = l.page_id AND z.kind = l.kind) GROUP BY page_id, kind)
