@@ -90,7 +90,7 @@ def test_extracted_articles_are_cleaned_and_checked_again(spark):
 
 
 def test_dense_text_leaves_menus_and_falls_back(spark):
-    prose = ["This sentence is long enough to speak for an article.", "And so is this one, with <a href=x>a link</a> and some more words."]
+    prose = ["This sentence is long enough to speak for an article.", "And so is this one, with <a href=x>a link</a> and some more words after it."]
     menu = "".join(f"<li><a href=/{i}>section number {i} of this site</a></li>" for i in range(30))
     page = f"<html><head><title>T</title></head><ul>{menu}</ul><div><p>{prose[0]}<p>short<p>{prose[1]}</div><footer>about us</footer><ul>{menu}</ul>"
     words = "<article>" + "".join(f"<p>word{i}</p>" for i in range(20)) + "</article>"
