@@ -201,10 +201,15 @@ def _single_line(alt: str) -> str:
     return out.replace(r"\s", _WS_NO_NL)
 
 
+# The line boundaries of str.splitlines() beside the newline, CRLF first.
+BREAKS = ["\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+
+
 def fold_breaks(c: Column) -> Column:
-    """Every ``str.splitlines`` boundary as a single newline."""
-    return F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")),
-                            r"[\r\x{0B}\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]", "\n")
+    """Every ``str.splitlines`` boundary as a single newline (literal replaces: a text without one is only searched)."""
+    for b in BREAKS:
+        c = F.replace(c, F.lit(b), F.lit("\n"))
+    return c
 
 
 def noise_line_pattern(alternatives: Sequence[str] = NOISE_LINES) -> str:
@@ -233,12 +238,15 @@ def strip_blocks(c: Column, patterns: Sequence[str] = NOISE_BLOCKS) -> Column:
     contain it (a plain substring test skips the rest).
     """
     for p in patterns:
-        lit = _leading_literal(p)
-        rx = F.regexp_replace(c, "(?sU)" + p, "")
-        c = F.when(F.contains(c, F.lit(lit)), rx).otherwise(c) if lit else rx
+        c = let(c, _without_block(p))
     return c
 
 
+def _without_block(pattern: str):
+    lit, rx = _leading_literal(pattern), "(?sU)" + pattern
+    return lambda t: F.when(F.contains(t, F.lit(lit)), F.regexp_replace(t, rx, "")).otherwise(t)
+
+
 def strip_lines(c: Column, pattern: str | None = None) -> Column:
     """Drop lines whose stripped form is a noise line; blank lines stay; lines are
     split like ``str.splitlines`` and joined with newlines.
@@ -251,9 +259,9 @@ def strip_lines(c: Column, pattern: str | None = None) -> Column:
     per-line path (split, strip, test, join).
     """
     if pattern is None:
-        norm = fold_breaks(c)
-        terminated = F.when(F.endswith(norm, F.lit("\n")), norm).otherwise(F.concat(norm, F.lit("\n")))
-        return F.regexp_replace(F.regexp_replace(terminated, NOISE_LINE_DELETE, ""), r"\n\z", "")
+        terminated = let(fold_breaks(c), lambda t: F.when(F.endswith(t, F.lit("\n")), t).otherwise(F.concat(t, F.lit("\n"))))
+        # what is left is empty or ends in the newline of its last line
+        return let(F.regexp_replace(terminated, NOISE_LINE_DELETE, ""), lambda t: F.left(t, F.length(t) - 1))
     lines = F.transform(py_lines(c), lambda x: F.struct(x.alias("l"), py_strip(x).alias("s")))
     kept = F.filter(lines, lambda r: (r["s"] == "") | ~r["s"].rlike(pattern))
     return F.array_join(F.transform(kept, lambda r: r["l"]), "\n")
