@@ -756,6 +756,29 @@ def q_a14(spark, sf):
     return AR.date_window_keep_undated(_news_dated(spark, sf), "1998-01-10", "1998-01-25").select("id", "publish_date")
 
 
+# the crawl from stored pages to the news table: articles, relevance, missing dates, first of each title, date window
+_CHAIN = ("2000-01-01", "2030-12-31")
+
+
+@register("chain_articles", with_views(_DENSE_SQL + f"""
+    , dt AS ({_publish_date_sql("SELECT page_id, kind, url, html FROM v_article_pages", "page_id, kind")})
+    , ch AS (SELECT page_id, kind, url, {_title_sql('html')} AS title, coalesce(primary_text, '') AS p, {_body_sql('html')} AS b
+             FROM v_article_pages LEFT JOIN de USING (page_id, kind))
+    , ar AS (SELECT page_id, kind, url, title, {_collapse_sql(_lines_sql(_blocks_sql('text')))} AS text
+             FROM (SELECT page_id, kind, url, title, CASE WHEN length(p) >= 50 THEN p ELSE b END AS text FROM ch WHERE length(p) >= 50 OR length(b) >= 50) c)
+    , kp AS (SELECT page_id, kind, url, title, text, CASE WHEN coalesce(publish_date, '') = '' AND page_id % 2 = 0 THEN '{_CHAIN[0]}' ELSE publish_date END AS publish_date
+             FROM ar JOIN dt USING (page_id, kind) WHERE length(text) >= 50 AND (contains(title, '{_KW}') OR contains(text, '{_KW}')))
+    , f AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY page_id, kind) AS r FROM kp)
+    SELECT page_id, kind, url, title, length(text) AS n_chars, publish_date FROM f
+    WHERE r = 1 AND (coalesce(publish_date, '') = '' OR substring(publish_date, 1, 10) BETWEEN '{_CHAIN[0]}' AND '{_CHAIN[1]}')""", "v_article_pages"))
+def q_chain_articles(spark, sf):
+    """Pages -> articles -> relevant -> dated -> first of each title -> inside the window."""
+    a = AR.relevant(AR.extract_articles(_article_pages(spark, sf)), _KW).withColumn("date_filtered", F.col("page_id") % 2 == 0)
+    a = AR.dedup_title(AR.fill_date(a, _CHAIN[0]), ["page_id", "kind"])
+    a = AR.date_window_keep_undated(a, *_CHAIN)
+    return a.select("page_id", "kind", "url", "title", F.length("text").alias("n_chars"), "publish_date")
+
+
 # --------------------------------------------------------------------------
 # D: fuzzy news dedup
 # --------------------------------------------------------------------------

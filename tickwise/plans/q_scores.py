@@ -136,10 +136,29 @@ def q_n2(spark, sf):
     return p.select("id", F.length("prompt").alias("prompt_len"), F.md5("prompt").alias("prompt_md5"))
 
 
-@register("n3_score")
+def _lexicon_sql():
+    words = "regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
+    count = lambda ws: f"len(list_filter({words}, lambda w: list_contains([{', '.join(repr(w) for w in ws)}], w)))"
+    return f"""
+    SELECT id, title, CASE WHEN p + n = 0 THEN 0.0 ELSE round((p - n) / (p + n), 3) END AS sentiment_score,
+           least(1.0, round((p + n) / 10, 3)) AS impact_intensity, CASE WHEN coalesce(text, '') <> '' THEN 1.0 ELSE 0.5 END AS certainty,
+           CASE WHEN p + n > 3 THEN 0.8 ELSE 0.4 END AS time_horizon, left(coalesce(title, ''), 40) AS summary,
+           p || ' positive, ' || n || ' negative words' AS evidence, 'lexicon' AS reason
+    FROM (SELECT id, title, text, {count(NS.POSITIVE_WORDS)} AS p, {count(NS.NEGATIVE_WORDS)} AS n FROM v_worded) x"""
+
+
+# news whose titles gain words of the lexicon, by id
+_GAINED = ["", "growth and Record profit", "loss, risk - fall! up", "strong strong RISE beat gain", "weak down"]
+add_view("v_worded", ("v_news",), "SELECT id, text, CASE id % 5 " + " ".join(
+    f"WHEN {k} THEN {'title' if not w else f'{w!r} || chr(32) || coalesce(title, chr(32))'}" for k, w in enumerate(_GAINED)) + " END AS title FROM v_news")
+
+
+@register("n3_score", with_views(_lexicon_sql(), "v_worded"))
 def q_n3(spark, sf):
-    """Every news row through the (lexicon) scorer plug-in, parsed and attached."""
+    """Every news row through the scorer plug-in (here the deterministic lexicon), parsed and attached."""
     n = views.news(spark, sf)
+    gained = F.element_at(F.array(*[F.lit(w) for w in _GAINED]), (F.col("id") % 5 + 1).cast("int"))
+    n = n.withColumn("title", F.when(gained == "", F.col("title")).otherwise(F.concat(gained, F.lit(" "), F.coalesce("title", F.lit(" ")))))
     r = NS.score(n, NS.lexicon_scorer(), ["id", "title", "text"])
     return NS.attach_scores(NS.parse_scores(r, "response", "scores").drop("response", "text"))
 
