@@ -49,6 +49,33 @@ def test_chat_round_trip_and_windows(spark):
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
 
 
+def test_system_turn_is_retained_from_where_it_stands(spark):
+    talk = [("user" if i % 2 == 0 else "assistant", f"text {i} " * 20) for i in range(60)]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate([talk[0], ("system", "be kind"), *talk[1:]])]
+    rows += [(2, i, r, t) for i, (r, t) in enumerate([("system", "rule " * 2000), *talk])]
+    rows += [(3, i, r, t) for i, (r, t) in enumerate([*talk, ("system", "late"), *talk, ("system", "other")])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(df)
+    got = {c: [w.formatted for w in windows.where(f"conv_id = {c}").orderBy("window").collect()] for c in (1, 2, 3)}
+    kind = "<|system|>\nbe kind<|end|>"
+    assert len(got[1]) > 3 and all(w.startswith(kind) for w in got[1][1:]) and all(w.count(kind) == 1 for w in got[1])
+    assert sum("<|system|>" in w for w in got[2]) == 1 and sum(map(len, got[2])) < 2 * sum(len(t) for c, _, _, t in rows if c == 2)
+    late = next(i for i, w in enumerate(got[3]) if "<|system|>\nlate" in w)
+    assert late > 0 and all(w.startswith("<|system|>\nlate") for w in got[3][late + 1:])
+    assert {r.conv_id: r.n_turns for r in chat.read_back(windows).collect()} == {1: 61, 2: 61, 3: 122}
+    assert all(w.n_tokens <= chat.BUDGET for w in windows.where("conv_id != 2").collect())
+
+
+@pytest.mark.parametrize("inner, want", [
+    ("<p title=it's>First</p><p>Second</p><p>don't stop</p>", "First|Second|don't stop"),
+    ("<p class='share-price'>a</p><h2 class='related-work'>b</h2><p class=alert-free>c</p><section class='social-policy'>d</section>", "a|b|c|d"),
+    ("<p>a</p><div class='share-buttons'>x</div><div class='related_posts box'>x</div><p class=shareTools>x</p><span class=ad>x</span>", "a"),
+    ("<p title=\"a>b\" x='c>d' y=\"un>z</p><p>k</p>", "z|k"),
+])
+def test_html_keeps_article_text(inner, want):
+    assert html_wrapper.extract_text(f"<body><article>{inner}</article></body>", None) == want.replace("|", "\n\n")
+
+
 PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body><header class="site-header"><h1>Site</h1></header>
 <div id="cookie-notice">We use cookies</div><ul class="menu"><li><a href=x>Home</a></ul><article><header><h1>Title &amp; more</h1>by me</header>
 <p>First &lt;b&gt;&nbsp; para<br>line <span class="ad">BUY</span>two<aside>side</aside><p>%s<form><label>mail</label></form>

@@ -8,8 +8,10 @@ Windows.  Prefix sums of turn tokens cut a conversation into turn-aligned
 spans: a new span starts where the prefix sum enters the next stride, and
 around a turn too long for the stride's reserve.  Every span of ordinary turns
 fits the budget left by the system turn and the history.  A window is the
-system turn (retained in every window), a limited history of the turns just
-before the span (at most ``history`` tokens), and the span.  Repeated turns are
+conversation's first system turn, wherever it stands before the span, a limited
+history of the turns just before the span (at most ``history`` tokens), and the
+span.  A system turn of more than half the budget stays in the window it stands
+in and is not repeated, so the output is at most a small multiple of the input.  Repeated turns are
 masked: only assistant texts of the span are targets, so each assistant text is
 a target exactly once.  No turn is cut or dropped; a single turn longer than
 the budget makes a window of its own that exceeds it.
@@ -70,7 +72,10 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = clean.select(
         "*", F.row_number().over(by).alias("pos"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("at"),
-        F.first(F.when(F.col("role") == "system", F.struct("tokens", "erole", "text"))).over(whole).alias("system"))
+        F.when(F.col("role") == "system", F.struct(F.row_number().over(by).alias("pos"), "tokens", "erole", "text")).alias("own_system"))
+    # the first system turn, wherever it stands; one of more than half the budget is not repeated
+    first = F.first("own_system", ignorenulls=True).over(whole)
+    placed = placed.withColumn("system", F.when(first["tokens"] <= budget // 2, first))
     # budget left for the span; a share of it is kept for the turn that crosses the end of a stride
     room = F.greatest(F.lit(budget - history) - F.coalesce(F.col("system.tokens"), F.lit(0)), F.lit(2 * OVERHEAD))
     placed = (placed.withColumn("stride", F.ceil(room / 2)).withColumn("bucket", F.floor(F.col("at") / F.col("stride")))
@@ -85,10 +90,10 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     turn = F.struct("pos", "tokens", "erole", "text")
     placed = placed.withColumn("recent", F.collect_list(turn).over(recent)).withColumn(
         "repeated", F.when(F.col("starts") & (F.col("window") > 1), F.concat(
-            F.when(F.col("system").isNotNull(), F.array(F.struct(
+            F.when(F.col("system.pos") < F.col("pos"), F.array(F.struct(
                 F.lit(0).alias("pos"), F.col("system.tokens").alias("tokens"), F.col("system.erole").alias("erole"),
                 F.col("system.text").alias("text")))).otherwise(F.array().cast("array<struct<pos:int,tokens:bigint,erole:string,text:string>>")),
-            F.filter("recent", lambda t: ~((t["pos"] == 1) & F.col("system").isNotNull())))))
+            F.filter("recent", lambda t: ~t["pos"].eqNullSafe(F.col("system.pos"))))))
     rows = placed.groupBy("conv_id", "window").agg(
         F.array_sort(F.collect_list(F.struct("pos", "tokens", "erole", "text", "role"))).alias("own"),
         F.max("repeated").alias("repeated"))

@@ -65,9 +65,14 @@ BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense s
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 GOOD_WORDS = frozenset("content article post entry story main body text maintext articlebody".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|([^<]+|<)""", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)()")   # a tag with a quote that never ends
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# words that say where or what shape a region is; beside them a bad word still names the region
+NEUTRAL = frozenset("area bar block bottom box btn button buttons center col column container cta element global group header heading "
+                    "holder icon icons inline inner item items label left link links list main module outer page panel posts right row "
+                    "section site slot stories tools top unit user wrap wrapper".split())
+
+# a quote opens a value only behind an equals sign; elsewhere, and where it never ends, it is a character like others
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*?)(?:>|\Z)|([^<]+|<)""", re.S)
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 
@@ -80,17 +85,25 @@ class Node:
         self.weak = weak   # bad by words of its class or id only
 
 
-def _open(tag: str, attrs: str) -> Node:
-    """An element with the marks of its attributes."""
+def _names_region(token: str) -> bool:
+    """Whether a class or id, such as ``share-buttons``, names a region; ``share-price`` does not."""
+    words = set(_WORDS.findall(token))
+    return bool(words & BAD_WORDS) and all(len(w) == 1 or w in BAD_WORDS or w in NEUTRAL or w in GOOD_WORDS for w in words)
+
+
+def _open(tag: str, attrs: str, stack: list[Node]) -> Node:
+    """An element with the marks of its attributes; inside an article its class must name a region, not only hold a word."""
     if not attrs.strip():
         return Node(tag, tag, tag in DROP, tag in ("article", "main"))
-    sig, words, bad = tag, set(), tag in DROP
+    sig, words, tokens, bad = tag, set(), [], tag in DROP
     good = tag in ("article", "main")
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("id", "class"):
-            found = _WORDS.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", a or b or c).lower())
+            parted = re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", a or b or c).lower()
+            found = _WORDS.findall(parted)
             words.update(found)
+            tokens += parted.split()
             sig += ("#" if name == "id" else ".") + ".".join(found)
         elif name == "role":
             bad |= value in BAD_ROLES
@@ -100,6 +113,8 @@ def _open(tag: str, attrs: str) -> Node:
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             bad = True
     weak = not bad and tag not in ("html", "body", "article", "main") and bool(words & BAD_WORDS)
+    if weak and any(k.tag in ("article", "main") and not k.bad for k in stack):
+        weak = any(map(_names_region, tokens))
     bad |= weak
     if tag in ("article", "main") and words & {"comment", "comments", "reply", "ad", "advert", "related", "promo"}:
         bad = True
@@ -158,8 +173,6 @@ def parse(page: str) -> Node:
     n = len(page)
     while at < n:
         m = _TOKEN.match(page, at)
-        if m.group(4) == "<":
-            m = _LOOSE.match(page, at) or m
         at = m.end()
         text = m.group(4)
         if text:
@@ -187,10 +200,10 @@ def parse(page: str) -> Node:
                 links += 1
             if tag == "br":
                 stack[-1].kids.append((" ", False))
-            elif tag not in VOID and not m.group(3).endswith("/") and (hidden or m.group(3).strip() and _open(tag, m.group(3)).bad):
+            elif tag not in VOID and not m.group(3).endswith("/") and (hidden or m.group(3).strip() and _open(tag, m.group(3), stack).bad):
                 hidden.append(tag)
             continue
-        node = _open(tag, m.group(3))
+        node = _open(tag, m.group(3), stack)
         links, hidden = 0, []
         ends = CLOSES.get(tag, ())
         if tag in ENDS_P and stack[-1].tag in ("p", *HEADINGS) and not (stack[-1].tag in HEADINGS and tag not in HEADINGS and tag != "p"):
