@@ -345,6 +345,31 @@ def test_language_stage_without_labels(spark):
     assert {r.lang_pred for r in langid.predict_documents(df).collect()} == {"und"}
 
 
+def test_language_stage_fills_what_is_missing(spark):
+    rows = [(i, "the cat and the dog " * 3, "en", "") for i in range(40)] + [(100 + i, "кот и собака " * 3, "ru", "") for i in range(40)]
+    rows += [(200, "the dog and the cat", None, ""), (201, "собака и кот", None, ""), (202, "the dog and the cat", "ru", ""), (202, "the dog and the cat", "ru", "")]
+    got = langid.keep_identified(docs_frame(spark, rows)).collect()
+    assert [r.lang for r in got if r.doc_id in (200, 201)] == ["en", "ru"] and [r.lang for r in got if r.doc_id == 202] == ["ru"] * 2
+    assert len(got) == len(rows)
+
+
+def test_broadcasts_hold_plain_data():
+    # what a worker unpickles must not name this package, which it need not have
+    import pickle
+
+    from tickwise.llm.common import revived
+
+    vocabulary = sp.Vocabulary.load()
+    model = langid.Model(["a", "b"], np.ones((2, 1 << langid.BITS)), np.ones((2, len(langid.SCRIPT_NAMES))))
+    for kind, made in ((sp.Vocabulary, vocabulary), (langid.Model, model)):
+        data = pickle.dumps(vars(made), 2)
+        assert b"tickwise" not in data
+        assert vars(revived(kind, pickle.loads(data))).keys() == vars(made).keys()
+    again = sp.Encoder(revived(sp.Vocabulary, pickle.loads(pickle.dumps(vars(vocabulary)))))
+    text = "Hello there, 12 worlds! é"
+    assert again.encode(text, 3) == sp.Encoder(vocabulary).encode(text, 3)
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a", "x"), (1, "http://b\r\nX-Page-Id: 9", "x"), (2, None, None), (5, "http://c", ""), (4, "http://d", "é\r\n\r\ny"), (None, "http://e", "x")]
     pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, payload string")

@@ -46,3 +46,15 @@ def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column], chunk:
     joined = keyed.join(totals, cond, "left").drop(*[f"_t{i}" for i in range(len(keys))])
     return (joined.withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
             .drop("_chunk", "_base"))
+
+
+def revived(kind: type, fields: dict):
+    """An object of ``kind`` with the attributes ``fields``.
+
+    Broadcasts are pickled by reference to a class's module, which workers need
+    not have: ``vars(object)`` is shipped instead, and the class travels with the
+    function that revives it.
+    """
+    made = kind.__new__(kind)
+    made.__dict__.update(fields)
+    return made

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import revived
+
 MAX_TRAIN = 4000     # labelled rows per language to fit on (about; drawn by hash)
 MAX_LANGS = 1000     # more label values than this are refused
 BITS = 16            # log2 of the n-gram buckets
@@ -229,13 +231,14 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
     without languages gives ``und`` for all; repeated rows get equal results;
     columns of ``docs`` with those names are replaced; all others are kept.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGS x 2**BITS numbers
+    shipped = docs.sparkSession.sparkContext.broadcast(vars(model))  # at most MAX_LANGS x 2**BITS numbers
     keep = docs.drop("lang_pred", "score", "lang_spans")
     names = keep.columns
 
     def run(batches):
+        model = revived(Model, shipped.value)
         for batch in batches:
-            found = [label_text(t, shipped.value, switch) for t in batch.column(names.index("text")).to_pylist()]
+            found = [label_text(t, model, switch) for t in batch.column(names.index("text")).to_pylist()]
             spans = [[{"start": a, "end": b, "lang": l} for a, b, l in f[2]] for f in found]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
             yield pa.RecordBatch.from_arrays(
@@ -258,14 +261,16 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without null texts and texts without letters.
+    """``docs`` without null texts and texts without letters; a missing lang becomes the predicted one.
 
     The model is fit on the rows with text and label that are not held out; texts
-    with letters stay also where there are none to learn from.
+    with letters stay also where there are none to learn from, with lang as it
+    was.  A lang that is given stays as given; lang is no input of a prediction.
     """
     labelled = docs.where(~held_out(F.col("doc_id").cast("long")))
     names = docs.columns
     clash = {c: f"_given_{c}" for c in names if c in ("lang_pred", "score", "lang_spans")}   # the caller's own columns
     rows = docs.withColumn("text", F.col("text").cast("string")).withColumnsRenamed(clash)
     found = identify(rows, fit(labelled)).where(F.size("lang_spans") > 0)
-    return found.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in names])
+    known = F.coalesce(F.col("lang").cast("string"), F.when(F.col("lang_pred") != "und", F.col("lang_pred")))
+    return found.withColumn("lang", known).select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in names])
