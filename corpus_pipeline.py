@@ -16,7 +16,7 @@ from tickwise.llm.simhash import deduplicate
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any letter, also where no language could be learned."""
+    """Documents with any letter, their lang filled in where it is missing; also where no language could be learned."""
     return keep_identified(docs)
 
 
