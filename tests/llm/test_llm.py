@@ -383,12 +383,68 @@ def test_warc_round_trip(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {
         1: ("response", None), 3: ("revisit", 1), None: ("revisit", 1), 2: ("response", None), 5: ("revisit", 2), 4: ("response", None)}
-    want = {r.page_id: (r.header, bytes(r.payload)) for r in warc.build_records(pages).collect()}
-    assert {r.page_id: (r.header, bytes(r.payload)) for r in back.collect()} == want
+    assert {r.page_id: bytes(r.payload) for r in back.collect()} == {i: (html or "").encode() for i, _, html in rows}
+    assert {(r.page_id, r.header) for r in back.collect()} == {(r.page_id, r.header) for r in spark.read.parquet(f"{path}/headers").collect()}
     warc.write_archive(pages.limit(0), path + "-none")
     assert warc.describe(warc.read_archive(spark, path + "-none")).count() == 0
 
 
+def parse_warc(data):
+    """(fields, block) of every record, by the format's own lengths."""
+    while data:
+        head, data = data.split(b"\r\n\r\n", 1)
+        first, *lines = head.decode().split("\r\n")
+        fields = dict(line.split(": ", 1) for line in lines)
+        n = int(fields["Content-Length"])
+        assert first == "WARC/1.1" and data[n:n + 4] == b"\r\n\r\n"
+        yield fields, data[:n]
+        data = data[n + 4:]
+
+
+def test_warc_files_and_hot_payload(spark, monkeypatch):
+    """A payload that most rows share, repeated rows and repeated ids, written as files and parsed again."""
+    monkeypatch.setattr(warc, "SLOT_ROWS", 4)
+    rows = [(i, f"http://a/{i}", "same é" * 50) for i in range(60, 30, -1)] + [(7, "http://b", "x"), (7, "http://b", "x"), (7, "http://c", "y"), (8, "http://d", "x")]
+    rows += [(None, None, "z"), (None, None, "z"), (9, "http://e", "a\r\n\r\nWARC/1.1"), (10, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5, "url")
+    path = scratch_path(spark, "warc-files")
+    warc.write_archive(pages, path)
+    assert spark.read.parquet(f"{path}/payloads").count() == len({h for _, _, h in rows})
+    assert spark.read.parquet(f"{path}/headers").select("address", "slot").distinct().count() > len({h for _, _, h in rows})
+    records = warc.read_archive(spark, path)
+    warc.export_warc(records, path + "-files")
+    raw = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path + "-files").collect())
+    parsed = list(parse_warc(raw))
+    assert len(parsed) == len(rows) and len({f["WARC-Record-ID"] for f, _ in parsed}) == len(rows)
+    by_record = {f["WARC-Record-ID"]: (f, block) for f, block in parsed}
+    got = []
+    for fields, block in parsed:
+        full = by_record[fields["WARC-Refers-To"]] if fields["WARC-Type"] == "revisit" else (fields, block)
+        assert full[0]["WARC-Type"] == "response" and full[0]["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"]
+        page = fields.get("X-Page-Id")
+        got.append((page and int(page), fields["WARC-Target-URI"], full[1].split(b"\r\n\r\n", 1)[1].decode(), fields["WARC-Type"]))
+    least = {}
+    for i, _, h in rows:
+        least[h] = min(least.get(h, 1 << 60), 1 << 59 if i is None else i)
+    want = [(i, u or "", h, "response" if (1 << 59 if i is None else i) == least[h] else "revisit") for i, u, h in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_warc_finds_damage(spark):
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "y")], "page_id long, url string, html string")
+    path = scratch_path(spark, "warc-damage")
+    warc.write_archive(pages, path)
+    stored = spark.read.parquet(f"{path}/payloads")
+    spark.read.parquet(f"{path}/headers").write.parquet(path + "-2/headers")
+    stored.withColumn("payload", F.encode(F.lit("other"), "UTF-8")).write.parquet(path + "-2/payloads")
+    spark.read.parquet(f"{path}/headers").write.parquet(path + "-3/headers")
+    stored.limit(1).write.parquet(path + "-3/payloads")
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.describe(warc.read_archive(spark, path + "-2")).collect()
+    with pytest.raises(Exception, match="no payload stored"):
+        warc.describe(warc.read_archive(spark, path + "-3")).collect()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)

@@ -20,11 +20,11 @@ from . import quality_rules
 from .sentencepiece_nbest import encode_documents
 from .simhash import simhash_components
 from .url_templates import judge
-from .warc import describe, read_archive, write_archive
+from . import warc
 from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op11_fp_tree": fp_tree.ORACLE, "op13_rule_ledger": quality_rules.oracle()}
+ORACLES: dict[str, str] = {"op9_warc": warc.ORACLE, "op11_fp_tree": fp_tree.ORACLE, "op13_rule_ledger": quality_rules.oracle()}
 
 
 def _query(fn):
@@ -88,8 +88,8 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records to a content-addressed archive and read back."""
     path = scratch_path(spark, "warc")
-    write_archive(read_table(spark, sf_dir, "pages"), path)
-    return describe(read_archive(spark, path))
+    warc.write_archive(read_table(spark, sf_dir, "pages"), path)
+    return warc.describe(warc.read_archive(spark, path))
 
 
 @_query
