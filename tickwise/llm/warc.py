@@ -176,8 +176,8 @@ def describe(records: DataFrame) -> DataFrame:
 ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first_id, sha1(body) AS hexa FROM p),
-d AS (SELECT *, array_to_string(list_transform(list_transform(range(0, 8), i -> CAST('0x' || substr(hexa, 5 * i + 1, 5) AS INTEGER)),
-        x -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // 32768 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // 1024 % 32 + 1, 1)
+d AS (SELECT *, array_to_string(list_transform(list_transform(range(0, 8), lambda i: CAST('0x' || substr(hexa, 5 * i + 1, 5) AS INTEGER)),
+        lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // 32768 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // 1024 % 32 + 1, 1)
           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // 32 % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x % 32 + 1, 1)), '')
         AS payload_digest FROM f)
 SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, payload_digest,
