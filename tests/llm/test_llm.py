@@ -202,6 +202,86 @@ def test_url_rules(spark):
     assert {got[i].verdict for i in range(10, 40)} == {"allow"} and len(got) == len(urls)
 
 
+def shaped(segment):
+    stem, ext = re.fullmatch(r"(?s)(.*?)(\.[A-Za-z]{1,5})?", segment).groups()
+    for kind, pattern in (("{num}", r"[0-9]+"), ("{hex}", r"(?=.*[0-9])[0-9a-fA-F-]{8,}")):
+        if re.fullmatch(pattern, stem):
+            return kind + (ext or "").lower()
+    return "{mixed}" + (ext or "").lower() if re.search("[0-9]", stem) else segment
+
+
+def brute_templates(rows):
+    """Template and purity of every (host, path, label), node by node."""
+    paths = []
+    for _, path, _ in rows:
+        parts = re.sub("^/|/$", "", path).split("/")
+        paths.append([shaped(p) for p in (parts if len(parts) <= 8 else parts[:7] + ["/".join(parts[7:])])])
+    out = [[] for _ in rows]
+
+    def visit(members, level):
+        children = {}
+        for m in members:
+            if len(paths[m]) > level:
+                children.setdefault(paths[m][level], []).append(m)
+        words = {c: ms for c, ms in children.items() if not c.startswith("{")}
+        variable = len(words) >= 20 and len(words) >= 0.5 * sum(map(len, words.values()))
+        profiles = {}
+        for c, ms in children.items():
+            share = {}
+            for m in ms:
+                below = paths[m][level + 1] if len(paths[m]) > level + 1 else None
+                kind = "end" if below is None else below[:below.index("}") + 1] if below.startswith("{") else "word"
+                share[kind, rows[m][2]] = share.get((kind, rows[m][2]), 0) + 1
+            steps = {k: int(4 * n / len(ms) + 0.5) for k, n in share.items()}
+            profiles[c] = frozenset((k, v) for k, v in steps.items() if v)
+        pooled = {}
+        for c, ms in children.items():
+            alike = [d for d in children if profiles[d] == profiles[c]]
+            pooled.setdefault("*" if variable and c in words else "~" + min(alike) if len(alike) > 1 else c, []).extend(ms)
+        for general, ms in pooled.items():
+            for m in ms:
+                out[m].append(general)
+            visit(ms, level + 1)
+
+    for host in {r[0] for r in rows}:
+        visit([i for i, r in enumerate(rows) if r[0] == host], 0)
+    keys = [(rows[i][0], "/".join(t)) for i, t in enumerate(out)]
+    found = []
+    for host, template in keys:
+        labels = [r[2] for k, r in zip(keys, rows, strict=True) if k == (host, template)]
+        all_labels = [r[2] for r in rows if r[0] == host]
+        prior = all_labels.count("block") / (len(all_labels) + 10)
+        found.append((template, (labels.count("block") + 10 * prior) / (labels.count("block") + labels.count("allow") + 10)))
+    return found
+
+
+def test_url_tree(spark):
+    """Tree, purity and verdict against brute force, with labels of a part of the urls."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    rows = []
+    for i in range(900):
+        label = [None, "block", "allow"][int(rng.integers(3))]
+        spam = "block" if rng.random() < 0.9 else None
+        kind = i % 9
+        path = (f"/user/{word()}/posts/{word()}", f"/spam/{rng.integers(99)}", f"/{rng.choice(['en', 'de'])}/news/{rng.integers(9)}.HTML",
+                f"/{rng.choice(['about', 'contact', 'help'])}", f"/a/b/{word()}/c/{rng.integers(4)}", "/" + "/".join(["x"] * int(rng.integers(6, 13))),
+                f"/id/{rng.integers(1 << 40):010x}", "", f"/{word()}")[kind]
+        rows.append((rng.choice(["h.com", "k.com"]) if kind != 8 else "w.com", path, spam if kind == 1 else label if kind == 2 else "allow" if kind == 4 and i % 2 else None))
+    df = spark.createDataFrame([(i, f"http://{h}{p}?q", l, "mine") for i, (h, p, l) in enumerate(rows)], "page_id long, url string, known string, segs string")
+    got = {r.page_id: r for r in url_templates.judge(df, label=F.col("known")).collect()}
+    assert len(got) == len(rows)
+    for i, (template, purity) in enumerate(brute_templates(rows)):
+        assert (got[i].template, round(got[i].purity, 12)) == (template, round(purity, 12)), rows[i]
+        assert got[i].verdict == ("block" if purity >= 0.8 else "allow")
+    spam = [got[i].verdict for i, r in enumerate(rows) if r[1].startswith("/spam/")]
+    others = [got[i].verdict for i, r in enumerate(rows) if not r[1].startswith("/spam/")]
+    assert set(spam) == {"block"} and set(others) == {"allow"}          # also the spam urls without a label
+    assert {r.template for r in got.values() if r.path.startswith("/user/")} == {"user/*/posts/*"}
+    assert {r.template for r in got.values() if r.host == "w.com"} == {"*"}
+    assert url_templates.judge(df.limit(0)).count() == 0
+
+
 def vectors(spark, n=400):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(n, 16))

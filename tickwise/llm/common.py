@@ -27,6 +27,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT = 1000   # a key of more than one in HOT of all rows is hot: there are fewer than HOT such keys
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+    """``rows`` with the row of ``keyed`` for their keys, which it holds once, with the number ``n`` of their rows.
+
+    Rows of hot keys stay where they are: those keys, fewer than HOT, are broadcast.
+    The others are shuffled.  Both frames should be written tables, as each is read twice.
+    """
+    hot = F.broadcast(keyed.where(F.col(n) * HOT > rows.count()))
+    rest = rows.join(hot.select(*keys), list(keys), "left_anti").join(keyed, list(keys))
+    return rows.join(hot, list(keys)).unionByName(rest)
+
+
 def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column], chunk: Column, value: str,
                name: str) -> DataFrame:
     """Exclusive running sum of ``value`` per ``by`` in the order (``chunk``, ``order``).

@@ -22,11 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, written
 
 DATE = "2024-01-01T00:00:00Z"   # capture time written when the table has none
 MIN_BYTES = 0                   # payloads from this size on have one response, and revisits
-HOT = 1000                      # a payload of more than one in HOT of all rows is hot: there are fewer than HOT such payloads
 SLOT_ROWS = 256                 # records of one payload that share a join key (about)
 
 # The header lines of the format.
@@ -71,16 +70,9 @@ def _responses(rows: DataFrame) -> DataFrame:
     return written(firsts.select("address", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"), "n"), "warc-firsts")
 
 
-def _with_response(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Rows with the response of their payload; payloads of over 1/HOT of all rows (so under HOT payloads) stay where they are."""
-    hot = F.broadcast(firsts.where(F.col("n") * HOT > rows.count()))
-    rest = rows.join(hot.select("address"), "address", "left_anti").join(firsts, "address")
-    return rows.join(hot, "address").unionByName(rest)
-
-
 def build_headers(rows: DataFrame, firsts: DataFrame, min_bytes: int = MIN_BYTES, date: str = DATE) -> DataFrame:
     """(page_id, address, slot, header): one record head per row."""
-    rows = _with_response(rows, firsts)
+    rows = join_counted(rows, firsts, ["address"], "n")
     is_response = (F.col("n_bytes") < min_bytes) | F.col("page_id").eqNullSafe(F.col("first_id"))
     rows = rows.withColumn("is_response", is_response)
     http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF),
