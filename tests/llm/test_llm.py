@@ -155,6 +155,20 @@ def test_mixing(spark):
     assert mixing.mix_report(df.limit(0)).count() == 0
 
 
+def test_rows_under_one_id_and_text(spark):
+    """Rows that share id and text but differ in a further column keep their own columns, whatever the partitioning."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, text, None, "s0", 1, note) for note in ("five", "six", "six", None)] + [(8, text, "x", None, 1, "y"), (8, text, None, "x", 1, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, note string")
+    mixed = [mixing.mix_documents(d, block=8, shard=4).toPandas() for d in (df, df.repartition(4))]
+    assert {"five", "six"} <= set(mixed[0].note.dropna()) and mixed[0].note.isna().any()
+    words = lambda m: sorted((r.doc_id, str(r.lang), str(r.source), str(r.note), len(r.text.split())) for r in m.itertuples())
+    assert sum(w[-1] for w in words(mixed[0])) == mixing.mix_report(df, block=8, shard=4).agg(F.sum("taken")).first()[0]
+    assert words(mixed[0]) == words(mixed[1])
+    kept = [simhash.deduplicate(d).collect() for d in (df, df.repartition(4))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
 def fingerprint(text):
     words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
@@ -267,7 +281,7 @@ def test_url_tree(spark):
         path = (f"/user/{word()}/posts/{word()}", f"/spam/{rng.integers(99)}", f"/{rng.choice(['en', 'de'])}/news/{rng.integers(9)}.HTML",
                 f"/{rng.choice(['about', 'contact', 'help'])}", f"/a/b/{word()}/c/{rng.integers(4)}", "/" + "/".join(["x"] * int(rng.integers(6, 13))),
                 f"/id/{rng.integers(1 << 40):010x}", "", f"/{word()}")[kind]
-        rows.append((rng.choice(["h.com", "k.com"]) if kind != 8 else "w.com", path, spam if kind == 1 else label if kind == 2 else "allow" if kind == 4 and i % 2 else None))
+        rows.append((rng.choice(["h.com", "k.com"]) if kind != 8 else "w.com", path, spam if kind == 1 else label if kind == 2 else "allow" if kind == 5 or kind == 4 and i % 2 else None))
     df = spark.createDataFrame([(i, f"http://{h}{p}?q", l, "mine") for i, (h, p, l) in enumerate(rows)], "page_id long, url string, known string, segs string")
     got = {r.page_id: r for r in url_templates.judge(df, label=F.col("known")).collect()}
     assert len(got) == len(rows)

@@ -27,6 +27,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(df: DataFrame) -> Column:
+    """192 bits that tell rows apart by all their columns: rows that share it are equal throughout.
+
+    MD5 of the text, and a 64-bit hash of the columns with their null marks (a
+    null alone would leave the hash as it is); maps are hashed as JSON.
+    """
+    parts = []
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        parts += [c.isNull(), F.to_json(c) if "map<" in field.dataType.simpleString() else c]
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return F.concat(F.hex(F.xxhash64(*parts)), F.lit("-"), text)
+
+
 HOT = 1000   # a key of more than one in HOT of all rows is hot: there are fewer than HOT such keys
 
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sum, written
+from .common import prefix_sum, row_key, written
 
 BLOCK = 1024                 # words of a block
 SHARD = 256                  # slots of an output shard
@@ -170,7 +170,7 @@ def _sized(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       size.alias("size"), F.xxhash64("doc_id", "source", text).alias("key"))
+                       size.alias("size"), row_key(docs).alias("key"))
 
 
 def plan_mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -237,8 +237,8 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed:
         return pd.Series([cut_words(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
     names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
-    # exact repeats share a key: their passes come together, so one of them carries all
+    keyed = docs.withColumn("_key", row_key(docs))
+    # rows that are equal in all columns share a key: their passes come together, so one of them carries all
     rows = keyed.join(passes.withColumnRenamed("key", "_key"), "_key").dropDuplicates(["_key"])
     rows = rows.withColumn("_pass", F.explode("_passes"))
     whole, part = rows.where("_pass.n = _pass.size"), rows.where("_pass.n < _pass.size")

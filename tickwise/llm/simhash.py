@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 from .graph import connected_components
 
 SHINGLE = 3          # words per shingle
@@ -69,20 +69,17 @@ def text_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, fp): one row per row of ``docs``, whole texts, fp as a signed long; key hashes id and text."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: Column | None = None) -> DataFrame:
+    """(doc_id, key, fp): one row per row of ``docs``, whole texts, fp as a signed long; key is the one given, or null."""
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fps = [_signed(text_fingerprint(t, shingle)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _key().alias("key"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long")
-
-
-def _key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       (F.lit(None) if key is None else key).cast("string").alias("key"))
+    return rows.mapInArrow(run, "doc_id long, key string, fp long")
 
 
 def _block_masks(blocks: int) -> list[int]:
@@ -222,11 +219,11 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     """One document of each component, with all its columns: the one with the smallest doc_id.
 
     A null doc_id counts as larger than any other; of rows that share that id
-    and the text one stays, of different texts under that id the one with the
-    smaller hash.
+    the one with the smaller key of all its columns stays, whatever the
+    partitioning; of rows that are equal in all columns one stays.
     """
-    per_doc = written(fingerprints(docs, shingle), "simhash-docs")
+    per_doc = written(fingerprints(docs, shingle, row_key(docs)), "simhash-docs")
     labels = _labelled(per_doc, max_bits, F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")))
     kept = written(labels.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key")), "simhash-kept")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("_key", _key()).join(kept, "_key").dropDuplicates(["_key"]).select(*names)
+    return docs.withColumn("_key", row_key(docs)).join(kept, "_key").dropDuplicates(["_key"]).select(*names)
