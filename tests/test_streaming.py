@@ -76,3 +76,19 @@ def test_flushed_parts_are_scored_once(spark):
     assert len(calls) == 5 and sum(calls) == 1000 + calls[2]  # the part that failed is done again, the first two are not
     got = INC.read_sink(spark, sink)
     assert got.columns == ["id", "score"] and got.agg(F.count("*"), F.countDistinct("id"), F.sum("score")).first()[:] == (1000, 1000, 999000)
+
+
+def test_a_large_batch_has_few_flushes_and_each_reads_its_own_rows(spark):
+    df = spark.range(2000).withColumn("id", F.when(F.col("id") > 0, F.col("id")))  # a null key is a key
+    landing, sink, ckpt = scratch_path(spark, "t-land"), scratch_path(spark, "t-sink"), scratch_path(spark, "t-ckpt")
+    INC.land_files(df, landing, [F.lit(True)])
+    plans = []
+
+    def score(batch):
+        plans.append(batch._jdf.queryExecution().executedPlan().toString())
+        return batch
+
+    INC.stream_score(spark, landing, df.schema, sink, ckpt, "id", score, flush_rows=10)
+    assert 1 < len(plans) <= INC.FLUSHES
+    assert all("PartitionFilters: [" in p and "PartitionFilters: []" not in p for p in plans)
+    assert INC.read_sink(spark, sink).agg(F.count("*"), F.count("id"), F.countDistinct("id"), F.sum("id")).first()[:] == (2000, 1999, 1999, 1999000)
