@@ -92,3 +92,23 @@ def test_a_large_batch_has_few_flushes_and_each_reads_its_own_rows(spark):
     assert 1 < len(plans) <= INC.FLUSHES
     assert all("PartitionFilters: [" in p and "PartitionFilters: []" not in p for p in plans)
     assert INC.read_sink(spark, sink).agg(F.count("*"), F.count("id"), F.countDistinct("id"), F.sum("id")).first()[:] == (2000, 1999, 1999, 1999000)
+
+
+def test_arrivals_are_read_by_many_tasks(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def tagged(batches):
+        for batch in batches:
+            yield batch.set_column(1, "task", pa.array([TaskContext.get().partitionId()] * batch.num_rows))
+
+    monkeypatch.setattr(INC, "FILE_ROWS", 100)
+    df = spark.range(0, 800, 1, 8).withColumn("task", F.lit(-1)).mapInArrow(tagged, "id long, task long")
+    landing = scratch_path(spark, "t-land")
+    INC.land_files(df, landing, [F.col("id") < 750, F.col("id") < 50, F.col("id") < 0])
+    got = spark.read.parquet(landing)
+    assert got.filter("id >= 50").agg(F.count("*"), F.countDistinct("id")).first()[:] == (700, 700)
+    assert got.filter("id < 50").groupBy("id").count().filter("count = 2").count() == 50
+    assert got.select("task").distinct().count() == 8
+    files = got.groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 8 + 1 and max(r["count"] for r in files) <= 100
