@@ -130,3 +130,50 @@ def test_rows_without_a_date_are_kept_and_deduplicated(spark):
     df = spark.createDataFrame([(1, "s", None, "some long title"), (2, "s", None, "some long title!"), (3, "s", None, None), (4, "s", "2024-01-01", "")],
                                "id long, stock_id string, date string, title string")
     assert sorted(r.id for r in DD.fuzzy_dedup(df).collect()) == [1, 3, 4]
+
+
+def edited(rnd, text, alphabet, share):
+    t = list(text)
+    for _ in range(rnd.randint(0, max(1, int(len(t) * share)))):
+        at = rnd.randrange(len(t) + 1)
+        if rnd.random() < 0.5 and len(t) > 1:
+            t.pop(min(at, len(t) - 1))
+        else:
+            t.insert(at, rnd.choice(alphabet))
+    return "".join(t)
+
+
+def test_blocks_of_keys_are_compared_exactly(monkeypatch):
+    from tickwise.operators import lcs
+
+    rnd = random.Random(5)
+    for trial in range(24):
+        monkeypatch.setattr(lcs, "PAIRS", (3, 50, 4096)[trial % 3])
+        monkeypatch.setattr(lcs, "CELLS", (200, 5000, 2_000_000)[trial // 3 % 3])
+        threshold = rnd.choice([60, 85, 95])
+        alphabet = rnd.choice(["ab", "abcdefghij", "台積電abcdefghijklmnopqrst😀"])
+        base = ["".join(rnd.choice(alphabet) for _ in range(rnd.choice([1, 5, 63, 64, 65, 130, 300]))) for _ in range(4)]
+        keys = sorted({edited(rnd, rnd.choice(base), alphabet, 0.35) for _ in range(50)}, key=len)
+        want = {(i, j): DD.lcs_length(keys[i], keys[j]) for i, j in itertools.combinations(range(len(keys)), 2)
+                if DD.similar_py(keys[i], keys[j], threshold)}
+        assert {(i, j): n for i, j, n in zip(*map(list, lcs.similar_keys(keys, None, threshold)))} == want
+        half = len(keys) // 2
+        got = {(i, j + half): n for i, j, n in zip(*map(list, lcs.similar_keys(keys[:half], keys[half:], threshold)))}
+        assert got == {pair: n for pair, n in want.items() if pair[0] < half <= pair[1]}
+
+
+def test_only_keys_travel_and_a_hot_day_is_cut(spark, monkeypatch):
+    """Keys of the same letters share every token: as candidate pairs they were 300 * 299 / 2 rows."""
+    monkeypatch.setattr(DD, "HOT_ROWS", 20)
+    rnd = random.Random(2)
+    keys = sorted({"".join(rnd.sample("abcdefghijklmnopqrst", 20)) for _ in range(300)})
+    nodes = spark.createDataFrame([("d", i + 1, k, len(k)) for i, k in enumerate(keys)] + [("d", 400, "a" * 200, 200), (None, 1, keys[0], 20)],
+                                  "_day STRING, _node INT, _norm STRING, _len INT")
+    held = DD.block_pairs(nodes)
+    groups = held.groupBy("_day", "_i", "_j").count().collect()
+    assert max(g["count"] for g in groups) <= 2 * 20 and sum(g["count"] for g in groups) < 301 * 20
+    assert held.filter("_node = 400").filter("_i <> _j").count() <= 1
+    plan = DD.similar_pairs(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "Deduplicate" not in plan
+    want = {(i + 1, j + 1) for i, j in itertools.combinations(range(len(keys)), 2) if DD.similar_py(keys[i], keys[j])}
+    assert {(r.lo, r.hi) for r in DD.similar_pairs(nodes).collect()} == want

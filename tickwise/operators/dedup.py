@@ -9,15 +9,14 @@ Distributed form, exact at every step:
 
 1. exact-equal normalised titles of a day collapse to their first row (equal
    strings have identical scores, so only the first can ever be kept);
-2. candidate pairs come from a prefix filter: similarity >= t needs
-   LCS >= t(l1+l2)/2, hence a character-multiset overlap of at least
-   alpha(l) = ceil(t*l/(2-t)) for the shorter side; with every title's
-   characters sorted rare-first, two qualifying titles must share a token in
-   their first l - alpha(l) + 1 tokens.  Pairs are an equi-join on
-   (day, token) plus the length bound — no all-pairs join inside a day, and a
-   token that many titles hold is cut into parts;
-3. candidates with enough characters in common are verified with a bit-parallel
-   LCS (pandas UDF, Arrow batches);
+2. the keys of a day, sorted by length, are cut into blocks of bounded size.
+   similarity >= t needs min(l1, l2) >= t(l1+l2)/2, so a block meets only the
+   blocks whose lengths are near its own; every such pair of blocks is a group of
+   its own, so no task holds more than two blocks and a day of any size is
+   compared by many tasks.  Only keys travel (a key goes to the blocks its block
+   meets); candidate pairs are never written or shuffled;
+3. inside a pair of blocks (``lcs.similar_keys``) pairs with enough characters in
+   common are verified with a bit-parallel LCS over many pairs at a time;
 4. the greedy order is resolved in DataFrame rounds: a node with no undecided or
    kept predecessor is kept, an undecided node with a kept predecessor is
    removed; the first undecided node of every day is decided each round, and
@@ -26,10 +25,7 @@ Distributed form, exact at every step:
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,9 +33,11 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir
 from ..sources.files import scratch_path
 from ._util import distributed_rank
+from .lcs import similar_keys
 
 THRESHOLD = 85
-HOT_ROWS = 5000  # keys of a (day, token) that one task joins
+HOT_ROWS = 1000  # keys of a block: a group compares two blocks of a day
+BLOCKS = 32  # a day of more blocks gets larger ones, of up to 20 * HOT_ROWS keys, so that a key is not copied to more and more
 
 
 def normalize_title(c: Column) -> Column:
@@ -103,70 +101,33 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio_py(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-def prefix_tokens(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(_day, _node, _len, _tok, _short): every key's rarest tokens.
-
-    A key's tokens are 'c#k' for k = 1..count(c) of each of its characters; the
-    rarest come first, by k over the character's share of all text.  That is one
-    order for all keys, which is all the prefix filter needs; the shares are a
-    table of characters, so it has fewer rows than Unicode has code points
-    (1,114,112) whatever the data, and is small enough to send to every task.
-
-    In a qualifying pair the shorter key y needs an overlap of at least
-    ceil(t*|y|) (as |x| >= |y|), the longer key x at least ceil(t*|x|/(2-t))
-    (length bound); a prefix of |k| - alpha + 1 tokens per role keeps the
-    guarantee, so short-role tokens (``_short``) are joined to the tokens of keys
-    at least as long.
-    """
-    counts = nodes.select(F.explode(F.split("_norm", "")).alias("c")).groupBy("c").count()
-    seen = {r["c"]: r["count"] for r in counts.collect() if r["c"]}
-    sent = nodes.sparkSession.sparkContext.broadcast(seen)
-
-    def run(batches):
-        share = {c: 1.0 / n for c, n in sent.value.items()}
-        for batch in batches:
-            rows, toks, short = [], [], []
-            for i, key in enumerate(batch.column("_norm").to_pylist()):
-                size = len(key)
-                if not size:
-                    continue
-                longest = size + 1 - _ceil_div(size * threshold, 200 - threshold)
-                first = size + 1 - _ceil_div(size * threshold, 100)
-                rare = sorted(((k * share[c], c, k) for c, n in Counter(key).items() for k in range(1, n + 1)), reverse=True)[:max(longest, 1)]
-                rows += [i] * len(rare)
-                toks += [f"{c}#{k}" for _, c, k in rare]
-                short += [at < first for at in range(len(rare))]
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("_day", "_node", "_len")] + [pa.array(toks, pa.string()),
-                                             pa.array(short, pa.bool_())], ["_day", "_node", "_len", "_tok", "_short"])
-
-    keys = nodes.select("_day", F.col("_node").cast("long").alias("_node"), F.col("_len").cast("int").alias("_len"), "_norm")
-    return keys.mapInArrow(run, "_day string, _node long, _len int, _tok string, _short boolean")
-
-
-def candidate_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """D7 candidates: (_day, lo, hi) node pairs sharing a prefix token, within the length bound.
+def block_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(_day, _i, _j, _right, _node, _len, _norm): the keys of every two blocks that can hold a similar pair.
 
     ``nodes``: (_day, _node, _norm, _len); _node is the rank of the node in its day.
-    A (day, token) that more than ``HOT_ROWS`` keys hold is cut into parts of about that
-    many: its longer keys are dealt over the parts, its shorter keys go to each.  So
-    no task gets a hot token whole, and no pair is lost.
+    A day's keys are ranked by length and cut into blocks of ``HOT_ROWS``; a day that
+    would have over ``BLOCKS`` of them gets larger ones, of 20 * ``HOT_ROWS`` at most:
+    the copies of a key are bounded up to 640,000 keys a day, a group's rows always.
+    A pair of blocks _i <= _j holds the keys of _i and, if that is another one, of _j (``_right``).
+    Empty keys are similar to no other key.
     """
-    toks = prefix_tokens(nodes, threshold).withColumn("_part", F.lit(0))
-    toks = _written(toks, "title-tokens")
-    often = toks.groupBy("_day", "_tok").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
-    often = often.select("_day", "_tok", F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_parts"))
-    cut = toks.join(often, ["_day", "_tok"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    y = cut.filter("_short").select("_day", "_tok", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"),
-                                    F.col("_node").alias("_y"), F.col("_len").alias("y_len"))
-    x = cut.select("_day", "_tok", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int").alias("_part"),
-                   F.col("_node").alias("_x"), F.col("_len").alias("x_len"))
+    keys = nodes.filter("_day IS NOT NULL AND _len > 0").select(
+        "_day", F.col("_node").cast("long").alias("_node"), F.col("_len").cast("int").alias("_len"), "_norm")
+    keys = _written(keys, "title-keys")
+    size = F.least(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCKS), F.lit(HOT_ROWS)), F.lit(20 * HOT_ROWS))
+    ranked = distributed_rank(keys, ["_day"], ["_len", "_node"]).join(keys.groupBy("_day").agg(size.alias("_size")), "_day")
+    ranked = ranked.withColumn("_block", F.floor((F.col("_rn") - 1) / F.col("_size")).cast("int")).drop("_rn", "_size")
+    ranked = _written(ranked, "title-blocks")
+    blocks = ranked.groupBy("_day", "_block").agg(F.min("_len").alias("_min"), F.max("_len").alias("_max"))
+    later = blocks.select("_day", F.col("_block").alias("_j"), F.col("_min").alias("_later"))
     # length bound in integers: 200 * min(l1, l2) >= threshold * (l1 + l2)
-    pairs = y.join(x, ["_day", "_tok", "_part"]).filter(
-        (F.col("_y") != F.col("_x")) & (F.col("y_len") <= F.col("x_len"))
-        & (F.lit(200) * F.col("y_len") >= F.lit(threshold) * (F.col("y_len") + F.col("x_len")))
-    ).select("_day", F.least("_y", "_x").alias("lo"), F.greatest("_y", "_x").alias("hi"))
-    return pairs.distinct()
+    meet = blocks.withColumnRenamed("_block", "_i").join(later, "_day").filter(
+        (F.col("_i") == F.col("_j")) | ((F.col("_i") < F.col("_j"))
+                                        & (F.lit(200 - threshold) * F.col("_max") >= F.lit(threshold) * F.col("_later"))))
+    meet = meet.select("_day", "_i", "_j")
+    left = ranked.withColumnRenamed("_block", "_i").join(meet, ["_day", "_i"]).withColumn("_right", F.lit(False))
+    right = ranked.withColumnRenamed("_block", "_j").join(meet.filter("_i < _j"), ["_day", "_j"]).withColumn("_right", F.lit(True))
+    return left.unionByName(right)
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -175,34 +136,25 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _verifier(threshold: int):
-    @F.pandas_udf(T.IntegerType())
-    def lcs_if_similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            need = _ceil_div(threshold * (len(x) + len(y)), 200)
-            # the characters in common bound the LCS; only pairs within the bound are aligned
-            out.append(lcs_length(x, y) if sum((Counter(x) & Counter(y)).values()) >= need else 0)
-        return pd.Series(out, dtype="int32")
-    return lcs_if_similar
-
-
 def similar_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Verified pairs (day, lo, hi, ratio) with ratio >= threshold.
 
     Two empty keys count as equal (ratio 100); they never meet here because
     equal keys are collapsed before pairing.
     """
-    # the verification is CPU-bound: as many tasks as the session sets for a shuffle, not as few as the pairs' bytes fill
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["_right", "_len"], kind="stable")
+        split = int((~group["_right"]).sum())
+        text, node, size = group["_norm"].tolist(), group["_node"].to_numpy(), group["_len"].to_numpy()
+        a, b, lcs = similar_keys(text[:split], text[split:] or None, threshold)
+        b = b + (split if split < len(text) else 0)
+        return pd.DataFrame({"_day": group["_day"].iloc[0], "lo": node[[a, b]].min(axis=0), "hi": node[[a, b]].max(axis=0),
+                             "ratio": 200.0 * lcs / (size[a] + size[b])})
+
+    # the comparison is CPU-bound: as many tasks as the session sets for a shuffle, not as few as the keys' bytes fill
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cand = candidate_pairs(nodes, threshold).repartition(parts, "_day", "lo")
-    n = nodes.select("_day", "_node", "_norm")
-    c = cand.join(n.withColumnRenamed("_node", "lo").withColumnRenamed("_norm", "a"), ["_day", "lo"]) \
-        .join(n.withColumnRenamed("_node", "hi").withColumnRenamed("_norm", "b"), ["_day", "hi"])
-    c = c.withColumn("_lcs", _verifier(threshold)(F.col("a"), F.col("b")))
-    tot = F.length("a") + F.length("b")
-    return c.filter(F.lit(200) * F.col("_lcs") >= F.lit(threshold) * tot).select(
-        "_day", "lo", "hi", (F.lit(200.0) * F.col("_lcs") / tot).alias("ratio"))
+    held = block_pairs(nodes, threshold).repartition(parts, "_day", "_i", "_j")
+    return held.groupBy("_day", "_i", "_j").applyInPandas(compare, "_day string, lo long, hi long, ratio double")
 
 
 def _greedy(edges: DataFrame, spark) -> DataFrame:
