@@ -177,3 +177,12 @@ def test_only_keys_travel_and_a_hot_day_is_cut(spark, monkeypatch):
     assert "FlatMapGroupsInPandas" in plan and "Deduplicate" not in plan
     want = {(i + 1, j + 1) for i, j in itertools.combinations(range(len(keys)), 2) if DD.similar_py(keys[i], keys[j])}
     assert {(r.lo, r.hi) for r in DD.similar_pairs(nodes).collect()} == want
+
+
+def test_rank_without_the_texts(spark):
+    df = spark.createDataFrame([("d", i % 3, f"text {i}") for i in range(60)], "day string, k long, text string")
+    whole = {(r.k, r.text): r._rn for r in distributed_rank(df, ["day"], ["k"]).collect()}
+    slim = df.withColumn("h", F.xxhash64(*df.columns)).select("day", "k", F.substring("text", 6, 2).alias("n"), "h")
+    got = distributed_rank(slim, ["day"], ["k"], tie="h")
+    assert got.columns == ["day", "k", "n", "_rn"]
+    assert {(r.k, f"text {r.n}"): r._rn for r in got.collect()} == whole

@@ -40,7 +40,7 @@ def keys_or_const(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
-def distributed_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "_rn") -> DataFrame:
+def distributed_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "_rn", tie: str | None = None) -> DataFrame:
     """``row_number`` of every row inside its ``by`` group in ``order``, with no group ranked by one task.
 
     First pass: rows are dealt into ranges of (by, order), a group of any size over
@@ -49,13 +49,16 @@ def distributed_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], out
     rows of every (range, group) are counted, running sums of those few counts
     give each range's offset, and rank = place in the range + offset.  Rows that
     are equal in ``order`` are told apart by a hash of the whole row, so many
-    equal keys are dealt over ranges too; their order is then the hash's.
+    equal keys are dealt over ranges too; their order is then the hash's.  ``tie`` names
+    a column to take for that hash and to leave out of the result, for a frame
+    whose other columns need not be carried along.
     Null group values are a group; column names beginning with ``_dr_`` are reserved.
     """
     spark = df.sparkSession
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    hashed = F.xxhash64(*[F.col(c) for c in df.columns]) if tie is None else F.col(tie)
     keys = [*[F.col(c) for c in by], *[F.col(c) for c in order], F.col("_dr_tie")]
-    ranged = df.withColumn("_dr_tie", tie).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    df = df.withColumn("_dr_tie", hashed).drop(*([tie] if tie else []))
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ranged = ranged.withColumns({"_dr_range": F.spark_partition_id(), "_dr_at": F.monotonically_increasing_id()}).drop("_dr_tie")
     path = scratch_path(spark, "ranked")
     ranged.write.parquet(path)
@@ -66,4 +69,4 @@ def distributed_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], out
                            (F.coalesce(F.sum("_dr_n").over(earlier), F.lit(0)) - F.col("_dr_first")).alias("_dr_offset"))
     same = [F.col("_dr_range") == F.col("_dr_r"), *[F.col(c).eqNullSafe(F.col(f"_dr_b{i}")) for i, c in enumerate(by)]]
     found = rows.join(counts, same)
-    return found.select(*df.columns, (F.col("_dr_at") + F.col("_dr_offset") + 1).alias(out))
+    return found.select(*[c for c in df.columns if c != "_dr_tie"], (F.col("_dr_at") + F.col("_dr_offset") + 1).alias(out))

@@ -53,9 +53,9 @@ def day_key(c: Column) -> Column:
     return F.substring(c.cast("string"), 1, 10)
 
 
-def order_in_day(df: DataFrame, day: str = "_day", order=("stock_id", "date", "id")) -> DataFrame:
+def order_in_day(df: DataFrame, day: str = "_day", order=("stock_id", "date", "id"), tie: str | None = None) -> DataFrame:
     """Rank inside the day by (stock_id, date) with the id as tiebreak; a day of any size is ranked by many tasks."""
-    return distributed_rank(df, [day], order)
+    return distributed_rank(df, [day], order, tie=tie)
 
 
 def lcs_length(a: str, b: str) -> int:

@@ -810,7 +810,9 @@ def q_d3(spark, sf):
 def _dedup_nodes(spark, sf):
     n = views.news(spark, sf).withColumn("_day", DD.day_key(F.col("date"))) \
         .withColumn("_norm", DD.normalize_title(F.col("title")))
-    n = DD.order_in_day(n, "_day")
+    # the texts tell rows of one id apart, by their hash; they are not carried along
+    n = n.withColumn("_tie", F.xxhash64(*n.columns)).select("id", "stock_id", "date", "_day", "_norm", "_tie")
+    n = DD.order_in_day(n, "_day", tie="_tie")
     first = n.groupBy("_day", "_norm").agg(F.min("_rn").alias("_node"))
     return first.withColumn("_len", F.length("_norm"))
 
