@@ -554,3 +554,18 @@ def test_pipeline(spark):
 def test_native_queries_have_no_python(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_best_follows_the_trie_and_agrees_with_the_search():
+    """The best segmentation of a unit looks up signs, no substrings."""
+    vocabulary = sp.Vocabulary.load()
+    units = [" the", " Heitlich.", "xthq", " ñandú", " 台積電", "😀", " a😀b", "\n", " ", " é́q", " " + "thing" * 12]
+    want = []
+    for unit in units:
+        ways = vocabulary.n_best(unit, 2)
+        want.append((ways[0][0], ways[0][0] - ways[1][0] if len(ways) > 1 else None))
+    vocabulary.known = None
+    for unit, (score, loss) in zip(units, want, strict=True):
+        ids, found, lost = vocabulary.best(unit)
+        assert found == score and (lost == loss if loss is not None else lost > -sp.NONE // 2)
+        assert b"".join(vocabulary.text[i] for i in memoryview(ids).cast("I")).decode() == unit
