@@ -28,7 +28,7 @@ HEADLINE = [
     "a2_page_body",           # html -> article text
     "a_clean_text",           # noise blocks / lines / collapse over whole texts
     "l10_dedup_across_sources",
-    "d5_fuzzy_dedup",         # fuzzy title dedup (prefix filter + LCS + greedy rounds)
+    "d5_fuzzy_dedup",         # fuzzy title dedup (blocks by length + LCS + greedy rounds)
 ]
 
 
