@@ -162,6 +162,50 @@ def test_blocks_of_keys_are_compared_exactly(monkeypatch):
         assert got == {pair: n for pair, n in want.items() if pair[0] < half <= pair[1]}
 
 
+def test_keys_of_the_same_letters_go_by_parts(monkeypatch):
+    """Keys of the same letters in another order pass every count: all their pairs were aligned over the whole keys."""
+    from tickwise.operators import lcs
+
+    rnd = random.Random(11)
+    letters = [c for c in "abcdefghijklmnopqrst" for _ in range(8)]
+    keys = ["".join(rnd.sample(letters, len(letters))) for _ in range(60)]
+    keys = sorted({*keys, *(edited(rnd, k, "abcdefghijklmnopqrst", 0.05) for k in keys[:20])}, key=len)
+    want = {(i, j): DD.lcs_length(keys[i], keys[j]) for i, j in itertools.combinations(range(len(keys)), 2) if DD.similar_py(keys[i], keys[j])}
+    whole, align = [], lcs._aligned
+
+    def aligned(held, *pairs):
+        if isinstance(held, lcs.Keys):
+            whole.append(sum(y.size for _, y in pairs[0]) if isinstance(pairs[0], list) else pairs[0].size)
+        return align(held, *pairs)
+
+    monkeypatch.setattr(lcs, "_aligned", aligned)
+    assert {(i, j): n for i, j, n in zip(*map(list, lcs.similar_keys(keys, None, 85)))} == want
+    assert len(want) >= 15 and sum(whole) < 2 * len(want)
+
+
+@pytest.mark.parametrize("few", [0, 32])
+@pytest.mark.parametrize("parts", [1, 4, 8])
+def test_every_way_of_aligning_is_exact(monkeypatch, few, parts):
+    from tickwise.operators import lcs
+
+    rnd = random.Random(parts)
+    monkeypatch.setattr(lcs, "FEW", few)
+    monkeypatch.setattr(lcs, "PARTS", parts)
+    for trial in range(12):
+        monkeypatch.setattr(lcs, "WORDS", (0, 1, 4)[trial % 3])
+        monkeypatch.setattr(lcs, "PAIRS", (40, 4096)[trial % 2])
+        threshold = rnd.choice([30, 60, 85, 100])
+        alphabet = rnd.choice(["a", "ab", "abcdefghij", [chr(0x4E00 + n) for n in range(900)] + ["\U0001f600", "\ud800"]])
+        base = ["".join(rnd.choice(alphabet) for _ in range(rnd.choice([1, 5, 64, 130, 400]))) for _ in range(4)]
+        keys = sorted({edited(rnd, rnd.choice(base), alphabet, 0.35) for _ in range(40)}, key=len)
+        want = {(i, j): DD.lcs_length(keys[i], keys[j]) for i, j in itertools.combinations(range(len(keys)), 2)
+                if DD.similar_py(keys[i], keys[j], threshold)}
+        assert {(i, j): n for i, j, n in zip(*map(list, lcs.similar_keys(keys, None, threshold)))} == want
+    # counts beyond 16 bits
+    keys = ["ab" * 33000, "ab" * 33000 + "c", "ba" * 20000 + "c" * 30000]
+    assert [list(map(int, p)) for p in lcs.similar_keys(keys, None, 85)] == [[0], [1], [66000]]
+
+
 def test_only_keys_travel_and_a_hot_day_is_cut(spark, monkeypatch):
     """Keys of the same letters share every token: as candidate pairs they were 300 * 299 / 2 rows."""
     monkeypatch.setattr(DD, "HOT_ROWS", 20)

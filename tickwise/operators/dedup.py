@@ -16,7 +16,8 @@ Distributed form, exact at every step:
    compared by many tasks.  Only keys travel (a key goes to the blocks its block
    meets); candidate pairs are never written or shuffled;
 3. inside a pair of blocks (``lcs.similar_keys``) pairs with enough characters in
-   common are verified with a bit-parallel LCS over many pairs at a time;
+   common, and enough in common order in each part of the alphabet, are verified
+   with a bit-parallel LCS over many pairs at a time;
 4. the greedy order is resolved in DataFrame rounds: a node with no undecided or
    kept predecessor is kept, an undecided node with a kept predecessor is
    removed; the first undecided node of every day is decided each round, and

@@ -1,12 +1,17 @@
-"""Similar pairs of two blocks of keys (D7): length bound, characters in common, banded LCS.
+"""Similar pairs of two blocks of keys (D7): length bound, characters in common, LCS of parts, banded LCS.
 
 Every step is exact.  A pair needs LCS >= ``need`` = ceil(threshold * (l1 + l2) / 200):
 
 * the longer key has at most l1 * (200 - threshold) / threshold characters;
-* the characters in common (counted in ``BINS`` classes) bound the LCS;
-* the bit-parallel LCS runs over many pairs at a time, and only over the words that an
-  alignment with at most l1 - need and l2 - need skipped characters can touch; a pair
-  goes as soon as what is left of both keys cannot make up for what it has missed.
+* the characters in common bound the LCS (counted in ``ROUGH`` classes, then in ``BINS``);
+* the classes are dealt to ``PARTS`` parts of the alphabet.  What a common subsequence has of
+  a part's characters is a common subsequence of what both keys have of them, so the LCS of
+  the parts add up to a bound of the LCS.  Part by part, the LCS takes the place of the
+  characters in common, and a pair goes as soon as the sum is below ``need``: texts of one
+  language have most characters in common, but in another order;
+* the bit-parallel LCS runs over many pairs at a time; that of long keys only over the words
+  that an alignment with at most l1 - need and l2 - need skipped characters can touch, and a
+  pair goes as soon as what is left of both keys cannot make up for what it has missed.
 """
 
 from __future__ import annotations
@@ -14,26 +19,52 @@ from __future__ import annotations
 import numpy as np
 
 BINS = 128          # the 64 most frequent characters have a class each, the others share the rest
+ROUGH = 32          # classes of the first count
+PARTS = 4           # parts of the alphabet: short enough for few words, of enough characters to have an order
 PAIRS = 4096        # pairs aligned at a time
+FEW = 32            # so few pairs are aligned one by one
 CELLS = 2_000_000   # bound of a batch's tables, in elements
 STEP = 32           # signs between two looks at which pairs are still open
+WORDS = 4           # keys of more words are aligned in a band
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class Keys:
-    """The keys of the blocks: codes, lengths and counts of their characters."""
+class Signs:
+    """Texts as codes of their characters, all below ``signs``."""
+
+    def __init__(self, code: np.ndarray, size: np.ndarray, signs: int):
+        self.code, self.size, self.signs = code, size, signs
+        self.start = np.concatenate([[0], np.cumsum(size)])
+
+
+class Keys(Signs):
+    """The keys of the blocks, the counts of their characters and what they hold of each part."""
 
     def __init__(self, texts: list[str]):
-        self.size = np.array([len(t) for t in texts], dtype=np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.size)])
-        signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        self.alphabet, self.code = np.unique(signs, return_inverse=True)
-        often = np.argsort(-np.bincount(self.code, minlength=len(self.alphabet)), kind="stable")
-        rank = np.empty(len(self.alphabet), dtype=np.int64)
-        rank[often] = np.arange(len(often))
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        often = np.bincount(points)
+        alphabet = np.flatnonzero(often)
+        alphabet = alphabet[np.argsort(-often[alphabet], kind="stable")]
+        codes = np.zeros(often.size, dtype=np.int64)
+        codes[alphabet] = np.arange(alphabet.size)
+        super().__init__(codes[points], size, alphabet.size)
+        rank = np.arange(self.signs)
         kind = np.where(rank < BINS // 2, rank, BINS // 2 + rank % (BINS // 2))
-        row = np.repeat(np.arange(len(texts)), self.size)
-        self.counts = np.bincount(row * BINS + kind[self.code], minlength=len(texts) * BINS).reshape(-1, BINS).astype(np.int32)
+        row = np.repeat(np.arange(size.size), size)
+        counts = np.bincount(row * BINS + kind[self.code], minlength=size.size * BINS).reshape(-1, BINS)
+        # a key's counts add up to its length; the classes of a part stand together
+        counts = counts.astype(np.uint16 if size.max(initial=0) < 1 << 16 else np.int64)
+        self.rough = np.ascontiguousarray(counts.reshape(size.size, BINS // ROUGH, ROUGH).sum(axis=1, dtype=counts.dtype).T)
+        self.counts = np.ascontiguousarray(counts.reshape(size.size, BINS // PARTS, PARTS).swapaxes(1, 2))
+        self.parts = []
+        for p in range(PARTS):
+            held = np.flatnonzero(kind % PARTS == p)
+            codes = np.full(self.signs, -1)
+            codes[held] = np.arange(held.size)
+            code = codes[self.code]
+            inside = np.flatnonzero(code >= 0)
+            self.parts.append(Signs(code[inside], np.bincount(row[inside], minlength=size.size), held.size))
 
 
 def similar_keys(left: list[str], right: list[str] | None, threshold: int):
@@ -53,46 +84,108 @@ def similar_keys(left: list[str], right: list[str] | None, threshold: int):
         if a >= b:
             continue
         need = -(-threshold * (size + keys.size[a:b]) // 200)
-        y = a + np.flatnonzero(np.minimum(keys.counts[a:b], keys.counts[x]).sum(axis=1) >= need)
-        if y.size:
-            some.append((x, y))
-            held += y.size
-        if held >= 8 * PAIRS or (held and len(some) * len(keys.alphabet) * (size // 64 + 1) >= CELLS):
-            found += _aligned(keys, some, threshold)
+        y = np.flatnonzero(np.minimum(keys.rough[:, a:b], keys.rough[:, x, None]).sum(axis=0, dtype=keys.rough.dtype) >= need)
+        common = np.minimum(keys.counts[a + y], keys.counts[x]).sum(axis=2, dtype=np.int64)
+        ok = np.flatnonzero(common.sum(axis=1) >= need[y])
+        if ok.size:
+            some.append((np.full(ok.size, x), a + y[ok], need[y[ok]], common[ok]))
+            held += ok.size
+        if held >= 16 * PAIRS or (held and len(some) * keys.signs * (size // 64 + 1) >= CELLS):
+            found.append(_similar(keys, *map(np.concatenate, zip(*some))))
             some, held = [], 0
     if some:
-        found += _aligned(keys, some, threshold)
+        found.append(_similar(keys, *map(np.concatenate, zip(*some))))
     parts = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in (zip(*found) if found else ([], [], []))]
     return parts[0], parts[1] - first, parts[2]
 
 
-def _aligned(keys: Keys, some: list, threshold: int) -> list:
-    """The pairs of ``some`` (x, its candidates) with enough in common."""
-    signs = len(keys.alphabet)
-    words = int(max(keys.size[x] for x, _ in some) + 63) // 64
+def _similar(keys: Keys, x: np.ndarray, y: np.ndarray, need: np.ndarray, bound: np.ndarray):
+    """The pairs (x, y) with LCS >= need, and the LCS; ``bound`` has their characters in common by part."""
+    for p, part in enumerate(keys.parts):
+        # what the part must give if every other part gives its bound
+        ok, lcs = _aligned(part, x, y, need - bound.sum(axis=1) + bound[:, p])
+        x, y, need, bound = x[ok], y[ok], need[ok], bound[ok]
+        bound[:, p] = lcs
+    ok, lcs = _aligned(keys, x, y, need)
+    return x[ok], y[ok], lcs
+
+
+def _aligned(keys: Signs, x: np.ndarray, y: np.ndarray, need: np.ndarray):
+    """(positions, LCS) of the pairs with LCS >= need."""
+    if not x.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    some, of = np.unique(x, return_inverse=True)
+    size = keys.size[some]
+    words = max(1, int(size.max() + 63) // 64)
     # masks[(k, sign), w]: where the k-th x holds the sign; the last sign is held by none
-    masks = np.zeros((len(some) * (signs + 1), words), dtype=np.uint64)
-    for k, (x, _) in enumerate(some):
-        at = np.arange(keys.size[x])
-        cell = (k * (signs + 1) + keys.code[keys.start[x]:keys.start[x + 1]]) * words + at // 64
-        np.bitwise_or.at(masks.reshape(-1), cell, np.uint64(1) << (at % 64).astype(np.uint64))
-    of = np.repeat(np.arange(len(some)), [y.size for _, y in some])
-    xs, ys = np.array([x for x, _ in some])[of], np.concatenate([y for _, y in some])
-    order = np.argsort(keys.size[ys], kind="stable")
+    masks = np.zeros(some.size * (keys.signs + 1) * words, dtype=np.uint64)
+    k = np.repeat(np.arange(some.size), size)
+    at = np.arange(k.size) - np.repeat(np.cumsum(size) - size, size)
+    cell = (k * (keys.signs + 1) + keys.code[keys.start[some][k] + at]) * words + at // 64
+    np.bitwise_or.at(masks, cell, np.uint64(1) << (at % 64).astype(np.uint64))
+    order = np.argsort(keys.size[y], kind="stable")
     out, at = [], 0
     while at < order.size:
-        longest = int(keys.size[ys[order[min(at + PAIRS, order.size) - 1]]])
-        m = max(1, min(PAIRS, CELLS // longest))
+        longest = int(keys.size[y[order[min(at + PAIRS, order.size) - 1]]])
+        m = max(1, min(PAIRS, CELLS // max(longest, 1)))
         batch = order[at:at + m]
-        out.append(_batch(keys, masks.reshape(-1), words, of[batch], xs[batch], ys[batch], threshold))
+        align = _single if m <= FEW or batch.size <= FEW else _whole if words <= WORDS else _batch
+        ok, lcs = align(keys, masks, words, of[batch], x[batch], y[batch], need[batch])
+        out.append((batch[ok], lcs))
         at += m
-    return out
+    ok, lcs = (np.concatenate(p) for p in zip(*out))
+    order = np.argsort(ok)
+    return ok[order], lcs[order]
+
+
+def _single(keys: Signs, masks: np.ndarray, words: int, of: np.ndarray, x: np.ndarray, y: np.ndarray, need: np.ndarray):
+    """``_batch`` pair by pair, a key of any length in one integer."""
+    table, got = masks.reshape(-1, keys.signs + 1, words), np.empty(x.size, dtype=np.int64)
+    last = -1
+    for n in np.argsort(of, kind="stable"):
+        if of[n] != last:
+            last = of[n]
+            some = np.flatnonzero(table[last].any(axis=1))
+            held = {c: int.from_bytes(m.tobytes(), "little") for c, m in zip(some.tolist(), table[last, some])}
+            full = (1 << int(keys.size[x[n]])) - 1
+        v = full
+        for c in keys.code[keys.start[y[n]]:keys.start[y[n] + 1]].tolist():
+            m = v & held.get(c, 0)
+            v = ((v + m) | (v - m)) & full
+        got[n] = int(keys.size[x[n]]) - v.bit_count()
+    ok = np.flatnonzero(got >= need)
+    return ok, got[ok]
+
+
+def _whole(keys: Signs, masks: np.ndarray, words: int, of: np.ndarray, x: np.ndarray, y: np.ndarray, need: np.ndarray):
+    """``_batch`` over all words; the pairs are sorted by the length of y, so those that have signs left are the last ones."""
+    size = keys.size[y]
+    v = np.full((words, y.size), ONES, dtype=np.uint64)
+    code, base, start = keys.code * words, of * ((keys.signs + 1) * words), keys.start[y]
+    for s, low in enumerate(np.searchsorted(size, np.arange(int(size[-1])), "right")):
+        row = code.take(start[low:] + s)
+        row += base[low:]
+        carry = None
+        for w in range(words):
+            one = v[w, low:]
+            m = masks.take(row + w if w else row)
+            m &= one
+            total = one + m
+            over = total < m
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            one -= m
+            one |= total
+            carry = over
+    got = (64 - np.bitwise_count(v).astype(np.int64)).sum(axis=0)
+    ok = np.flatnonzero(got >= need)
+    return ok, got[ok]
 
 
-def _batch(keys: Keys, masks: np.ndarray, words: int, of: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: int):
-    signs = len(keys.alphabet)
+def _batch(keys: Signs, masks: np.ndarray, words: int, of: np.ndarray, x: np.ndarray, y: np.ndarray, need: np.ndarray):
+    signs = keys.signs
     l1, l2 = keys.size[x], keys.size[y]
-    need = -(-threshold * (l1 + l2) // 200)
     skip1, skip2, steps = int((l1 - need).max()), int((l2 - need).max()), int(l2.max())
     t = np.arange(steps)[:, None]
     code = keys.code[np.minimum(keys.start[y] + t, len(keys.code) - 1)]
@@ -130,4 +223,4 @@ def _batch(keys: Keys, masks: np.ndarray, words: int, of: np.ndarray, x: np.ndar
                 skip1, skip2 = int((l1 - need).max()), int((l2 - need).max())
     got = (64 - np.bitwise_count(v).astype(np.int64)).sum(axis=0)
     ok = got >= need
-    return x[alive[ok]], y[alive[ok]], got[ok]
+    return alive[ok], got[ok]
