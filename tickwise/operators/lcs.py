@@ -112,11 +112,21 @@ def _similar(keys: Keys, x: np.ndarray, y: np.ndarray, need: np.ndarray, bound:
 
 def _aligned(keys: Signs, x: np.ndarray, y: np.ndarray, need: np.ndarray):
     """(positions, LCS) of the pairs with LCS >= need."""
-    if not x.size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = np.maximum(1, (keys.size[x] + 63) // 64)
+    # a long x shares its table with others of up to twice its words
+    words = np.where(words <= WORDS, words, 1 << np.ceil(np.log2(words)).astype(np.int64))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for w in np.unique(words):
+        of_w = np.flatnonzero(words == w)
+        out += [(of_w[ok], lcs) for ok, lcs in _of_words(keys, int(w), x[of_w], y[of_w], need[of_w])]
+    ok, lcs = (np.concatenate(p) for p in zip(*out))
+    order = np.argsort(ok)
+    return ok[order], lcs[order]
+
+
+def _of_words(keys: Signs, words: int, x: np.ndarray, y: np.ndarray, need: np.ndarray):
     some, of = np.unique(x, return_inverse=True)
     size = keys.size[some]
-    words = max(1, int(size.max() + 63) // 64)
     # masks[(k, sign), w]: where the k-th x holds the sign; the last sign is held by none
     masks = np.zeros(some.size * (keys.signs + 1) * words, dtype=np.uint64)
     k = np.repeat(np.arange(some.size), size)
@@ -124,18 +134,15 @@ def _aligned(keys: Signs, x: np.ndarray, y: np.ndarray, need: np.ndarray):
     cell = (k * (keys.signs + 1) + keys.code[keys.start[some][k] + at]) * words + at // 64
     np.bitwise_or.at(masks, cell, np.uint64(1) << (at % 64).astype(np.uint64))
     order = np.argsort(keys.size[y], kind="stable")
-    out, at = [], 0
+    at = 0
     while at < order.size:
         longest = int(keys.size[y[order[min(at + PAIRS, order.size) - 1]]])
         m = max(1, min(PAIRS, CELLS // max(longest, 1)))
         batch = order[at:at + m]
-        align = _single if m <= FEW or batch.size <= FEW else _whole if words <= WORDS else _batch
+        align = _single if batch.size <= FEW else _whole if words <= WORDS else _batch
         ok, lcs = align(keys, masks, words, of[batch], x[batch], y[batch], need[batch])
-        out.append((batch[ok], lcs))
+        yield batch[ok], lcs
         at += m
-    ok, lcs = (np.concatenate(p) for p in zip(*out))
-    order = np.argsort(ok)
-    return ok[order], lcs[order]
 
 
 def _single(keys: Signs, masks: np.ndarray, words: int, of: np.ndarray, x: np.ndarray, y: np.ndarray, need: np.ndarray):
